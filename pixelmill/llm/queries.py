@@ -9,11 +9,50 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pixelmill.llm.warc import archives_round_trip
+
+    return archives_round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op2_embedding_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pixelmill.llm.embed_dedup import near_duplicate_vectors
+
+    return near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pixelmill.llm.token_binary import tokens_round_trip
+
+    return tokens_round_trip(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), 2)
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pixelmill.llm.ngram_join import similar_documents
 
     return similar_documents(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op7_ngram_jaccard_join": op7_ngram_jaccard_join}
-ORACLE: dict[str, str] = {}
+QUERIES = {
+    "op1_warc_archives": op1_warc_archives,
+    "op2_embedding_forest": op2_embedding_forest,
+    "op3_token_files": op3_token_files,
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+}
+
+ORACLE: dict[str, str] = {
+    "op1_warc_archives": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+d AS (SELECT page_id, strlen(payload)::BIGINT AS payload_bytes, sha1(payload) AS payload_digest FROM p),
+k AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS keep FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id < keep THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id < keep THEN keep END AS refers_to
+FROM k""",
+}
