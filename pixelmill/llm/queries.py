@@ -33,17 +33,77 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens_round_trip(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), 2)
 
 
+def op4_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pixelmill.llm.pii import span_digests
+
+    return span_digests(_table(spark, sf_dir, "documents"))
+
+
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pixelmill.llm.mixing import mix_counts
+
+    return mix_counts(_table(spark, sf_dir, "documents"))
+
+
+def op6_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pixelmill.llm.decontam import contaminated
+
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pixelmill.llm.ngram_join import similar_documents
 
     return similar_documents(_table(spark, sf_dir, "documents"))
 
 
+def op8_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pixelmill.llm.quality import select_documents
+
+    return select_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op9_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Insert all documents; delete those under 5 words; recount the French ones without bare marks. Each batch is sent twice."""
+    from pixelmill.llm.common import shared_path
+    from pixelmill.llm.token_counts import Rollup, count_events
+
+    docs = _table(spark, sf_dir, "documents")
+    rollup = Rollup(spark, shared_path(spark, "rollup"))
+    added = count_events(docs, "insert")
+    rollup.commit(0, added)
+    short = rollup.ledger().where("version = 'words-1' and n_tokens < 5").select("doc_id")
+    gone = rollup.ledger().join(short, "doc_id", "left_semi").selectExpr("doc_id", "version", "source", "lang", "n_tokens", "'delete' AS op", "1L AS seq")
+    rollup.commit(1, gone)
+    kept = docs.where("lang = 'fr'").join(rollup.ledger().where("live").select("doc_id").distinct(), "doc_id", "left_semi")
+    recount = count_events(kept, "revise", 2, {"words-1": r"[^\x20\x09-\x0D]*[A-Za-z0-9][^\x20\x09-\x0D]*"})
+    rollup.commit(2, recount)
+    for batch, events in ((0, added), (1, gone), (2, recount)):
+        if rollup.commit(batch, events):
+            raise AssertionError("a committed batch was taken again")
+    return rollup.totals()
+
+
+def op10_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from pixelmill.llm.line_dedup import remove_boilerplate
+
+    found = remove_boilerplate(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars_left"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 QUERIES = {
     "op1_warc_archives": op1_warc_archives,
     "op2_embedding_forest": op2_embedding_forest,
     "op3_token_files": op3_token_files,
+    "op4_pii_spans": op4_pii_spans,
+    "op5_source_mix": op5_source_mix,
+    "op6_template_decontamination": op6_template_decontamination,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op8_quality_resampling": op8_quality_resampling,
+    "op9_token_rollups": op9_token_rollups,
+    "op10_line_spread": op10_line_spread,
 }
 
 ORACLE: dict[str, str] = {
@@ -55,4 +115,23 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 1000 AND page_id < keep THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN payload_bytes >= 1000 AND page_id < keep THEN keep END AS refers_to
 FROM k""",
+    "op9_token_rollups": r"""
+WITH d AS (SELECT source, lang,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS w,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]*[A-Za-z0-9][^\x20\x09-\x0D]*'))::BIGINT AS wf,
+    len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+|[^A-Za-z0-9\x20\x09-\x0D]'))::BIGINT AS m
+  FROM documents),
+e AS (
+  SELECT source, lang, 'words-1' AS version, CASE WHEN lang = 'fr' THEN wf ELSE w END AS n FROM d WHERE w >= 5
+  UNION ALL SELECT source, lang, 'marks-2', m FROM d WHERE w >= 5)
+SELECT source, lang, version, count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_tokens FROM e GROUP BY ALL""",
+    "op10_line_spread": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS site, text FROM documents),
+x AS (SELECT r, site, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d),
+k AS (SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS key FROM x),
+b AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT site) >= 10),
+a AS (SELECT r, count(*) AS n, count(b.key) AS gone, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE b.key IS NULL), '') AS t
+  FROM k LEFT JOIN b ON k.key = b.key GROUP BY r)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_lines, coalesce(gone, 0)::BIGINT AS n_removed, length(t)::BIGINT AS n_chars_left, sha256(t) AS text_sha256
+FROM d LEFT JOIN a ON d.r = a.r""",
 }
