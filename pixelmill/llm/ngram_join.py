@@ -15,6 +15,8 @@ first in that order lie among the first ``n - t + k`` of both.
 
 Lists never turn into all their pairs. First each list gives a star around its smallest set; the verified links give
 components; then only pairs of a list in different components, with sizes and places that allow a link, are verified.
+Before sets are fetched, bitmaps of 2 to 4 bits an element bound the intersection from above: a bit that only one set
+has stands for an element that only this set has. What passes is verified by the exact sets.
 The frequent shingles only choose the order, so the result doesn't depend on how well they were found.
 """
 
@@ -30,8 +32,9 @@ from pyspark.sql import functions as F
 from pixelmill.llm.common import connected_components, materialize
 from pixelmill.llm.words import WordHashes, mix, shingle_set
 
-#: Shingles gathered in a task before those seen often in it are reported.
+#: Shingles gathered in a task before those seen again in it are reported; of all, those with hashes that a first place takes.
 CHUNK = 4_000_000
+LOW = np.uint64(int(0.3 * 2**64))
 #: Frequent shingles and chosen documents are broadcast up to so many (8 bytes each), else joined by shuffle.
 MAX_BROADCAST = 2_000_000
 
@@ -43,30 +46,59 @@ def _set_id(s: np.ndarray) -> int:
     return int(np.asarray([x], np.uint64).view(np.int64)[0])
 
 
+def _bitmap(s: np.ndarray) -> bytes:
+    """Bits of the elements' hashes, as many as the power of two from twice to four times their number, 64 at least."""
+    m = max(64, 1 << (2 * len(s) - 1).bit_length())
+    bits = np.zeros(m, np.uint8)
+    bits[(s & np.uint64(m - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def _may_link(percent: int):
+    """The pairs (p, q) whose bitmaps allow a link."""
+
+    def most(a: bytes, b: bytes, n: int, m: int) -> int:
+        x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+        while len(x) > len(y):
+            x = x[: len(x) // 2] | x[len(x) // 2 :]
+        while len(y) > len(x):
+            y = y[: len(y) // 2] | y[len(y) // 2 :]
+        return min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, n, m = (batch.column(c).to_pylist() for c in ("a", "b", "n", "m"))
+            keep = [(100 + percent) * most(*x) >= percent * (x[2] + x[3]) for x in zip(a, b, n, m, strict=True)]
+            yield batch.select(["p", "q"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def _profile(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, held, n_held = WordHashes(), [], 0
 
         def frequent():
             v, c = np.unique(np.concatenate(held), return_counts=True)
-            v, c = v[c >= 4].view(np.int64), c[c >= 4]
-            return pa.record_batch([pa.array(np.ones(len(v), np.int32)), pa.array(v), pa.array(c.astype(np.int64)), pa.array(np.zeros(len(v), np.int64))], names=["kind", "a", "b", "c"])
+            v, c = v[c > 1].view(np.int64), c[c > 1]
+            return pa.record_batch([pa.array(np.ones(len(v), np.int32)), pa.array(v), pa.array(c.astype(np.int64)), pa.array(np.zeros(len(v), np.int64)), pa.nulls(len(v), pa.binary())], names=["kind", "a", "b", "c", "bits"])
 
         seen: set[int] = set()
         for batch in batches:
-            n, ids = [], []
+            n, ids, bits = [], [], []
             for text in batch.column("text"):
                 s = shingle_set(cache, text.as_py(), width)
                 n.append(len(s))
+                bits.append(_bitmap(s) if len(s) else None)
                 ids.append(_set_id(s) if len(s) else 0)
                 if len(s) and ids[-1] not in seen:
                     seen.add(ids[-1])
-                    held.append(s)
-                    n_held += len(s)
+                    held.append(s[: np.searchsorted(s, LOW)])
+                    n_held += len(held[-1])
                 if n_held >= CHUNK:
                     yield frequent()
                     held, n_held, seen = [], 0, set()
-            yield pa.record_batch([pa.array(np.zeros(len(n), np.int32)), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.int64())], names=["kind", "a", "b", "c"])
+            yield pa.record_batch([pa.array(np.zeros(len(n), np.int32)), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(bits, pa.binary())], names=["kind", "a", "b", "c", "bits"])
         if held:
             yield frequent()
 
@@ -137,11 +169,14 @@ def _columns(batch: pa.RecordBatch) -> list[np.ndarray]:
 
 
 def _stars(percent: int):
-    """From postings sorted by (sig, n, fp): those in lists of two sets at least, each with the set that it is compared with first."""
+    """From postings sorted by (sig, n, fp): those in lists of two sets at least, each with the two sets that it is
+    compared with first: the list's smallest of allowed size, and the one before it."""
+
+    names = ["sig", "fp", "n", "pos", "centre", "near"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None  # the last posting, which waits for its successor
-        goes_on = False  # whether the held posting's list began before it
+        goes_on, before = False, 0  # whether the held posting's list began before it, and the set before it
         centre = (0, 0)  # fp and n
         for batch in batches:
             cols = _columns(batch)
@@ -158,12 +193,13 @@ def _stars(percent: int):
                 if not inside[i] or 100 * centre[1] < percent * n[i]:
                     centre = (fp[i], n[i])
                 centres[j] = centre[0]
-            held, goes_on = [c[m:] for c in cols], bool(inside[m])
+            near = np.where(inside, np.r_[before, fp[:-1]], fp)
+            held, goes_on, before = [c[m:] for c in cols], bool(inside[m]), near[m]
             if len(at):
-                yield pa.record_batch([pa.array(c) for c in (sig[at], fp[at], n[at], pos[at], centres)], names=["sig", "fp", "n", "pos", "centre"])
+                yield pa.record_batch([pa.array(c) for c in (sig[at], fp[at], n[at], pos[at], centres, near[at])], names=names)
         if goes_on:
             c = centre[0] if 100 * centre[1] >= percent * held[2][0] else held[1][0]
-            yield pa.record_batch([pa.array(x) for x in (*held, np.asarray([c], np.int64))], names=["sig", "fp", "n", "pos", "centre"])
+            yield pa.record_batch([pa.array(x) for x in (*held, np.asarray([c], np.int64), np.asarray([before], np.int64))], names=names)
 
     return run
 
@@ -253,12 +289,12 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 75) -> Dat
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    found = materialize(docs.mapInArrow(_profile(width), "kind int, a long, b long, c long"), "profile")
+    found = materialize(docs.mapInArrow(_profile(width), "kind int, a long, b long, c long, bits binary"), "profile")
     sets = found.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), F.col("c").alias("fp"))
-    frequent = found.where("kind = 1").groupBy("a").agg(F.sum("b").alias("b")).where("b >= 16")
+    frequent = found.where("kind = 1").groupBy("a").agg(F.sum("b").alias("b")).where("b >= 4")
     # which shingles count as frequent only decides an order, so the bound costs no result
     top = frequent.groupBy(F.floor(F.log2("b")).alias("e")).count().orderBy(F.desc("e")).collect()
-    least, total = 16, 0
+    least, total = 4, 0
     for row in top:
         if total + row["count"] > MAX_BROADCAST:
             least = 2 ** (row["e"] + 1)
@@ -282,28 +318,37 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 75) -> Dat
     postings = docs.where("doc_id is not null").mapInArrow(sign, "sig long, fp long, n int, pos int")
     lists = materialize(
         postings.repartition("sig").sortWithinPartitions("sig", "n", "fp")
-        .mapInArrow(_stars(percent), "sig long, fp long, n int, pos int, centre long"), "lists")
+        .mapInArrow(_stars(percent), "sig long, fp long, n int, pos int, centre long, near long"), "lists")
 
-    ids = lists.select("fp").distinct()
     representative = sets.where("n > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
-    chosen = materialize(representative.join(ids, "fp", "left_semi").select("doc_id", "fp"), "chosen")
-    chosen_ids = chosen.select("doc_id")
-    if chosen.count() <= MAX_BROADCAST:
-        chosen_ids = F.broadcast(chosen_ids)
-    texts = docs.join(chosen_ids, "doc_id", "left_semi").select("doc_id", "text")
-    items = materialize(texts.mapInArrow(_sets(width), "fp long, items array<long>").dropDuplicates(["fp"]), "sets")
-
-    links = _verified(lists.where("fp <> centre").select(F.least("fp", "centre").alias("p"), F.greatest("fp", "centre").alias("q")).distinct(), items, percent)
-    first = connected_components(links, "p", "q")
-    first = materialize(first, "first")
-    named = lists.select("sig", "fp", "n", "pos").join(first.withColumnRenamed("node", "fp"), "fp", "left").select("sig", "fp", "n", "pos", F.coalesce("root", "fp").alias("comp"))
-    named = materialize(named, "named")
-    mixed = named.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
-    pairs = (
-        named.join(mixed, "sig", "left_semi").repartition("sig").sortWithinPartitions("sig", "n", "fp")
-        .mapInArrow(_across(percent), "p long, q long").distinct())
-    more = _verified(pairs, items, percent)
-    every = connected_components(links.union(more), "p", "q")
+    maps = found.where("kind = 0 and b > 1").select(F.col("c").alias("fp"), F.col("b").alias("n"), "bits").dropDuplicates(["fp"])
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        a = maps.select(F.col("fp").alias("p"), F.col("n"), F.col("bits").alias("a"))
+        b = maps.select(F.col("fp").alias("q"), F.col("n").alias("m"), F.col("bits").alias("b"))
+        likely = materialize(pairs.join(a, "p").join(b, "q").mapInArrow(_may_link(percent), "p long, q long"), "likely")
+        ids = likely.select(F.col("p").alias("fp")).union(likely.select("q")).distinct()
+        chosen = materialize(representative.join(ids, "fp", "left_semi").select("doc_id"), "chosen")
+        if chosen.count() <= MAX_BROADCAST:
+            chosen = F.broadcast(chosen)
+        items = docs.join(chosen, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(width), "fp long, items array<long>")
+        return _verified(likely, items.dropDuplicates(["fp"]), percent)
+
+    star = lists.select(F.col("fp").alias("p"), F.explode(F.array_distinct(F.array("centre", "near"))).alias("q")).where("p <> q").distinct()
+    # one link a set is enough to begin with; what it leaves apart, the second look joins
+    links = verified(star).groupBy("p").agg(F.min("q").alias("q"))
+    every = materialize(connected_components(links, "p", "q"), "every")
+    # linked sets share many lists: a sixteenth of the lists joins nearly all that is left, and all of them the rest
+    for share in (16, 1):
+        part = lists.where(F.pmod("sig", F.lit(share)) == 0).select("sig", "fp", "n", "pos")
+        named = part.join(every.withColumnRenamed("node", "fp"), "fp", "left").select("sig", "fp", "n", "pos", F.coalesce("root", "fp").alias("comp"))
+        named = materialize(named, "named")
+        mixed = named.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
+        pairs = (
+            named.join(mixed, "sig", "left_semi").repartition("sig").sortWithinPartitions("sig", "n", "fp")
+            .mapInArrow(_across(percent), "p long, q long").distinct())
+        links = links.union(verified(pairs))
+        every = materialize(connected_components(links, "p", "q"), "every")
 
     classes = representative.join(every.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
     least_id = classes.groupBy("root").agg(F.min("doc_id").alias("component_id"))
