@@ -1,0 +1,21 @@
+import sys
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+from oracle import same
+
+from pixelmill.plans.catalog import ORACLE, QUERIES
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_like_duckdb(spark, name):
+    assert same(QUERIES[name](spark, SF), ORACLE[name], SF)
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
+def test_runs(spark, name):
+    assert QUERIES[name](spark, SF).count() > 0
