@@ -13,7 +13,7 @@ first in that order lie among the first ``n - t + k`` of both.
 * the boundary is the size at which enumerating costs as much as posting and scanning, from the histogram
   of all sizes and the mean list length.
 
-Lists never turn into all their pairs. First each list gives a star around its smallest set; the verified links give
+Lists never turn into all their pairs. First the sets of a list are compared with one of them; the verified links give
 components; then only pairs of a list in different components, with sizes and places that allow a link, are verified.
 Before sets are fetched, bitmaps of 2 to 4 bits an element bound the intersection from above: a bit that only one set
 has stands for an element that only this set has. What passes is verified by the exact sets.
@@ -32,9 +32,8 @@ from pyspark.sql import functions as F
 from pixelmill.llm.common import connected_components, materialize
 from pixelmill.llm.words import WordHashes, mix, shingle_set
 
-#: Shingles gathered in a task before those seen again in it are reported; of all, those with hashes that a first place takes.
+#: Shingles gathered in a task before those seen again in it are reported.
 CHUNK = 4_000_000
-LOW = np.uint64(int(0.3 * 2**64))
 #: Frequent shingles and chosen documents are broadcast up to so many (8 bytes each), else joined by shuffle.
 MAX_BROADCAST = 2_000_000
 
@@ -67,9 +66,9 @@ def _may_link(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, n, m = (batch.column(c).to_pylist() for c in ("a", "b", "n", "m"))
+            a, b, n, m = (batch.column(c).to_pylist() for c in ("x", "y", "n", "m"))
             keep = [(100 + percent) * most(*x) >= percent * (x[2] + x[3]) for x in zip(a, b, n, m, strict=True)]
-            yield batch.select(["p", "q"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(["p", "q", "cp", "cq"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -93,8 +92,8 @@ def _profile(width: int):
                 ids.append(_set_id(s) if len(s) else 0)
                 if len(s) and ids[-1] not in seen:
                     seen.add(ids[-1])
-                    held.append(s[: np.searchsorted(s, LOW)])
-                    n_held += len(held[-1])
+                    held.append(s)
+                    n_held += len(s)
                 if n_held >= CHUNK:
                     yield frequent()
                     held, n_held, seen = [], 0, set()
@@ -168,38 +167,27 @@ def _columns(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [c.to_numpy(zero_copy_only=False) for c in batch.columns]
 
 
-def _stars(percent: int):
-    """From postings sorted by (sig, n, fp): those in lists of two sets at least, each with the two sets that it is
-    compared with first: the list's smallest of allowed size, and the one before it."""
-
-    names = ["sig", "fp", "n", "pos", "centre", "near"]
+def _shared():
+    """From postings sorted by (sig, n, fp): those in lists of two sets at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None  # the last posting, which waits for its successor
-        goes_on, before = False, 0  # whether the held posting's list began before it, and the set before it
-        centre = (0, 0)  # fp and n
+        goes_on = False  # whether its list began before it
         for batch in batches:
             cols = _columns(batch)
             if held is not None:
                 cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
-            sig, fp, n, pos = cols
+            sig = cols[0]
             if not len(sig):
                 continue
             m = len(sig) - 1
             inside = np.r_[goes_on, sig[1:] == sig[:-1]]
             at = np.flatnonzero(inside[:m] | inside[1:])
-            centres = np.empty(len(at), np.int64)
-            for j, i in enumerate(at):
-                if not inside[i] or 100 * centre[1] < percent * n[i]:
-                    centre = (fp[i], n[i])
-                centres[j] = centre[0]
-            near = np.where(inside, np.r_[before, fp[:-1]], fp)
-            held, goes_on, before = [c[m:] for c in cols], bool(inside[m]), near[m]
+            held, goes_on = [c[m:] for c in cols], bool(inside[m])
             if len(at):
-                yield pa.record_batch([pa.array(c) for c in (sig[at], fp[at], n[at], pos[at], centres, near[at])], names=names)
+                yield pa.record_batch([pa.array(c[at]) for c in cols], names=["sig", "fp", "n", "pos"])
         if goes_on:
-            c = centre[0] if 100 * centre[1] >= percent * held[2][0] else held[1][0]
-            yield pa.record_batch([pa.array(x) for x in (*held, np.asarray([c], np.int64), np.asarray([before], np.int64))], names=names)
+            yield pa.record_batch([pa.array(c) for c in held], names=["sig", "fp", "n", "pos"])
 
     return run
 
@@ -220,8 +208,9 @@ def _across(percent: int):
                 ok &= (100 + percent) * most >= percent * (n[a0:a1, None] + n[None, b0:b1])
                 x, y = np.nonzero(ok)
                 if len(x):
-                    p, q = fp[a0 + x], fp[b0 + y]
-                    yield pa.record_batch([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["p", "q"])
+                    x, y = a0 + x, b0 + y
+                    x, y = np.where(fp[x] < fp[y], x, y), np.where(fp[x] < fp[y], y, x)
+                    yield pa.record_batch([pa.array(c) for c in (fp[x], fp[y], comp[x], comp[y])], names=["p", "q", "cp", "cq"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -318,37 +307,46 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 75) -> Dat
     postings = docs.where("doc_id is not null").mapInArrow(sign, "sig long, fp long, n int, pos int")
     lists = materialize(
         postings.repartition("sig").sortWithinPartitions("sig", "n", "fp")
-        .mapInArrow(_stars(percent), "sig long, fp long, n int, pos int, centre long, near long"), "lists")
+        .mapInArrow(_shared(), "sig long, fp long, n int, pos int"), "lists")
 
     representative = sets.where("n > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
     maps = found.where("kind = 0 and b > 1").select(F.col("c").alias("fp"), F.col("b").alias("n"), "bits").dropDuplicates(["fp"])
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        a = maps.select(F.col("fp").alias("p"), F.col("n"), F.col("bits").alias("a"))
-        b = maps.select(F.col("fp").alias("q"), F.col("n").alias("m"), F.col("bits").alias("b"))
-        likely = materialize(pairs.join(a, "p").join(b, "q").mapInArrow(_may_link(percent), "p long, q long"), "likely")
+    def joined(pairs: DataFrame) -> DataFrame:
+        """Components (node, root) of the components cp and cq by the links among the pairs (p, q, cp, cq)."""
+        x = maps.select(F.col("fp").alias("p"), F.col("n"), F.col("bits").alias("x"))
+        y = maps.select(F.col("fp").alias("q"), F.col("n").alias("m"), F.col("bits").alias("y"))
+        likely = materialize(pairs.join(x, "p").join(y, "q").mapInArrow(_may_link(percent), "p long, q long, cp long, cq long"), "likely")
         ids = likely.select(F.col("p").alias("fp")).union(likely.select("q")).distinct()
         chosen = materialize(representative.join(ids, "fp", "left_semi").select("doc_id"), "chosen")
         if chosen.count() <= MAX_BROADCAST:
             chosen = F.broadcast(chosen)
         items = docs.join(chosen, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(width), "fp long, items array<long>")
-        return _verified(likely, items.dropDuplicates(["fp"]), percent)
-
-    star = lists.select(F.col("fp").alias("p"), F.explode(F.array_distinct(F.array("centre", "near"))).alias("q")).where("p <> q").distinct()
-    # one link a set is enough to begin with; what it leaves apart, the second look joins
-    links = verified(star).groupBy("p").agg(F.min("q").alias("q"))
-    every = materialize(connected_components(links, "p", "q"), "every")
-    # linked sets share many lists: a sixteenth of the lists joins nearly all that is left, and all of them the rest
-    for share in (16, 1):
-        part = lists.where(F.pmod("sig", F.lit(share)) == 0).select("sig", "fp", "n", "pos")
+        links = _verified(likely, items.dropDuplicates(["fp"]), percent)
+        return materialize(connected_components(links.select("cp", "cq").distinct(), "cp", "cq"), "joined")
+
+    # Sets that link share many lists, so a sixteenth of the lists joins nearly all, and all of them the rest. In the first look a list's
+    # sets are compared with one of them only: the one that shares lists with most others, as the original of edited copies does.
+    every = None
+    for share in (16, 16, 1):
+        part = lists.where(F.pmod("sig", F.lit(share)) == 0)
+        if every is None:
+            length = part.groupBy("sig").agg(F.count("*").alias("k"))
+            degree = part.join(length, "sig").groupBy("fp").agg(F.sum("k").alias("k"))
+            hub = part.join(degree, "fp").groupBy("sig").agg(F.max_by(F.struct("fp", "n"), F.struct("k", "fp")).alias("hub"))
+            pairs = part.join(hub, "sig").where(f"fp <> hub.fp and 100 * least(n, hub.n) >= {percent} * greatest(n, hub.n)")
+            pairs = pairs.select(F.col("fp").alias("p"), F.col("hub.fp").alias("q"), F.col("fp").alias("cp"), F.col("hub.fp").alias("cq")).distinct()
+            every = joined(pairs)
+            continue
         named = part.join(every.withColumnRenamed("node", "fp"), "fp", "left").select("sig", "fp", "n", "pos", F.coalesce("root", "fp").alias("comp"))
         named = materialize(named, "named")
         mixed = named.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
         pairs = (
             named.join(mixed, "sig", "left_semi").repartition("sig").sortWithinPartitions("sig", "n", "fp")
-            .mapInArrow(_across(percent), "p long, q long").distinct())
-        links = links.union(verified(pairs))
-        every = materialize(connected_components(links, "p", "q"), "every")
+            .mapInArrow(_across(percent), "p long, q long, cp long, cq long").distinct())
+        new = joined(pairs)
+        moved = every.join(new.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+        every = materialize(moved.union(new.join(every.select("node"), "node", "left_anti")), "every")
 
     classes = representative.join(every.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
     least_id = classes.groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -359,8 +357,8 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 75) -> Dat
 
 
 def _verified(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
-    """The pairs (p, q) of sets that link, by the exact size of their intersection."""
+    """The components (cp, cq) of the pairs (p, q) of sets that link, by the exact size of their intersection."""
     a = items.select(F.col("fp").alias("p"), F.col("items").alias("a"))
     b = items.select(F.col("fp").alias("q"), F.col("items").alias("b"))
-    both = pairs.join(a, "p").join(b, "q").select("p", "q", (F.size("a") + F.size("b")).alias("n"), F.size(F.array_intersect("a", "b")).alias("common"))
-    return materialize(both.where(F.col("common") * 100 >= percent * (F.col("n") - F.col("common"))).select("p", "q"), "links")
+    both = pairs.join(a, "p").join(b, "q").select("cp", "cq", (F.size("a") + F.size("b")).alias("n"), F.size(F.array_intersect("a", "b")).alias("common"))
+    return materialize(both.where(F.col("common") * 100 >= percent * (F.col("n") - F.col("common"))).select("cp", "cq"), "links")
