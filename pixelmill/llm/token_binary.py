@@ -12,8 +12,11 @@ import json
 import os
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from string import ascii_letters
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +31,9 @@ MARK = b"PMTOK001"
 EVERY = 256
 #: Ids after which a shard is closed, and ids read from a shard at once.
 SHARD_IDS, READ_IDS = 16_000_000, 2_000_000
+#: The byte-level alphabet: printable bytes stand for themselves, others for the characters from 256 on.
+_PRINT = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINT)}
 _ONES = np.array([bin(x).count("1") for x in range(256)], np.uint8)
 
 
@@ -108,25 +114,52 @@ class _Encoder(dict):
     """Ids (as bytes) of the pieces between ASCII white space.
 
     Exact for tokenizers that split at white space before anything else, whose pieces can then be encoded one by one;
-    most pieces recur, and are looked up. The cache is emptied at ``LIMIT`` pieces.
+    most pieces recur, and are looked up, in lower case if the tokenizer doesn't tell A-Z from a-z (special tokens, which it may
+    tell, begin with "<|"). A worker keeps its pieces from task to task; they are dropped at ``LIMIT`` pieces, about 120 MB. New words
+    go to the tokenizer's model directly, if this gives the same ids for words of several scripts.
     """
 
-    LIMIT = 600_000
+    LIMIT = 500_000
 
     def __init__(self, tokenizer, wide: bool):
         super().__init__()
-        self.tokenizer, self.kind = tokenizer, "<u4" if wide else "<u2"
-
-    def encode(self, texts: list[bytes], end: bytes) -> list[bytes]:
-        split = [t.split() for t in texts]
-        new = list({w for words in split for w in words if w not in self})
-        if len(self) + len(new) > self.LIMIT:
+        self.tokenizer, self.kind, self.code = tokenizer, "<u4" if wide else "<u2", "I" if wide else "H"
+        one = [tokenizer.encode(x, add_special_tokens=False).ids for x in (ascii_letters.upper(), ascii_letters.lower())]
+        self.fold = one[0] == one[1]
+        self.tails: dict[bytes, bytes] = {b"": b""}
+        self.word = tokenizer.model.tokenize
+        self.direct = self.fold and all(self._word(w) == self._whole(w) for w in ("a", "zebra", "xqzzy", "élan", "ñandú", "größe", "łódź", "слово", "日本"))
+
+    def _whole(self, piece: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+
+    def _word(self, letters: str) -> bytes:
+        """A word of lower-case letters by the tokenizer's model alone, which takes UTF-8 bytes as the characters of byte-level BPE."""
+        return array(self.code, [t.id for t in self.word(letters.encode().decode("latin-1").translate(_BYTES))]).tobytes()
+
+    def __missing__(self, piece: bytes) -> bytes:
+        """A lower-case word with full stops and commas behind it, or any other piece."""
+        core = piece.rstrip(b".,")
+        text = piece.decode("utf-8", "replace")
+        letters = text[: len(text) - len(piece) + len(core)]
+        if self.direct and letters.isalpha() and letters == letters.lower() and (letters.isascii() or is_normalized("NFC", letters)):
+            tail = piece[len(core) :]
+            if tail not in self.tails:
+                if len(self.tails) > 1000:
+                    self.tails.clear()
+                self.tails[tail] = self._whole(tail.decode()) if tail else b""
+            ids = self._word(letters) + self.tails[tail]
+        else:
+            ids = self._whole(text)
+        if len(self) >= self.LIMIT:
             self.clear()
-            new = list({w for words in split for w in words})
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        for w, e in zip(new, found, strict=True):
-            self[w] = np.array(e.ids, self.kind).tobytes()
-        return [b"".join(map(self.__getitem__, words)) + end for words in split]
+        self[piece] = ids
+        return ids
+
+    def encode(self, text: bytes, end: bytes) -> bytes:
+        """Ids of a text, and the end id."""
+        words = (text.lower() if self.fold and b"<|" not in text else text).split()
+        return b"".join(map(self.__getitem__, words)) + end
 
 
 def _write(path: str, tokenizer: str, end_id: int, wide: bool):
@@ -136,7 +169,7 @@ def _write(path: str, tokenizer: str, end_id: int, wide: bool):
         size = 4 if wide else 2
         end = np.array([end_id], encoder.kind).tobytes()
         part, seq = TaskContext.get().partitionId(), 0
-        out, name, counts, ids = None, "", [], []
+        out, name, counts, ids, written = None, "", [], [], 0
 
         def close():
             ends = EliasFano.encode(np.cumsum(counts)).to_bytes()
@@ -152,18 +185,18 @@ def _write(path: str, tokenizer: str, end_id: int, wide: bool):
             return pa.record_batch([pa.array([x], t) for x, t in ((part, pa.int32()), (seq, pa.int32()), (final, pa.string()), (total, pa.int64()))], names=["part", "seq", "file", "ids"])
 
         for batch in batches:
-            texts = [t.as_py() or b"" for t in batch.column("text")]
             keys = batch.column("doc_id").to_pylist()
-            for a in range(0, len(texts), 256):
-                for key, data in zip(keys[a : a + 256], encoder.encode(texts[a : a + 256], end), strict=True):
-                    if out is None:
-                        fs.create_dir(folder, recursive=True)
-                        name = f"{folder}/.{part:05d}-{seq:04d}-{uuid.uuid4().hex}"
-                        out, counts, ids = fs.open_output_stream(name), [], []
-                    out.write(data)
-                    counts.append(len(data) // size)
-                    ids.append(key)
-                if out is not None and sum(counts) >= SHARD_IDS:
+            for key, text in zip(keys, batch.column("text"), strict=True):
+                data = encoder.encode(text.as_py() or b"", end)
+                if out is None:
+                    fs.create_dir(folder, recursive=True)
+                    name = f"{folder}/.{part:05d}-{seq:04d}-{uuid.uuid4().hex}"
+                    out, counts, ids, written = fs.open_output_stream(name), [], [], 0
+                out.write(data)
+                counts.append(len(data) // size)
+                written += counts[-1]
+                ids.append(key)
+                if written >= SHARD_IDS:
                     yield close()
                     out, seq = None, seq + 1
         if out is not None:

@@ -42,7 +42,7 @@ def brute(rows):
 
 
 def test_like_whole_texts(spark, monkeypatch):
-    odd = ["Don't  STOP now x", "a\x1cb\x85c\x0bd\x0ce", "<|endoftext|> <|startoftext|>x", "é ́a ẛ̣ İI ΑΣ ΑΣΒ", "​", "日本語 テキスト 12½", "x" * 5000, "👍🏽 ok\r\n\tend"]
+    odd = ["Don't  STOP now x", "a\x1cb\x85c\x0bd\x0ce", "<|endoftext|> <|startoftext|>x", "é ́a ẛ̣ İI ΑΣ ΑΣΒ", "​", "日本語 テキスト 12½", "x" * 5000, "👍🏽 ok\r\n\tend", "ñandú größe. élan, łódź., слово.. ǅungla ŉ ﬁn e\u0301t ÉTÉ. a.,b don't. x's, 're. ...,", "ªb ºc ʰd ſ K Å ẞ"]
     rows = [(5, None), (3, ""), (None, "no id"), (-4, "minus"), (7, "same"), (7, "same"), (7, "a first"), (9, "word " * 40_000), *((100 + k, t) for k, t in enumerate(odd))]
     assert run(spark, rows) == brute(rows)
     monkeypatch.setattr(token_binary, "SHARD_IDS", 10)
