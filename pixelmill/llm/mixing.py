@@ -136,7 +136,8 @@ class Mix:
         self.pieces = pieces.select(
             "doc_id", "h", "sid", "start", "block", (F.greatest(F.col("block") * block, "start") - F.col("start")).alias("skip"),
             (F.least((F.col("block") + 1) * block, F.col("start") + F.col("size")) - F.greatest(F.col("block") * block, "start")).alias("words"))
-        self.uses = self.slots.groupBy("sid", "block").agg(F.count("*").alias("uses"))
+        # Spark guesses the slots' size from the few shards they are made from; the hint keeps it from broadcasting them
+        self.uses = self.slots.groupBy("sid", "block").agg(F.count("*").alias("uses")).hint("merge")
 
     def taken(self) -> DataFrame:
         """Rows (doc_id, size, source_size, target, taken)."""
@@ -206,5 +207,5 @@ def packed_blocks(docs: DataFrame, **plan) -> DataFrame:
     joined = one.join(rows, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")))
     cut = joined.select("sid", "block", "start", "doc_id", F.col("text").cast("binary").alias("text"), "_parts").mapInArrow(_cut("_parts"), "sid long, block long, start long, doc_id long, mixed binary")
     filled = cut.groupBy("sid", "block").agg(F.sort_array(F.collect_list(F.struct("start", "doc_id", F.col("mixed").cast("string").alias("t")))).alias("p"))
-    out = m.slots.join(filled, ["sid", "block"]).join(F.broadcast(m.sources.select("sid", "source")), "sid")
+    out = m.slots.hint("merge").join(filled, ["sid", "block"]).join(F.broadcast(m.sources.select("sid", "source")), "sid")
     return out.select("shard", "slot", "source", "turn", "block", F.col("p.doc_id").alias("doc_ids"), F.array_join("p.t", " ").alias("text"))
