@@ -1,9 +1,9 @@
 """Personal data: spans by pattern, and terms that give protected entities away. DataFrame and SQL functions only.
 
 Base spans are e-mail and IP addresses, card and phone numbers. Each value found is a protected entity. Its context is ``REACH``
-code points on either side; the corpus tells how strongly a term of the context reveals it: with document frequencies over all distinct
-texts, the pointwise mutual information of term and entity divided by the entity's own information. 1 means that the
-term occurs with the entity only. Terms that share ``MIN_TEXTS`` texts with an entity are generalised where this share reaches
+code points on either side; the corpus tells how strongly a term of the context reveals it: with document frequencies over the whole
+corpus, the pointwise mutual information of term and entity divided by the entity's own information. 1 means that the
+term occurs with the entity only. Terms that share ``MIN_TEXTS`` different texts with an entity are generalised where this share reaches
 ``GENERALISE`` and removed where it reaches ``REMOVE``, wherever they occur.
 """
 
@@ -82,24 +82,25 @@ def _small(df: DataFrame) -> DataFrame:
 
 def revealing_terms(rows: DataFrame, based: DataFrame) -> DataFrame:
     """Rows (term, share) of the terms to generalise or remove, from ``rows(doc_id, text, h)`` and ``based(h, base)``."""
-    each = based.where(F.size("base") > 0).dropDuplicates(["h"]).select("h", F.explode("base").alias("b"))
+    held = based.where(F.size("base") > 0)
+    copies = held.groupBy("h").agg(F.count("*").alias("copies"), F.first("base").alias("base"))
+    copies = materialize(copies, "copies")
     entity = F.concat_ws(":", "b.k", F.lower("b.v")).alias("entity")
-    seen = each.select("h", entity).distinct()
-    entities = seen.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= MIN_TEXTS)
-    entities = materialize(entities, "entities")
-    texts = rows.join(_small(based.where(F.size("base") > 0).select("h").distinct()), "h", "left_semi").dropDuplicates(["h"])
+    seen = copies.select("h", "copies", F.explode("base").alias("b")).select("h", "copies", entity).distinct()
+    entities = seen.groupBy("entity").agg(F.count("*").alias("texts"), F.sum("copies").alias("n_entity")).where(F.col("texts") >= MIN_TEXTS).drop("texts")
+    texts = rows.join(_small(copies.select("h")), "h", "left_semi").dropDuplicates(["h"])
     around = texts.withColumn("b", F.explode(base_spans(F.col("text"))))
     left = F.substring("text", F.greatest(F.col("b.s") - REACH, F.lit(0)).cast("int") + 1, F.least(F.col("b.s"), F.lit(REACH)).cast("int"))
     context = F.concat_ws(" ", left, F.substring("text", F.col("b.e").cast("int") + 1, F.lit(REACH)))
-    near = around.select("h", entity, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(context), F.lit(TERM), F.lit(0)))).alias("term"))
-    near = near.join(entities, "entity").distinct()
-    pairs = materialize(near.groupBy("entity", "n_entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= MIN_TEXTS), "pairs")
-    candidates = materialize(pairs.select("term").distinct(), "candidates")
-    if candidates.isEmpty():
-        return candidates.withColumn("share", F.lit(0.0))
-    total = rows.select("h").distinct().count()
-    held = rows.select("h", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    frequency = held.join(_small(candidates), "term").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
+    near = around.select("h", entity, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(context), F.lit(TERM), F.lit(0)))).alias("term")).distinct()
+    pairs = near.join(entities, "entity").join(copies.select("h", "copies"), "h").groupBy("entity", "n_entity", "term")
+    pairs = pairs.agg(F.count("*").alias("texts"), F.sum("copies").alias("n_both")).where(F.col("texts") >= MIN_TEXTS)
+    pairs = materialize(pairs, "pairs")
+    if pairs.isEmpty():
+        return pairs.select("term", F.lit(0.0).alias("share"))
+    total = rows.count()
+    words = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
+    frequency = words.groupBy("term").agg(F.count("*").alias("n_term"))
     own = -F.log2(F.col("n_entity") / total)
     shared = F.log2(F.col("n_both") * total / (F.col("n_term") * F.col("n_entity")))
     share = F.when(own > 0, shared / own).otherwise(0.0)
@@ -122,9 +123,9 @@ def find_spans(docs: DataFrame) -> DataFrame:
     flagged = held.join(_small(terms), "term").groupBy("h").agg(
         F.collect_set("term").alias("all"), F.collect_set(F.when(F.col("share") >= REMOVE, F.col("term"))).alias("gone"))
     flagged = materialize(flagged, "flagged")
-    texts = rows.dropDuplicates(["h"]).join(_small(flagged), "h").select("h", "all", "gone", F.explode(_spans(F.col("text"), TERM, 4, lambda m: F.lit(True))).alias("b"))
+    texts = rows.join(_small(flagged), "h").dropDuplicates(["h"]).select("h", "all", "gone", F.explode(_spans(F.col("text"), TERM, 4, lambda m: F.array_contains("all", F.lower(m)))).alias("b"))
     word = F.lower("b.v")
-    texts = texts.where(F.array_contains("all", word)).select("h", F.struct(F.col("b.s"), F.col("b.k"), F.col("b.e"), F.when(F.array_contains("gone", word), "remove").otherwise("generalise").alias("v")).alias("b"))
+    texts = texts.select("h", F.struct(F.col("b.s"), F.col("b.k"), F.col("b.e"), F.when(F.array_contains("gone", word), "remove").otherwise("generalise").alias("v")).alias("b"))
     spans = texts.groupBy("h").agg(F.sort_array(F.collect_list("b")).alias("terms"))
     return based.join(spans, "h", "left").select("doc_id", "h", "base", F.coalesce("terms", none).alias("terms"))
 
