@@ -36,10 +36,10 @@ def _stages(pca: int | None, scale: bool) -> tuple[list, str]:
     return stages, at
 
 
-def class_model(rows: DataFrame, classes: int, pca: int | None = None, scale: bool = True, kind: str = "mixture", seed: int = 1) -> PipelineModel:
+def class_model(rows: DataFrame, classes: int, pca: int | None = None, scale: bool = True, kind: str = "mixture", seed: int = 1, iterations: int = 99) -> PipelineModel:
     """An unsupervised model of classes: scaler, optional PCA, then a Gaussian mixture or k-means."""
     stages, at = _stages(pca, scale)
-    last = GaussianMixture(featuresCol=at, k=classes, seed=seed, maxIter=99) if kind == "mixture" else KMeans(featuresCol=at, k=classes, seed=seed)
+    last = GaussianMixture(featuresCol=at, k=classes, seed=seed, maxIter=iterations) if kind == "mixture" else KMeans(featuresCol=at, k=classes, seed=seed)
     return Pipeline(stages=[*stages, last]).fit(vectors(rows))
 
 

@@ -43,7 +43,7 @@ def segment_classes(px: DataFrame, segment: str, channels: list[str], classes: i
     stats = features.segment_statistics(px, segment, channels, ("mean", "std"))
     names = [c for c in stats.columns if c not in (*KEY, segment)]
     rows = stats.select(*KEY, segment, F.array(*names).alias("features")).checkpoint()
-    model = model or ml.class_model(rows, classes)
+    model = model or ml.class_model(rows, classes, iterations=30)
     made = ml.probabilities(model, rows).select(*KEY, segment, "features", "proba").checkpoint()
     unary = made.select(*KEY, segment, F.posexplode("proba").alias("cls", "p")).select(*KEY, segment, "cls", graph.unary_cost(F.col("p")).alias("cost")).checkpoint()
     if regularisation <= 0:

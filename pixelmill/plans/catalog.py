@@ -489,7 +489,7 @@ def rays(spark, sf):
 @query()
 def gmm_proba(spark, sf):
     f = rasters.features(spark, sf)
-    return ml.probabilities(ml.class_model(f, 3, pca=4), f).select("vec_id", "prediction", "proba")
+    return ml.probabilities(ml.class_model(f, 3, pca=4, iterations=30), f).select("vec_id", "prediction", "proba")
 
 
 @query()
