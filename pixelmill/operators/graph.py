@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelmill.operators.features import segment_statistics
+from pixelmill.session import checkpoint_folder
 
 KEY = ["img"]
 #: Edge weights are kept between 1 / MAX_WEIGHT and MAX_WEIGHT, pairwise costs below MAX_COST.
@@ -152,6 +153,7 @@ def regularise(unary: DataFrame, edges: DataFrame, matrix: list[list[float]], se
     sequential max-flow of alpha expansion by joins; it ends in a local minimum, as that does.
     """
     pair = F.array(*[F.array(*map(F.lit, r)) for r in matrix])
+    checkpoint_folder(unary.sparkSession)
     labels = best_labels(unary, [*KEY, segment]).checkpoint()
     both = edges.select(*KEY, F.col("src").alias(segment), F.col("dst").alias("_n"), "w").union(edges.select(*KEY, "dst", "src", "w")).checkpoint()
     for _ in range(rounds):
@@ -172,6 +174,7 @@ def regularise(unary: DataFrame, edges: DataFrame, matrix: list[list[float]], se
 
 def components(edges: DataFrame, nodes: DataFrame, rounds: int = 60) -> DataFrame:
     """Components of an undirected graph: (img, node, component), the smallest node reachable, by spreading minima and jumping."""
+    checkpoint_folder(edges.sparkSession)
     both = edges.select(*KEY, F.col("src").alias("node"), F.col("dst").alias("_n")).union(edges.select(*KEY, "dst", "src")).distinct().checkpoint()
     state = nodes.select(*KEY, "node", F.col("node").alias("component")).checkpoint()
     for _ in range(rounds):

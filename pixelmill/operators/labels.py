@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pixelmill.session import checkpoint_folder
+
 KEY = ["img"]
 
 
@@ -79,6 +81,7 @@ def relabel_unique(seg: DataFrame, ref: str, est: str) -> DataFrame:
     The greedy choice depends on order; every round takes, at once, all overlaps that are the best left of both their row and their column, which
     are those that the one-by-one choice takes, too. Labels without partner keep theirs if it is free, else get -1.
     """
+    checkpoint_folder(seg.sparkSession)
     left = overlap_matrix(seg, ref, est)
     order = F.struct("n", -F.col(ref), -F.col(est))
     done = None

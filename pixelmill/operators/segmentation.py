@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelmill.operators import features, graph, ml
+from pixelmill.session import checkpoint_folder
 
 KEY = ["img"]
 
@@ -18,6 +19,7 @@ def superpixels(px: DataFrame, channels: list[str], size: int = 10, compactness:
     nearest (d_colour^2 + compactness^2 * d_place^2 / size^2, the smallest number of equals), and centres move to their
     pixels' means. A pixel so sees at most nine starting cells, whatever the image's size.
     """
+    checkpoint_folder(px.sparkSession)
     width = px.groupBy(*KEY).agg((F.floor(F.max("x") / size) + 1).alias("_cols"))
     cells = px.join(F.broadcast(width), KEY).withColumns({"_cy": F.floor(F.col("y") / size), "_cx": F.floor(F.col("x") / size)})
     cells = cells.withColumn("_own", (F.col("_cy") * F.col("_cols") + F.col("_cx")).cast("int")).checkpoint()
@@ -40,6 +42,7 @@ def segment_classes(px: DataFrame, segment: str, channels: list[str], classes: i
     """Class maps: (img, segment, label, proba). Colour statistics of segments, a class model of all images (or a given one),
     edge weights of ``kind``, and labels of low unary and pairwise cost; without regularisation the most probable class.
     """
+    checkpoint_folder(px.sparkSession)
     stats = features.segment_statistics(px, segment, channels, ("mean", "std"))
     names = [c for c in stats.columns if c not in (*KEY, segment)]
     rows = stats.select(*KEY, segment, F.array(*names).alias("features")).checkpoint()
@@ -61,6 +64,7 @@ def grow_regions(unary: DataFrame, edges: DataFrame, seeds: DataFrame, matrix: l
     Costs are those of ``unary`` (img, segment, cls, cost), class 0 the background. In a round the segments beside an object may join it;
     of these each that lowers the cost does, unless a neighbour gains more in the same round.
     """
+    checkpoint_folder(unary.sparkSession)
     pair = F.array(*[F.array(*map(F.lit, r)) for r in matrix])
     both = edges.select(*KEY, F.col("src").alias(segment), F.col("dst").alias("_n"), "w").union(edges.select(*KEY, "dst", "src", "w")).checkpoint()
     fixed = seeds.select(*KEY, segment, F.col("label").alias("_seed"))

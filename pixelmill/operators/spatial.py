@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelmill.operators.graph import components
+from pixelmill.session import checkpoint_folder
 
 KEY = ["img"]
 #: Slices that still belong to an object, by its stage (fixed values of the data format).
@@ -131,6 +132,7 @@ def cluster_points(points: DataFrame, limit: float) -> DataFrame:
 
 def thin_points(points: DataFrame, limit: float, rounds: int = 64) -> DataFrame:
     """Drop points until none are nearer than ``limit``: of the closest pair left in an image the later one goes, again and again."""
+    checkpoint_folder(points.sparkSession)
     left = points.checkpoint()
     for _ in range(rounds):
         b = left.select(*KEY, F.col("idx").alias("_i"), F.col("y").alias("_y"), F.col("x").alias("_x"))

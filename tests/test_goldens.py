@@ -135,9 +135,9 @@ def test_regularise_smooths_and_never_costs_more(spark):
     edges = graph.adjacency(px, "lb").withColumn("w", F.lit(1.0))
     noisy = {8, 27}
     rows = [(0, k, c, graph_cost(0.8 if ((k % n >= 3) != (k in noisy)) == bool(c) else 0.2)) for k in range(n * n) for c in (0, 1)]
-    unary = spark.createDataFrame(rows, "img int, lb int, cls int, cost double").checkpoint()
+    unary = spark.createDataFrame(rows, "img int, lb int, cls int, cost double")
     matrix = graph.pairwise_matrix(2, 0.8)
-    got = graph.regularise(unary, edges, matrix).checkpoint()
+    got = graph.regularise(unary, edges, matrix)
     assert all((r["label"] == 1) == (r["lb"] % n >= 3) for r in got.collect())
     plain = graph.best_labels(unary, ["img", "lb"])
     assert graph.energy(unary, edges, got, matrix).first()["energy"] < graph.energy(unary, edges, plain, matrix).first()["energy"]
