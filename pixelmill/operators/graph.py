@@ -154,6 +154,7 @@ def regularise(unary: DataFrame, edges: DataFrame, matrix: list[list[float]], se
     """
     pair = F.array(*[F.array(*map(F.lit, r)) for r in matrix])
     checkpoint_folder(unary.sparkSession)
+    unary = unary.checkpoint()
     labels = best_labels(unary, [*KEY, segment]).checkpoint()
     both = edges.select(*KEY, F.col("src").alias(segment), F.col("dst").alias("_n"), "w").union(edges.select(*KEY, "dst", "src", "w")).checkpoint()
     for _ in range(rounds):
@@ -162,7 +163,7 @@ def regularise(unary: DataFrame, edges: DataFrame, matrix: list[list[float]], se
         total = pull.withColumn("_t", F.col("cost") + F.col("_p"))
         best = total.groupBy(*KEY, segment).agg(F.min(F.struct("_t", "cls")).alias("_b"))
         now = total.join(labels, [*KEY, segment]).where("cls = label").select(*KEY, segment, F.col("_t").alias("_c"))
-        gain = best.join(now, [*KEY, segment]).select(*KEY, segment, F.col("_b.cls").alias("_new"), (F.col("_c") - F.col("_b._t")).alias("_gain")).where("_gain > 1e-9")
+        gain = best.join(now, [*KEY, segment]).select(*KEY, segment, F.col("_b.cls").alias("_new"), (F.col("_c") - F.col("_b._t")).alias("_gain")).where("_gain > 1e-9").checkpoint()
         rank = F.struct(F.col("_gain"), -F.col(segment))
         rival = both.join(gain.select(*KEY, F.col(segment).alias("_n"), F.struct("_gain", -F.col(segment)).alias("_r")), [*KEY, "_n"]).groupBy(*KEY, segment).agg(F.max("_r").alias("_r"))
         moves = gain.join(rival, [*KEY, segment], "left").where(F.col("_r").isNull() | (rank > F.struct(F.col("_r._gain"), F.col("_r.col2")))).select(*KEY, segment, "_new").checkpoint()

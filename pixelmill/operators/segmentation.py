@@ -65,6 +65,7 @@ def grow_regions(unary: DataFrame, edges: DataFrame, seeds: DataFrame, matrix: l
     of these each that lowers the cost does, unless a neighbour gains more in the same round.
     """
     checkpoint_folder(unary.sparkSession)
+    unary = unary.checkpoint()
     pair = F.array(*[F.array(*map(F.lit, r)) for r in matrix])
     both = edges.select(*KEY, F.col("src").alias(segment), F.col("dst").alias("_n"), "w").union(edges.select(*KEY, "dst", "src", "w")).checkpoint()
     fixed = seeds.select(*KEY, segment, F.col("label").alias("_seed"))
@@ -76,7 +77,7 @@ def grow_regions(unary: DataFrame, edges: DataFrame, seeds: DataFrame, matrix: l
         cost = offers.join(open_, [*KEY, segment]).join(unary, [*KEY, segment, "cls"]).join(beside, [*KEY, segment], "left")
         total = cost.groupBy(*KEY, segment, "cls", "_now", "cost").agg(F.sum(F.coalesce(F.col("w") * pair[F.col("_l")][F.col("cls")], F.lit(0.0))).alias("_p")).withColumn("_t", F.col("cost") + F.col("_p"))
         best = total.groupBy(*KEY, segment, "_now").agg(F.min(F.struct("_t", "cls")).alias("_b"), F.min(F.when(F.col("cls") == F.col("_now"), F.col("_t"))).alias("_c"))
-        gain = best.select(*KEY, segment, F.col("_b.cls").alias("_new"), (F.col("_c") - F.col("_b._t")).alias("_g")).where("_g > 1e-9")
+        gain = best.select(*KEY, segment, F.col("_b.cls").alias("_new"), (F.col("_c") - F.col("_b._t")).alias("_g")).where("_g > 1e-9").checkpoint()
         rival = both.join(gain.select(*KEY, F.col(segment).alias("_n"), F.struct("_g", (-F.col(segment)).alias("_s")).alias("_r")), [*KEY, "_n"]).groupBy(*KEY, segment).agg(F.max("_r").alias("_r"))
         wins = F.col("_r").isNull() | (F.struct("_g", (-F.col(segment)).alias("_s")) > F.col("_r"))
         moves = gain.join(rival, [*KEY, segment], "left").where(wins).select(*KEY, segment, "_new").checkpoint()

@@ -543,7 +543,7 @@ def region_grow(spark, sf):
     h = labels.histogram_norm(px, "lb", "annot").where("annot < 3")
     unary = h.select("img", "lb", F.col("annot").alias("cls"), graph.unary_cost(F.col("ratio")).alias("cost"))
     seeds = px.select("img").distinct().withColumn("s", F.explode(F.array(F.struct(F.lit(22).alias("lb"), F.lit(1).alias("label")), F.struct(F.lit(77).alias("lb"), F.lit(2).alias("label"))))).select("img", "s.*")
-    return segmentation.grow_regions(unary, _edges(spark, sf).withColumn("w", F.lit(1.0)), seeds, graph.pairwise_matrix(3, 0.3), "lb")
+    return segmentation.grow_regions(unary, _edges(spark, sf).withColumn("w", F.lit(1.0)), seeds, graph.pairwise_matrix(3, 0.3), "lb", rounds=10)
 
 
 @query()
