@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelmill.llm.common import materialize
+from pixelmill.llm.common import materialize, text_batches
 from pixelmill.llm.words import windows
 
 WIDTH, MIN_PLAIN, MIN_RUN, MIN_SHARE = 8, 4, 6, 0.5
@@ -37,7 +37,7 @@ _SLOT = {k: np.uint64(xxhash.xxh3_64_intdigest(f"<{k}>") & ~15) for k in (NUMBER
 class Canon(dict):
     """Raw word to the hash of its plain form; the low four bits hold its kind and whether it ends a sentence."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __missing__(self, raw: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -131,6 +131,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> D
     result.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     shape = "long, place int, hash long, is_template boolean, vals array<long>"
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text")).distinct()
     items = materialize(items.mapInArrow(_emit("item_id", width, None), f"item_id {shape}").withColumnRenamed("place", "item_place").withColumnRenamed("vals", "item_vals"), "items")

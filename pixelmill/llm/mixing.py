@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelmill.llm.common import materialize
+from pixelmill.llm.common import materialize, text_batches
 from pixelmill.llm.words import mix
 
 BLOCK, SHARD_SLOTS, REPEATS, WEIGHTS = 64, 4096, 3, (5, 2, 1)
@@ -109,6 +109,7 @@ class Mix:
 
     def __init__(self, docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = 11):
         spark = docs.sparkSession
+        text_batches(spark)
         text = F.col("text").cast("string")
         sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(text).alias("h"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
         sized = materialize(sized, "sized")

@@ -29,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelmill.llm.common import connected_components, materialize
+from pixelmill.llm.common import connected_components, materialize, text_batches
 from pixelmill.llm.words import WordHashes, mix, shingle_set
 
 #: Shingles gathered in a task before those seen again in it are reported.
-CHUNK = 4_000_000
+CHUNK = 2_000_000
 #: Frequent shingles and chosen documents are broadcast up to so many (8 bytes each), else joined by shuffle.
 MAX_BROADCAST = 2_000_000
 
@@ -277,6 +277,7 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 75) -> Dat
     back repeated. An empty table gives an empty result.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     found = materialize(docs.mapInArrow(_profile(width), "kind int, a long, b long, c long, bits binary"), "profile")
     sets = found.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), F.col("c").alias("fp"))

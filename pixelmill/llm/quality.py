@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelmill.llm.common import materialize
+from pixelmill.llm.common import materialize, text_batches
 from pixelmill.llm.words import mix
 
 BUCKETS, SHAPES, LABELS, TEMPERATURE, PRIOR = 1 << 14, 16**3, 40_000, 0.01, 5.0
@@ -30,7 +30,7 @@ _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 class Tokens(dict):
     """Token to a hash whose low three bits are its shape: lower, title, upper, digits, mark."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __missing__(self, token: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -75,9 +75,11 @@ def _score(share):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratio, cache = share.value, Tokens()
         for batch in batches:
-            found = [features(cache, t.as_py() or b"") for t in batch.column("text")]
-            n = [len(f) for f in found]
-            w = [float(ratio[f].sum()) / (len(f) + PRIOR) for f in found]
+            n, w = [], []
+            for text in batch.column("text"):
+                f = features(cache, text.as_py() or b"")
+                n.append(len(f))
+                w.append(float(ratio[f].sum()) / (len(f) + PRIOR))
             yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(w, pa.float64())], names=["doc_id", "n_grams", "log_weight"])
 
     return run
@@ -132,6 +134,7 @@ def select_documents(docs: DataFrame, labels: DataFrame, seed: int = 17, labels_
     agree. Other columns are not read; an empty table gives an empty result.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     lab = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q"), F.max(F.coalesce(F.col("toxic"), F.lit(0))).alias("t"))
     lab = lab.where("q = 0 or (q = 1 and t = 0)")
     # the bounded sample of labelled rows: those with the smallest hashes

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelmill.llm.common import materialize, shared_path
+from pixelmill.llm.common import materialize, shared_path, text_batches
 
 MARK = b"PMTOK001"
 EVERY = 256
@@ -261,6 +261,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str, w
     writes the same bytes to the same name; files appear by renaming, so no reader sees half of one.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelmill.llm.common import materialize, shared_path
+from pixelmill.llm.common import materialize, shared_path, text_batches
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 #: Bytes of records after which an archive is closed, and bytes read at once.
@@ -221,6 +221,7 @@ def write_archives(pages: DataFrame, path: str, min_revisit: int = 1000) -> Data
     twice), and others revisit it. Smaller ones are responses, as are rows without page_id. A null html is an empty payload, a null url
     leaves out the field. Other columns are not read; an empty table gives no archive. Tasks that run again write the same names.
     """
+    text_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("binary"), F.lit("").cast("binary")).alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
     large = rows.where((F.length("payload") >= min_revisit) & F.col("page_id").isNotNull())
