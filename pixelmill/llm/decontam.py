@@ -42,6 +42,11 @@ class Canon(dict):
     def __missing__(self, raw: bytes) -> int:
         if len(self) >= self.LIMIT:
             self.clear()
+        plain = raw.rstrip(b".,")
+        if plain.isalpha() and plain.islower():  # most words; the same as below, but sooner
+            low = plain.decode()
+            self[raw] = h = (xxhash.xxh3_64_intdigest(low) & ~15) | (UNIT if low in UNITS else PLAIN) | (ENDS if raw.endswith(b".") else 0)
+            return h
         word = unicodedata.normalize("NFKC", raw.decode("utf-8", "replace"))
         ends = ENDS if re.search(r"[.!?:;][\"'”’)\]]*$", word) else 0
         core = re.sub(r"^[\W_]+(?<![-+$€£])|[\W_]+(?<!%)$", "", word)
