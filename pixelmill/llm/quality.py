@@ -5,6 +5,10 @@ hashed single tokens and pairs, and of triples of token shapes (case, digits, ma
 is the mean over its n-grams of log p_target - log p_raw (the mean, so that length doesn't decide). With Gumbel
 noise, the top k keys are a sample without replacement by weight. k is the number of documents whose weight
 reaches the bound that half of the labelled rows, kept out of the target model, set.
+
+Toxic documents are no candidates. From half of the sample come the phrases (tokens and pairs, in any case) that are in more
+toxic texts than chance explains, with log ratios of toxic to other texts. A document's toxicity is the sum of its ``TOP`` largest
+ratios of different phrases, so that a long text doesn't dilute a few words; the other half of the sample sets its bound.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ from pixelmill.llm.common import materialize, text_batches
 from pixelmill.llm.words import mix
 
 BUCKETS, SHAPES, LABELS, TEMPERATURE, PRIOR = 1 << 14, 16**3, 40_000, 0.01, 5.0
+TOP, MIN_TOXIC = 3, 3
 _TOKEN = re.compile(rb"[A-Za-z0-9\x80-\xff]+|[^A-Za-z0-9\x80-\xff\s]+")
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -41,9 +46,32 @@ class Tokens(dict):
         return h
 
 
-def features(cache: Tokens, text: bytes) -> np.ndarray:
+class Folded(Tokens):
+    """Token to a hash that doesn't depend on case."""
+
+    def __missing__(self, token: bytes) -> int:
+        if len(self) >= self.LIMIT:
+            self.clear()
+        self[token] = h = xxhash.xxh3_64_intdigest(token.decode("utf-8", "replace").lower())
+        return h
+
+
+def phrases(cache: Folded, tokens: list[bytes]) -> np.ndarray:
+    """Hashes of tokens and pairs of them, whatever their case."""
+    h = np.fromiter(map(cache.__getitem__, tokens), np.uint64, len(tokens))
+    return np.concatenate([mix(h), mix(h[1:] * _A + h[:-1] * _B)])
+
+
+def _among(known: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Places in ``known`` (sorted) of the different values of ``h`` that are there."""
+    if not len(known):
+        return np.empty(0, np.int64)
+    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+    return np.unique(at[known[at] == h])
+
+
+def features(cache: Tokens, tokens: list[bytes]) -> np.ndarray:
     """Bucket numbers of a text's n-grams: hashed ones below ``BUCKETS``, shapes from there on."""
-    tokens = _TOKEN.findall(text)
     n = len(tokens)
     if not n:
         return np.empty(0, np.int64)
@@ -55,17 +83,31 @@ def features(cache: Tokens, text: bytes) -> np.ndarray:
     return np.concatenate([(np.concatenate([one, two]) % np.uint64(BUCKETS)).astype(np.int64), BUCKETS + three])
 
 
+def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    cache = Folded()
+    for batch in batches:
+        for text in batch.column("text"):
+            yield pa.record_batch([pa.array(np.unique(phrases(cache, _TOKEN.findall(text.as_py() or b""))).view(np.int64))], names=["phrase"])
+
+
 def _count(share):
+    """Counts by bucket in all and in target texts; from ``BUCKETS + SHAPES`` on, of other and of toxic texts by suspected phrase."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        good, cache = share.value, Tokens()
-        raw, target = np.zeros(BUCKETS + SHAPES, np.int64), np.zeros(BUCKETS + SHAPES, np.int64)
+        good, toxic, suspects = share.value
+        cache, folded = Tokens(), Folded()
+        raw, target = np.zeros(BUCKETS + SHAPES + len(suspects), np.int64), np.zeros(BUCKETS + SHAPES + len(suspects), np.int64)
         for batch in batches:
             for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                c = np.bincount(features(cache, text.as_py() or b""), minlength=BUCKETS + SHAPES)
-                raw += c
+                tokens = _TOKEN.findall(text.as_py() or b"")
+                c = np.bincount(features(cache, tokens), minlength=BUCKETS + SHAPES)
+                raw[: BUCKETS + SHAPES] += c
                 if i in good:
-                    target += c
-        at = np.flatnonzero(raw)
+                    target[: BUCKETS + SHAPES] += c
+                if i in toxic:
+                    at = BUCKETS + SHAPES + _among(suspects, phrases(folded, tokens))
+                    (target if toxic[i] else raw)[at] += 1
+        at = np.flatnonzero(raw | target)
         yield pa.record_batch([pa.array(at), pa.array(raw[at]), pa.array(target[at])], names=["bucket", "raw", "target"])
 
     return run
@@ -73,18 +115,34 @@ def _count(share):
 
 def _score(share):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ratio, cache = share.value, Tokens()
+        ratio, known, weight = share.value
+        cache, folded = Tokens(), Folded()
         for batch in batches:
-            n, w = [], []
+            n, w, t = [], [], []
             for text in batch.column("text"):
-                f = features(cache, text.as_py() or b"")
+                tokens = _TOKEN.findall(text.as_py() or b"")
+                f = features(cache, tokens)
                 n.append(len(f))
                 w.append(float(ratio[f].sum()) / (len(f) + PRIOR))
-            yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(w, pa.float64())], names=["doc_id", "n_grams", "log_weight"])
+                t.append(float(np.sort(weight[_among(known, phrases(folded, tokens))])[-TOP:].sum()) if len(known) else 0.0)
+            yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(w, pa.float64()), pa.array(t, pa.float64())], names=["doc_id", "n_grams", "log_weight", "toxicity"])
 
     return run
 
 
+def _toxic_phrases(suspects: np.ndarray, others: np.ndarray, toxics: np.ndarray, n_others: int, n_toxics: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suspects (sorted) in more toxic texts than chance explains, given their number, and their log ratios."""
+    if not len(suspects) or not n_others or not n_toxics:
+        return np.empty(0, np.uint64), np.empty(0)
+    ratio = np.log((toxics + 0.5) / (n_toxics + 1)) - np.log((others + 0.5) / (n_others + 1))
+    # likelihood ratio of a share of its own against the share of toxic texts
+    both, p = toxics + others, n_toxics / (n_toxics + n_others)
+    part = lambda k, q: k * np.log(np.maximum(k, 1) / np.maximum(both * q, 1e-300))
+    gain = 2 * (part(toxics, p) + part(others, 1 - p))
+    keep = (ratio > 0) & (gain > 2 * math.log(len(suspects)) + 9)
+    return suspects[keep], ratio[keep]
+
+
 def _bound(weights: list[float], good: list[bool]) -> float:
     """The weight that best parts good from bad rows (by the sum of both rates); half-way to the next bad one below."""
     rows = sorted(zip(weights, good, strict=True))
@@ -94,7 +152,7 @@ def _bound(weights: list[float], good: list[bool]) -> float:
     best, bound, low, k = -1.0, -math.inf, 0, 0
     for j, (w, g) in enumerate(rows):  # rows before j go
         rate = (goods - k) / goods + low / bads
-        if rate > best:
+        if rate > best and (not j or w > rows[j - 1][0]):
             best, bound = rate, (w + rows[j - 1][0]) / 2 if j else -math.inf
         k, low = k + g, low + (not g)
     return bound
@@ -128,35 +186,51 @@ def kth_largest(values: DataFrame, column: str, k: int) -> float | None:
 def select_documents(docs: DataFrame, labels: DataFrame, seed: int = 17, labels_used: int = LABELS, temperature: float = TEMPERATURE) -> DataFrame:
     """Rows (doc_id, n_grams, log_weight, gumbel_key, kept) for ``docs(doc_id, text)`` and ``labels(doc_id, quality, toxic)``.
 
-    Good rows have quality 1 and aren't toxic, bad ones have quality 0; rows with null quality or doc_id count for nothing, and where
-    labels disagree, bad wins. Null or empty texts, and those without tokens, weigh 0; a null doc_id is a value like any. Repeated
-    rows get equal keys and share their fate. Without labels of both kinds all are kept. Noise comes from the doc_id, so reruns
-    agree. Other columns are not read; an empty table gives an empty result.
+    Good rows have quality 1 and aren't toxic, bad ones have quality 0; rows with null quality count for toxicity only, those with null
+    doc_id for nothing, and where labels disagree, bad and toxic win. Null or empty texts, and those without tokens, weigh 0; a null doc_id is
+    a value like any. Repeated rows get equal keys and share their fate. Without labels of both kinds all are kept, but for toxic
+    ones, which go wherever labels have toxic and other rows. Noise comes from the doc_id, so reruns agree. Other columns are
+    not read; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     text_batches(spark)
-    lab = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q"), F.max(F.coalesce(F.col("toxic"), F.lit(0))).alias("t"))
-    lab = lab.where("q = 0 or (q = 1 and t = 0)")
+    lab = labels.where("doc_id is not null and (quality is not null or toxic is not null)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q"), F.max(F.coalesce(F.col("toxic"), F.lit(0))).alias("t"))
     # the bounded sample of labelled rows: those with the smallest hashes
     chosen = lab.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labels_used).collect()
-    fit = frozenset(r["doc_id"] for k, r in enumerate(chosen) if r["q"] == 1 and k % 2 == 0)
-    held = [(r["doc_id"], r["q"] == 1) for k, r in enumerate(chosen) if r["q"] != 1 or k % 2]
+    good = [r["doc_id"] for r in chosen if r["q"] == 1 and r["t"] == 0]
+    fit, toxic = frozenset(good[::2]), {}
+    for t in (0, 1):  # halves of either kind, as marks of the texts to count
+        toxic |= {i: t for i in [r["doc_id"] for r in chosen if (r["t"] == 1) == t][::2]}
+    held = [(r["doc_id"], None if r["doc_id"] in fit or r["q"] is None or (r["q"] == 1 and r["t"]) else r["q"] == 1, None if r["doc_id"] in toxic else r["t"] == 1) for r in chosen]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    counts = rows.mapInArrow(_count(spark.sparkContext.broadcast(fit)), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
-    raw, target = np.zeros(BUCKETS + SHAPES), np.zeros(BUCKETS + SHAPES)
+    ids = [(i,) for i, t in toxic.items() if t]
+    suspects = np.empty(0, np.uint64)
+    if ids:
+        texts = rows.join(F.broadcast(spark.createDataFrame(ids, "doc_id long")), "doc_id", "left_semi")
+        suspects = np.sort(texts.mapInArrow(_phrases, "phrase long").groupBy("phrase").count().where(F.col("count") >= MIN_TOXIC).select("phrase").toArrow().column("phrase").to_numpy().view(np.uint64))
+    size = BUCKETS + SHAPES + len(suspects)
+    counts = rows.mapInArrow(_count(spark.sparkContext.broadcast((fit, toxic, suspects))), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
+    raw, target = np.zeros(size), np.zeros(size)
     for r in counts:
         raw[r["bucket"]], target[r["bucket"]] = r["raw"], r["target"]
     ratio = np.zeros(BUCKETS + SHAPES)
-    for part in (slice(0, BUCKETS), slice(BUCKETS, None)):
+    for part in (slice(0, BUCKETS), slice(BUCKETS, BUCKETS + SHAPES)):
         p = [(c[part] + 0.5) / (c[part] + 0.5).sum() for c in (target, raw)]
         ratio[part] = np.log(p[0] / p[1])
-    scored = rows.mapInArrow(_score(spark.sparkContext.broadcast(ratio)), "doc_id long, n_grams long, log_weight double")
+    known, weight = _toxic_phrases(suspects, raw[BUCKETS + SHAPES :], target[BUCKETS + SHAPES :], len(toxic) - len(ids), len(ids))
+    scored = rows.mapInArrow(_score(spark.sparkContext.broadcast((ratio, known, weight))), "doc_id long, n_grams long, log_weight double, toxicity double")
     uniform = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     scored = materialize(scored.withColumn("gumbel_key", F.col("log_weight") - temperature * F.log(-F.log(uniform))), "scored")
-    marks = spark.createDataFrame(held, "doc_id long, good boolean")
+    marks = spark.createDataFrame(held, "doc_id long, good boolean, toxic boolean")
     # a row each of a bounded sample
-    seen = scored.join(F.broadcast(marks), "doc_id").select("log_weight", "good").dropDuplicates().collect() if fit and held else []
-    bound = _bound([r["log_weight"] for r in seen], [r["good"] for r in seen])
-    k = scored.where(F.col("log_weight") >= bound).count() if bound > -math.inf else scored.count()
-    least = kth_largest(scored, "gumbel_key", k)
-    return scored.withColumn("kept", F.col("gumbel_key") >= F.lit(-math.inf if least is None and bound == -math.inf else math.inf if least is None else least))
+    seen = scored.join(F.broadcast(marks), "doc_id").select("doc_id", "log_weight", "toxicity", "good", "toxic").dropDuplicates().collect() if held else []
+    graded = {(r["log_weight"], r["good"]) for r in seen if r["good"] is not None} if fit else set()
+    bound = _bound([w for w, _ in graded], [g for _, g in graded])
+    marked = [(-r["toxicity"], not r["toxic"]) for r in seen if r["toxic"] is not None]
+    mild = _bound([w for w, _ in marked], [g for _, g in marked])
+    scored = scored.withColumn("mild", -F.col("toxicity") >= F.lit(mild))
+    open_ = scored.where("mild")
+    k = open_.where(F.col("log_weight") >= bound).count() if bound > -math.inf else open_.count()
+    least = kth_largest(open_, "gumbel_key", k)
+    kept = F.col("mild") & (F.col("gumbel_key") >= F.lit(-math.inf if least is None and bound == -math.inf else math.inf if least is None else least))
+    return scored.select("doc_id", "n_grams", "log_weight", "gumbel_key", kept.alias("kept"))

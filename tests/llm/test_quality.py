@@ -47,3 +47,23 @@ def test_odd_rows(spark):
     assert len(got) == len(docs) and all(math.isfinite(r["log_weight"]) for r in got) and len({r["gumbel_key"] for r in got if r["doc_id"] == 4}) == 1
     assert all(r["kept"] for r in select_documents(d, spark.createDataFrame([], LABELS)).collect())
     assert select_documents(spark.createDataFrame([], DOCS), spark.createDataFrame(labels, LABELS)).collect() == []
+
+
+def test_toxic_ones_go_and_clean_ones_stay(spark):
+    rng = random.Random(3)
+    kind = {k: rng.choices(["clean", "toxic", "junk"], [7, 2, 1])[0] for k in range(900)}
+
+    def text(what):
+        words = (junk(rng) if what == "junk" else " ".join(clean(rng) for _ in range(rng.choice([1, 1, 20])))).split()
+        for _ in range(rng.randrange(1, 4) if what == "toxic" else 0):
+            words.insert(rng.randrange(len(words) + 1), rng.choice(["badword", "Slur", "insult."]))
+        return " ".join(words)
+
+    docs = [(k, text(what)) for k, what in kind.items()]
+    # a toxic row without quality counts, too
+    labels = [(k, None if k % 9 == 0 and what == "toxic" else int(what != "junk"), int(what == "toxic")) for k, what in kind.items() if k % 3 == 0]
+    got = {r["doc_id"]: r["kept"] for r in select_documents(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)).collect()}
+    out = {what: [k for k in kind if k % 3 and kind[k] == what] for what in ("clean", "toxic", "junk")}
+    assert sum(got[k] for k in out["toxic"]) <= 0.02 * len(out["toxic"])
+    assert sum(got[k] for k in out["clean"]) >= 0.98 * len(out["clean"])
+    assert sum(got[k] for k in out["junk"]) <= 0.05 * len(out["junk"])
