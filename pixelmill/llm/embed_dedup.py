@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from pixelmill.llm.common import connected_components, materialize
 
-TREES, LEAF, SAMPLE, BLOCK = 5, 1500, 100_000, 4096
+TREES, LEAF, SAMPLE, BLOCK, CHUNK = 5, 1500, 100_000, 4096, 1024
 
 
 class Tree:
@@ -114,17 +114,19 @@ def _compare(threshold: float):
         for lab in np.unique(label):
             rows = np.flatnonzero(label == lab)
             ours, theirs = rows[block[rows] == bi], rows[block[rows] == bj]
-            for a in range(0, len(ours), 1024):
-                p = ours[a : a + 1024]
+            for a in range(0, len(ours), CHUNK):
+                p = ours[a : a + CHUNK]
                 i, j = np.nonzero(x[p] @ x[theirs].T >= threshold)
                 i, j = p[i], theirs[j]
                 keep = i < j if bi == bj else np.ones(len(i), bool)
                 i, j = i[keep], j[keep]
                 while len(i) and (root[i] != root[j]).any():  # smallest row number spreads along links
-                    low = np.minimum(root[i], root[j])
-                    np.minimum.at(root, i, low)
-                    np.minimum.at(root, j, low)
-                    root = np.minimum(root, root[root])
+                    ri, rj = root[i], root[j]
+                    low = np.minimum(ri, rj)
+                    np.minimum.at(root, ri, low)  # roots, so that all rows that earlier chunks joined to them follow
+                    np.minimum.at(root, rj, low)
+                    while (root[root] != root).any():
+                        root = root[root]
                 for s in range(0, len(i), 100_000):
                     u, v = i[s : s + 100_000], j[s : s + 100_000]
                     known = np.zeros(len(u), bool)

@@ -70,3 +70,19 @@ def test_odd_rows(spark):
 
 def test_empty(spark):
     assert run(spark, []) == []
+
+
+def test_links_of_a_block_that_is_compared_in_chunks(monkeypatch):
+    """What an earlier chunk joined stays joined when a later one lowers the root of a part of it."""
+    monkeypatch.setattr(embed_dedup, "CHUNK", 2, raising=False)
+    import pyarrow as pa
+
+    for seed in range(20):
+        rng = np.random.default_rng(seed)
+        angle = 0.15 * rng.permutation(30)  # a chain: each vector links with those next to it only
+        x = np.stack([np.cos(angle), np.sin(angle)], 1).astype(np.float32)
+        n = len(x)
+        table = pa.table({"vec_id": pa.array(range(n), pa.int64()), "label": pa.array([0] * n, pa.int64()), "n": pa.array([1] * n, pa.int64()), "block": pa.array([0] * n, pa.int32()),
+                          "embedding": pa.array(x.tolist(), pa.list_(pa.float32())), "leaves": pa.array([[0]] * n, pa.list_(pa.int64()))})
+        got = embed_dedup._compare(0.98)((pa.scalar(0), pa.scalar(0), pa.scalar(0)), table)
+        assert got.column("vec_id").to_pylist() == list(range(n)) and set(got.column("peer").to_pylist()) == {0}
