@@ -5,6 +5,10 @@ become typed placeholders. Windows of ``width`` words of the template, and of th
 those of the benchmark. Template matches count only where the slots are consistent: over a run of matching windows, each value of
 the item stands for one value of the document and the other way round, so a question asked again with other
 numbers or names is caught, and a chance likeness of form isn't.
+
+A third, merged form takes capitalised words that begin a sentence for names, too, and runs of names, and a number with its unit, for one
+slot each; its places and offsets are its own. Windows with fewer than ``MIN_PLAIN`` plain words and items of fewer than ``width``
+words match in no such form.
 """
 
 from __future__ import annotations
@@ -30,6 +34,8 @@ UNITS = frozenset("mm cm m km in ft yd mi mg g kg t lb oz ml l s sec ms min h hr
 _NUMBER = re.compile(r"[-+$€£]?\d[\d.,:/]*(?:%|st|nd|rd|th)?")
 _JOINED = re.compile(r"([-+$€£]?\d[\d.,:/]*)([^\W\d_]+|%)")
 PLAIN, NUMBER, UNIT, NAME, EMPTY, ENDS = 0, 1, 2, 3, 4, 8
+#: Forms of windows.
+WORDS, TYPED, MERGED = 0, 1, 2
 #: Words whose hash stands for a placeholder; the low four bits of a hash hold the kind.
 _SLOT = {k: np.uint64(xxhash.xxh3_64_intdigest(f"<{k}>") & ~15) for k in (NUMBER, UNIT, NAME)}
 
@@ -65,8 +71,8 @@ class Canon(dict):
         return h
 
 
-def template(canon: Canon, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Plain hashes, template hashes and kinds of a text's words."""
+def _kinds(canon: Canon, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Plain hashes and kinds of a text's words, and whether they begin a sentence."""
     words = text.split()
     v = np.fromiter(map(canon.__getitem__, words), np.uint64, len(words))
     code = (v & np.uint64(15)).astype(np.int8)
@@ -74,38 +80,65 @@ def template(canon: Canon, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndar
     first = np.r_[True, ends[:-1]] if len(v) else np.empty(0, bool)
     keep = kind != EMPTY
     v, kind, first = v[keep] & ~np.uint64(15), kind[keep], first[keep]
-    kind[(kind == NAME) & first] = PLAIN
     after = np.r_[False, kind[:-1] == NUMBER] if len(v) else np.empty(0, bool)
     kind[(kind == UNIT) & ~after] = PLAIN
+    return v, kind, first
+
+
+def _shape(v: np.ndarray, kind: np.ndarray) -> np.ndarray:
     shape = v.copy()
     for k, h in _SLOT.items():
         shape[kind == k] = h
-    return v, shape, kind
+    return shape
+
+
+def template(canon: Canon, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Plain hashes, template hashes and kinds of a text's words."""
+    v, kind, first = _kinds(canon, text)
+    kind[(kind == NAME) & first] = PLAIN
+    return v, _shape(v, kind), kind
+
+
+def merged(v: np.ndarray, kind: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same, with names at the beginning of sentences, and a slot for each run of names within one and each number with its unit."""
+    if not len(v):
+        return v, v, kind
+    start = ~((kind[1:] == NAME) & (kind[:-1] == NAME) & ~first[1:] | (kind[1:] == UNIT))
+    at = np.flatnonzero(np.r_[True, start])
+    within = np.arange(len(v)) - np.repeat(at, np.diff(np.r_[at, len(v)]))
+    # a value is the sum of its words' hashes, each turned by its place
+    v = np.add.reduceat(v * (np.uint64(2) * within.astype(np.uint64) + np.uint64(1)), at)
+    kind = kind[at]
+    return v, _shape(v, kind), kind
 
 
 def _candidates(canon: Canon, text: bytes, width: int, wanted: np.ndarray | None):
-    """(place, hash, is template, slot values) of windows; of those in ``wanted`` only, if given."""
-    v, shape, kind = template(canon, text)
-    plain = windows(v, width)
+    """(place, hash, form, slot values) of windows; of those in ``wanted`` only, if given."""
+    words, kinds, first = _kinds(canon, text)
+    plain = windows(words, width)
     if not len(plain):
         return
-    typed = np.cumsum(np.r_[0, kind != PLAIN])
-    slots = typed[width:] - typed[:-width]
-    forms = [(plain, np.arange(len(plain)), False)]
-    if slots.any():
-        at = np.flatnonzero((slots > 0) & (width - slots >= MIN_PLAIN))
-        forms.append((windows(shape, width)[at], at, True))
-    for h, at, is_template in forms:
+    forms = [(plain, np.arange(len(plain)), WORDS, words, kinds)]
+    if (kinds != PLAIN).any():
+        typed = np.where((kinds == NAME) & first, PLAIN, kinds)
+        for form, (v, shape, kind) in ((TYPED, (words, _shape(words, typed), typed)), (MERGED, merged(words, kinds, first))):
+            if len(v) < width:
+                continue
+            sums = np.cumsum(np.r_[0, kind != PLAIN])
+            slots = sums[width:] - sums[:-width]
+            at = np.flatnonzero((slots > 0 if form == TYPED else slots >= 0) & (width - slots >= MIN_PLAIN))
+            forms.append((windows(shape, width)[at], at, form, v, kind))
+    for h, at, form, v, kind in forms:
         if wanted is not None:
             k = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
             hit = wanted[k] == h
             h, at = h[hit], at[hit]
         for x, p in zip(h.view(np.int64).tolist(), at.tolist(), strict=True):
-            yield p, x, is_template, v[p : p + width][kind[p : p + width] != PLAIN].view(np.int64).tolist() if is_template else []
+            yield p, x, form, v[p : p + width][kind[p : p + width] != PLAIN].view(np.int64).tolist() if form != WORDS else []
 
 
 def _emit(key: str, width: int, wanted: np.ndarray | None):
-    names = [key, "place", "hash", "is_template", "vals"]
+    names = [key, "place", "hash", "form", "vals"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canon = Canon()
@@ -123,7 +156,7 @@ def _emit(key: str, width: int, wanted: np.ndarray | None):
 
 
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.list_(pa.int64()))
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
     return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
@@ -137,7 +170,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> D
     """
     spark = docs.sparkSession
     text_batches(spark)
-    shape = "long, place int, hash long, is_template boolean, vals array<long>"
+    shape = "long, place int, hash long, form int, vals array<long>"
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text")).distinct()
     items = materialize(items.mapInArrow(_emit("item_id", width, None), f"item_id {shape}").withColumnRenamed("place", "item_place").withColumnRenamed("vals", "item_vals"), "items")
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
@@ -153,16 +186,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> D
     else:
         probe = _emit("doc_id", width, None)
     hits = rows.mapInArrow(probe, f"doc_id {shape}")
-    pairs = hits.join(items, ["hash", "is_template"]).select("doc_id", "item_id", "item_place", "is_template", (F.col("place") - F.col("item_place")).alias("offset"), F.arrays_zip("vals", "item_vals").alias("z"))
+    pairs = hits.join(items, ["hash", "form"]).select("doc_id", "item_id", "item_place", "form", (F.col("form") == MERGED).alias("merged"), (F.col("place") - F.col("item_place")).alias("offset"), F.arrays_zip("vals", "item_vals").alias("z"))
     # an item has few windows, so a group's sets are small; copies of a passage within a document have offsets of their own
-    runs = pairs.groupBy("doc_id", "item_id", "offset").agg(
-        F.collect_set(F.when(~F.col("is_template"), F.col("item_place"))).alias("plain"),
+    runs = pairs.groupBy("doc_id", "item_id", "merged", "offset").agg(
+        F.collect_set(F.when(F.col("form") == WORDS, F.col("item_place"))).alias("plain"),
         F.size(F.collect_set("item_place")).alias("both"),
         F.array_distinct(F.flatten(F.collect_set("z"))).alias("z"))
     consistent = (F.size(F.array_distinct("z.vals")) == F.size("z")) & (F.size(F.array_distinct("z.item_vals")) == F.size("z"))
     found = runs.groupBy("doc_id", "item_id").agg(
         F.size(F.array_distinct(F.flatten(F.collect_set("plain")))).cast("long").alias("n_plain"),
-        F.coalesce(F.max(F.when(consistent, F.col("both"))), F.lit(0)).cast("long").alias("n_template"))
-    total = items.groupBy("item_id").agg((F.max("item_place") + 1).cast("long").alias("item_windows"))
-    need = F.least(F.lit(MIN_RUN), F.ceil(F.col("item_windows") * MIN_SHARE))
-    return found.join(total, "item_id").where(F.greatest("n_plain", "n_template") >= need).select("doc_id", "item_id", "item_windows", "n_plain", "n_template")
+        *(F.coalesce(F.max(F.when(consistent & (F.col("merged") == m), F.col("both"))), F.lit(0)).cast("long").alias(n) for n, m in (("n_typed", False), ("n_merged", True))))
+    places = lambda m: (F.max(F.when((F.col("form") == MERGED) == m, F.col("item_place"))) + 1).cast("long")
+    total = items.groupBy("item_id").agg(places(False).alias("item_windows"), places(True).alias("merged_windows"))
+    need = lambda n: F.least(F.lit(MIN_RUN), F.ceil(F.col(n) * MIN_SHARE))
+    enough = (F.greatest("n_plain", "n_typed") >= need("item_windows")) | ((F.col("n_merged") > 0) & (F.col("n_merged") >= need("merged_windows")))
+    return found.join(total, "item_id").where(enough).select("doc_id", "item_id", "item_windows", "n_plain", F.greatest("n_typed", "n_merged").alias("n_template"))

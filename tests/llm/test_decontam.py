@@ -61,3 +61,12 @@ def test_odd_rows(spark):
     docs = [(1, None), (2, ""), (None, ITEM), (3, ITEM), (3, ITEM), (4, "w " * 50_000 + ITEM)]
     assert found(spark, docs, [(10, ITEM), (10, ITEM), (11, None), (None, ITEM), (12, "short one")]) == [(3, 10), (4, 10)]
     assert found(spark, docs, []) == [] and found(spark, [], [(10, ITEM)]) == []
+
+
+def test_names_that_begin_sentences_and_longer_values(spark):
+    item = "Tom has 12 apples in his bag. Tom gives 5 kg to Ann at noon. Ann then sells most of them here. Tom buys some more of these again."
+    again = item.replace("Tom", "Lena").replace("Ann", "Omar")
+    longer = item.replace("Ann", "Mary Lee").replace("5 kg", "7kg")
+    mixed = again.replace("Lena", "Omar", 1)
+    docs = [(1, again), (2, "Some words here. " + longer + " And more."), (3, mixed), (4, "Rain fell. " * 30)]
+    assert found(spark, docs, [(10, item)]) == [(1, 10), (2, 10)]
