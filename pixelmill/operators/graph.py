@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -173,12 +175,12 @@ def regularise(unary: DataFrame, edges: DataFrame, matrix: list[list[float]], se
     return labels
 
 
-def components(edges: DataFrame, nodes: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, nodes: DataFrame, rounds: int | None = None) -> DataFrame:
     """Components of an undirected graph: (img, node, component), the smallest node reachable, by spreading minima and jumping."""
     checkpoint_folder(edges.sparkSession)
     both = edges.select(*KEY, F.col("src").alias("node"), F.col("dst").alias("_n")).union(edges.select(*KEY, "dst", "src")).distinct().checkpoint()
     state = nodes.select(*KEY, "node", F.col("node").alias("component")).checkpoint()
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):  # minima only fall, so it ends
         near = both.join(state.select(*KEY, F.col("node").alias("_n"), F.col("component").alias("_c")), [*KEY, "_n"]).groupBy(*KEY, "node").agg(F.min("_c").alias("_c"))
         step = state.join(near, [*KEY, "node"], "left").select(*KEY, "node", "component", F.least("component", "_c").alias("_c"))
         jump = step.select(*KEY, F.col("node").alias("_c"), F.col("_c").alias("_d"))
@@ -187,6 +189,8 @@ def components(edges: DataFrame, nodes: DataFrame, rounds: int = 60) -> DataFram
         state = new.drop("_old")
         if not moved:
             break
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return state
 
 

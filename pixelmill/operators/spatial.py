@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -130,11 +131,14 @@ def cluster_points(points: DataFrame, limit: float) -> DataFrame:
     return joined.groupBy(*KEY, F.col("component").alias("cluster")).agg(F.count("*").alias("n"), (F.sum("y") / F.count("*")).alias("y"), (F.sum("x") / F.count("*")).alias("x"))
 
 
-def thin_points(points: DataFrame, limit: float, rounds: int = 64) -> DataFrame:
-    """Drop points until none are nearer than ``limit``: of the closest pair left in an image the later one goes, again and again."""
+def thin_points(points: DataFrame, limit: float, rounds: int | None = None) -> DataFrame:
+    """Drop points until none are nearer than ``limit``: of the closest pair left in an image the later one goes, again and again.
+
+    Each round drops a point at least, so it ends; with ``rounds`` given, it is an error not to be done in so many.
+    """
     checkpoint_folder(points.sparkSession)
     left = points.checkpoint()
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         b = left.select(*KEY, F.col("idx").alias("_i"), F.col("y").alias("_y"), F.col("x").alias("_x"))
         d2 = (F.col("y") - F.col("_y")) * (F.col("y") - F.col("_y")) + (F.col("x") - F.col("_x")) * (F.col("x") - F.col("_x"))
         pairs = left.join(b, KEY).where((F.col("idx") < F.col("_i")) & (d2 < limit * limit)).select(*KEY, "idx", "_i", d2.alias("_d"))
@@ -146,6 +150,8 @@ def thin_points(points: DataFrame, limit: float, rounds: int = 64) -> DataFrame:
         if gone.isEmpty():
             break
         left = left.join(gone, [*KEY, "idx"], "left_anti").checkpoint()
+    else:
+        raise RuntimeError(f"points did not settle in {rounds} rounds")
     return left
 
 

@@ -275,3 +275,12 @@ def test_models(spark):
     assert max(best.avgMetrics) > 0.9
     f = {r["feature"]: r["f_score"] for r in ml.feature_scores(rows, "label").collect()}
     assert f[0] > f[2] > f[1]
+
+
+def test_rounds_that_do_not_settle_are_an_error(spark):
+    pts = spark.createDataFrame([(0, k, 0.0, k + 0.001 * k * k) for k in range(8)], "img int, idx int, y double, x double")
+    with pytest.raises(RuntimeError):
+        spatial.thin_points(pts, 1.5, rounds=1)
+    chain = spark.createDataFrame([(0, k, k + 1) for k in range(8)], "img int, src int, dst int")
+    with pytest.raises(RuntimeError):
+        graph.components(chain, spark.createDataFrame([(0, k) for k in range(9)], "img int, node int"), rounds=1)
