@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,9 +16,11 @@ _LOCAL: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; where the session has none (tests), a local folder."""
+    """The folder all executors share: ``spark.checkpoint.dir``; where a session with a local master has none (tests), a local folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         root = _LOCAL.setdefault(app, "file://" + tempfile.mkdtemp(prefix="pixelmill-"))
     return root.rstrip("/")
@@ -36,11 +42,44 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Let whole texts go to Python in small Arrow batches, which JVM and worker each hold: at most ``rows``, or what the session has if less."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+@contextmanager
+def text_batches(spark: SparkSession, rows: int = 2000, size: int = 4 << 20) -> Iterator[None]:
+    """While it is open, whole texts go to Python in small Arrow batches, which JVM and worker each hold.
+
+    A batch ends at ``rows`` rows or ``size`` bytes, or at the session's own bounds where they are less. What is planned within has to run within
+    (``materialize``): the session's settings come back at the end.
+    """
+    keys = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {k: spark.conf.get(k) for k in keys}
+    for k, most in keys.items():
+        if not 0 < int(before[k].rstrip("bB") if before[k].rstrip("bB").isdigit() else most + 1) <= most:
+            spark.conf.set(k, str(most))
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for mapInArrow; when it is done, memory goes back to the system, since Spark keeps workers for other stages."""
+
+    def tidy(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return tidy
+
+
+def release() -> None:
+    """Give free memory back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 50) -> DataFrame:

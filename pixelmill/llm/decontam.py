@@ -7,8 +7,9 @@ the item stands for one value of the document and the other way round, so a ques
 numbers or names is caught, and a chance likeness of form isn't.
 
 A third, merged form takes capitalised words that begin a sentence for names, too, and runs of names, and a number with its unit, for one
-slot each; its places and offsets are its own. Windows with fewer than ``MIN_PLAIN`` plain words and items of fewer than ``width``
-words match in no such form.
+slot each; its places and offsets are its own. In templates at least ``MIN_PLAIN`` words of a window (half of a shorter one) are plain. An item with
+fewer than ``width`` words in a form has one window there, the whole of it; with fewer than ``SHORTEST`` it tells nothing and matches nothing.
+In languages that write nouns with capitals, nouns are names, too, so that fewer windows have enough plain words.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +25,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelmill.llm.common import materialize, text_batches
+from pixelmill.llm.common import lean, materialize, text_batches
 from pixelmill.llm.words import windows
 
-WIDTH, MIN_PLAIN, MIN_RUN, MIN_SHARE = 8, 4, 6, 0.5
+WIDTH, SHORTEST, MIN_PLAIN, MIN_RUN, MIN_SHARE = 8, 4, 4, 6, 0.5
 #: Hashes of benchmark windows are broadcast up to so many (8 bytes each), else windows are joined by shuffle.
 MAX_BROADCAST = 2_000_000
-UNITS = frozenset("mm cm m km in ft yd mi mg g kg t lb oz ml l s sec ms min h hr hrs hour hours day days week weeks month months year years % percent usd eur dollars euros cents kb mb gb tb hz khz mhz ghz w kw v a n j pa c f k mph kmh meters metres miles grams kilograms liters litres minutes seconds".split())
+#: Words that are units where a number comes before them (fixed values).
+UNITS = frozenset(
+    "mm cm m km in ft yd mi mg g kg t lb oz ml l s sec ms min h hr hrs hour hours day days week weeks month months year years % percent usd eur dollars euros cents "
+    "kb mb gb tb hz khz mhz ghz w kw v a n j pa c f k mph kmh meters metres miles grams kilograms liters litres minutes seconds "
+    "tag tage tagen stunde stunden woche wochen monat monate jahr jahre jahren minuten sekunden meter kilometer kilogramm gramm liter prozent "
+    "jour jours heure heures semaine semaines mois an ans secondes mètres kilomètres grammes litres día días hora horas semana semanas mes meses año años minutos segundos metros gramos litros".split())
 
 _NUMBER = re.compile(r"[-+$€£]?\d[\d.,:/]*(?:%|st|nd|rd|th)?")
 _JOINED = re.compile(r"([-+$€£]?\d[\d.,:/]*)([^\W\d_]+|%)")
@@ -43,7 +50,7 @@ _SLOT = {k: np.uint64(xxhash.xxh3_64_intdigest(f"<{k}>") & ~15) for k in (NUMBER
 class Canon(dict):
     """Raw word to the hash of its plain form; the low four bits hold its kind and whether it ends a sentence."""
 
-    LIMIT = 200_000
+    LIMIT = 100_000
 
     def __missing__(self, raw: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -71,18 +78,22 @@ class Canon(dict):
         return h
 
 
-def _kinds(canon: Canon, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Plain hashes and kinds of a text's words, and whether they begin a sentence."""
-    words = text.split()
-    v = np.fromiter(map(canon.__getitem__, words), np.uint64, len(words))
+def _kinds(canon: Canon, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Plain hashes and kinds of the words of texts, whether they begin a sentence, and the number of their text."""
+    split = [text.split() for text in texts]
+    sizes = [len(w) for w in split]
+    n = sum(sizes)
+    v = np.fromiter(map(canon.__getitem__, chain.from_iterable(split)), np.uint64, n)
+    doc = np.repeat(np.arange(len(texts)), sizes)
     code = (v & np.uint64(15)).astype(np.int8)
     kind, ends = code & 7, (code & ENDS) > 0
-    first = np.r_[True, ends[:-1]] if len(v) else np.empty(0, bool)
+    first = np.r_[True, (doc[1:] != doc[:-1]) | ends[:-1]] if n else np.empty(0, bool)
+    first[1:] |= (first & (kind == EMPTY))[:-1]
     keep = kind != EMPTY
-    v, kind, first = v[keep] & ~np.uint64(15), kind[keep], first[keep]
-    after = np.r_[False, kind[:-1] == NUMBER] if len(v) else np.empty(0, bool)
+    v, kind, first, doc = v[keep] & ~np.uint64(15), kind[keep], first[keep], doc[keep]
+    after = np.r_[False, (kind[:-1] == NUMBER) & (doc[1:] == doc[:-1])] if len(v) else np.empty(0, bool)
     kind[(kind == UNIT) & ~after] = PLAIN
-    return v, kind, first
+    return v, kind, first, doc
 
 
 def _shape(v: np.ndarray, kind: np.ndarray) -> np.ndarray:
@@ -94,98 +105,137 @@ def _shape(v: np.ndarray, kind: np.ndarray) -> np.ndarray:
 
 def template(canon: Canon, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Plain hashes, template hashes and kinds of a text's words."""
-    v, kind, first = _kinds(canon, text)
+    v, kind, first, _ = _kinds(canon, [text])
     kind[(kind == NAME) & first] = PLAIN
     return v, _shape(v, kind), kind
 
 
-def merged(v: np.ndarray, kind: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The same, with names at the beginning of sentences, and a slot for each run of names within one and each number with its unit."""
+def _forms(canon: Canon, texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(form, plain hashes, template hashes, kinds, numbers of texts) of the words of texts in each form."""
+    v, kind, first, doc = _kinds(canon, texts)
     if not len(v):
-        return v, v, kind
+        return
+    yield WORDS, v, v, kind, doc
+    typed = np.where((kind == NAME) & first, PLAIN, kind)
+    yield TYPED, v, _shape(v, typed), typed, doc
     start = ~((kind[1:] == NAME) & (kind[:-1] == NAME) & ~first[1:] | (kind[1:] == UNIT))
     at = np.flatnonzero(np.r_[True, start])
     within = np.arange(len(v)) - np.repeat(at, np.diff(np.r_[at, len(v)]))
     # a value is the sum of its words' hashes, each turned by its place
-    v = np.add.reduceat(v * (np.uint64(2) * within.astype(np.uint64) + np.uint64(1)), at)
-    kind = kind[at]
-    return v, _shape(v, kind), kind
+    v, kind = np.add.reduceat(v * (np.uint64(2) * within.astype(np.uint64) + np.uint64(1)), at), kind[at]
+    yield MERGED, v, _shape(v, kind), kind, doc[at]
 
 
-def _candidates(canon: Canon, text: bytes, width: int, wanted: np.ndarray | None):
-    """(place, hash, form, slot values) of windows; of those in ``wanted`` only, if given."""
-    words, kinds, first = _kinds(canon, text)
-    plain = windows(words, width)
-    if not len(plain):
-        return
-    forms = [(plain, np.arange(len(plain)), WORDS, words, kinds)]
-    if (kinds != PLAIN).any():
-        typed = np.where((kinds == NAME) & first, PLAIN, kinds)
-        for form, (v, shape, kind) in ((TYPED, (words, _shape(words, typed), typed)), (MERGED, merged(words, kinds, first))):
-            if len(v) < width:
-                continue
-            sums = np.cumsum(np.r_[0, kind != PLAIN])
-            slots = sums[width:] - sums[:-width]
-            at = np.flatnonzero((slots > 0 if form == TYPED else slots >= 0) & (width - slots >= MIN_PLAIN))
-            forms.append((windows(shape, width)[at], at, form, v, kind))
-    for h, at, form, v, kind in forms:
-        if wanted is not None:
-            k = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
-            hit = wanted[k] == h
-            h, at = h[hit], at[hit]
-        for x, p in zip(h.view(np.int64).tolist(), at.tolist(), strict=True):
-            yield p, x, form, v[p : p + width][kind[p : p + width] != PLAIN].view(np.int64).tolist() if form != WORDS else []
-
-
-def _emit(key: str, width: int, wanted: np.ndarray | None):
-    names = [key, "place", "hash", "form", "vals"]
+class Wanted:
+    """The hashes of an index, to be looked up: a table of their low bits sorts out most others."""
+
+    BITS = 22
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes, self.low = np.sort(hashes), np.zeros(1 << self.BITS, bool)
+        self.low[self._low(hashes)] = True
+
+    def _low(self, h: np.ndarray) -> np.ndarray:
+        return (h & np.uint64((1 << self.BITS) - 1)).astype(np.int64)
+
+    def among(self, h: np.ndarray) -> np.ndarray:
+        """Places of ``h`` whose hash is wanted."""
+        at = np.flatnonzero(self.low[self._low(h)])
+        if not len(at):
+            return at
+        k = np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)
+        return at[self.hashes[k] == h[at]]
+
+
+def _candidates(form: int, v: np.ndarray, shape: np.ndarray, kind: np.ndarray, doc: np.ndarray, width: int, wanted: Wanted | None) -> Iterator[tuple]:
+    """(number of the text, place, hash, form, slot values) of windows; of those ``wanted`` only, if given."""
+    h = windows(shape, width)
+    at = np.arange(len(h)) if wanted is None else wanted.among(h)
+    at = at[doc[at] == doc[at + width - 1]]
+    if form != WORDS:
+        sums = np.cumsum(np.r_[0, kind != PLAIN])
+        slots = sums[at + width] - sums[at]
+        at = at[(slots >= (form == TYPED)) & (width - slots >= min(MIN_PLAIN, -(-width // 2)))]
+    begin = np.searchsorted(doc, doc[at])
+    for d, p, x, k in zip(doc[at].tolist(), (at - begin).tolist(), h[at].view(np.int64).tolist(), at.tolist(), strict=True):
+        yield d, p, x, form, v[k : k + width][kind[k : k + width] != PLAIN].view(np.int64).tolist() if form != WORDS else []
+
 
+def _of_items(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canon = Canon()
         for batch in batches:
             out: list[tuple] = []
-            for i, text in zip(batch.column(key).to_pylist(), batch.column("text"), strict=True):
-                out += [(i, *row) for row in _candidates(canon, text.as_py() or b"", width, wanted)]
+            for i, text in zip(batch.column("item_id").to_pylist(), batch.column("text"), strict=True):
+                for form, v, *rest in _forms(canon, [text.as_py() or b""]):
+                    w = min(width, len(v))
+                    if w >= SHORTEST:
+                        out += [(i, *row[1:], w) for row in _candidates(form, v, *rest, w, None)]
                 if len(out) > 100_000:
-                    yield _batch(out, names)
+                    yield _batch(out, ["item_id", "place", "hash", "form", "vals", "width"])
                     out = []
             if out:
-                yield _batch(out, names)
+                yield _batch(out, ["item_id", "place", "hash", "form", "vals", "width"])
+
+    return run
+
+
+def _of_documents(widths: list[int], wanted):
+    names = ["doc_id", "place", "hash", "form", "vals"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        canon, known = Canon(), wanted() if wanted else None
+        for batch in batches:
+            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
+            a = 0
+            while a < len(ids):
+                b, size, part = a, 0, []
+                while b < len(ids) and (not part or size < 1 << 20):  # about a megabyte of text at once
+                    part.append(texts[b].as_py() or b"")
+                    size += len(part[-1])
+                    b += 1
+                out: list[tuple] = []
+                for form in _forms(canon, part):
+                    for w in widths:
+                        for d, *row in _candidates(*form, w, known):
+                            out.append((ids[a + d], *row))
+                            if len(out) > 100_000:
+                                yield _batch(out, names)
+                                out = []
+                if out:
+                    yield _batch(out, names)
+                a = b
 
     return run
 
 
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
-    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int32())
+    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds)], names=names)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """Rows (doc_id, item_id, item_windows, n_plain, n_template) for each document that holds enough of an item.
 
     Enough is ``MIN_RUN`` windows, or ``MIN_SHARE`` of the item's where these are fewer, matched as plain words anywhere, or as a
-    template with consistent slots at one offset. Reads ``docs(doc_id, text)`` and ``benchmark(item_id, text)`` only. Null texts, and texts
-    with fewer than ``width`` words, match nothing; nor do rows without id. Repeated rows count as one. Empty tables give an empty
+    template with consistent slots at one offset. Reads ``docs(doc_id, text)`` and ``benchmark(item_id, text)`` only. Null texts, and items
+    of fewer than ``SHORTEST`` words, match nothing; nor do rows without id. Repeated rows count as one. Empty tables give an empty
     result.
     """
     spark = docs.sparkSession
-    text_batches(spark)
     shape = "long, place int, hash long, form int, vals array<long>"
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text")).distinct()
-    items = materialize(items.mapInArrow(_emit("item_id", width, None), f"item_id {shape}").withColumnRenamed("place", "item_place").withColumnRenamed("vals", "item_vals"), "items")
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    wanted = items.select("hash").distinct()
-    if wanted.count() <= MAX_BROADCAST:
-        known = np.sort(wanted.toArrow().column("hash").to_numpy().view(np.uint64))
-        if not len(known):
-            rows = rows.limit(0)
-        share = spark.sparkContext.broadcast(known)
-
-        def probe(batches):
-            return _emit("doc_id", width, share.value)(batches)
-    else:
-        probe = _emit("doc_id", width, None)
-    hits = rows.mapInArrow(probe, f"doc_id {shape}")
+    with text_batches(spark):
+        items = items.mapInArrow(lean(_of_items(width)), f"item_id {shape}, width int")
+        items = materialize(items.withColumnRenamed("place", "item_place").withColumnRenamed("vals", "item_vals"), "items")
+        hashes = items.select("hash").distinct()
+        wanted = None
+        if hashes.count() <= MAX_BROADCAST:
+            share = spark.sparkContext.broadcast(hashes.toArrow().column("hash").to_numpy().view(np.uint64))
+            wanted = lambda: Wanted(share.value)
+        widths = sorted(r["width"] for r in items.select("width").distinct().collect())
+        hits = materialize(rows.mapInArrow(lean(_of_documents(widths, wanted)), f"doc_id {shape}"), "hits")
     pairs = hits.join(items, ["hash", "form"]).select("doc_id", "item_id", "item_place", "form", (F.col("form") == MERGED).alias("merged"), (F.col("place") - F.col("item_place")).alias("offset"), F.arrays_zip("vals", "item_vals").alias("z"))
     # an item has few windows, so a group's sets are small; copies of a passage within a document have offsets of their own
     runs = pairs.groupBy("doc_id", "item_id", "merged", "offset").agg(

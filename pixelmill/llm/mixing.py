@@ -17,13 +17,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pixelmill.llm.common import materialize, text_batches
+from pixelmill.llm.common import lean, materialize, text_batches
 from pixelmill.llm.words import mix
 
 BLOCK, SHARD_SLOTS, REPEATS, WEIGHTS = 64, 4096, 3, (5, 2, 1)
-#: Rows of a source that one task adds up.
-BUCKET_ROWS = 20_000
+#: Rows of a source that are added up together, and such buckets whose sums are.
+BUCKET_ROWS, BUCKETS = 1000, 4096
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -58,24 +59,40 @@ def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _halve(quota: np.ndarray, part: int, rng: np.random.Generator) -> np.ndarray:
+def _subset(counts: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """How many of ``k`` different items, drawn evenly from kinds with ``counts`` items, are of each kind."""
+    ends, drawn = np.cumsum(counts), np.empty(0, np.int64)
+    while len(drawn) < k:  # an item that is drawn again is drawn anew
+        drawn = np.unique(np.r_[drawn, rng.integers(0, int(ends[-1]), k - len(drawn))])
+    return np.bincount(np.searchsorted(ends, drawn, side="right"), minlength=len(counts)).astype(np.int64)
+
+
+def halve(quota: np.ndarray, part: int, rng: np.random.Generator, most: int = 900_000_000) -> np.ndarray:
+    """How many of ``part`` slots, drawn evenly from all slots of the sources, are of each source.
+
+    Above ``most`` slots, the range of numpy's generator, each slot is drawn with the same chance by itself, which leaves some too many or too few;
+    as many are then taken away, or added, evenly. Any draw of ``part`` slots is as likely as any other in both ways.
+    """
     total = int(quota.sum())
-    if total < 900_000_000:
+    if total < most:
         return rng.multivariate_hypergeometric(quota, part, method="marginals")
-    exact = quota * (part / total)  # beyond the generator's range the draw's spread is below a ten-thousandth of its mean
-    low = np.floor(exact).astype(np.int64)
-    low[np.argsort(low - exact, kind="stable")[: part - int(low.sum())]] += 1
-    return low
+    left = rng.binomial(quota, part / total).astype(np.int64)
+    extra = int(left.sum()) - part
+    return left - _subset(left, extra, rng) if extra > 0 else left + _subset(quota - left, -extra, rng) if extra else left
 
 
-def shard_counts(quota: np.ndarray, shard: int, shards: int, slots: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of each source in a shard, and in all shards before it."""
+def shard_counts(quota: np.ndarray, shard: int, shards: int, slots: int, seed: int, known: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of each source in a shard, and in all shards before it; ``known`` keeps halves that later shards ask for again."""
     lo, hi, before = 0, shards, np.zeros_like(quota)
-    total = int(quota.sum())
+    total, known = int(quota.sum()), {} if known is None else known
     while hi - lo > 1:
         mid = (lo + hi) // 2
-        part = min(total, mid * slots) - lo * slots
-        left = _halve(quota, part, np.random.default_rng([seed, lo, hi]))
+        left = known.get((lo, hi))
+        if left is None:
+            if len(known) > 1000:
+                known.clear()
+            part = min(total, mid * slots) - lo * slots
+            known[lo, hi] = left = halve(quota, part, np.random.default_rng([seed, lo, hi]))
         if shard < mid:
             quota, hi = left, mid
         else:
@@ -85,9 +102,10 @@ def shard_counts(quota: np.ndarray, shard: int, shards: int, slots: int, seed: i
 
 def _slots(quota: np.ndarray, blocks: np.ndarray, shards: int, slots: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict = {}
         for batch in batches:
             for shard in batch.column("id").to_pylist():
-                counts, before = shard_counts(quota, shard, shards, slots, seed)
+                counts, before = shard_counts(quota, shard, shards, slots, seed, known)
                 sid = np.repeat(np.arange(len(counts)), counts)
                 j = np.concatenate([np.arange(b, b + c) for b, c in zip(before, counts, strict=True)] or [np.empty(0, np.int64)])
                 turn, block = np.empty_like(j), np.empty_like(j)
@@ -109,7 +127,6 @@ class Mix:
 
     def __init__(self, docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = 11):
         spark = docs.sparkSession
-        text_batches(spark)
         text = F.col("text").cast("string")
         sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(text).alias("h"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
         sized = materialize(sized, "sized")
@@ -119,19 +136,23 @@ class Mix:
         goal = targets(sizes)
         blocks = np.array([max(1, -(-s // block)) for s in sizes], np.int64)
         quota = np.array([round(t * b / s) if s else 0 for t, b, s in zip(goal, blocks, sizes, strict=True)], np.int64)
-        self.sources = spark.createDataFrame([(k, r["source"], s, t) for k, (r, s, t) in enumerate(zip(found, sizes, goal, strict=True))], "sid long, source string, source_size long, target double")
-        many = max(1, -(-sum(r["n"] for r in found) // BUCKET_ROWS))
-        rows = sized.join(F.broadcast(self.sources) if len(found) <= 100_000 else self.sources, sized["source"].eqNullSafe(self.sources["source"])).select("doc_id", "h", "size", "sid", "source_size", "target")
-        rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "h"), F.lit(many)))
-        sums = rows.groupBy("sid", "bucket").agg(F.sum("size").alias("total"))
-        base = sums.select("sid", "bucket", (F.sum("total").over(Window.partitionBy("sid").orderBy("bucket")) - F.col("total")).alias("base"))
+        many = [-(-r["n"] // BUCKET_ROWS) for r in found]
+        self.sources = spark.createDataFrame([(k, r["source"], s, t, m) for k, (r, s, t, m) in enumerate(zip(found, sizes, goal, many, strict=True))], "sid long, source string, source_size long, target double, many long")
+        rows = sized.join(F.broadcast(self.sources) if len(found) <= 100_000 else self.sources, sized["source"].eqNullSafe(self.sources["source"])).select("doc_id", "h", "size", "sid", "source_size", "target", "many")
+        rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "h"), F.col("many")))
+        # sums of a source's rows: within buckets, of buckets within groups, and of groups, so no window holds a whole source
+        sums = rows.groupBy("sid", "bucket").agg(F.sum("size").alias("total")).withColumn("group", F.floor(F.col("bucket") / BUCKETS))
+        groups = sums.groupBy("sid", "group").agg(F.sum("total").alias("total"))
+        groups = groups.select("sid", "group", (F.sum("total").over(Window.partitionBy("sid").orderBy("group")) - F.col("total")).alias("first"))
+        base = sums.withColumn("base", F.sum("total").over(Window.partitionBy("sid", "group").orderBy("bucket")) - F.col("total")).join(groups, ["sid", "group"])
+        base = base.select("sid", "bucket", (F.col("base") + F.col("first")).alias("base"))
         inside = Window.partitionBy("sid", "bucket").orderBy(F.xxhash64("doc_id"), "doc_id", "h", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         rows = rows.withColumn("end", F.sum("size").over(inside)).join(base, ["sid", "bucket"])
         self.rows = materialize(rows.select("doc_id", "h", "size", "sid", "source_size", "target", (F.col("base") + F.col("end") - F.col("size")).alias("start")), "placed")
         total = int(quota.sum())
         shards = max(1, -(-total // shard_slots))
         plan = _slots(quota, blocks, shards, shard_slots, seed)
-        self.slots = spark.range(0, shards if total else 0, 1, min(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))).mapInArrow(plan, "shard long, slot long, sid long, turn long, block long")
+        self.slots = spark.range(0, shards if total else 0, 1, min(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))).mapInArrow(lean(plan), "shard long, slot long, sid long, turn long, block long")
         first, end = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
         pieces = self.rows.where("size > 0").select("doc_id", "h", "sid", "start", "size", F.explode(F.sequence(first, end)).alias("block"))
         self.pieces = pieces.select(
@@ -186,18 +207,23 @@ def _cut(block_of: str):
 
 
 def mix_documents(docs: DataFrame, **plan) -> DataFrame:
-    """``docs(doc_id, text, lang, source, n_chars)`` with, as text, what the mix takes of each: neighbouring blocks in one
-    piece, pieces and repeats on lines of their own. Documents of which nothing is taken go; n_chars is counted anew.
+    """``docs(doc_id, text, source, ...)``, with all its columns, and as text what the mix takes of each: neighbouring blocks in one
+    piece, pieces and repeats on lines of their own. Documents of which nothing is taken go; n_chars, if there, is counted anew.
 
-    Repeated rows (equal doc_id and text) become one row with the pieces of all.
+    Repeated rows (equal doc_id and text) become one row with the pieces of all, in the other columns the one with the least hash.
     """
     m = Mix(docs, **plan)
-    used = m.pieces.join(m.uses, ["sid", "block"]).groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "skip", "words", "uses")).alias("_parts"))
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), "lang", "source").withColumn("h", F.xxhash64("text")).dropDuplicates(["doc_id", "h"])
-    joined = rows.join(used.withColumnRenamed("h", "_h").withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")))
-    kinds = dict(docs.dtypes)
-    cut = joined.select("doc_id", "lang", "source", F.col("text").cast("binary").alias("text"), "_parts").mapInArrow(_cut("_parts"), f"doc_id {kinds['doc_id']}, lang {kinds['lang']}, source {kinds['source']}, mixed binary")
-    return cut.select("doc_id", F.col("mixed").cast("string").alias("text"), "lang", "source").withColumn("n_chars", F.length("text").cast("long"))
+    used = m.pieces.join(m.uses, ["sid", "block"]).groupBy(F.col("doc_id").alias("i"), F.col("h").alias("k")).agg(F.collect_list(F.struct("start", "skip", "words", "uses")).alias("parts"))
+    others = [c for c in docs.columns if c != "text"]
+    rows = docs.select(F.struct(*[F.col(c) for c in others]).alias("row"), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("i"))
+    rows = rows.withColumn("k", F.xxhash64("text")).groupBy("i", "k").agg(F.first("text").alias("text"), F.min_by("row", F.xxhash64("row")).alias("row"))
+    joined = rows.join(used.withColumnsRenamed({"i": "_i", "k": "_k"}), F.col("i").eqNullSafe(F.col("_i")) & (F.col("k") == F.col("_k"))).select("row", F.col("text").cast("binary").alias("text"), "parts")
+    schema = T.StructType([rows.schema["row"], T.StructField("mixed", T.BinaryType())])
+    with text_batches(docs.sparkSession):
+        cut = materialize(joined.mapInArrow(lean(_cut("parts")), schema), "mixed")
+    text = F.col("mixed").cast("string")
+    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    return cut.select(*[new[c].alias(c) if c in new else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def packed_blocks(docs: DataFrame, **plan) -> DataFrame:
@@ -206,7 +232,9 @@ def packed_blocks(docs: DataFrame, **plan) -> DataFrame:
     one = m.pieces.select("doc_id", "h", "sid", "block", F.array(F.struct("start", "skip", "words", F.lit(1).cast("long").alias("uses"))).alias("_parts"), "start")
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")).withColumn("_h", F.xxhash64("text")).dropDuplicates(["_id", "_h"])
     joined = one.join(rows, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")))
-    cut = joined.select("sid", "block", "start", "doc_id", F.col("text").cast("binary").alias("text"), "_parts").mapInArrow(_cut("_parts"), "sid long, block long, start long, doc_id long, mixed binary")
+    with text_batches(docs.sparkSession):
+        cut = joined.select("sid", "block", "start", "doc_id", F.col("text").cast("binary").alias("text"), "_parts").mapInArrow(lean(_cut("_parts")), "sid long, block long, start long, doc_id long, mixed binary")
+        cut = materialize(cut, "cut")
     filled = cut.groupBy("sid", "block").agg(F.sort_array(F.collect_list(F.struct("start", "doc_id", F.col("mixed").cast("string").alias("t")))).alias("p"))
     out = m.slots.hint("merge").join(filled, ["sid", "block"]).join(F.broadcast(m.sources.select("sid", "source")), "sid")
     return out.select("shard", "slot", "source", "turn", "block", F.col("p.doc_id").alias("doc_ids"), F.array_join("p.t", " ").alias("text"))

@@ -14,7 +14,8 @@ first in that order lie among the first ``n - t + k`` of both.
   of all sizes and the mean list length.
 
 Lists never turn into all their pairs. First the sets of a list are compared with one of them; the verified links give
-components; then only pairs of a list in different components, with sizes and places that allow a link, are verified.
+components; then only pairs of a list in different components, with sizes and places that allow a link, are verified. A list of over ``LIST`` sets
+is cut into blocks, and its pairs of blocks are groups of their own; sets of its largest component meet only those of others there.
 Before sets are fetched, bitmaps of 2 to 4 bits an element bound the intersection from above: a bit that only one set
 has stands for an element that only this set has. What passes is verified by the exact sets.
 The frequent shingles only choose the order, so the result doesn't depend on how well they were found.
@@ -29,11 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelmill.llm.common import connected_components, materialize, text_batches
+from pixelmill.llm.common import connected_components, lean, materialize, text_batches
 from pixelmill.llm.words import WordHashes, mix, shingle_set
 
 #: Shingles gathered in a task before those seen again in it are reported.
-CHUNK = 2_000_000
+CHUNK = 500_000
+#: Sets of a list that are compared in one go; longer lists are cut. Salt of joins by list.
+LIST, SALT = 4096, 8
 #: Frequent shingles and chosen documents are broadcast up to so many (8 bytes each), else joined by shuffle.
 MAX_BROADCAST = 2_000_000
 
@@ -73,31 +76,41 @@ def _may_link(percent: int):
     return run
 
 
+PROFILE = "kind int, a long, b long, c long, bits binary, items array<long>"
+
+
 def _profile(width: int):
+    """Rows of kind 0: (doc_id, size, id, bitmap, items) of each set, the items once a task; of kind 1: shingles seen again and how often."""
+    names = ["kind", "a", "b", "c", "bits", "items"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, held, n_held = WordHashes(), [], 0
 
         def frequent():
             v, c = np.unique(np.concatenate(held), return_counts=True)
             v, c = v[c > 1].view(np.int64), c[c > 1]
-            return pa.record_batch([pa.array(np.ones(len(v), np.int32)), pa.array(v), pa.array(c.astype(np.int64)), pa.array(np.zeros(len(v), np.int64)), pa.nulls(len(v), pa.binary())], names=["kind", "a", "b", "c", "bits"])
+            return pa.record_batch([pa.array(np.ones(len(v), np.int32)), pa.array(v), pa.array(c.astype(np.int64)), pa.array(np.zeros(len(v), np.int64)), pa.nulls(len(v), pa.binary()), pa.nulls(len(v), pa.list_(pa.int64()))], names=names)
 
         seen: set[int] = set()
         for batch in batches:
-            n, ids, bits = [], [], []
-            for text in batch.column("text"):
+            keys, n, ids, bits, items = batch.column("doc_id").to_pylist(), [], [], [], []
+            for key, text in zip(keys, batch.column("text"), strict=True):
                 s = shingle_set(cache, text.as_py(), width)
                 n.append(len(s))
                 bits.append(_bitmap(s) if len(s) else None)
                 ids.append(_set_id(s) if len(s) else 0)
-                if len(s) and ids[-1] not in seen:
+                new = key is not None and len(s) and ids[-1] not in seen
+                items.append(s.view(np.int64) if new else None)
+                if new:
                     seen.add(ids[-1])
                     held.append(s)
                     n_held += len(s)
                 if n_held >= CHUNK:
                     yield frequent()
-                    held, n_held, seen = [], 0, set()
-            yield pa.record_batch([pa.array(np.zeros(len(n), np.int32)), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(bits, pa.binary())], names=["kind", "a", "b", "c", "bits"])
+                    held, n_held = [], 0
+            if len(seen) > 1_000_000:
+                seen.clear()
+            yield pa.record_batch([pa.array(np.zeros(len(n), np.int32)), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(bits, pa.binary()), pa.array(items, pa.list_(pa.int64()))], names=names)
         if held:
             yield frequent()
 
@@ -108,26 +121,17 @@ def _needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def _signatures(width: int, percent: int, boundary: int, hot: np.ndarray, hot_n: np.ndarray):
+def _signatures(percent: int, boundary: int, hot: np.ndarray, hot_n: np.ndarray):
     """Rows (sig, fp, n, pos): lists to which a set belongs; pos is such that at most 1 + (n - pos - 1) can be common."""
     pairs: dict[int, tuple] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, seen = WordHashes(), set()
         for batch in batches:
             sig, fp, size, pos = [], [], [], []
             rows = 0
-            for text in batch.column("text"):
-                s = shingle_set(cache, text.as_py(), width)
+            for i, items in zip(batch.column("fp").to_pylist(), batch.column("items"), strict=True):
+                s = items.values.to_numpy().view(np.uint64)
                 n = len(s)
-                if n < 2:  # one shingle links with an equal set only
-                    continue
-                i = _set_id(s)
-                if i in seen:
-                    continue
-                if len(seen) > 1_000_000:
-                    seen.clear()
-                seen.add(i)
                 if len(hot):
                     at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
                     c = np.where(hot[at] == s, hot_n[at], 0)
@@ -192,25 +196,30 @@ def _shared():
     return run
 
 
+def _pairs(a: tuple, b: tuple, percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of a set of ``a`` and one of ``b`` (fp, n, pos, comp; ``b`` by size) in different components, with sizes and places that allow a link."""
+    block = 2048
+    (fp, n, pos, comp), (fq, m, qos, comq) = a, b
+    n, m = n.astype(np.int64), m.astype(np.int64)
+    rest, rest_q = n - pos - 1, m - qos - 1
+    for a0 in range(0, len(fp), block):
+        x = slice(a0, a0 + block)
+        first = int(np.searchsorted(m, -(-percent * int(n[x].min()) // 100)))
+        last = int(np.searchsorted(m, 100 * int(n[x].max()) // percent, side="right"))
+        for b0 in range(first, last, block):
+            y = slice(b0, min(b0 + block, last))
+            ok = (comp[x, None] != comq[None, y]) & ((100 + percent) * (1 + np.minimum(rest[x, None], rest_q[None, y])) >= percent * (n[x, None] + m[None, y]))
+            i, j = np.nonzero(ok)
+            i, j = a0 + i, b0 + j
+            if a is b:
+                i, j = i[i < j], j[i < j]
+            if len(i):
+                low = fp[i] < fq[j]
+                yield pa.record_batch([pa.array(np.where(low, u, v)) for u, v in ((fp[i], fq[j]), (fq[j], fp[i]), (comp[i], comq[j]), (comq[j], comp[i]))], names=["p", "q", "cp", "cq"])
+
+
 def _across(percent: int):
-    """From lists sorted by (sig, n, fp): pairs of sets in different components that sizes and places allow."""
-
-    def emit(fp, n, pos, comp) -> Iterator[pa.RecordBatch]:
-        block = 2048
-        last = np.searchsorted(n, (100 * n) // percent, side="right")
-        for a0 in range(0, len(fp), block):
-            a1 = min(a0 + block, len(fp))
-            for b0 in range(a0, int(last[a0:a1].max()), block):
-                b1 = min(b0 + block, len(fp))
-                i, j = np.arange(a0, a1)[:, None], np.arange(b0, b1)[None, :]
-                most = 1 + np.minimum((n - pos - 1)[a0:a1, None], (n - pos - 1)[None, b0:b1])
-                ok = (i < j) & (j < last[a0:a1, None]) & (comp[a0:a1, None] != comp[None, b0:b1])
-                ok &= (100 + percent) * most >= percent * (n[a0:a1, None] + n[None, b0:b1])
-                x, y = np.nonzero(ok)
-                if len(x):
-                    x, y = a0 + x, b0 + y
-                    x, y = np.where(fp[x] < fp[y], x, y), np.where(fp[x] < fp[y], y, x)
-                    yield pa.record_batch([pa.array(c) for c in (fp[x], fp[y], comp[x], comp[y])], names=["p", "q", "cp", "cq"])
+    """From lists sorted by (sig, n, fp), none of more than ``LIST`` sets: their ``_pairs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -223,33 +232,49 @@ def _across(percent: int):
             cut = np.flatnonzero(np.r_[True, cols[0][1:] != cols[0][:-1]])
             for a, b in zip(cut[:-1], cut[1:], strict=True):
                 if b - a > 1:
-                    yield from emit(*[c[a:b] for c in cols[1:]])
+                    one = tuple(c[a:b] for c in cols[1:])
+                    yield from _pairs(one, one, percent)
             held = [c[cut[-1] :] for c in cols]
         if held and len(held[0]) > 1:
-            yield from emit(*held[1:])
+            yield from _pairs(tuple(held[1:]), tuple(held[1:]), percent)
 
     return run
 
 
-def _sets(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
-        for batch in batches:
-            fps, sets = [], []
-            for text in batch.column("text"):
-                s = shingle_set(cache, text.as_py(), width)
-                fps.append(_set_id(s) if len(s) else 0)
-                sets.append(s.view(np.int64))
-            offsets = np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int64)
-            values = pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64))
-            for a in range(0, len(sets), 512):
-                b = min(a + 512, len(sets))
-                part = pa.ListArray.from_arrays(pa.array((offsets[a : b + 1] - offsets[a]).astype(np.int32)), values[offsets[a] : offsets[b]])
-                yield pa.record_batch([pa.array(fps[a:b], pa.int64()), part], names=["fp", "items"])
+def _between(percent: int):
+    """``_pairs`` of the two sides of a group."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        cols = [table.column(c).to_numpy() for c in ("fp", "n", "pos", "comp")]
+        side, order = table.column("side").to_numpy(), np.argsort(cols[1], kind="stable")
+        a, b = (tuple(c[order[side[order] == k]] for c in cols) for k in (0, 1))
+        found = list(_pairs(a, b, percent))
+        return pa.Table.from_batches(found) if found else pa.table({c: pa.array([], pa.int64()) for c in ("p", "q", "cp", "cq")})
 
     return run
 
 
+def _cut_lists(named: DataFrame, long: DataFrame, percent: int) -> DataFrame:
+    """``_pairs`` of the ``long`` lists, by groups of two blocks: sets of a list's largest component with others, and others with each other."""
+    parts = named.join(F.broadcast(long) if long.count() <= MAX_BROADCAST else long, "sig", "left_semi")
+    of_comp = parts.groupBy("sig", "comp").agg(F.count("*").alias("k"))
+    top = of_comp.groupBy("sig").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("all"))
+    blocks = lambda c: F.ceil(c / LIST)
+    top = top.select("sig", F.col("top.comp").alias("major"), blocks(F.col("top.k")).alias("majors"), blocks(F.col("all") - F.col("top.k")).alias("others"))
+    rows = parts.join(top, "sig").withColumn("is_major", F.col("comp") == F.col("major"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("fp"), F.when(F.col("is_major"), F.col("majors")).otherwise(F.col("others"))))
+    to = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    group = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+    own = F.col("block")
+    with_others = F.transform(to("others"), lambda j: group("major", own, j, 0))
+    with_major = F.transform(to("majors"), lambda i: group("major", i, own, 1))
+    # a block meets itself with both sides full, another one once
+    among = F.transform(to("others"), lambda j: F.struct(F.lit("other").alias("kind"), F.least(own, j).alias("i"), F.greatest(own, j).alias("j"), F.when(own <= j, 0).otherwise(1).alias("side")))
+    both = F.concat(with_major, among, F.array(group("other", own, own, 1)))
+    rows = rows.withColumn("g", F.explode(F.when(F.col("is_major"), with_others).otherwise(both))).select("sig", "g.kind", "g.i", "g.j", "g.side", "fp", "n", "pos", "comp")
+    return rows.groupBy("sig", "kind", "i", "j").applyInArrow(_between(percent), "p long, q long, cp long, cq long")
+
+
 def _boundary(sizes: list[tuple[int, int]], percent: int, list_length: float, top: int = 48) -> int:
     """The size up to which enumerating 2-subsets costs less than posting to lists and scanning them.
 
@@ -277,9 +302,16 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 75) -> Dat
     back repeated. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    text_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    found = materialize(docs.mapInArrow(_profile(width), "kind int, a long, b long, c long, bits binary"), "profile")
+    with text_batches(spark):
+        found = materialize(docs.mapInArrow(lean(_profile(width)), PROFILE), "profile")
+    with text_batches(spark, rows=10_000, size=8 << 20):
+        return _components(found, percent)
+
+
+def _components(found: DataFrame, percent: int) -> DataFrame:
+    """The rows of ``similar_documents`` from those of ``_profile``."""
+    spark = found.sparkSession
     sets = found.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), F.col("c").alias("fp"))
     frequent = found.where("kind = 1").groupBy("a").agg(F.sum("b").alias("b")).where("b >= 4")
     # which shingles count as frequent only decides an order, so the bound costs no result
@@ -303,12 +335,13 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 75) -> Dat
     share_hot = spark.sparkContext.broadcast((hot, hot_n))
 
     def sign(batches):
-        return _signatures(width, percent, boundary, *share_hot.value)(batches)
+        return _signatures(percent, boundary, *share_hot.value)(batches)
 
-    postings = docs.where("doc_id is not null").mapInArrow(sign, "sig long, fp long, n int, pos int")
+    items = found.where("kind = 0 and items is not null").select(F.col("c").alias("fp"), "items")
+    postings = items.where("size(items) > 1").mapInArrow(lean(sign), "sig long, fp long, n int, pos int")  # one shingle links with an equal set only
     lists = materialize(
         postings.repartition("sig").sortWithinPartitions("sig", "n", "fp")
-        .mapInArrow(_shared(), "sig long, fp long, n int, pos int"), "lists")
+        .mapInArrow(lean(_shared()), "sig long, fp long, n int, pos int"), "lists")
 
     representative = sets.where("n > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
     maps = found.where("kind = 0 and b > 1").select(F.col("c").alias("fp"), F.col("b").alias("n"), "bits").dropDuplicates(["fp"])
@@ -317,13 +350,11 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 75) -> Dat
         """Components (node, root) of the components cp and cq by the links among the pairs (p, q, cp, cq)."""
         x = maps.select(F.col("fp").alias("p"), F.col("n"), F.col("bits").alias("x"))
         y = maps.select(F.col("fp").alias("q"), F.col("n").alias("m"), F.col("bits").alias("y"))
-        likely = materialize(pairs.join(x, "p").join(y, "q").mapInArrow(_may_link(percent), "p long, q long, cp long, cq long"), "likely")
-        ids = likely.select(F.col("p").alias("fp")).union(likely.select("q")).distinct()
-        chosen = materialize(representative.join(ids, "fp", "left_semi").select("doc_id"), "chosen")
+        likely = materialize(pairs.join(x, "p").join(y, "q").mapInArrow(lean(_may_link(percent)), "p long, q long, cp long, cq long"), "likely")
+        chosen = materialize(likely.select(F.col("p").alias("fp")).union(likely.select("q")).distinct(), "chosen")
         if chosen.count() <= MAX_BROADCAST:
             chosen = F.broadcast(chosen)
-        items = docs.join(chosen, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(width), "fp long, items array<long>")
-        links = _verified(likely, items.dropDuplicates(["fp"]), percent)
+        links = _verified(likely, items.join(chosen, "fp", "left_semi").dropDuplicates(["fp"]), percent)
         return materialize(connected_components(links.select("cp", "cq").distinct(), "cp", "cq"), "joined")
 
     # Sets that link share many lists, so a sixteenth of the lists joins nearly all, and all of them the rest. In the first look a list's
@@ -332,19 +363,23 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 75) -> Dat
     for share in (16, 16, 1):
         part = lists.where(F.pmod("sig", F.lit(share)) == 0)
         if every is None:
-            length = part.groupBy("sig").agg(F.count("*").alias("k"))
-            degree = part.join(length, "sig").groupBy("fp").agg(F.sum("k").alias("k"))
+            degree = part.groupBy("fp").agg(F.count("*").alias("k"))
             hub = part.join(degree, "fp").groupBy("sig").agg(F.max_by(F.struct("fp", "n"), F.struct("k", "fp")).alias("hub"))
-            pairs = part.join(hub, "sig").where(f"fp <> hub.fp and 100 * least(n, hub.n) >= {percent} * greatest(n, hub.n)")
+            hub = hub.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+            pairs = part.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALT)).cast("int")).join(hub, ["sig", "salt"]).where(f"fp <> hub.fp and 100 * least(n, hub.n) >= {percent} * greatest(n, hub.n)")
             pairs = pairs.select(F.col("fp").alias("p"), F.col("hub.fp").alias("q"), F.col("fp").alias("cp"), F.col("hub.fp").alias("cq")).distinct()
             every = joined(pairs)
             continue
         named = part.join(every.withColumnRenamed("node", "fp"), "fp", "left").select("sig", "fp", "n", "pos", F.coalesce("root", "fp").alias("comp"))
         named = materialize(named, "named")
-        mixed = named.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
+        mixed = materialize(named.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k")).where("lo <> hi").select("sig", "k"), "mixed")
         pairs = (
-            named.join(mixed, "sig", "left_semi").repartition("sig").sortWithinPartitions("sig", "n", "fp")
-            .mapInArrow(_across(percent), "p long, q long, cp long, cq long").distinct())
+            named.join(mixed.where(F.col("k") <= LIST).select("sig"), "sig", "left_semi").repartition("sig").sortWithinPartitions("sig", "n", "fp")
+            .mapInArrow(lean(_across(percent)), "p long, q long, cp long, cq long"))
+        long = mixed.where(F.col("k") > LIST).select("sig")
+        if not long.isEmpty():
+            pairs = pairs.union(_cut_lists(named, long, percent))
+        pairs = pairs.where("p <> q").distinct()
         new = joined(pairs)
         moved = every.join(new.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
         every = materialize(moved.union(new.join(every.select("node"), "node", "left_anti")), "every")

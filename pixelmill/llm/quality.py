@@ -1,10 +1,13 @@
 """Quality by importance resampling: hashed n-gram models of target and raw text, sampled by Gumbel top-k.
 
 Target text is what a bounded, documented sample labels as good (``LABELS`` rows); raw text is every document. Both give counts of
-hashed single tokens and pairs, and of triples of token shapes (case, digits, marks, repetition). A document's log weight
-is the mean over its n-grams of log p_target - log p_raw (the mean, so that length doesn't decide). With Gumbel
-noise, the top k keys are a sample without replacement by weight. k is the number of documents whose weight
-reaches the bound that half of the labelled rows, kept out of the target model, set.
+hashed single tokens and pairs, and of triples of token shapes (case, digits, marks, repetition). A document's ratio is the mean over its
+n-grams of log p_target - log p_raw, and its log weight that of a passage of ``SPAN`` n-grams at this mean, so that length
+doesn't decide.
+
+Two decisions follow. The classifier keeps a document whose ratio reaches the bound that half of the labelled rows, kept out of the target
+model, set (``kept``). Of the kept ones ``sampled`` marks the k = ``SHARE`` of them with the largest keys, a key being the log weight plus
+standard Gumbel noise: a sample without replacement, in which each next document is drawn with a chance in proportion to its weight.
 
 Toxic documents are no candidates. From half of the sample come the phrases (tokens and pairs, in any case) that are in more
 toxic texts than chance explains, with log ratios of toxic to other texts. A document's toxicity is the sum of its ``TOP`` largest
@@ -20,13 +23,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelmill.llm.common import materialize, text_batches
+from pixelmill.llm.common import lean, materialize, text_batches
 from pixelmill.llm.words import mix
 
-BUCKETS, SHAPES, LABELS, TEMPERATURE, PRIOR = 1 << 14, 16**3, 40_000, 0.01, 5.0
+BUCKETS, SHAPES, LABELS, PRIOR = 1 << 14, 16**3, 40_000, 5.0
+SPAN, SHARE = 8, 0.5
 TOP, MIN_TOXIC = 3, 3
 _TOKEN = re.compile(rb"[A-Za-z0-9\x80-\xff]+|[^A-Za-z0-9\x80-\xff\s]+")
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -35,7 +39,7 @@ _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 class Tokens(dict):
     """Token to a hash whose low three bits are its shape: lower, title, upper, digits, mark."""
 
-    LIMIT = 200_000
+    LIMIT = 100_000
 
     def __missing__(self, token: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -97,16 +101,19 @@ def _count(share):
         good, toxic, suspects = share.value
         cache, folded = Tokens(), Folded()
         raw, target = np.zeros(BUCKETS + SHAPES + len(suspects), np.int64), np.zeros(BUCKETS + SHAPES + len(suspects), np.int64)
+        size = BUCKETS + SHAPES
         for batch in batches:
+            rows, fit = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 tokens = _TOKEN.findall(text.as_py() or b"")
-                c = np.bincount(features(cache, tokens), minlength=BUCKETS + SHAPES)
-                raw[: BUCKETS + SHAPES] += c
+                rows.append(features(cache, tokens))
                 if i in good:
-                    target[: BUCKETS + SHAPES] += c
+                    fit.append(rows[-1])
                 if i in toxic:
-                    at = BUCKETS + SHAPES + _among(suspects, phrases(folded, tokens))
+                    at = size + _among(suspects, phrases(folded, tokens))
                     (target if toxic[i] else raw)[at] += 1
+            raw[:size] += np.bincount(np.concatenate(rows), minlength=size)
+            target[:size] += np.bincount(np.concatenate(fit), minlength=size)
         at = np.flatnonzero(raw | target)
         yield pa.record_batch([pa.array(at), pa.array(raw[at]), pa.array(target[at])], names=["bucket", "raw", "target"])
 
@@ -125,7 +132,7 @@ def _score(share):
                 n.append(len(f))
                 w.append(float(ratio[f].sum()) / (len(f) + PRIOR))
                 t.append(float(np.sort(weight[_among(known, phrases(folded, tokens))])[-TOP:].sum()) if len(known) else 0.0)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(w, pa.float64()), pa.array(t, pa.float64())], names=["doc_id", "n_grams", "log_weight", "toxicity"])
+            yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(w, pa.float64()), pa.array(t, pa.float64())], names=["doc_id", "n_grams", "ratio", "toxicity"])
 
     return run
 
@@ -183,17 +190,22 @@ def kth_largest(values: DataFrame, column: str, k: int) -> float | None:
     return lo
 
 
-def select_documents(docs: DataFrame, labels: DataFrame, seed: int = 17, labels_used: int = LABELS, temperature: float = TEMPERATURE) -> DataFrame:
-    """Rows (doc_id, n_grams, log_weight, gumbel_key, kept) for ``docs(doc_id, text)`` and ``labels(doc_id, quality, toxic)``.
+def gumbel(key: Column, seed: Column) -> Column:
+    """Standard Gumbel noise that follows from a key and a seed."""
+    uniform = (F.pmod(F.xxhash64(key, seed), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    return -F.log(-F.log(uniform))
+
+
+def select_documents(docs: DataFrame, labels: DataFrame, seed: int = 17, labels_used: int = LABELS, share: float = SHARE) -> DataFrame:
+    """Rows (doc_id, n_grams, ratio, log_weight, gumbel_key, kept, sampled) for ``docs(doc_id, text)`` and ``labels(doc_id, quality, toxic)``.
 
     Good rows have quality 1 and aren't toxic, bad ones have quality 0; rows with null quality count for toxicity only, those with null
-    doc_id for nothing, and where labels disagree, bad and toxic win. Null or empty texts, and those without tokens, weigh 0; a null doc_id is
-    a value like any. Repeated rows get equal keys and share their fate. Without labels of both kinds all are kept, but for toxic
-    ones, which go wherever labels have toxic and other rows. Noise comes from the doc_id, so reruns agree. Other columns are
-    not read; an empty table gives an empty result.
+    doc_id for nothing, and where labels disagree, bad and toxic win. Null or empty texts, and those without tokens, have ratio 0; a null
+    doc_id is a value like any. Repeated rows get equal keys and share their fate; of rows with equal keys at the end of the sample all are
+    sampled. Without labels of both kinds all are kept, but for toxic ones, which go wherever labels have toxic and other rows. Noise
+    comes from the doc_id, so reruns agree. Other columns are not read; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    text_batches(spark)
     lab = labels.where("doc_id is not null and (quality is not null or toxic is not null)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q"), F.max(F.coalesce(F.col("toxic"), F.lit(0))).alias("t"))
     # the bounded sample of labelled rows: those with the smallest hashes
     chosen = lab.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labels_used).collect()
@@ -203,13 +215,34 @@ def select_documents(docs: DataFrame, labels: DataFrame, seed: int = 17, labels_
         toxic |= {i: t for i in [r["doc_id"] for r in chosen if (r["t"] == 1) == t][::2]}
     held = [(r["doc_id"], None if r["doc_id"] in fit or r["q"] is None or (r["q"] == 1 and r["t"]) else r["q"] == 1, None if r["doc_id"] in toxic else r["t"] == 1) for r in chosen]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    with text_batches(spark):
+        scored = _scored(rows, fit, toxic)
+    scored = scored.withColumn("gumbel_key", F.col("log_weight") + gumbel(F.col("doc_id"), F.lit(seed)))
+    marks = spark.createDataFrame(held, "doc_id long, good boolean, toxic boolean")
+    # a row each of a bounded sample
+    seen = scored.join(F.broadcast(marks), "doc_id").select("doc_id", "ratio", "toxicity", "good", "toxic").dropDuplicates().collect() if held else []
+    graded = {(r["ratio"], r["good"]) for r in seen if r["good"] is not None} if fit else set()
+    bound = _bound([w for w, _ in graded], [g for _, g in graded])
+    marked = [(-r["toxicity"], not r["toxic"]) for r in seen if r["toxic"] is not None]
+    mild = _bound([w for w, _ in marked], [g for _, g in marked])
+    kept = (-F.col("toxicity") >= F.lit(mild)) & (F.col("ratio") >= F.lit(bound))
+    passed = scored.where(kept)
+    least = kth_largest(passed, "gumbel_key", math.ceil(share * passed.count()))
+    sampled = kept & (F.col("gumbel_key") >= F.lit(math.inf if least is None else least))
+    return scored.select("doc_id", "n_grams", "ratio", "log_weight", "gumbel_key", kept.alias("kept"), sampled.alias("sampled"))
+
+
+def _scored(rows: DataFrame, fit: frozenset, toxic: dict[int, int]) -> DataFrame:
+    """Rows (doc_id, n_grams, ratio, toxicity, log_weight) by models of the texts in ``fit`` and of those that ``toxic`` marks by 0 or 1."""
+    spark = rows.sparkSession
     ids = [(i,) for i, t in toxic.items() if t]
     suspects = np.empty(0, np.uint64)
     if ids:
         texts = rows.join(F.broadcast(spark.createDataFrame(ids, "doc_id long")), "doc_id", "left_semi")
-        suspects = np.sort(texts.mapInArrow(_phrases, "phrase long").groupBy("phrase").count().where(F.col("count") >= MIN_TOXIC).select("phrase").toArrow().column("phrase").to_numpy().view(np.uint64))
+        suspects = np.sort(texts.mapInArrow(lean(_phrases), "phrase long").groupBy("phrase").count().where(F.col("count") >= MIN_TOXIC).select("phrase").toArrow().column("phrase").to_numpy().view(np.uint64))
     size = BUCKETS + SHAPES + len(suspects)
-    counts = rows.mapInArrow(_count(spark.sparkContext.broadcast((fit, toxic, suspects))), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
+    share = spark.sparkContext.broadcast((fit, toxic, suspects))
+    counts = rows.mapInArrow(lean(_count(share)), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
     raw, target = np.zeros(size), np.zeros(size)
     for r in counts:
         raw[r["bucket"]], target[r["bucket"]] = r["raw"], r["target"]
@@ -218,19 +251,6 @@ def select_documents(docs: DataFrame, labels: DataFrame, seed: int = 17, labels_
         p = [(c[part] + 0.5) / (c[part] + 0.5).sum() for c in (target, raw)]
         ratio[part] = np.log(p[0] / p[1])
     known, weight = _toxic_phrases(suspects, raw[BUCKETS + SHAPES :], target[BUCKETS + SHAPES :], len(toxic) - len(ids), len(ids))
-    scored = rows.mapInArrow(_score(spark.sparkContext.broadcast((ratio, known, weight))), "doc_id long, n_grams long, log_weight double, toxicity double")
-    uniform = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    scored = materialize(scored.withColumn("gumbel_key", F.col("log_weight") - temperature * F.log(-F.log(uniform))), "scored")
-    marks = spark.createDataFrame(held, "doc_id long, good boolean, toxic boolean")
-    # a row each of a bounded sample
-    seen = scored.join(F.broadcast(marks), "doc_id").select("doc_id", "log_weight", "toxicity", "good", "toxic").dropDuplicates().collect() if held else []
-    graded = {(r["log_weight"], r["good"]) for r in seen if r["good"] is not None} if fit else set()
-    bound = _bound([w for w, _ in graded], [g for _, g in graded])
-    marked = [(-r["toxicity"], not r["toxic"]) for r in seen if r["toxic"] is not None]
-    mild = _bound([w for w, _ in marked], [g for _, g in marked])
-    scored = scored.withColumn("mild", -F.col("toxicity") >= F.lit(mild))
-    open_ = scored.where("mild")
-    k = open_.where(F.col("log_weight") >= bound).count() if bound > -math.inf else open_.count()
-    least = kth_largest(open_, "gumbel_key", k)
-    kept = F.col("mild") & (F.col("gumbel_key") >= F.lit(-math.inf if least is None and bound == -math.inf else math.inf if least is None else least))
-    return scored.select("doc_id", "n_grams", "log_weight", "gumbel_key", kept.alias("kept"))
+    model = spark.sparkContext.broadcast((ratio, known, weight))
+    scored = rows.mapInArrow(lean(_score(model)), "doc_id long, n_grams long, ratio double, toxicity double")
+    return materialize(scored.withColumn("log_weight", F.col("ratio") * SPAN), "scored")

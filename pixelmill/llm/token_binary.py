@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelmill.llm.common import materialize, shared_path, text_batches
+from pixelmill.llm.common import lean, materialize, shared_path, text_batches
 
 MARK = b"PMTOK001"
 EVERY = 256
@@ -110,25 +110,31 @@ def _encoder(path: str, wide: bool):
     return _Encoder(Tokenizer.from_file(path), wide)
 
 
+#: Texts that show whether a tokenizer splits at white space: what it makes of their pieces is what it makes of them.
+_PROBES = ("the cat sat", " two  spaces\n\nand lines\t.", "It's 3.5 km, isn't it?  (No.)", "élan größe łódź слово 日本 語", "don't  \r\n stop\x0b\x0cnow ")
+
+
 class _Encoder(dict):
     """Ids (as bytes) of the pieces between ASCII white space.
 
-    Exact for tokenizers that split at white space before anything else, whose pieces can then be encoded one by one;
-    most pieces recur, and are looked up, in lower case if the tokenizer doesn't tell A-Z from a-z (special tokens, which it may
-    tell, begin with "<|"). A worker keeps its pieces from task to task; they are dropped at ``LIMIT`` pieces, about 120 MB. New words
-    go to the tokenizer's model directly, if this gives the same ids for words of several scripts.
+    Exact for tokenizers that split at white space before anything else, whose pieces can then be encoded one by one; whole texts go to
+    others, as ``_PROBES`` tell, and one text in ``CHECK`` is encoded both ways, which is an error if they differ. Most pieces
+    recur, and are looked up, in lower case if the tokenizer doesn't tell A-Z from a-z (special tokens, which it may tell, begin
+    with "<|"). A worker keeps its pieces from task to task; they are dropped at ``LIMIT`` pieces, about 50 MB. New words go to the
+    tokenizer's model directly, if this gives the same ids for words of several scripts.
     """
 
-    LIMIT = 500_000
+    LIMIT, CHECK = 200_000, 512
 
     def __init__(self, tokenizer, wide: bool):
         super().__init__()
-        self.tokenizer, self.kind, self.code = tokenizer, "<u4" if wide else "<u2", "I" if wide else "H"
+        self.tokenizer, self.kind, self.code, self.seen = tokenizer, "<u4" if wide else "<u2", "I" if wide else "H", 0
         one = [tokenizer.encode(x, add_special_tokens=False).ids for x in (ascii_letters.upper(), ascii_letters.lower())]
         self.fold = one[0] == one[1]
         self.tails: dict[bytes, bytes] = {b"": b""}
         self.word = tokenizer.model.tokenize
         self.direct = self.fold and all(self._word(w) == self._whole(w) for w in ("a", "zebra", "xqzzy", "élan", "ñandú", "größe", "łódź", "слово", "日本"))
+        self.pieces = all(self._pieces(t.encode()) == self._whole(t) for t in _PROBES)
 
     def _whole(self, piece: str) -> bytes:
         return array(self.code, self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
@@ -156,10 +162,18 @@ class _Encoder(dict):
         self[piece] = ids
         return ids
 
+    def _pieces(self, text: bytes) -> bytes:
+        return b"".join(map(self.__getitem__, (text.lower() if self.fold and b"<|" not in text else text).split()))
+
     def encode(self, text: bytes, end: bytes) -> bytes:
         """Ids of a text, and the end id."""
-        words = (text.lower() if self.fold and b"<|" not in text else text).split()
-        return b"".join(map(self.__getitem__, words)) + end
+        if not self.pieces:
+            return self._whole(text.decode("utf-8", "replace")) + end
+        ids = self._pieces(text)
+        self.seen += 1
+        if self.seen % self.CHECK == 1 and len(text) < 1 << 20 and ids != self._whole(text.decode("utf-8", "replace")):
+            raise ValueError("the tokenizer doesn't encode a text as its pieces between white space")
+        return ids + end
 
 
 def _write(path: str, tokenizer: str, end_id: int, wide: bool):
@@ -180,9 +194,7 @@ def _write(path: str, tokenizer: str, end_id: int, wide: bool):
             foot = json.dumps({"docs": len(ids), "no_id": len(ids) - len(known), "base": base, "ids": total, "width": size, "ends": len(ends), "names": len(names)}).encode()
             out.write(ends + names + foot + len(foot).to_bytes(4, "little") + MARK)
             out.close()
-            final = f"{folder}/part-{part:05d}-{seq:04d}.tok"
-            fs.move(name, final)
-            return pa.record_batch([pa.array([x], t) for x, t in ((part, pa.int32()), (seq, pa.int32()), (final, pa.string()), (total, pa.int64()))], names=["part", "seq", "file", "ids"])
+            return pa.record_batch([pa.array([x], t) for x, t in ((part, pa.int32()), (seq, pa.int32()), (name, pa.string()), (total, pa.int64()))], names=["part", "seq", "file", "ids"])
 
         for batch in batches:
             keys = batch.column("doc_id").to_pylist()
@@ -190,7 +202,7 @@ def _write(path: str, tokenizer: str, end_id: int, wide: bool):
                 data = encoder.encode(text.as_py() or b"", end)
                 if out is None:
                     fs.create_dir(folder, recursive=True)
-                    name = f"{folder}/.{part:05d}-{seq:04d}-{uuid.uuid4().hex}"
+                    name = f"{folder}/part-{part:05d}-{seq:04d}-{uuid.uuid4().hex}.tok"
                     out, counts, ids, written = fs.open_output_stream(name), [], [], 0
                 out.write(data)
                 counts.append(len(data) // size)
@@ -257,15 +269,15 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str, w
     """Write ``docs(doc_id, text)`` below ``path`` in ascending doc_id order; returns the table of shards (part, seq, file, ids).
 
     A null text counts as empty, so each document has its end id at least. Rows without doc_id come first; rows with the
-    same doc_id are ordered by text. Other columns are not read. An empty table gives no shard. A task that runs again
-    writes the same bytes to the same name; files appear by renaming, so no reader sees half of one.
+    same doc_id are ordered by text. Other columns are not read. An empty table gives no shard. Each attempt of a task writes
+    files of its own names, and the table of shards names those of the attempts that Spark committed; what others left behind is not read.
     """
     spark = docs.sparkSession
-    text_batches(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    return materialize(rows.mapInArrow(_write(path, tokenizer, end_id, wide), "part int, seq int, file string, ids long"), "shards")
+    with text_batches(spark):
+        return materialize(rows.mapInArrow(lean(_write(path, tokenizer, end_id, wide)), "part int, seq int, file string, ids long"), "shards")
 
 
 def read_token_files(shards: DataFrame, path: str) -> DataFrame:
@@ -278,7 +290,7 @@ def read_token_files(shards: DataFrame, path: str) -> DataFrame:
         rows.append((r["file"], base))
         base += r["ids"]
     table = spark.createDataFrame(rows, "file string, base long").repartition(max(1, len(rows)))
-    return table.mapInArrow(_read(path), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return table.mapInArrow(lean(_read(path)), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def tokens_round_trip(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelmill.llm.common import materialize, shared_path, text_batches
+from pixelmill.llm.common import lean, materialize, shared_path, text_batches
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 #: Bytes of records after which an archive is closed, and bytes read at once.
@@ -131,16 +131,14 @@ def _write(path: str):
 
         def close():
             fs.create_dir(folder, recursive=True)
-            final = f"{folder}/part-{part:05d}-{seq:04d}.wacz"
-            name = f"{folder}/.{uuid.uuid4().hex}"
-            with fs.open_output_stream(name) as out:
+            final = f"{folder}/part-{part:05d}-{seq:04d}-{uuid.uuid4().hex}.wacz"
+            with fs.open_output_stream(final) as out:
                 packed = io.BytesIO()
                 with zipfile.ZipFile(packed, "w", zipfile.ZIP_STORED) as z:
                     z.writestr(zipfile.ZipInfo(DATA), data.getbuffer())
                     z.writestr(zipfile.ZipInfo(INDEX), "\n".join(index))
                     z.writestr(zipfile.ZipInfo("datapackage.json"), json.dumps({"profile": "data-package", "resources": [{"path": DATA}, {"path": INDEX}]}))
                 out.write(packed.getbuffer())
-            fs.move(name, final)
             return pa.record_batch([pa.array([final]), pa.array([len(index)], pa.int64())], names=["file", "records"])
 
         for batch in batches:
@@ -219,9 +217,9 @@ def write_archives(pages: DataFrame, path: str, min_revisit: int = 1000) -> Data
 
     Of equal payloads of ``min_revisit`` bytes or more, the one with the largest page_id is a response (each of them, if it occurs
     twice), and others revisit it. Smaller ones are responses, as are rows without page_id. A null html is an empty payload, a null url
-    leaves out the field. Other columns are not read; an empty table gives no archive. Tasks that run again write the same names.
+    leaves out the field. Other columns are not read; an empty table gives no archive. Each attempt of a task writes archives of its own names, and the
+    table names those of the attempts that Spark committed; what others left behind is not read.
     """
-    text_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("binary"), F.lit("").cast("binary")).alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
     large = rows.where((F.length("payload") >= min_revisit) & F.col("page_id").isNotNull())
@@ -233,7 +231,8 @@ def write_archives(pages: DataFrame, path: str, min_revisit: int = 1000) -> Data
         joined = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALT)).cast("int")).join(salted, ["digest", "salt"], "left")
     refers = F.when((F.length("payload") >= min_revisit) & (F.col("page_id") < F.col("keep")), F.col("keep"))
     joined = joined.select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
-    return materialize(joined.mapInArrow(_write(path), "file string, records long"), "archives")
+    with text_batches(pages.sparkSession):
+        return materialize(joined.mapInArrow(lean(_write(path)), "file string, records long"), "archives")
 
 
 def read_archives(archives: DataFrame, path: str) -> DataFrame:
@@ -243,9 +242,9 @@ def read_archives(archives: DataFrame, path: str) -> DataFrame:
     """
     spark = archives.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    index = archives.select("file").repartition(n).mapInArrow(_index(path), "file string, at long, length long")
+    index = archives.select("file").repartition(n).mapInArrow(lean(_index(path)), "file string, at long, length long")
     spread = index.repartition(n, "file", F.floor(F.col("at") / READ_BYTES)).sortWithinPartitions("file", "at")
-    return spread.mapInArrow(_fetch(path), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
+    return spread.mapInArrow(lean(_fetch(path)), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
 
 
 def archives_round_trip(pages: DataFrame) -> DataFrame:

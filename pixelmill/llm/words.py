@@ -12,7 +12,7 @@ _ODD = (np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.
 class WordHashes(dict):
     """Word (bytes) to 64-bit hash; the cache is emptied at ``limit`` words, so memory stays bounded."""
 
-    def __init__(self, limit: int = 200_000):
+    def __init__(self, limit: int = 100_000):
         super().__init__()
         self.limit = limit
 

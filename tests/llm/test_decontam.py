@@ -32,7 +32,7 @@ def test_asked_again_with_other_values(spark):
 def test_like_brute_force_on_plain_words(spark, monkeypatch):
     rng = random.Random(4)
     words = [f"w{k}" for k in range(400)]
-    items = [(k, " ".join(rng.choices(words, k=rng.choice([5, 8, 12, 30, 60])))) for k in range(20)]
+    items = [(k, " ".join(rng.choices(words, k=rng.choice([3, 5, 8, 12, 30, 60])))) for k in range(20)]
     docs = []
     for k in range(150):
         w = rng.choices(words, k=rng.choice([0, 4, 50, 300]))
@@ -45,12 +45,13 @@ def test_like_brute_force_on_plain_words(spark, monkeypatch):
     want = []
     for d, text in docs:
         w = text.split()
-        have = {tuple(w[i : i + 8]) for i in range(len(w) - 7)}
         for i, t in items:
             u = t.split()
-            n = len(u) - 7
-            hit = sum(tuple(u[k : k + 8]) in have for k in range(max(0, n)))
-            if n > 0 and hit >= min(6, -(-n // 2)):
+            width = min(8, len(u))  # a shorter item is one window
+            have = {tuple(w[k : k + width]) for k in range(len(w) - width + 1)}
+            n = len(u) - width + 1
+            hit = sum(tuple(u[k : k + width]) in have for k in range(n))
+            if len(u) >= 4 and hit >= min(6, -(-n // 2)):
                 want.append((d, i))
     assert found(spark, docs, items) == sorted(want) and want
     monkeypatch.setattr(decontam, "MAX_BROADCAST", 1)
@@ -70,3 +71,43 @@ def test_names_that_begin_sentences_and_longer_values(spark):
     mixed = again.replace("Lena", "Omar", 1)
     docs = [(1, again), (2, "Some words here. " + longer + " And more."), (3, mixed), (4, "Rain fell. " * 30)]
     assert found(spark, docs, [(10, item)]) == [(1, 10), (2, 10)]
+
+
+def test_short_items(spark):
+    docs = [(1, "Then she asked: what is 31 times 8? Nobody knew."), (2, "What is 31 times as hard"), (3, "what is this times that"), (4, "is 12 times")]
+    assert found(spark, docs, [(10, "What is 12 times 7?"), (11, "is 12 times")]) == [(1, 10)]
+
+
+def test_templates_like_brute_force(spark):
+    """Questions of a template with one-word values: a document holds one if its words are the question's, but for values that stand for others one to one."""
+    rng = random.Random(11)
+    names, numbers = ["Anna", "Bert", "Carl", "Dora", "Emil", "Fred"], ["3", "45", "1,200", "7.5", "99", "18"]
+    words = [f"w{k}" for k in range(60)]
+
+    def question(form, values):
+        return " ".join(values[w] if w in values else w for w in form)
+
+    def values(a, b, c, d):
+        return {"<a>": a, "<b>": b, "<c>": c, "<d>": d}
+
+    items, docs, want = [], [], []
+    for i in range(12):
+        form = rng.choices(words, k=24)
+        for k, slot in zip(rng.sample(range(1, 24, 2), 6), ["<a>", "<b>", "<c>", "<d>", "<a>", "<c>"]):
+            form[k] = slot
+        first = values(*rng.sample(names, 2), *rng.sample(numbers, 2))
+        items.append((i, question(form, first)))
+        for _ in range(8):
+            new = values(*(rng.choice(names) for _ in "ab"), *(rng.choice(numbers) for _ in "cd"))
+            docs.append((len(docs), "x y z " + question(form, new) + " z y x"))
+            # plain windows suffice as well; templates need at least one slot, at least four plain words and as many windows
+            u, w = items[-1][1].split(), question(form, new).split()
+            plain = sum(u[k : k + 8] == w[k : k + 8] for k in range(17))
+            slots = [sum(x[0] == "<" for x in form[k : k + 8]) for k in range(17)]
+            fits = [k for k in range(17) if u[k : k + 8] == w[k : k + 8] or 0 < slots[k] <= 4]
+            shown = {x for k in fits for x in form[k : k + 8] if x in first and slots[k] <= 4}
+            one_to_one = len({new[x] for x in shown}) == len(shown)
+            if plain >= 6 or one_to_one and len(fits) >= 6:
+                want.append((docs[-1][0], i))
+    got = found(spark, docs, items)
+    assert got == sorted(want) and 20 < len(want) < len(docs)
