@@ -43,7 +43,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 @contextmanager
-def text_batches(spark: SparkSession, rows: int = 2000, size: int = 4 << 20) -> Iterator[None]:
+def text_batches(spark: SparkSession, rows: int = 1000, size: int = 2 << 20) -> Iterator[None]:
     """While it is open, whole texts go to Python in small Arrow batches, which JVM and worker each hold.
 
     A batch ends at ``rows`` rows or ``size`` bytes, or at the session's own bounds where they are less. What is planned within has to run within

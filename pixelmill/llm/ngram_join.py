@@ -76,12 +76,12 @@ def _may_link(percent: int):
     return run
 
 
-PROFILE = "kind int, a long, b long, c long, bits binary, items array<long>"
+PROFILE = "kind int, a long, b long, c long, bits binary"
 
 
 def _profile(width: int):
-    """Rows of kind 0: (doc_id, size, id, bitmap, items) of each set, the items once a task; of kind 1: shingles seen again and how often."""
-    names = ["kind", "a", "b", "c", "bits", "items"]
+    """Rows of kind 0: (doc_id, size, id, bitmap) of each set; of kind 1: shingles seen again and how often."""
+    names = ["kind", "a", "b", "c", "bits"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, held, n_held = WordHashes(), [], 0
@@ -89,19 +89,17 @@ def _profile(width: int):
         def frequent():
             v, c = np.unique(np.concatenate(held), return_counts=True)
             v, c = v[c > 1].view(np.int64), c[c > 1]
-            return pa.record_batch([pa.array(np.ones(len(v), np.int32)), pa.array(v), pa.array(c.astype(np.int64)), pa.array(np.zeros(len(v), np.int64)), pa.nulls(len(v), pa.binary()), pa.nulls(len(v), pa.list_(pa.int64()))], names=names)
+            return pa.record_batch([pa.array(np.ones(len(v), np.int32)), pa.array(v), pa.array(c.astype(np.int64)), pa.array(np.zeros(len(v), np.int64)), pa.nulls(len(v), pa.binary())], names=names)
 
         seen: set[int] = set()
         for batch in batches:
-            keys, n, ids, bits, items = batch.column("doc_id").to_pylist(), [], [], [], []
-            for key, text in zip(keys, batch.column("text"), strict=True):
+            n, ids, bits = [], [], []
+            for text in batch.column("text"):
                 s = shingle_set(cache, text.as_py(), width)
                 n.append(len(s))
                 bits.append(_bitmap(s) if len(s) else None)
                 ids.append(_set_id(s) if len(s) else 0)
-                new = key is not None and len(s) and ids[-1] not in seen
-                items.append(s.view(np.int64) if new else None)
-                if new:
+                if len(s) and ids[-1] not in seen:
                     seen.add(ids[-1])
                     held.append(s)
                     n_held += len(s)
@@ -110,7 +108,7 @@ def _profile(width: int):
                     held, n_held = [], 0
             if len(seen) > 1_000_000:
                 seen.clear()
-            yield pa.record_batch([pa.array(np.zeros(len(n), np.int32)), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(bits, pa.binary()), pa.array(items, pa.list_(pa.int64()))], names=names)
+            yield pa.record_batch([pa.array(np.zeros(len(n), np.int32)), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(bits, pa.binary())], names=names)
         if held:
             yield frequent()
 
@@ -121,17 +119,26 @@ def _needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def _signatures(percent: int, boundary: int, hot: np.ndarray, hot_n: np.ndarray):
+def _signatures(width: int, percent: int, boundary: int, hot: np.ndarray, hot_n: np.ndarray):
     """Rows (sig, fp, n, pos): lists to which a set belongs; pos is such that at most 1 + (n - pos - 1) can be common."""
     pairs: dict[int, tuple] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache, seen = WordHashes(), set()
         for batch in batches:
             sig, fp, size, pos = [], [], [], []
             rows = 0
-            for i, items in zip(batch.column("fp").to_pylist(), batch.column("items"), strict=True):
-                s = items.values.to_numpy().view(np.uint64)
+            for text in batch.column("text"):
+                s = shingle_set(cache, text.as_py(), width)
                 n = len(s)
+                if n < 2:  # one shingle links with an equal set only
+                    continue
+                i = _set_id(s)
+                if i in seen:
+                    continue
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                seen.add(i)
                 if len(hot):
                     at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
                     c = np.where(hot[at] == s, hot_n[at], 0)
@@ -154,7 +161,7 @@ def _signatures(percent: int, boundary: int, hot: np.ndarray, hot_n: np.ndarray)
                 rows += k
                 fp.append(np.full(k, i, np.int64))
                 size.append(np.full(k, n, np.int32))
-                if rows > 200_000:
+                if rows > 100_000:
                     yield _posting(sig, fp, size, pos)
                     sig, fp, size, pos, rows = [], [], [], [], 0
             if rows:
@@ -275,6 +282,27 @@ def _cut_lists(named: DataFrame, long: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("sig", "kind", "i", "j").applyInArrow(_between(percent), "p long, q long, cp long, cq long")
 
 
+def _sets(width: int):
+    """Rows (fp, items) of the sets of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = WordHashes()
+        for batch in batches:
+            fps, sets, size = [], [], 0
+            for text in batch.column("text"):
+                s = shingle_set(cache, text.as_py(), width)
+                fps.append(_set_id(s) if len(s) else 0)
+                sets.append(s.view(np.int64))
+                size += len(s)
+                if size > 100_000:
+                    yield pa.record_batch([pa.array(fps, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "items"])
+                    fps, sets, size = [], [], 0
+            if fps:
+                yield pa.record_batch([pa.array(fps, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "items"])
+
+    return run
+
+
 def _boundary(sizes: list[tuple[int, int]], percent: int, list_length: float, top: int = 48) -> int:
     """The size up to which enumerating 2-subsets costs less than posting to lists and scanning them.
 
@@ -305,12 +333,14 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 75) -> Dat
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     with text_batches(spark):
         found = materialize(docs.mapInArrow(lean(_profile(width)), PROFILE), "profile")
-    with text_batches(spark, rows=10_000, size=8 << 20):
-        return _components(found, percent)
+        return _components(docs, found, width, percent)
 
 
-def _components(found: DataFrame, percent: int) -> DataFrame:
-    """The rows of ``similar_documents`` from those of ``_profile``."""
+def _components(docs: DataFrame, found: DataFrame, width: int, percent: int) -> DataFrame:
+    """The rows of ``similar_documents`` from the documents and the rows of ``_profile``.
+
+    Sets are made from the texts again where they are needed: they are larger than the texts, and columns of them take much memory in the executors.
+    """
     spark = found.sparkSession
     sets = found.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), F.col("c").alias("fp"))
     frequent = found.where("kind = 1").groupBy("a").agg(F.sum("b").alias("b")).where("b >= 4")
@@ -335,10 +365,9 @@ def _components(found: DataFrame, percent: int) -> DataFrame:
     share_hot = spark.sparkContext.broadcast((hot, hot_n))
 
     def sign(batches):
-        return _signatures(percent, boundary, *share_hot.value)(batches)
+        return _signatures(width, percent, boundary, *share_hot.value)(batches)
 
-    items = found.where("kind = 0 and items is not null").select(F.col("c").alias("fp"), "items")
-    postings = items.where("size(items) > 1").mapInArrow(lean(sign), "sig long, fp long, n int, pos int")  # one shingle links with an equal set only
+    postings = docs.where("doc_id is not null").mapInArrow(lean(sign), "sig long, fp long, n int, pos int")
     lists = materialize(
         postings.repartition("sig").sortWithinPartitions("sig", "n", "fp")
         .mapInArrow(lean(_shared()), "sig long, fp long, n int, pos int"), "lists")
@@ -351,10 +380,12 @@ def _components(found: DataFrame, percent: int) -> DataFrame:
         x = maps.select(F.col("fp").alias("p"), F.col("n"), F.col("bits").alias("x"))
         y = maps.select(F.col("fp").alias("q"), F.col("n").alias("m"), F.col("bits").alias("y"))
         likely = materialize(pairs.join(x, "p").join(y, "q").mapInArrow(lean(_may_link(percent)), "p long, q long, cp long, cq long"), "likely")
-        chosen = materialize(likely.select(F.col("p").alias("fp")).union(likely.select("q")).distinct(), "chosen")
+        ids = likely.select(F.col("p").alias("fp")).union(likely.select("q")).distinct()
+        chosen = materialize(representative.join(ids, "fp", "left_semi").select("doc_id"), "chosen")
         if chosen.count() <= MAX_BROADCAST:
             chosen = F.broadcast(chosen)
-        links = _verified(likely, items.join(chosen, "fp", "left_semi").dropDuplicates(["fp"]), percent)
+        items = docs.join(chosen, "doc_id", "left_semi").select("text").mapInArrow(lean(_sets(width)), "fp long, items array<long>")
+        links = _verified(likely, items.dropDuplicates(["fp"]), percent)
         return materialize(connected_components(links.select("cp", "cq").distinct(), "cp", "cq"), "joined")
 
     # Sets that link share many lists, so a sixteenth of the lists joins nearly all, and all of them the rest. In the first look a list's
