@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,11 +51,39 @@ def convert(px: DataFrame, channels: list[str], space: str) -> DataFrame:
     return px.withColumns(dict(zip(channels, made, strict=True)))
 
 
+def hsv_to_rgb(h: Column, s: Column, v: Column) -> list[Column]:
+    """Red, green and blue, from 0 to 1, of hue, saturation and value."""
+    part = lambda n: v - v * s * F.greatest(F.lit(0.0), F.least(F.pmod(n + h * 6, F.lit(6.0)), 4 - F.pmod(n + h * 6, F.lit(6.0)), F.lit(1.0)))
+    return [part(F.lit(n)) for n in (5.0, 3.0, 1.0)]
+
+
+def xyz_to_rgb(x: Column, y: Column, z: Column) -> list[Column]:
+    """Red, green and blue of CIE XYZ, held between 0 and 1."""
+    back = np.linalg.inv(np.array(RGB_TO_XYZ)).tolist()
+    linear = [F.greatest(sum(F.lit(m) * c for m, c in zip(row, (x, y, z), strict=True)), F.lit(0.0)) for row in back]
+    return [F.least(F.when(c > 0.0031308, 1.055 * F.pow(c, F.lit(1 / 2.4)) - 0.055).otherwise(12.92 * c), F.lit(1.0)) for c in linear]
+
+
+def lab_to_rgb(light: Column, a: Column, b: Column) -> list[Column]:
+    """Red, green and blue of CIE L*a*b*."""
+    fy = (light + 16) / 116
+    back = [F.when(f > 0.2068966, F.pow(f, F.lit(3.0))).otherwise((f - 16 / 116) / 7.787) * w for f, w in zip((fy + a / 500, fy, fy - b / 200), WHITE, strict=True)]
+    return xyz_to_rgb(*back)
+
+
+BACK = {"rgb": lambda *c: list(c), "hsv": hsv_to_rgb, "xyz": xyz_to_rgb, "lab": lab_to_rgb}
+
+
+def convert_back(px: DataFrame, channels: list[str], space: str) -> DataFrame:
+    """Channels of a colour space (rgb, hsv, xyz, lab) as red, green and blue, under the same names."""
+    return px.withColumns(dict(zip(channels, BACK[space](*map(F.col, channels)), strict=True)))
+
+
 def scale_range(px: DataFrame, channel: str) -> DataFrame:
     """A channel of each image stretched from 0 to 1; 0 where it is flat."""
     ends = px.groupBy(*KEY).agg(F.min(channel).alias("_lo"), F.max(channel).alias("_hi"))
     value = F.when(F.col("_hi") > F.col("_lo"), (F.col(channel) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)
-    return px.join(F.broadcast(ends), KEY).withColumn(channel, value).drop("_lo", "_hi")
+    return px.join(ends, KEY).withColumn(channel, value).drop("_lo", "_hi")
 
 
 def scale_quantiles(px: DataFrame, channel: str, low: float = 0.02, high: float = 0.98) -> DataFrame:
@@ -62,7 +91,7 @@ def scale_quantiles(px: DataFrame, channel: str, low: float = 0.02, high: float
     q = px.groupBy(*KEY).agg(F.percentile(channel, F.array(F.lit(low), F.lit(high))).alias("_q"))
     lo, hi = F.col("_q")[0], F.col("_q")[1]
     value = F.when(hi > lo, (F.least(F.greatest(F.col(channel).cast("double"), lo), hi) - lo) / (hi - lo)).otherwise(0.0)
-    return px.join(F.broadcast(q), KEY).withColumn(channel, value).drop("_q")
+    return px.join(q, KEY).withColumn(channel, value).drop("_q")
 
 
 def distinct_colors(px: DataFrame, channels: list[str]) -> DataFrame:
@@ -79,14 +108,14 @@ def frequent_colors(px: DataFrame, channels: list[str], ratio: float = 0.001) ->
 
 def colors_to_labels(px: DataFrame, palette: DataFrame, channels: list[str], strict: bool = False) -> DataFrame:
     """Adds ``label`` by a palette (channels, label); -1 for other colours, or an error if ``strict``."""
-    out = px.join(F.broadcast(palette), channels, "left")
+    out = px.join(palette, channels, "left")
     other = F.raise_error(F.lit("a pixel's colour is not in the palette")).cast("int") if strict else F.lit(-1)
     return out.withColumn("label", F.coalesce("label", other))
 
 
 def labels_to_colors(seg: DataFrame, label: str, palette: DataFrame, channels: list[str]) -> DataFrame:
     """Adds a label's colour; a label without one is an error."""
-    out = seg.join(F.broadcast(palette.withColumnRenamed("label", label)), label, "left")
+    out = seg.join(palette.withColumnRenamed("label", label), label, "left")
     missing = F.raise_error(F.lit("a label has no colour")).cast("int")
     return out.withColumns({c: F.when(F.col(c).isNull(), missing).otherwise(F.col(c)) for c in channels})
 

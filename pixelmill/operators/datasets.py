@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pixelmill.operators.ranks import ranked
+
 
 def unique_rows(rows: DataFrame, label: str, features: str, digits: int = 3) -> DataFrame:
     """Distinct (label, rounded features)."""
@@ -23,7 +27,7 @@ def balance(rows: DataFrame, label: str, key: str, groups: tuple[str, ...] = (),
     least = least.groupBy(*g).agg(F.min("_n").alias("_k")) if g else least.agg(F.min("_n").alias("_k"))
     before = n.withColumn("_before", F.sum("_n").over(Window.partitionBy(*g, label).orderBy("_b")) - F.col("_n")).select(*g, label, "_b", "_before")
     ranked = hashed.join(before, [*g, label, "_b"]).withColumn("_r", F.col("_before") + F.row_number().over(Window.partitionBy(*g, label, "_b").orderBy("_h", key)))
-    ranked = ranked.join(F.broadcast(least), g) if g else ranked.join(F.broadcast(least), F.lit(True))
+    ranked = ranked.join(least, g) if g else ranked.join(F.broadcast(least), F.lit(True))
     return ranked.where("_r <= _k").drop("_h", "_b", "_before", "_r", "_k")
 
 
@@ -33,10 +37,9 @@ def sizes(rows: DataFrame, groups: list[str], label: str) -> DataFrame:
 
 
 def group_folds(rows: DataFrame, group: str, hold_out: int) -> DataFrame:
-    """Adds ``fold``: groups in order, ``hold_out`` of them a fold, so that no group is in two folds."""
-    ids = rows.select(group).distinct()
-    fold = ids.withColumn("fold", F.floor((F.row_number().over(Window.orderBy(group)) - 1) / hold_out).cast("int"))
-    return rows.join(F.broadcast(fold), group)
+    """Adds ``fold``: groups in order, ``hold_out`` of them a fold, so that no group is in two folds. Rows without a group are left out."""
+    ids = ranked(rows.select(group).where(F.col(group).isNotNull()).distinct(), [F.col(group)], "_r")
+    return rows.join(ids.select(group, F.floor(F.col("_r") / hold_out).cast("int").alias("fold")), group)
 
 
 def fold_table(n: int, hold_out: int) -> list[list[int]]:
@@ -50,3 +53,28 @@ def hold_out(rows: DataFrame, key: str, share: float, seed: int = 0) -> tuple[Da
     """Training rows and a seeded share of rows held out, by a hash of the key."""
     out = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20))
     return rows.where(~out), rows.where(out)
+
+
+def shuffled(rows: DataFrame, key: str, seed: int = 0, name: str = "place") -> DataFrame:
+    """Adds the place, from 0, of each row in an order that a seeded hash of its key gives."""
+    return ranked(rows.withColumn("_h", F.xxhash64(key, F.lit(seed))), [F.col("_h"), F.col(key)], name).drop("_h")
+
+
+def balance_by_kmeans(rows: DataFrame, label: str, key: str, features: str = "features", n: int | None = None, seed: int = 1) -> DataFrame:
+    """For each label the rows nearest to the centres of n clusters of its rows, n the size of the rarest label unless given; at most n a label.
+
+    Labels are few: each has a model of its own. Rows that are equally near count by their keys.
+    """
+    counts = {r[label]: r["count"] for r in rows.groupBy(label).count().collect()}
+    n, out = n or min(counts.values()), None
+    for value, size in sorted(counts.items()):
+        part = rows.where(F.col(label) == value)
+        if size > n:
+            model = KMeans(featuresCol="_v", predictionCol="_c", k=n, seed=seed).fit(part.withColumn("_v", array_to_vector(features)))
+            centres = part.sparkSession.createDataFrame([(k, [float(x) for x in c]) for k, c in enumerate(model.clusterCenters())], "_c int, _m array<double>")
+            near = model.transform(part.withColumn("_v", array_to_vector(features))).drop("_v").join(centres, "_c")
+            far = F.aggregate(F.zip_with(features, "_m", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x)
+            best = near.groupBy("_c").agg(F.min(F.struct(far.alias("d"), F.col(key).alias("k")))["k"].alias(key)).select(key).distinct()
+            part = part.join(best, key, "left_semi")
+        out = part if out is None else out.unionByName(part)
+    return out

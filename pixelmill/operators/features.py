@@ -83,7 +83,18 @@ def main_axis(px: DataFrame, segment: str) -> DataFrame:
 
 
 def disk_histogram(px: DataFrame, label: str, pts: DataFrame, radii: list[int], rings: bool = True) -> DataFrame:
-    """Label shares around points: (img, idx, radius, label, n, size), within disks or the rings between them.
+    """Label counts around points: (img, idx, radius, label, n, size), within disks or the rings between them."""
+    n = near_points(px, [label], pts, radii, rings).groupBy(*KEY, "idx", "radius", label).agg(F.count("*").alias("n"))
+    return n.withColumn("size", F.sum("n").over(Window.partitionBy(*KEY, "idx", "radius")))
+
+
+def disk_means(px: DataFrame, values: list[str], pts: DataFrame, radii: list[int], rings: bool = True) -> DataFrame:
+    """Means of values, as of class probabilities, around points: (img, idx, radius, size, values...)."""
+    return near_points(px, values, pts, radii, rings).groupBy(*KEY, "idx", "radius").agg(F.count("*").alias("size"), *[(F.sum(v) / F.count("*")).alias(v) for v in values])
+
+
+def near_points(px: DataFrame, columns: list[str], pts: DataFrame, radii: list[int], rings: bool) -> DataFrame:
+    """Pixels within the largest radius of points (img, idx, y, x), with the radius of the ring, or of each disk, that they are in.
 
     Points reach the cells of a grid as wide as the largest disk, so pixels and points meet by an equi-join on the cell.
     """
@@ -93,7 +104,7 @@ def disk_histogram(px: DataFrame, label: str, pts: DataFrame, radii: list[int],
     around = F.array(F.lit(-1), F.lit(0), F.lit(1))
     p = p.withColumn("_dy", F.explode(around)).withColumn("_dx", F.explode(around))
     p = p.withColumn("_cy", cell("_y") + F.col("_dy")).withColumn("_cx", cell("_x") + F.col("_dx"))
-    near = px.select(*KEY, "y", "x", label, cell("y").alias("_cy"), cell("x").alias("_cx")).join(p, [*KEY, "_cy", "_cx"])
+    near = px.select(*KEY, "y", "x", *columns, cell("y").alias("_cy"), cell("x").alias("_cx")).join(p, [*KEY, "_cy", "_cx"])
     d2 = (F.col("y") - F.col("_y")) * (F.col("y") - F.col("_y")) + (F.col("x") - F.col("_x")) * (F.col("x") - F.col("_x"))
     near = near.withColumn("_d2", d2).where(F.col("_d2") <= r * r)
     order = sorted(radii)
@@ -104,5 +115,4 @@ def disk_histogram(px: DataFrame, label: str, pts: DataFrame, radii: list[int],
         near = near.withColumn("radius", ring)
     else:
         near = near.withColumn("radius", F.explode(F.filter(F.array(*map(F.lit, order)), lambda q: F.col("_d2") <= q * q)))
-    n = near.groupBy(*KEY, "idx", "radius", label).agg(F.count("*").alias("n"))
-    return n.withColumn("size", F.sum("n").over(Window.partitionBy(*KEY, "idx", "radius")))
+    return near

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import itertools
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from pixelmill.session import checkpoint_folder
 KEY = ["img"]
 #: Edge weights are kept between 1 / MAX_WEIGHT and MAX_WEIGHT, pairwise costs below MAX_COST.
 MAX_WEIGHT, MAX_COST = 1000.0, 100000.0
+MAX_CLASSES = 1000
 
 
 def adjacency(px: DataFrame, segment: str, axes: tuple[str, ...] = ("y", "x")) -> DataFrame:
@@ -62,7 +65,7 @@ def array_distance(metric: str, a: str, b: str) -> Column:
     raise ValueError(f"unknown metric {metric}")
 
 
-def edge_weights(edges: DataFrame, kind: str, sp: DataFrame | None = None, centres: DataFrame | None = None, segment: str = "lb", values: str = "proba") -> DataFrame:
+def edge_weights(edges: DataFrame, kind: str, sp: DataFrame | None = None, centres: DataFrame | None = None, segment: str = "lb", values: str = "proba", axes: tuple[str, ...] = ("y", "x")) -> DataFrame:
     """Adds ``w``: (img, src, dst, w).
 
     ``model``, ``model_l1``, ``model_l2``, ``model_lT``: decay of the distance of class probabilities (array ``values`` of ``sp``);
@@ -86,7 +89,7 @@ def edge_weights(edges: DataFrame, kind: str, sp: DataFrame | None = None, centr
     if kind in ("model", "features", "color", "spatial"):
         if centres is None:
             raise ValueError(f"{kind} needs centroids")
-        far = spatial_distance(edges, centres, segment, relative=True)
+        far = spatial_distance(edges, centres, segment, axes, relative=True)
         out = out.join(far, [*KEY, "src", "dst"]).withColumn("w", F.col("w") / F.col("distance"))
     return out.select(*KEY, "src", "dst", F.greatest(F.least("w", F.lit(MAX_WEIGHT)), F.lit(1 / MAX_WEIGHT)).alias("w"))
 
@@ -101,6 +104,8 @@ def transitions(edges: DataFrame, sp: DataFrame, segment: str, label: str) -> Da
 def pairwise_from_transitions(trans: DataFrame, least: float = 1e-9) -> DataFrame:
     """Costs (l1, l2, cost) = -log of the larger of both column shares, pairs never seen at the least probability."""
     ids = trans.select(F.col("l1").alias("l2")).distinct()
+    if ids.count() > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} labels; costs of all their pairs are meant for classes")
     grid = ids.withColumnRenamed("l2", "l1").join(F.broadcast(ids), F.lit(True))
     share = grid.join(trans, ["l1", "l2"], "left").fillna(0.0, ["n"]).withColumn("r", F.col("n") / F.sum("n").over(Window.partitionBy("l2")))
     turned = share.select(F.col("l1").alias("l2"), F.col("l2").alias("l1"), F.col("r").alias("t"))
@@ -147,51 +152,97 @@ def energy(unary: DataFrame, edges: DataFrame, labels: DataFrame, matrix: list[l
     return u.join(e, KEY, "left").select(*KEY, (F.col("u") + F.coalesce("e", F.lit(0.0))).alias("energy"))
 
 
-def regularise(unary: DataFrame, edges: DataFrame, matrix: list[list[float]], segment: str = "lb", rounds: int = 20) -> DataFrame:
-    """Labels (img, segment, label) that lower unary plus weighted pairwise cost, by rounds of conditional modes.
+def regularise(unary: DataFrame, edges: DataFrame, matrix: list[list[float]], segment: str = "lb") -> DataFrame:
+    """Labels (img, segment, label) that lower unary (img, segment, cls, cost) plus weighted pairwise cost, by rounds of conditional modes.
 
-    Segments are dealt into colours by a hash, and one colour at a time takes its best label given its neighbours', so that all images move
-    together. A segment only changes if no neighbour of its colour gains more, so the energy never rises. This replaces the
-    sequential max-flow of alpha expansion by joins; it ends in a local minimum, as that does.
+    A segment takes its best label given its neighbours' if no neighbour gains more in the same round, so the energy falls with each round, and
+    rounds go on until nothing changes. This replaces the max-flow of alpha expansion; it ends in a local minimum, as that does. An
+    image's segments are one group, so all images are settled side by side.
     """
-    pair = F.array(*[F.array(*map(F.lit, r)) for r in matrix])
-    checkpoint_folder(unary.sparkSession)
-    unary = unary.checkpoint()
-    labels = best_labels(unary, [*KEY, segment]).checkpoint()
-    both = edges.select(*KEY, F.col("src").alias(segment), F.col("dst").alias("_n"), "w").union(edges.select(*KEY, "dst", "src", "w")).checkpoint()
-    for _ in range(rounds):
-        beside = both.join(labels.select(*KEY, F.col(segment).alias("_n"), F.col("label").alias("_l")), [*KEY, "_n"])
-        pull = unary.join(beside, [*KEY, segment], "left").groupBy(*KEY, segment, "cls", "cost").agg(F.sum(F.coalesce(F.col("w") * pair[F.col("_l")][F.col("cls")], F.lit(0.0))).alias("_p"))
-        total = pull.withColumn("_t", F.col("cost") + F.col("_p"))
-        best = total.groupBy(*KEY, segment).agg(F.min(F.struct("_t", "cls")).alias("_b"))
-        now = total.join(labels, [*KEY, segment]).where("cls = label").select(*KEY, segment, F.col("_t").alias("_c"))
-        gain = best.join(now, [*KEY, segment]).select(*KEY, segment, F.col("_b.cls").alias("_new"), (F.col("_c") - F.col("_b._t")).alias("_gain")).where("_gain > 1e-9").checkpoint()
-        rank = F.struct(F.col("_gain"), -F.col(segment))
-        rival = both.join(gain.select(*KEY, F.col(segment).alias("_n"), F.struct("_gain", -F.col(segment)).alias("_r")), [*KEY, "_n"]).groupBy(*KEY, segment).agg(F.max("_r").alias("_r"))
-        moves = gain.join(rival, [*KEY, segment], "left").where(F.col("_r").isNull() | (rank > F.struct(F.col("_r._gain"), F.col("_r.col2")))).select(*KEY, segment, "_new").checkpoint()
-        if moves.isEmpty():
-            break
-        labels = labels.join(moves, [*KEY, segment], "left").select(*KEY, segment, F.coalesce("_new", "label").alias("label")).checkpoint()
-    return labels
+    costs = unary.select(*KEY, F.col(segment).alias("_s"), F.col("cls").cast("long").alias("_c"), F.col("cost").cast("double").alias("_v"), F.lit(None).cast("long").alias("_f"))
+    return _settled(costs, edges, matrix, False).select(*KEY, F.col("_s").cast(dict(unary.dtypes)[segment]).alias(segment), "label")
+
+
+def grown(unary: DataFrame, edges: DataFrame, seeds: DataFrame, matrix: list[list[float]], segment: str) -> DataFrame:
+    """As ``regularise``, but from seeds (img, segment, label), which keep their labels: all else begins as 0, and a segment may only take 0's place with a
+    label above 0 that a neighbour has."""
+    fixed = seeds.select(*KEY, F.col(segment).alias("_s"), F.col("label").cast("long").alias("_f"))
+    costs = unary.select(*KEY, F.col(segment).alias("_s"), F.col("cls").cast("long").alias("_c"), F.col("cost").cast("double").alias("_v")).join(fixed, [*KEY, "_s"], "left")
+    kind = dict(unary.dtypes)[segment]
+    return _settled(costs.select(*KEY, "_s", "_c", "_v", "_f"), edges, matrix, True).select(*KEY, F.col("_s").cast(kind).alias(segment), "label")
+
+
+def _settled(costs: DataFrame, edges: DataFrame, matrix: list[list[float]], beside: bool) -> DataFrame:
+    """Rows (img, _s, label): the labels of the segments of each image after rounds of conditional modes."""
+    pair = np.array(matrix, float)
+    e = edges.select(F.col("img").alias("_img"), F.col("src").cast("long").alias("_a"), F.col("dst").cast("long").alias("_b"), F.col("w").cast("double").alias("_w"))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, row = np.unique(left.column("_s").to_numpy().astype(np.int64), return_inverse=True)
+        cost = np.full((len(ids), len(pair)), np.inf)
+        cost[row, left.column("_c").to_numpy()] = left.column("_v").to_numpy()
+        given = np.full(len(ids), -1, np.int64)
+        given[row] = left.column("_f").fill_null(-1).to_numpy()
+        a, b, w = (right.column(c).to_numpy() for c in ("_a", "_b", "_w"))
+        known = np.isin(a, ids) & np.isin(b, ids)
+        a, b, w = np.searchsorted(ids, a[known]), np.searchsorted(ids, b[known]), w[known]
+        labels = _modes(cost, np.r_[a, b], np.r_[b, a], np.r_[w, w], pair, given, beside)
+        img = left.column("img")[0].as_py() if len(left) else None
+        return pa.table({"img": pa.array([img] * len(ids), left.schema.field("img").type), "_s": pa.array(ids), "label": pa.array(labels.astype(np.int32))})
+
+    kind = dict(costs.dtypes)["img"]
+    return costs.groupBy(*KEY).cogroup(e.groupBy("_img")).applyInArrow(run, f"img {kind}, _s long, label int")
+
+
+def _modes(cost: np.ndarray, near: np.ndarray, other: np.ndarray, w: np.ndarray, pair: np.ndarray, given: np.ndarray, beside: bool) -> np.ndarray:
+    n = np.arange(len(cost))
+    labels = np.where(given >= 0, given, 0) if beside else cost.argmin(axis=1)
+    while True:  # the energy falls by more than 1e-9 in each round
+        total = cost.copy()
+        np.add.at(total, near, w[:, None] * pair[labels[other]])
+        if beside:
+            may = np.zeros(total.shape, bool)
+            may[near, labels[other]] = labels[other] > 0
+            may[n, labels] = True
+            total[~may] = np.inf
+        best = total.argmin(axis=1)
+        gain = np.where((given >= 0) & beside, 0.0, total[n, labels] - total[n, best])
+        open_ = gain > 1e-9
+        if not open_.any():
+            return labels
+        rank = np.empty(len(n), np.int64)
+        rank[np.lexsort((-n, gain))] = n
+        rank[~open_] = -1
+        rival = np.full(len(n), -1, np.int64)
+        np.maximum.at(rival, near, rank[other])
+        wins = open_ & (rank > rival)
+        labels = np.where(wins, best, labels)
 
 
 def components(edges: DataFrame, nodes: DataFrame, rounds: int | None = None) -> DataFrame:
-    """Components of an undirected graph: (img, node, component), the smallest node reachable, by spreading minima and jumping."""
+    """Components of an undirected graph: (img, node, component), the smallest node reachable.
+
+    Rounds of two steps: each node's larger neighbours, then its smaller ones and itself, are tied to the smallest of them. Rounds grow with
+    the logarithm of the longest path, each is a grouped minimum and a join, and edges never become more.
+    """
     checkpoint_folder(edges.sparkSession)
-    both = edges.select(*KEY, F.col("src").alias("node"), F.col("dst").alias("_n")).union(edges.select(*KEY, "dst", "src")).distinct().checkpoint()
-    state = nodes.select(*KEY, "node", F.col("node").alias("component")).checkpoint()
-    for _ in itertools.count() if rounds is None else range(rounds):  # minima only fall, so it ends
-        near = both.join(state.select(*KEY, F.col("node").alias("_n"), F.col("component").alias("_c")), [*KEY, "_n"]).groupBy(*KEY, "node").agg(F.min("_c").alias("_c"))
-        step = state.join(near, [*KEY, "node"], "left").select(*KEY, "node", "component", F.least("component", "_c").alias("_c"))
-        jump = step.select(*KEY, F.col("node").alias("_c"), F.col("_c").alias("_d"))
-        new = step.join(jump, [*KEY, "_c"]).select(*KEY, "node", F.col("component").alias("_old"), F.least("_c", "_d").alias("component")).checkpoint()
-        moved = not new.where("_old <> component").isEmpty()
-        state = new.drop("_old")
-        if not moved:
+    e = edges.select(*KEY, F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct().checkpoint()
+    mark = lambda e: tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64(*KEY, "u", "v"))).first())
+    known = mark(e)
+    for _ in itertools.count() if rounds is None else range(rounds):
+        both = e.union(e.select(*KEY, F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy(*KEY, "u").agg(F.least("u", F.min("v")).alias("m"))
+        large = both.where("v > u").join(low, [*KEY, "u"]).select(*KEY, F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy(*KEY, "u").agg(F.min("v").alias("m"))
+        small = large.join(low, [*KEY, "u"]).select(*KEY, F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").union(low.select(*KEY, "u", F.col("m").alias("v"))).distinct()
+        e = small.checkpoint()
+        now = mark(e)
+        if now == known:
             break
+        known = now
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return state
+    return nodes.select(*KEY, "node").join(e.select(*KEY, F.col("u").alias("node"), "v"), [*KEY, "node"], "left").select(*KEY, "node", F.coalesce("v", "node").alias("component"))
 
 
 def color_edges(px: DataFrame, segment: str, channels: list[str]) -> DataFrame:

@@ -8,12 +8,15 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelmill.session import checkpoint_folder
 
 KEY = ["img"]
+BAND = 16
 
 
 def histogram_counts(seg: DataFrame, segment: str, label: str, dense: bool = True) -> DataFrame:
@@ -58,7 +61,7 @@ def overlap_matrix(seg: DataFrame, ref: str, est: str) -> DataFrame:
 def relabel_merge(seg: DataFrame, ref: str, est: str, keep_background: bool = False) -> DataFrame:
     """Relabel ``est`` by the ``ref`` label that overlaps most; several labels may get one name. Unknown pixels stay.
 
-    As in the reference, the table of new names runs over the longer side of the overlap matrix: with more estimated than reference labels
+    The table of new names runs over the longer side of the overlap matrix: with more estimated than reference labels
     it gives each estimated label its best reference label, otherwise row numbers are looked up by estimated label.
     """
     n = overlap_matrix(seg, ref, est).where(f"{ref} > 0 and {est} > 0" if keep_background else "true")
@@ -72,7 +75,7 @@ def relabel_merge(seg: DataFrame, ref: str, est: str, keep_background: bool = Fa
     if keep_background:
         new = F.when(F.col(est) == 0, 0).otherwise(new)
     lut = lut.select(*KEY, est, new.cast("int").alias("new"))
-    return seg.join(F.broadcast(lut), [*KEY, est], "left").withColumn("new", F.coalesce("new", est))
+    return seg.join(lut, [*KEY, est], "left").withColumn("new", F.coalesce("new", est))
 
 
 def relabel_unique(seg: DataFrame, ref: str, est: str) -> DataFrame:
@@ -85,7 +88,7 @@ def relabel_unique(seg: DataFrame, ref: str, est: str) -> DataFrame:
     left = overlap_matrix(seg, ref, est)
     order = F.struct("n", -F.col(ref), -F.col(est))
     done = None
-    for _ in range(64):
+    while True:  # each round takes the best overlap left of each image at least
         left = left.withColumn("_o", order)
         ranked = left.withColumn("_a", F.max("_o").over(Window.partitionBy(*KEY, ref))).withColumn("_b", F.max("_o").over(Window.partitionBy(*KEY, est)))
         taken = ranked.where("_o = _a and _o = _b").select(*KEY, ref, est).checkpoint()
@@ -153,20 +156,46 @@ def thick_boundary(seg: DataFrame, label: str) -> DataFrame:
 
 
 def distance_to(seg: DataFrame, mark: str) -> DataFrame:
-    """Adds ``d2``: squared distance to the nearest pixel of the image with ``mark`` = 1 (null if there is none).
+    """Adds ``d2``: squared distance to the nearest pixel of the image with ``mark`` = 1 (null if there is none)."""
+    return nearest_mark(seg, mark).drop("_ny", "_nx")
+
+
+def nearest_mark(seg: DataFrame, mark: str) -> DataFrame:
+    """Adds the place (_ny, _nx) of the nearest pixel with ``mark`` = 1, of equally near ones the first in row order, and ``d2``.
 
-    Two passes: the nearest mark along the column by windows, then the best of the row's columns by a join within the row, so a pixel
-    meets as many rows as the image is wide, not all marks.
+    Two passes: the nearest mark along the column by windows, then, for bands of ``BAND`` rows, the best column of the row in numpy; a pixel is
+    one row throughout, whatever the image's size.
     """
     down = Window.partitionBy(*KEY, "x").orderBy("y")
     at = F.when(F.col(mark) == 1, F.col("y"))
     above, below = F.last(at, True).over(down.rowsBetween(Window.unboundedPreceding, 0)), F.first(at, True).over(down.rowsBetween(0, Window.unboundedFollowing))
-    col = seg.withColumn("_g", F.least(F.col("y") - above, below - F.col("y")))
-    other = col.where(F.col("_g").isNotNull()).select(*KEY, "y", F.col("x").alias("_x"), F.col("_g").alias("_h"))
-    best = col.select(*KEY, "y", "x").join(other, [*KEY, "y"]).groupBy(*KEY, "y", "x").agg(F.min((F.col("x") - F.col("_x")) * (F.col("x") - F.col("_x")) + F.col("_h") * F.col("_h")).cast("long").alias("d2"))
+    col = seg.select(*KEY, "y", "x", above.alias("_a"), below.alias("_b"))
+    near = F.when(F.col("_a").isNull() | (F.col("_b") - F.col("y") < F.col("y") - F.col("_a")), F.col("_b")).otherwise(F.col("_a"))
+    kinds = dict(seg.dtypes)
+    rows = col.select(*KEY, "y", "x", near.cast("long").alias("_m"), F.floor(F.col("y") / BAND).alias("_band"))
+    best = rows.groupBy(*KEY, "_band").applyInArrow(_nearest_in_rows, f"img {kinds['img']}, y {kinds['y']}, x {kinds['x']}, d2 long, _ny {kinds['y']}, _nx {kinds['x']}")
     return seg.join(best, [*KEY, "y", "x"], "left")
 
 
+def _nearest_in_rows(table: pa.Table) -> pa.Table:
+    """The nearest of the marks that are known for the columns of each row, by (distance, y, x)."""
+    table = table.sort_by([("y", "ascending"), ("x", "ascending")])
+    y, x = (table.column(c).to_numpy().astype(np.int64) for c in ("y", "x"))
+    known, m = table.column("_m").is_valid().to_numpy(), table.column("_m").fill_null(0).to_numpy()
+    d2, ny, nx = (np.full(len(y), -1, np.int64) for _ in range(3))
+    cut = np.flatnonzero(np.r_[True, y[1:] != y[:-1], True])
+    for a, b in zip(cut[:-1], cut[1:], strict=True):
+        at = np.flatnonzero(known[a:b]) + a
+        at = at[np.lexsort((x[at], m[at]))]
+        for s in range(a, b, 512) if len(at) else ():
+            t = min(s + 512, b)
+            far = (x[s:t, None] - x[None, at]) ** 2 + (y[a] - m[None, at]) ** 2
+            k = far.argmin(axis=1)
+            d2[s:t], ny[s:t], nx[s:t] = far[np.arange(t - s), k], m[at[k]], x[at[k]]
+    none = d2 < 0
+    return pa.table({"img": table.column("img"), "y": table.column("y"), "x": table.column("x"), "d2": pa.array(d2, mask=none), "_ny": pa.array(ny, mask=none).cast(table.schema.field("y").type), "_nx": pa.array(nx, mask=none).cast(table.schema.field("x").type)})
+
+
 def boundary_distance(seg: DataFrame, ref: str, est: str) -> DataFrame:
     """For thick boundary pixels of ``ref``: (img, y, x, distance) to the nearest thick boundary pixel of ``est``."""
     marks = thick_boundary(seg, ref).withColumnRenamed("boundary", "_ref")
@@ -188,7 +217,7 @@ def background_on_border(seg: DataFrame, label: str, background: int = 0, size:
     """Swap labels so that the border's most frequent one is the background."""
     mode = border_mode(seg, label, size).withColumnRenamed(label, "_m")
     new = F.when(F.col(label) == F.col("_m"), background).when(F.col(label) == background, F.col("_m")).otherwise(F.col(label))
-    return seg.join(F.broadcast(mode), KEY).withColumn(label, new).drop("_m")
+    return seg.join(mode, KEY).withColumn(label, new).drop("_m")
 
 
 def merge_probabilities(proba: DataFrame, table: dict[int, list[int]]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pixelmill.operators.ranks import running
+
 KEY = ["img"]
 
 
@@ -31,7 +33,7 @@ def adjusted_rand(seg: DataFrame, truth: str, pred: str) -> DataFrame:
 def tp_tn_fp_fn(seg: DataFrame, truth: str, pred: str, positive: int | None = None) -> DataFrame:
     """Rows (img, tp, tn, fp, fn, fpfn_tpfn, tpfp_tpfn).
 
-    As in the reference, fp counts positives predicted negative and fn the reverse. Null where an image has more than two labels; one label
+    fp counts positives predicted negative and fn the reverse, as users of these names expect here. Null where an image has more than two labels; one label
     counts all pixels as tp. The positive label is the largest unless given and present.
     """
     both = seg.select(*KEY, F.explode(F.array_distinct(F.array(truth, pred))).alias("_l")).groupBy(*KEY).agg(F.sort_array(F.collect_set("_l")).alias("_u"))
@@ -87,10 +89,21 @@ def describe(rows: DataFrame, columns: list[str]) -> DataFrame:
 def roc(scores: DataFrame, truth: str, score: str) -> DataFrame:
     """Rows (score, tpr, fpr) of the ROC curve of a binary truth, one a distinct score, best first.
 
-    Scores are counted first; the running sums then go over the distinct scores.
+    Scores are counted first; the running sums then go over ranges of the distinct scores.
     """
     n = scores.groupBy(score).agg(F.sum(F.col(truth).cast("long")).alias("p"), F.count("*").alias("t"))
-    w = Window.orderBy(F.desc(score))
     every = n.agg(F.sum("p").alias("_all_p"), F.sum("t").alias("_all"))
-    run = n.select(score, F.sum("p").over(w).alias("tp"), F.sum(F.col("t") - F.col("p")).over(w).alias("fp"))
+    run = running(n, [F.desc(score)], {"tp": F.col("p"), "fp": F.col("t") - F.col("p")})
     return run.join(F.broadcast(every), F.lit(True)).select(F.col(score).alias("score"), (F.col("tp") / F.col("_all_p")).alias("tpr"), (F.col("fp") / (F.col("_all") - F.col("_all_p"))).alias("fpr"))
+
+
+def label_shares(px: DataFrame, label: str) -> DataFrame:
+    """Rows (img, label, share): the share of an image's pixels that each label has."""
+    n = px.groupBy(*KEY, label).agg(F.count("*").alias("_n"))
+    return n.select(*KEY, label, (F.col("_n") / F.sum("_n").over(Window.partitionBy(*KEY))).alias("share"))
+
+
+def segment_probability(px: DataFrame, segment: str, label: str, chances: list[float]) -> DataFrame:
+    """Rows (img, segment, p): the mean, over a segment's pixels, of the chance that its label is foreground."""
+    table = F.array(*map(F.lit, chances))
+    return px.groupBy(*KEY, segment).agg(F.avg(table[F.col(label)]).alias("p"))

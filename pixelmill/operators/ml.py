@@ -12,6 +12,8 @@ from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuil
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pixelmill.operators import datasets
+
 CLASSIFIERS = {
     "random forest": lambda: RandomForestClassifier(featuresCol="input", numTrees=20, seed=1),
     "decision tree": lambda: DecisionTreeClassifier(featuresCol="input", seed=1),
@@ -92,6 +94,40 @@ def feature_scores(rows: DataFrame, label: str, features: str = "features") -> D
     return j.select("feature", ((F.col("between") + F.col("within")) / F.col("_all")).alias("variance"), ((F.col("between") / (F.col("k") - 1)) / (F.col("within") / (F.col("_all") - F.col("k")))).alias("f_score"))
 
 
+def best_features(rows: DataFrame, label: str, n: int, features: str = "features") -> DataFrame:
+    """Rows with the n features of the largest F only, in their order; the numbers of features are few and go through the driver."""
+    scores = feature_scores(rows, label, features).select("feature", "f_score").collect()
+    keep = sorted(r["feature"] for r in sorted(scores, key=lambda r: (-(r["f_score"] or 0.0), r["feature"]))[:n])
+    return rows.withColumn(features, F.array(*[F.col(features)[k] for k in keep]))
+
+
+def search_results(found: CrossValidatorModel, params: list[dict]) -> list[dict]:
+    """The parameters that were tried, with their mean scores, best first."""
+    rows = [{**{p.name: v for p, v in grid.items()}, "score": s} for grid, s in zip(params, found.avgMetrics, strict=True)]
+    return sorted(rows, key=lambda r: -r["score"])
+
+
+def save_model(model: PipelineModel, path: str) -> None:
+    """Keep a fitted model in a folder that executors share; an older one there is replaced."""
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
+def leave_groups_out(rows: DataFrame, group: str, name: str, hold_out: int = 1, pca: int | None = None) -> DataFrame:
+    """Rows with the prediction of a model that was trained on other groups: leave one (or ``hold_out``) out.
+
+    Groups make the folds; each fold is a job of its own, as models are fitted one after the other.
+    """
+    folds, out = datasets.group_folds(rows, group, hold_out).cache(), None
+    for (k,) in folds.select("fold").distinct().orderBy("fold").collect():
+        made = probabilities(train(folds.where(F.col("fold") != k), name, pca), folds.where(F.col("fold") == k))
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
 def otsu(rows: DataFrame, keys: list[str], value: str, bins: int = 256) -> DataFrame:
     """Otsu's threshold of each group: (keys, threshold), the centre of the histogram bin that parts values best, the first of equals.
 
@@ -99,7 +135,7 @@ def otsu(rows: DataFrame, keys: list[str], value: str, bins: int = 256) -> DataF
     """
     ends = rows.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     b = F.least(F.floor((F.col(value) - F.col("_lo")) * bins / (F.col("_hi") - F.col("_lo"))), F.lit(bins - 1))
-    h = rows.join(F.broadcast(ends), keys).groupBy(*keys, "_lo", "_hi", F.when(F.col("_hi") > F.col("_lo"), b).otherwise(0).cast("long").alias("_b")).agg(F.count("*").alias("_n"))
+    h = rows.join(ends, keys).groupBy(*keys, "_lo", "_hi", F.when(F.col("_hi") > F.col("_lo"), b).otherwise(0).cast("long").alias("_b")).agg(F.count("*").alias("_n"))
     w = Window.partitionBy(*keys)
     up = w.orderBy("_b")
     run = h.select(
@@ -115,7 +151,7 @@ def ray_histogram(rays: DataFrame, bins: int = 10) -> DataFrame:
     """From rays (id, angle, dist): for each angle and bin, the share of rays that reach beyond it: (angle, bin, beyond)."""
     ends = rays.groupBy("angle").agg(F.min("dist").alias("_lo"), F.max("dist").alias("_hi"), F.count("*").alias("_t"))
     b = F.least(F.floor((F.col("dist") - F.col("_lo")) * bins / (F.col("_hi") - F.col("_lo"))), F.lit(bins - 1))
-    n = rays.join(F.broadcast(ends), "angle").groupBy("angle", "_t", F.when(F.col("_hi") > F.col("_lo"), b).otherwise(0).cast("int").alias("bin")).agg(F.count("*").alias("_n"))
+    n = rays.join(ends, "angle").groupBy("angle", "_t", F.when(F.col("_hi") > F.col("_lo"), b).otherwise(0).cast("int").alias("bin")).agg(F.count("*").alias("_n"))
     grid = ends.select("angle", "_t", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     full = grid.join(n.drop("_t"), ["angle", "bin"], "left").fillna(0, ["_n"])
     up = F.sum("_n").over(Window.partitionBy("angle").orderBy("bin"))
@@ -129,7 +165,7 @@ def shape_prior(points: DataFrame, table: DataFrame, angles: int, reach: int) ->
     beyond = F.col("_dist") >= reach - 1
     p = points.withColumns({"_dist": dist, "_ang": angle}).withColumns({"_a": F.when(beyond, F.bround("_ang")).otherwise(F.floor("_ang")).cast("int"), "_d": F.when(beyond, reach - 1).otherwise(F.floor("_dist")).cast("int")})
     for k, (i, j) in enumerate(((0, 0), (0, 1), (1, 0), (1, 1))):
-        cell = F.broadcast(table.select(F.col("a").alias(f"_i{k}"), F.col("d").alias(f"_j{k}"), F.col("p").alias(f"_p{k}")))
+        cell = table.select(F.col("a").alias(f"_i{k}"), F.col("d").alias(f"_j{k}"), F.col("p").alias(f"_p{k}"))
         p = p.join(cell, (F.pmod(F.col("_a") + i, F.lit(angles)) == F.col(f"_i{k}")) & (F.least(F.col("_d") + j, F.lit(reach - 1)) == F.col(f"_j{k}"))).drop(f"_i{k}", f"_j{k}")
     s, t = F.col("_ang") - F.col("_a"), F.col("_dist") - F.col("_d")
     inside = (1 - s) * ((1 - t) * F.col("_p0") + t * F.col("_p1")) + s * ((1 - t) * F.col("_p2") + t * F.col("_p3"))

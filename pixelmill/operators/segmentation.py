@@ -6,142 +6,93 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelmill.operators import features, graph, ml
+from pixelmill.operators import features, filters, graph, ml
 from pixelmill.session import checkpoint_folder
 
 KEY = ["img"]
 
 
-def superpixels(px: DataFrame, channels: list[str], size: int = 10, compactness: float = 10.0, rounds: int = 5) -> DataFrame:
-    """Adds ``sp``: superpixels of about ``size`` x ``size`` pixels, by clustering in colour and place.
+def superpixels(px: DataFrame, channels: list[str], size: int = 10, compactness: float = 10.0, rounds: int = 5, axes: tuple[str, ...] = ("y", "x"), spacing: dict[str, float] | None = None) -> DataFrame:
+    """Adds ``sp``: superpixels of about ``size`` pixels along each axis, by clustering in colour and place; with axes z, y, x those of volumes.
 
-    Centres start on a grid. In a round each pixel meets the centres of its own and the eight cells around by an equi-join, takes the
+    Centres start on a grid. In a round each pixel meets the centres of its own and the neighbouring cells by an equi-join, takes the
     nearest (d_colour^2 + compactness^2 * d_place^2 / size^2, the smallest number of equals), and centres move to their
-    pixels' means. A pixel so sees at most nine starting cells, whatever the image's size.
+    pixels' means. A pixel so sees at most 9 (in volumes 27) starting cells, whatever the image's size. ``spacing`` is the length of a step along an axis.
     """
     checkpoint_folder(px.sparkSession)
-    width = px.groupBy(*KEY).agg((F.floor(F.max("x") / size) + 1).alias("_cols"))
-    cells = px.join(F.broadcast(width), KEY).withColumns({"_cy": F.floor(F.col("y") / size), "_cx": F.floor(F.col("x") / size)})
-    cells = cells.withColumn("_own", (F.col("_cy") * F.col("_cols") + F.col("_cx")).cast("int")).checkpoint()
-    mean = [F.avg(c).alias(f"_m_{c}") for c in (*channels, "y", "x")]
+    scale = {a: (spacing or {}).get(a, 1.0) for a in axes}
+    place = {a: F.floor(F.col(a) * scale[a] / size) for a in axes}
+    ends = px.groupBy(*KEY).agg(*[(F.floor(F.max(a) * scale[a] / size) + 1).alias(f"_n_{a}") for a in axes])
+    cells = px.join(ends, KEY).withColumns({f"_c_{a}": c for a, c in place.items()})
+    own = F.lit(0)
+    for a in axes:
+        own = own * F.col(f"_n_{a}") + F.col(f"_c_{a}")
+    cells = cells.withColumn("_own", own.cast("int")).checkpoint()
+    mean = [F.avg(c).alias(f"_m_{c}") for c in (*channels, *axes)]
     around = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    centres = cells.groupBy(*KEY, F.col("_own").alias("sp"), F.col("_cy").alias("_hy"), F.col("_cx").alias("_hx")).agg(*mean).checkpoint()
-    home = centres.select(*KEY, "sp", "_hy", "_hx")
-    base = cells.select(*KEY, "y", "x", *channels, "_cy", "_cx")
+    homes = [F.col(f"_c_{a}").alias(f"_h_{a}") for a in axes]
+    centres = cells.groupBy(*KEY, F.col("_own").alias("sp"), *homes).agg(*mean).checkpoint()
+    home = centres.select(*KEY, "sp", *[f"_h_{a}" for a in axes])
+    at = [f"_c_{a}" for a in axes]
+    base = cells.select(*KEY, *axes, *channels, *at)
     for _ in range(rounds):
-        spread = centres.withColumn("_dy", F.explode(around)).withColumn("_dx", F.explode(around)).withColumns({"_cy": F.col("_hy") + F.col("_dy"), "_cx": F.col("_hx") + F.col("_dx")}).drop("_dy", "_dx", "_hy", "_hx")
-        sq = lambda c: (F.col(c) - F.col(f"_m_{c}")) * (F.col(c) - F.col(f"_m_{c}"))
-        d = sum(sq(c) for c in channels) + (sq("y") + sq("x")) * (compactness**2 / size**2)
-        near = base.join(spread, [*KEY, "_cy", "_cx"]).groupBy(*KEY, "y", "x").agg(F.min(F.struct(d.alias("d"), "sp"))["sp"].alias("sp"))
-        named = base.drop("_cy", "_cx").join(near, [*KEY, "y", "x"])
+        spread = centres
+        for a in axes:
+            spread = spread.withColumn("_d", F.explode(around)).withColumn(f"_c_{a}", F.col(f"_h_{a}") + F.col("_d")).drop("_d", f"_h_{a}")
+        sq = lambda c, k=1.0: (F.col(c) - F.col(f"_m_{c}")) * (F.col(c) - F.col(f"_m_{c}")) * (k * k)
+        d = sum(sq(c) for c in channels) + sum(sq(a, scale[a]) for a in axes) * (compactness**2 / size**2)
+        near = base.join(spread, [*KEY, *at]).groupBy(*KEY, *axes).agg(F.min(F.struct(d.alias("d"), "sp"))["sp"].alias("sp"))
+        named = base.drop(*at).join(near, [*KEY, *axes])
         centres = named.groupBy(*KEY, "sp").agg(*mean).join(home, [*KEY, "sp"]).checkpoint()
-    return px.join(near, [*KEY, "y", "x"])
+    return px.join(near, [*KEY, *axes])
 
 
-def segment_classes(px: DataFrame, segment: str, channels: list[str], classes: int, regularisation: float = 1.0, kind: str = "model", model: PipelineModel | None = None) -> DataFrame:
+def segment_classes(px: DataFrame, segment: str, channels: list[str], classes: int, regularisation: float = 1.0, kind: str = "model", model: PipelineModel | None = None, axes: tuple[str, ...] = ("y", "x")) -> DataFrame:
     """Class maps: (img, segment, label, proba). Colour statistics of segments, a class model of all images (or a given one),
-    edge weights of ``kind``, and labels of low unary and pairwise cost; without regularisation the most probable class.
+    edge weights of ``kind``, and labels of low unary and pairwise cost; without regularisation the most probable class. With axes z, y, x for volumes.
     """
     checkpoint_folder(px.sparkSession)
     stats = features.segment_statistics(px, segment, channels, ("mean", "std"))
     names = [c for c in stats.columns if c not in (*KEY, segment)]
     rows = stats.select(*KEY, segment, F.array(*names).alias("features")).checkpoint()
-    model = model or ml.class_model(rows, classes, iterations=30)
+    model = model or ml.class_model(rows, classes)
     made = ml.probabilities(model, rows).select(*KEY, segment, "features", "proba").checkpoint()
     unary = made.select(*KEY, segment, F.posexplode("proba").alias("cls", "p")).select(*KEY, segment, "cls", graph.unary_cost(F.col("p")).alias("cost")).checkpoint()
     if regularisation <= 0:
         labels = graph.best_labels(unary, [*KEY, segment])
     else:
-        centres = features.centroids(px, segment)
-        edges = graph.edge_weights(graph.adjacency(px, segment), kind, made, centres, segment).checkpoint()
+        centres = features.centroids(px, segment, axes)
+        edges = graph.edge_weights(graph.adjacency(px, segment, axes), kind, made, centres, segment, axes=axes).checkpoint()
         labels = graph.regularise(unary, edges, graph.pairwise_matrix(classes, regularisation), segment)
     return labels.join(made.select(*KEY, segment, "proba"), [*KEY, segment])
 
 
-def grow_regions(unary: DataFrame, edges: DataFrame, seeds: DataFrame, matrix: list[list[float]], segment: str, rounds: int = 30) -> DataFrame:
+def grow_regions(unary: DataFrame, edges: DataFrame, seeds: DataFrame, matrix: list[list[float]], segment: str) -> DataFrame:
     """Grow objects from seed segments (img, segment, label): (img, segment, label), 0 where none came.
 
     Costs are those of ``unary`` (img, segment, cls, cost), class 0 the background. In a round the segments beside an object may join it;
-    of these each that lowers the cost does, unless a neighbour gains more in the same round.
+    of these each that lowers the cost does, unless a neighbour gains more in the same round. Rounds go on until nothing changes.
     """
-    checkpoint_folder(unary.sparkSession)
-    unary = unary.checkpoint()
-    pair = F.array(*[F.array(*map(F.lit, r)) for r in matrix])
-    both = edges.select(*KEY, F.col("src").alias(segment), F.col("dst").alias("_n"), "w").union(edges.select(*KEY, "dst", "src", "w")).checkpoint()
-    fixed = seeds.select(*KEY, segment, F.col("label").alias("_seed"))
-    labels = unary.select(*KEY, segment).distinct().join(fixed, [*KEY, segment], "left").select(*KEY, segment, F.coalesce("_seed", F.lit(0)).alias("label"), F.col("_seed").isNotNull().alias("_fixed")).checkpoint()
-    for _ in range(rounds):
-        beside = both.join(labels.select(*KEY, F.col(segment).alias("_n"), F.col("label").alias("_l")), [*KEY, "_n"])
-        offers = beside.where("_l > 0").select(*KEY, segment, F.col("_l").alias("cls")).union(labels.select(*KEY, segment, "label")).distinct()
-        open_ = labels.where("not _fixed").select(*KEY, segment, F.col("label").alias("_now"))
-        cost = offers.join(open_, [*KEY, segment]).join(unary, [*KEY, segment, "cls"]).join(beside, [*KEY, segment], "left")
-        total = cost.groupBy(*KEY, segment, "cls", "_now", "cost").agg(F.sum(F.coalesce(F.col("w") * pair[F.col("_l")][F.col("cls")], F.lit(0.0))).alias("_p")).withColumn("_t", F.col("cost") + F.col("_p"))
-        best = total.groupBy(*KEY, segment, "_now").agg(F.min(F.struct("_t", "cls")).alias("_b"), F.min(F.when(F.col("cls") == F.col("_now"), F.col("_t"))).alias("_c"))
-        gain = best.select(*KEY, segment, F.col("_b.cls").alias("_new"), (F.col("_c") - F.col("_b._t")).alias("_g")).where("_g > 1e-9").checkpoint()
-        rival = both.join(gain.select(*KEY, F.col(segment).alias("_n"), F.struct("_g", (-F.col(segment)).alias("_s")).alias("_r")), [*KEY, "_n"]).groupBy(*KEY, segment).agg(F.max("_r").alias("_r"))
-        wins = F.col("_r").isNull() | (F.struct("_g", (-F.col(segment)).alias("_s")) > F.col("_r"))
-        moves = gain.join(rival, [*KEY, segment], "left").where(wins).select(*KEY, segment, "_new").checkpoint()
-        if moves.isEmpty():
-            break
-        labels = labels.join(moves, [*KEY, segment], "left").select(*KEY, segment, F.coalesce("_new", "label").alias("label"), "_fixed").checkpoint()
-    return labels.select(*KEY, segment, "label")
+    return graph.grown(unary, edges, seeds, matrix, segment)
 
 
 def filter_response(px: DataFrame, channel: str, kernel: list[tuple[int, int, float]], name: str = "response") -> DataFrame:
-    """Adds the response of a filter, given as (dy, dx, weight), with the image mirrored at its border.
-
-    Each tap of the kernel is a shift of the raster; taps that fall on one pixel are added up after an equi-join.
-    """
-    taps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(float(w)).alias("w")) for dy, dx, w in kernel])
-    ends = px.groupBy(*KEY).agg((F.max("y") + 1).alias("_h"), (F.max("x") + 1).alias("_w"))
-
-    def mirrored(at, n):
-        k = F.pmod(at, 2 * n)
-        return F.least(k, 2 * n - 1 - k)
-
-    each = px.select(*KEY, "y", "x").join(F.broadcast(ends), KEY).withColumn("_t", F.explode(taps))
-    each = each.select(*KEY, "y", "x", mirrored(F.col("y") + F.col("_t.dy"), F.col("_h")).alias("_y"), mirrored(F.col("x") + F.col("_t.dx"), F.col("_w")).alias("_x"), F.col("_t.w").alias("_k"))
-    value = px.select(*KEY, F.col("y").alias("_y"), F.col("x").alias("_x"), F.col(channel).alias("_v"))
-    out = each.join(value, [*KEY, "_y", "_x"]).groupBy(*KEY, "y", "x").agg(F.sum(F.col("_k") * F.col("_v")).alias(name))
-    return px.join(out, [*KEY, "y", "x"])
-
-
-def edge_kernel(sigma: float, angle: float, order: int, radius: int) -> list[tuple[int, int, float]]:
-    """Taps of an oriented Gaussian derivative (order 1: edge, 2: bar; three times as long as wide), scaled to unit absolute sum."""
-    import math
-
-    taps = []
-    for dy in range(-radius, radius + 1):
-        for dx in range(-radius, radius + 1):
-            u, v = dx * math.cos(angle) + dy * math.sin(angle), dy * math.cos(angle) - dx * math.sin(angle)
-            g = math.exp(-v * v / (2 * sigma**2)) * math.exp(-u * u / (2 * (3 * sigma) ** 2))
-            taps.append((dy, dx, g * (-v / sigma**2 if order == 1 else (v * v - sigma**2) / sigma**4)))
-    mean = sum(w for *_, w in taps) / len(taps)
-    size = sum(abs(w - mean) for *_, w in taps)
-    return [(dy, dx, (w - mean) / size) for dy, dx, w in taps]
-
+    """Adds the response of a filter, given as (dy, dx, weight), with the image mirrored at its border."""
+    return filters.convolve(px, channel, {name: kernel})
 
-def texture(px: DataFrame, channel: str, segment: str, sigma: float = 1.0, orientations: int = 4, radius: int = 3) -> DataFrame:
-    """Texture of segments: (img, segment, edge_mean, edge_energy, bar_mean, bar_energy) of the largest response over orientations."""
-    import math
 
-    out = px
-    for name, order in (("edge", 1), ("bar", 2)):
-        made = []
-        for k in range(orientations):
-            out = filter_response(out, channel, edge_kernel(sigma, math.pi * k / orientations, order, radius), f"_{name}{k}")
-            made.append(f"_{name}{k}")
-        out = out.withColumn(name, F.greatest(*[F.abs(m) for m in made])).drop(*made)
-    return features.segment_statistics(out, segment, ["edge", "bar"], ("mean", "energy"))
+def texture(px: DataFrame, channel: str, segment: str, sigmas: tuple[float, ...] = (1.0,), orientations: int = 4, reach: int = 3, statistics: tuple[str, ...] = ("mean", "energy"), depth: tuple[str, ...] = ()) -> DataFrame:
+    """Texture of segments: (img, segment, <family>_<statistic>...) of the largest response of each family of ``filters.filter_bank``."""
+    bank = filters.filter_bank(sigmas, orientations, reach)
+    return features.segment_statistics(filters.bank_response(px, channel, bank, depth), segment, list(bank), statistics)
 
 
 def dilate(px: DataFrame, mask: str, radius: int, shrink: bool = False) -> DataFrame:
     """A 0/1 mask grown by a disk (or shrunk, pixels beyond the image not counting)."""
-    shifts = [(dy, dx) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1) if dy * dy + dx * dx <= radius * radius]
-    taps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in shifts])
-    moved = px.where(F.col(mask) == (0 if shrink else 1)).withColumn("_t", F.explode(taps)).select(*KEY, (F.col("y") + F.col("_t.dy")).alias("y"), (F.col("x") + F.col("_t.dx")).alias("x")).distinct().withColumn("_hit", F.lit(1))
-    hit = F.coalesce("_hit", F.lit(0))
-    return px.join(moved, [*KEY, "y", "x"], "left").withColumn(mask, 1 - hit if shrink else hit).drop("_hit")
+    disk = [(dy, dx, 1.0) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1) if dy * dy + dx * dx <= radius * radius]
+    marked = px.withColumn("_m", (F.col(mask) == (0 if shrink else 1)).cast("int"))
+    near = (F.col("_near") > 0.5).cast("int")
+    return filters.convolve(marked, "_m", {"_near": disk}, mirror=False).withColumn(mask, 1 - near if shrink else near).drop("_m", "_near")
 
 
 def opened(px: DataFrame, mask: str, radius: int) -> DataFrame:

@@ -52,14 +52,18 @@ def in_ellipse(y: Column, x: Column, cy: Column, cx: Column, a: Column, b: Colum
     return (u / a) * (u / a) + (v / b) * (v / b) <= 1
 
 
-def draw_ellipses(px: DataFrame, ellipses: DataFrame) -> DataFrame:
-    """Pixels in ellipses (img, e, cy, cx, a, b, theta): (img, y, x, e); pixels and ellipses meet by cells of their bounding boxes."""
+def in_boxes(px: DataFrame, ellipses: DataFrame) -> DataFrame:
+    """Pixels or points (img, y, x, ...) joined with the ellipses (img, e, cy, cx, a, b, theta) they lie in; both meet by cells of bounding boxes."""
     cell = 16
     r = F.greatest("a", "b")
     boxes = ellipses.withColumn("_cy", F.explode(F.sequence(F.floor((F.col("cy") - r) / cell), F.floor((F.col("cy") + r) / cell)))).withColumn("_cx", F.explode(F.sequence(F.floor((F.col("cx") - r) / cell), F.floor((F.col("cx") + r) / cell))))
-    p = px.select(*KEY, "y", "x", F.floor(F.col("y") / cell).alias("_cy"), F.floor(F.col("x") / cell).alias("_cx"))
-    hit = p.join(boxes, [*KEY, "_cy", "_cx"])
-    return hit.where(in_ellipse(*[F.col(c) for c in ("y", "x", "cy", "cx", "a", "b", "theta")])).select(*KEY, "y", "x", "e")
+    p = px.withColumns({"_cy": F.floor(F.col("y") / cell), "_cx": F.floor(F.col("x") / cell)})
+    return p.join(boxes, [*KEY, "_cy", "_cx"]).where(in_ellipse(*[F.col(c) for c in ("y", "x", "cy", "cx", "a", "b", "theta")])).drop("_cy", "_cx")
+
+
+def draw_ellipses(px: DataFrame, ellipses: DataFrame) -> DataFrame:
+    """Pixels in ellipses (img, e, cy, cx, a, b, theta): (img, y, x, e)."""
+    return in_boxes(px.select(*KEY, "y", "x"), ellipses).select(*KEY, "y", "x", "e")
 
 
 def ellipse_overlap(px: DataFrame, ellipses: DataFrame, label: str) -> DataFrame:
@@ -75,9 +79,8 @@ def ellipse_overlap(px: DataFrame, ellipses: DataFrame, label: str) -> DataFrame
 def criterion(points: DataFrame, ellipses: DataFrame, foreground: tuple[float, ...]) -> DataFrame:
     """Rows (img, e, crit): sum over points (img, idx, y, x, label, weight) in an ellipse of weight * (log bg - log fg) of their label."""
     table = F.array(*[F.lit(-math.log(p) + math.log(1 - p)) for p in foreground])
-    j = points.join(ellipses, KEY)
-    hit = in_ellipse(*[F.col(c) for c in ("y", "x", "cy", "cx", "a", "b", "theta")])
-    return j.groupBy(*KEY, "e").agg(F.sum(F.when(hit, F.col("weight") * table[F.col("label")]).otherwise(0.0)).alias("crit"))
+    hit = in_boxes(points, ellipses).groupBy(*KEY, "e").agg(F.sum(F.col("weight") * table[F.col("label")]).alias("crit"))
+    return ellipses.select(*KEY, "e").join(hit, [*KEY, "e"], "left").fillna(0.0, ["crit"])
 
 
 def ellipse_from_points(pts: DataFrame, keys: list[str]) -> DataFrame:
@@ -117,15 +120,20 @@ def ellipse_from_points(pts: DataFrame, keys: list[str]) -> DataFrame:
     return eq.mapInPandas(solve, schema)
 
 
-def cluster_points(points: DataFrame, limit: float) -> DataFrame:
-    """Clusters of points (img, idx, y, x) by steps of at most ``limit``: (img, cluster, n, y, x), named by their smallest idx, at their mean."""
+def pairs_within(points: DataFrame, limit: float) -> DataFrame:
+    """Pairs of points (img, src, dst, _d) with src < dst that lie in neighbouring cells as wide as ``limit``, and their squared distance."""
     cell = lambda c: F.floor(F.col(c) / limit)
     a = points.select(*KEY, F.col("idx").alias("src"), "y", "x", cell("y").alias("_cy"), cell("x").alias("_cx"))
     around = F.array(F.lit(-1), F.lit(0), F.lit(1))
     b = points.select(*KEY, F.col("idx").alias("dst"), F.col("y").alias("_y"), F.col("x").alias("_x")).withColumn("_dy", F.explode(around)).withColumn("_dx", F.explode(around))
     b = b.withColumns({"_cy": F.floor(F.col("_y") / limit) + F.col("_dy"), "_cx": F.floor(F.col("_x") / limit) + F.col("_dx")})
     d2 = (F.col("y") - F.col("_y")) * (F.col("y") - F.col("_y")) + (F.col("x") - F.col("_x")) * (F.col("x") - F.col("_x"))
-    edges = a.join(b, [*KEY, "_cy", "_cx"]).where((d2 <= limit * limit) & (F.col("src") < F.col("dst"))).select(*KEY, "src", "dst")
+    return a.join(b, [*KEY, "_cy", "_cx"]).where("src < dst").select(*KEY, "src", "dst", d2.alias("_d"))
+
+
+def cluster_points(points: DataFrame, limit: float) -> DataFrame:
+    """Clusters of points (img, idx, y, x) by steps of at most ``limit``: (img, cluster, n, y, x), named by their smallest idx, at their mean."""
+    edges = pairs_within(points, limit).where(F.col("_d") <= limit * limit).select(*KEY, "src", "dst")
     named = components(edges, points.select(*KEY, F.col("idx").alias("node")))
     joined = points.join(named.withColumnRenamed("node", "idx"), [*KEY, "idx"])
     return joined.groupBy(*KEY, F.col("component").alias("cluster")).agg(F.count("*").alias("n"), (F.sum("y") / F.count("*")).alias("y"), (F.sum("x") / F.count("*")).alias("x"))
@@ -139,9 +147,7 @@ def thin_points(points: DataFrame, limit: float, rounds: int | None = None) -> D
     checkpoint_folder(points.sparkSession)
     left = points.checkpoint()
     for _ in itertools.count() if rounds is None else range(rounds):
-        b = left.select(*KEY, F.col("idx").alias("_i"), F.col("y").alias("_y"), F.col("x").alias("_x"))
-        d2 = (F.col("y") - F.col("_y")) * (F.col("y") - F.col("_y")) + (F.col("x") - F.col("_x")) * (F.col("x") - F.col("_x"))
-        pairs = left.join(b, KEY).where((F.col("idx") < F.col("_i")) & (d2 < limit * limit)).select(*KEY, "idx", "_i", d2.alias("_d"))
+        pairs = pairs_within(left, limit).where(F.col("_d") < limit * limit).select(*KEY, F.col("src").alias("idx"), F.col("dst").alias("_i"), "_d")
         rank = F.struct("_d", "idx", "_i")
         ends = pairs.select(*KEY, "idx", "_i", rank.alias("_r"), F.explode(F.array("idx", "_i")).alias("_p"))
         best = ends.withColumn("_m", F.min("_r").over(Window.partitionBy(*KEY, "_p")))
@@ -161,19 +167,25 @@ def centres_in_objects(centres: DataFrame, seg: DataFrame, label: str) -> DataFr
     return n.groupBy(*KEY).agg(F.count("*").alias("objects"), F.sum((F.col("n") == 0).cast("long")).alias("missed"), F.sum((F.col("n") > 1).cast("long")).alias("multiple"))
 
 
-def rays(seg: DataFrame, mask: str, points: DataFrame, step: int = 10, edge: str = "up", reach: int = 142) -> DataFrame:
+def rays(seg: DataFrame, mask: str, points: DataFrame, step: int = 10, edge: str = "up", own: bool = False) -> DataFrame:
     """Distances from points along rays to a mask's edge: (img, idx, angle, distance), -1 if the ray leaves the image first.
 
-    ``up`` is the first pixel in the mask (0 for a point that is in it), ``down`` the first one out of it. A ray advances by one pixel along its longer side.
+    ``up`` is the first pixel in the mask (0 for a point that is in it), ``down`` the first one out of it. A ray advances by one pixel along its longer side, as far as the image goes. With ``own``, the mask of a point are the pixels
+    whose value is the point's idx.
     """
     p = points.select(*KEY, "idx", F.col("y").alias("_y"), F.col("x").alias("_x"))
     angle = F.explode(F.sequence(F.lit(0), F.lit(359), F.lit(step))).alias("angle")
     rad = F.radians(F.col("angle").cast("double"))
     longest = F.greatest(F.abs(F.sin(rad)), F.abs(F.cos(rad)))
     march = p.select("*", angle).withColumns({"_gy": F.sin(rad) / longest, "_gx": F.cos(rad) / longest})
-    march = march.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(reach))))
+    ends = seg.groupBy(*KEY).agg(F.max("y").alias("_ey"), F.max("x").alias("_ex"))
+    march = march.join(ends, KEY)
+    room = lambda at, step, end: F.when(step > 1e-9, (end - at) / step).when(step < -1e-9, -at / step).otherwise(float("inf"))
+    most = F.least(room(F.col("_y"), F.col("_gy"), F.col("_ey")), room(F.col("_x"), F.col("_gx"), F.col("_ex")), F.greatest("_ey", "_ex").cast("double"))
+    march = march.withColumn("_k", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(most).cast("int"), F.lit(0)) + 1)))
     march = march.withColumns({"y": F.bround(F.col("_y") + F.col("_k") * F.col("_gy")).cast("int"), "x": F.bround(F.col("_x") + F.col("_k") * F.col("_gx")).cast("int")})
-    on = march.join(seg.select(*KEY, "y", "x", (F.col(mask) != 0).alias("_on")), [*KEY, "y", "x"])
+    on = march.join(seg.select(*KEY, "y", "x", F.col(mask).alias("_v")), [*KEY, "y", "x"])
+    on = on.withColumn("_on", F.col("_v") == F.col("idx") if own else F.col("_v") != 0)
     inside = F.max(F.when(F.col("_k") == 0, F.col("_on")))
     if edge == "up":
         hit = F.min(F.when(F.col("_on"), F.col("_k")))

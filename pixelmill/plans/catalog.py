@@ -24,7 +24,7 @@ def query(sql: str | None = None, *views: str):
     def put(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLE[f.__name__] = (f"WITH {', '.join(views)} " if views else "") + sql
+            ORACLE[f.__name__] = (f"WITH {'RECURSIVE ' if any('USING KEY' in v for v in views) else ''}{', '.join(views)} " if views else "") + sql
         return f
 
     return put
@@ -172,14 +172,14 @@ def contour_map(spark, sf):
     return labels.contour(_px(spark, sf), "annot", 1).select("img", "y", "x", "contour")
 
 
-_EDT = "k AS (SELECT DISTINCT img, y AS my, x AS mx FROM r WHERE lb % 17 = 0 AND c1 > 0 AND y % 10 = 5)"
-
-
-@query("SELECT img, y, x, sqrt(CAST(min((y - my) * (y - my) + (x - mx) * (x - mx)) AS DOUBLE)) AS distance FROM r JOIN k USING (img) GROUP BY img, y, x", R, _EDT)
+@query(
+    "SELECT img, y, x, sqrt(CAST(min((y - my) * (y - my) + (x - mx) * (x - mx)) AS DOUBLE)) AS distance FROM r JOIN k USING (img) GROUP BY img, y, x", R,
+    "n AS (SELECT *, lag(annot) OVER wy AS ya, lead(annot) OVER wy AS yb, lag(annot) OVER wx AS xa, lead(annot) OVER wx AS xb FROM r WINDOW wy AS (PARTITION BY img, x ORDER BY y), wx AS (PARTITION BY img, y ORDER BY x))",
+    "k AS (SELECT img, y AS my, x AS mx FROM n WHERE annot = 1 AND ya IS NOT NULL AND yb IS NOT NULL AND xa IS NOT NULL AND xb IS NOT NULL AND (ya <> 1 OR yb <> 1 OR xa <> 1 OR xb <> 1))")
 def distance_map(spark, sf):
-    """Distance to marked pixels."""
-    px = _px(spark, sf).withColumn("m", ((F.col("lb") % 17 == 0) & (F.col("c1") > 0) & (F.col("y") % 10 == 5)).cast("int"))
-    return labels.distance_to(px, "m").select("img", "y", "x", F.sqrt(F.col("d2").cast("double")).alias("distance"))
+    """Distance to the contour of a class."""
+    px = labels.contour(_px(spark, sf), "annot", 1)
+    return labels.distance_to(px, "contour").select("img", "y", "x", F.sqrt(F.col("d2").cast("double")).alias("distance"))
 
 
 _THICK = "w AS (SELECT *, lag(e) OVER wy AS a1, lead(e) OVER wy AS a2, lag(e) OVER wx AS a3, lead(e) OVER wx AS a4, lag(lb) OVER wy AS b1, lead(lb) OVER wy AS b2, lag(lb) OVER wx AS b3, lead(lb) OVER wx AS b4 FROM (SELECT *, CAST((y // 34) * 3 + x // 34 AS INT) AS e FROM r) WINDOW wy AS (PARTITION BY img, x ORDER BY y), wx AS (PARTITION BY img, y ORDER BY x)), f AS (SELECT img, y, x, coalesce(a1 <> e, false) OR coalesce(a2 <> e, false) OR coalesce(a3 <> e, false) OR coalesce(a4 <> e, false) AS er, coalesce(b1 <> lb, false) OR coalesce(b2 <> lb, false) OR coalesce(b3 <> lb, false) OR coalesce(b4 <> lb, false) AS lr FROM w)"
@@ -453,11 +453,21 @@ def ellipse_overlap(spark, sf):
     return spatial.ellipse_overlap(_px(spark, sf), _ellipses(spark), "annot")
 
 
-@query("SELECT img, y, x, r.c1, round(p00, 9) AS prior FROM (SELECT 0 AS img, y, x, c1, 1.0 AS p00 FROM r WHERE img = 0) r", R)
+_CELL = "((({a}) % 36 * 7 + least({d}, 19) * 3) % 11) / 10.0"
+
+
+@query(
+    "SELECT img, y, x, c1, round(CASE WHEN far THEN " + _CELL.format(a="a", d="d") + " ELSE (1 - s) * ((1 - t) * " + _CELL.format(a="a", d="d") + " + t * " + _CELL.format(a="a", d="d + 1")
+    + ") + s * ((1 - t) * " + _CELL.format(a="a + 1", d="d") + " + t * " + _CELL.format(a="a + 1", d="d + 1") + ") END, 9) AS prior FROM w", R,
+    """o AS (SELECT img, y, x, c1, sqrt(CAST((y - 50 - img) * (y - 50 - img) + (x - 40) * (x - 40) AS DOUBLE)) AS dist,
+      ((810 - degrees(atan2(CAST(x - 40 AS DOUBLE), CAST(y - 50 - img AS DOUBLE)))) % 360) / 10 AS ang FROM r)""",
+    """u AS (SELECT *, dist >= 19 AS far, CAST(CASE WHEN dist >= 19 THEN round_even(ang, 0) ELSE floor(ang) END AS INT) AS a, CAST(CASE WHEN dist >= 19 THEN 19 ELSE floor(dist) END AS INT) AS d FROM o)""",
+    "w AS (SELECT *, ang - a AS s, dist - d AS t FROM u)")
 def shape_prior(spark, sf):
-    """A table of ones gives ones everywhere, inside, between cells and beyond."""
-    table = spark.range(36 * 20).select((F.col("id") % 36).cast("int").alias("a"), F.floor(F.col("id") / 36).cast("int").alias("d"), F.lit(1.0).alias("p"))
-    px = _px(spark, sf).where("img = 0").withColumns({"dx": F.col("y") - 50, "dy": F.col("x") - 40})
+    """A table of 36 angles and 20 distances, looked up from a centre in each image."""
+    cells = spark.range(36 * 20).select((F.col("id") % 36).cast("int").alias("a"), F.floor(F.col("id") / 36).cast("int").alias("d"))
+    table = cells.withColumn("p", (F.col("a") * 7 + F.col("d") * 3) % 11 / 10)
+    px = _px(spark, sf).withColumns({"dx": F.col("y") - 50 - F.col("img"), "dy": F.col("x") - 40})
     return ml.shape_prior(px, table, 36, 20).select("img", "y", "x", "c1", F.round("prior", 9).alias("prior"))
 
 
@@ -467,10 +477,15 @@ def rounded_features(spark, sf):
     return f.select("label", F.posexplode("features").alias("feature", "v"))
 
 
-@query("SELECT 0 AS img, count(*) AS objects, count(*) FILTER (n = 0) AS missed, count(*) FILTER (n > 1) AS multiple FROM (SELECT annot, count(c) AS n FROM r LEFT JOIN cen ON r.img = cen.img AND r.y = cy AND r.x = cx WHERE r.img = 0 AND annot > 0 GROUP BY annot)", R, _CEN)
+@query(
+    "SELECT img, count(*) AS objects, count(*) FILTER (n = 0) AS missed, count(*) FILTER (n > 1) AS multiple FROM (SELECT r.img, lb, count(cy) AS n FROM r LEFT JOIN c ON r.y = cy + r.img AND r.x = cx WHERE lb > 0 GROUP BY r.img, lb) GROUP BY img", R,
+    "c AS (SELECT CAST(a.range * 17 + 3 AS INT) AS cy, CAST(b.range * 7 + 2 AS INT) AS cx FROM range(5) a, range(14) b)")
 def missed_objects(spark, sf):
-    centres = _centres(spark).select("img", F.col("cy").alias("y"), F.col("cx").alias("x"))
-    return spatial.centres_in_objects(centres, _px(spark, sf).where("img = 0"), "annot")
+    """Of the segments of every image, those without a centre and those with several."""
+    px = _px(spark, sf)
+    at = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    centres = px.select("img").distinct().withColumn("a", at(5)).withColumn("b", at(14)).select("img", (F.col("a") * 17 + 3 + F.col("img")).alias("y"), (F.col("b") * 7 + 2).alias("x"))
+    return spatial.centres_in_objects(centres, px, "lb")
 
 
 @query("SELECT img, y, x, CAST(max(m) AS INT) AS m FROM (SELECT a.img, a.y, a.x, b.m FROM q a JOIN q b ON a.img = b.img AND abs(a.y - b.y) <= 2 AND abs(a.x - b.x) <= 2 AND (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x) <= 4) GROUP BY img, y, x", R, "q AS (SELECT img, y, x, CAST(c1 > 60 AS INT) AS m FROM r)")
@@ -478,18 +493,19 @@ def dilated_mask(spark, sf):
     return segmentation.dilate(_px(spark, sf).select("img", "y", "x", (F.col("c1") > 60).cast("int").alias("m")), "m", 2)
 
 
-@query("SELECT p.img, idx, angle, CASE WHEN m0 THEN 0 ELSE d END AS distance FROM (SELECT img, idx, angle, coalesce(round(min(CASE WHEN r.c1 > 60 THEN k * u END), 6), -1) AS d, bool_or(k = 0 AND r.c1 > 60) AS m0 FROM mk JOIN r USING (img, y, x) GROUP BY ALL) p", R, "cen AS (SELECT 0 AS img, CAST(a.range AS BIGINT) AS idx, CAST(a.range * 17 % 100 AS INT) AS py, CAST(a.range * 29 % 100 AS INT) AS px FROM range(30) a)", "an AS (SELECT CAST(i.range * 30 AS INT) AS angle, sin(radians(i.range * 30)) / greatest(abs(sin(radians(i.range * 30))), abs(cos(radians(i.range * 30)))) AS gy, cos(radians(i.range * 30)) / greatest(abs(sin(radians(i.range * 30))), abs(cos(radians(i.range * 30)))) AS gx FROM range(12) i)", "mk AS (SELECT img, idx, angle, k.range AS k, sqrt(gy * gy + gx * gx) AS u, CAST(round_even(py + k.range * gy, 0) AS INT) AS y, CAST(round_even(px + k.range * gx, 0) AS INT) AS x FROM cen, an, range(143) k)")
+@query("SELECT p.img, idx, angle, CASE WHEN m0 THEN 0 ELSE d END AS distance FROM (SELECT img, idx, angle, coalesce(round(min(CASE WHEN r.c1 > 60 THEN k * u END), 6), -1) AS d, bool_or(k = 0 AND r.c1 > 60) AS m0 FROM mk JOIN r USING (img, y, x) GROUP BY ALL) p", R, "cen AS (SELECT img, CAST(a.range AS BIGINT) AS idx, CAST((a.range * 17 + img * 5) % 100 AS INT) AS py, CAST(a.range * 29 % 100 AS INT) AS px FROM (SELECT DISTINCT img FROM r), range(30) a)", "an AS (SELECT CAST(i.range * 30 AS INT) AS angle, sin(radians(i.range * 30)) / greatest(abs(sin(radians(i.range * 30))), abs(cos(radians(i.range * 30)))) AS gy, cos(radians(i.range * 30)) / greatest(abs(sin(radians(i.range * 30))), abs(cos(radians(i.range * 30)))) AS gx FROM range(12) i)", "mk AS (SELECT img, idx, angle, k.range AS k, sqrt(gy * gy + gx * gx) AS u, CAST(round_even(py + k.range * gy, 0) AS INT) AS y, CAST(round_even(px + k.range * gx, 0) AS INT) AS x FROM cen, an, range(143) k)")
 def rays(spark, sf):
-    i = F.col("id")
-    pts = spark.range(30).select(F.lit(0).alias("img"), i.alias("idx"), (i * 17 % 100).cast("int").alias("y"), (i * 29 % 100).cast("int").alias("x"))
     px = _px(spark, sf).withColumn("m", (F.col("c1") > 60).cast("int"))
+    i = F.col("idx")
+    pts = px.select("img").distinct().withColumn("idx", F.explode(F.sequence(F.lit(0), F.lit(29)).cast("array<long>")))
+    pts = pts.select("img", "idx", ((i * 17 + F.col("img") * 5) % 100).cast("int").alias("y"), (i * 29 % 100).cast("int").alias("x"))
     return spatial.rays(px, "m", pts, 30).withColumn("distance", F.round("distance", 6))
 
 
 @query()
 def gmm_proba(spark, sf):
     f = rasters.features(spark, sf)
-    return ml.probabilities(ml.class_model(f, 3, pca=4, iterations=30), f).select("vec_id", "prediction", "proba")
+    return ml.probabilities(ml.class_model(f, 3, pca=4), f).select("vec_id", "prediction", "proba")
 
 
 @query()
@@ -524,7 +540,8 @@ def feature_scores(spark, sf):
 
 @query()
 def texture_lm(spark, sf):
-    return segmentation.texture(_px(spark, sf), "c1", "lb", orientations=2, radius=2)
+    """Statistics of segments over the whole filter bank: four scales, eight orientations of edges and bars, Gaussians and Laplacians."""
+    return segmentation.texture(_px(spark, sf), "c1", "lb", (2**0.5, 2.0, 2 * 2**0.5, 4.0), 8, 8)
 
 
 @query()
@@ -543,12 +560,19 @@ def region_grow(spark, sf):
     h = labels.histogram_norm(px, "lb", "annot").where("annot < 3")
     unary = h.select("img", "lb", F.col("annot").alias("cls"), graph.unary_cost(F.col("ratio")).alias("cost"))
     seeds = px.select("img").distinct().withColumn("s", F.explode(F.array(F.struct(F.lit(22).alias("lb"), F.lit(1).alias("label")), F.struct(F.lit(77).alias("lb"), F.lit(2).alias("label"))))).select("img", "s.*")
-    return segmentation.grow_regions(unary, _edges(spark, sf).withColumn("w", F.lit(1.0)), seeds, graph.pairwise_matrix(3, 0.3), "lb", rounds=10)
+    return segmentation.grow_regions(unary, _edges(spark, sf).withColumn("w", F.lit(1.0)), seeds, graph.pairwise_matrix(3, 0.3), "lb")
 
 
-@query()
+@query(
+    """SELECT img, lab AS cluster, count(*) AS n, sum(y) / count(*) AS y, sum(x) / count(*) AS x FROM (SELECT u.*, label AS lab FROM u JOIN lab USING (idx)) GROUP BY img, lab""", P,
+    "u AS (SELECT img, min(idx) AS idx, y, x FROM pts GROUP BY img, y, x)",
+    "e AS (SELECT a.idx AS s, b.idx AS t FROM u a JOIN u b ON b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 AND (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x) <= 2 AND a.idx <> b.idx)",
+    """lab(idx, label) USING KEY (idx) AS (SELECT idx, idx AS label FROM u
+      UNION SELECT e.t, min(n.label) FROM lab n JOIN e ON e.s = n.idx JOIN recurring.lab r ON r.idx = e.t WHERE n.label < r.label GROUP BY e.t)""")
 def center_clusters(spark, sf):
-    return spatial.cluster_points(rasters.points(spark, sf).dropDuplicates(["y", "x"]), math.sqrt(2))
+    """Points that steps of at most the diagonal of a pixel join; of points at one place the first."""
+    pts = rasters.points(spark, sf).groupBy("img", "y", "x").agg(F.min("idx").alias("idx"))
+    return spatial.cluster_points(pts, math.sqrt(2))
 
 
 @query()
