@@ -115,6 +115,25 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 1000 AND page_id < keep THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN payload_bytes >= 1000 AND page_id < keep THEN keep END AS refers_to
 FROM k""",
+    "op2_embedding_forest": """
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda c: c::DOUBLE) AS v FROM embeddings),
+g AS (SELECT * FROM v WHERE label IS NOT NULL AND v IS NOT NULL AND len(list_filter(v, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(v, lambda c: c <> 0)) > 0),
+e AS (SELECT a.vec_id AS s, b.vec_id AS t FROM g a JOIN g b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+c(id, low) USING KEY (id) AS (SELECT vec_id, vec_id FROM v
+  UNION SELECT e.t, min(n.low) FROM c n JOIN e ON e.s = n.id JOIN recurring.c r ON r.id = e.t WHERE n.low < r.low GROUP BY e.t)
+SELECT vec_id, (SELECT count(*) FROM e WHERE s = vec_id)::BIGINT AS n_links, low AS component_id, vec_id = low AS kept FROM v JOIN c ON id = vec_id""",
+    "op7_ngram_jaccard_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+x AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+e AS (SELECT a AS s, b AS t FROM l UNION ALL SELECT b, a FROM l),
+c(id, low) USING KEY (id) AS (SELECT doc_id, doc_id FROM s
+  UNION SELECT e.t, min(n.low) FROM c n JOIN e ON e.s = n.id JOIN recurring.c r ON r.id = e.t WHERE n.low < r.low GROUP BY e.t)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, low AS component_id FROM s JOIN c ON id = doc_id""",
     "op9_token_rollups": r"""
 WITH d AS (SELECT source, lang,
     len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS w,

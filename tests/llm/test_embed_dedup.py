@@ -86,3 +86,34 @@ def test_links_of_a_block_that_is_compared_in_chunks(monkeypatch):
                           "embedding": pa.array(x.tolist(), pa.list_(pa.float32())), "leaves": pa.array([[0]] * n, pa.list_(pa.int64()))})
         got = embed_dedup._compare(0.98)((pa.scalar(0), pa.scalar(0), pa.scalar(0)), table)
         assert got.column("vec_id").to_pylist() == list(range(n)) and set(got.column("peer").to_pylist()) == {0}
+
+
+def test_double_precision_and_any_label(spark):
+    """Components near the threshold, tiny and huge ones, and labels that aren't whole numbers."""
+    def near(c):
+        return [c, (1 - c * c) ** 0.5]
+
+    rows = [(1, [1.0, 0.0], "a"), (2, near(0.98 - 1e-10), "a"), (3, [1.0, 0.0], "b"), (4, near(0.98 + 1e-10), "b"), (5, [1e-60, 1e-60], "c"), (6, [2e-60, 2e-60], "c"), (7, [1e200, 1e200], "d"), (8, [1.0, 1.0], "d"), (9, [1.0, 1.0], "D")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    assert {r["vec_id"]: r["component_id"] for r in near_duplicate_vectors(df).collect()} == {1: 1, 2: 2, 3: 3, 4: 3, 5: 5, 6: 5, 7: 7, 8: 7, 9: 9}
+    rows = [(1, [1.0, 0.0], 1.2), (2, [1.0, 0.0], 1.7), (3, [1.0, 0.0], 0.0), (4, [1.0, 0.0], -0.0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label double")
+    assert {r["vec_id"]: r["component_id"] for r in near_duplicate_vectors(df).collect()} == {1: 1, 2: 2, 3: 3, 4: 3}
+
+
+def test_recall_at_production_parameters(spark):
+    """Pairs just above the threshold among vectors that fill many leaves; against brute force."""
+    rng = np.random.default_rng(4)
+    n, dim = 6000, 64
+    base = rng.standard_normal((n, dim))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    side = rng.standard_normal((n, dim))
+    side -= (side * base).sum(1, keepdims=True) * base
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    x = np.concatenate([base, 0.981 * base + (1 - 0.981**2) ** 0.5 * side])
+    df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    links = {r["vec_id"]: r["n_links"] for r in near_duplicate_vectors(df).collect()}
+    want = np.zeros(2 * n, int)
+    for a in range(0, 2 * n, 1000):
+        want[a : a + 1000] = (x[a : a + 1000] @ x.T >= 0.98).sum(1) - 1
+    assert all(links[k] <= want[k] for k in links) and sum(links.values()) >= 0.9 * want.sum()

@@ -82,3 +82,16 @@ def test_odd_rows(spark, monkeypatch):
 
 def test_empty(spark):
     assert mix_counts(docs(spark, [])).collect() == [] and mix_documents(docs(spark, [])).collect() == []
+
+
+def test_draws_beyond_the_generators_range():
+    """The way for very many slots is as exact as the other: totals are met, and means and deviations are those of the hypergeometric distribution."""
+    quota = np.array([700, 250, 50])
+    got = np.array([mixing.halve(quota, 400, np.random.default_rng([1, k]), most=0) for k in range(4000)])
+    assert (got.sum(1) == 400).all() and (got >= 0).all() and (got <= quota).all()
+    p = quota / 1000
+    assert np.allclose(got.mean(0), 400 * p, atol=0.5)
+    assert np.allclose(got.var(0), 400 * p * (1 - p) * 600 / 999, rtol=0.1)
+    large = np.array([3_000_000_000_000, 5_000_000_000, 7, 0])
+    left = mixing.halve(large, int(large.sum()) // 2, np.random.default_rng(5))
+    assert left.sum() == large.sum() // 2 and (left <= large).all() and abs(left[1] - 2_500_000_000) < 500_000

@@ -38,7 +38,7 @@ def test_base_like_brute_force(spark):
     assert sorted(tuple(r)[:6] for r in got if r["doc_id"]) == sorted((i, *want[i, t][:5]) for i, t in rows if i)
     for r in got:
         if r["doc_id"] is not None and r["doc_id"] < 900:
-            spans = [s for s in r["spans"].split(",") if not s.startswith("term")]
+            spans = [s for s in r["spans"].split(",") if s.split(":")[0] in ("email", "ip", "card", "phone")]
             assert ",".join(spans) == want[r["doc_id"], rows[r["doc_id"]][1]][5]
 
 
@@ -56,3 +56,70 @@ def test_revealing_terms(spark):
 
 def test_empty(spark):
     assert run(spark, []) == []
+
+
+def test_secrets(spark):
+    rows = [(1, 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" end'), (2, "x 1234567890123456789012345678901234567890 y"), (3, 'password: "hunter2hunter2"'), (4, "abcdefabcdefabcdefabcdefabcdefabcdef")]
+    got = {r["doc_id"]: (r["n_secret"], [s for s in r["spans"].split(",") if s.startswith("secret")]) for r in run(spark, rows)}
+    assert got == {1: (1, ["secret:9:49"]), 2: (0, []), 3: (1, ["secret:11:25"]), 4: (0, [])}
+
+
+def test_disclosure_like_brute_force(spark):
+    """Pairs of terms and entities, shares, classes and decisions, counted in dictionaries."""
+    import math
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    from pixelmill.llm import pii
+
+    rng = random.Random(9)
+    common = [a + b for a in ("ab", "cd", "ef", "gh") for b in ("lle", "mmo", "nni", "ppu", "rra")]
+    told = {"zaq@one.com": "zanzibella", "bob@one.com": "bobbington", "1.2.3.4": "harbourkeep", "+1 (456) 555-2186": "hallmarken"}
+    texts = []
+    for _ in range(240):
+        words = rng.choices(common, k=rng.randrange(10, 60))
+        if rng.random() < 0.3:
+            e = rng.choice(list(told))
+            words[len(words) // 2 : len(words) // 2] = [told[e], e] if rng.random() < 0.8 else [e]
+        if rng.random() < 0.04:
+            words.append(rng.choice(list(told.values())))
+        texts.append(" ".join(words))
+    texts += texts[:30]  # copies
+    term = re.compile(r"[^\W\d_]{4,}")
+    near, contexts, n_entity, n_term = Counter(), {}, Counter(), Counter()
+    for t in texts:
+        n_term.update({x.lower() for x in term.findall(t)})
+        pairs, ents = set(), set()
+        for m in re.finditer("|".join([EMAIL, IP, PHONE]), t, re.ASCII):
+            v, k = m[0].lower(), "email" if "@" in m[0] else "ip" if m[0][0] != "+" else "phone"
+            of = v.split("@")[-1] if k == "email" else ".".join(v.split(".")[:2]) if k == "ip" else re.sub(r"\D", "", v)[:4]
+            around = t[max(0, m.start() - 80) : m.start()] + " " + t[m.end() : m.end() + 80]
+            for e in (f"{k}={v}", f"{k}~{of}", k):
+                ents.add(e)
+                for x in {x.lower() for x in term.findall(around)}:
+                    pairs.add((e, x))
+                    contexts.setdefault((e, x), {}).setdefault(t, set()).add(around)
+        near.update(pairs)
+        n_entity.update(ents)
+    many = {p for p in near if len({min(c) for c in contexts[p].values()}) >= 3}
+    share = {(e, x): 1 + math.log2(near[e, x] / (n_term[x] + 0.5)) / -math.log2(n_entity[e] / len(texts)) for e, x in many}
+    flagged = {x for (e, x), s in share.items() if s >= pii.GENERALISE}
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("h", F.xxhash64("text")).repartition(3)
+    got = {r["term"]: r for r in pii.disclosure(rows, rows.select("doc_id", "h", pii.base_spans(F.col("text")).alias("base"))).collect()}
+    assert set(got) == flagged and set(told.values()) <= flagged
+    for x, r in got.items():
+        mine = [e for e, y in many if y == x and share[e, y] >= pii.GENERALISE]
+        assert abs(r["share"] - max(share[e, x] for e in mine)) < 1e-9
+        coarse = []
+        for e in mine:
+            both = sum(near[f, y] for f, y in many if f == e and y[:3] == x[:3])
+            every = sum(n for y, n in n_term.items() if y[:3] == x[:3])
+            coarse.append(1 + math.log2(both / (every + 0.5)) / -math.log2(n_entity[e] / len(texts)))
+        assert abs(r["coarse"] - max(coarse)) < 1e-9
+
+
+def test_sanitise_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "write to a@b.com now", 7, "x"), (2, None, 8, "y")], "doc_id long, text string, h long, _spans string").selectExpr("*", "doc_id AS spans", "text AS whole", "h AS row")
+    got = {r["doc_id"]: r for r in sanitise(df).collect()}
+    assert got[1]["text"] == "write to <EMAIL> now" and got[2]["text"] is None and got[1]["h"] == 7 and got[2]["_spans"] == "y" and sanitise(df).columns == df.columns

@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from pixelmill.llm.quality import kth_largest, select_documents
+from pixelmill.llm.quality import gumbel, kth_largest, select_documents
 
 DOCS, LABELS = "doc_id long, text string", "doc_id long, quality int, toxic int"
 
@@ -67,3 +67,48 @@ def test_toxic_ones_go_and_clean_ones_stay(spark):
     assert sum(got[k] for k in out["toxic"]) <= 0.02 * len(out["toxic"])
     assert sum(got[k] for k in out["clean"]) >= 0.98 * len(out["clean"])
     assert sum(got[k] for k in out["junk"]) <= 0.05 * len(out["junk"])
+
+
+def test_weights_and_samples_like_brute_force(spark):
+    """Ratios by counts in dictionaries; the sample by sorting keys."""
+    import re
+    from collections import Counter
+
+    from pixelmill.llm import quality as q
+
+    rng = random.Random(21)
+    docs = [(k, clean(rng) if rng.random() < 0.7 else junk(rng)) for k in range(120)]
+    labels = [(k, 1, 0) for k in range(40)]
+    out = select_documents(spark.createDataFrame(docs, DOCS).repartition(3), spark.createDataFrame(labels, LABELS)).collect()
+    order = [r[0] for r in spark.sql("SELECT id FROM range(40) ORDER BY xxhash64(id), id").collect()]
+    fit, cache = set(order[::2]), q.Tokens()
+    grams = {k: q.features(cache, re.findall(rb"[A-Za-z0-9\x80-\xff]+|[^A-Za-z0-9\x80-\xff\s]+", t.encode())).tolist() for k, t in docs}
+    raw, target = Counter(g for v in grams.values() for g in v), Counter(g for k in fit for g in grams[k])
+    part = {False: range(q.BUCKETS), True: range(q.BUCKETS, q.BUCKETS + q.SHAPES)}
+    total = {(s, n): sum(c[b] + 0.5 for b in part[s]) for s in part for n, c in (("raw", raw), ("target", target))}
+
+    def ratio(g):
+        s = g >= q.BUCKETS
+        return math.log((target[g] + 0.5) / total[s, "target"] / ((raw[g] + 0.5) / total[s, "raw"]))
+
+    for r in out:
+        want = sum(map(ratio, grams[r["doc_id"]])) / (len(grams[r["doc_id"]]) + q.PRIOR)
+        assert r["ratio"] == pytest.approx(want, abs=1e-9) and r["log_weight"] == pytest.approx(want * q.SPAN, abs=1e-8)
+    kept = [r for r in out if r["kept"]]
+    best = sorted(kept, key=lambda r: -r["gumbel_key"])[: math.ceil(q.SHARE * len(kept))]
+    assert {r["doc_id"] for r in out if r["sampled"]} == {r["doc_id"] for r in best}
+    plain = sorted(kept, key=lambda r: -r["log_weight"])[: len(best)]
+    assert {r["doc_id"] for r in plain} != {r["doc_id"] for r in best}  # the noise decides
+
+
+def test_inclusion_follows_the_weights(spark):
+    """Over many seeds, samples of two of five documents are as frequent as drawing one after the other, in proportion to weights, makes them."""
+    from pyspark.sql import functions as F
+
+    weight = [5.0, 3.0, 1.0, 0.5, 0.5]
+    rows = spark.createDataFrame([(k, math.log(w)) for k, w in enumerate(weight)], "doc_id long, lw double").crossJoin(spark.range(6000).withColumnRenamed("id", "seed"))
+    keyed = rows.select("seed", F.struct((F.col("lw") + gumbel(F.col("doc_id"), F.col("seed"))).alias("key"), "doc_id").alias("k")).groupBy("seed").agg(F.slice(F.sort_array(F.collect_list("k"), asc=False), 1, 2).alias("top"))
+    got = {r["d"]: r["count"] / 6000 for r in keyed.select(F.explode("top.doc_id").alias("d")).groupBy("d").count().collect()}
+    total = sum(weight)
+    want = [w / total + sum(v / total * w / (total - v) for j, v in enumerate(weight) if j != k) for k, w in enumerate(weight)]
+    assert all(abs(got[k] - w) < 0.03 for k, w in enumerate(want))

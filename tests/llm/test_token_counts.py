@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from pixelmill.llm.token_counts import EVENTS, Rollup, count_events
 
 
@@ -55,3 +57,29 @@ def test_counts_of_documents(spark):
     df = spark.createDataFrame([(1, "One, two  three.\n", "s", "en"), (2, None, None, None), (2, None, None, None), (3, "", "s", "en"), (4, "é 👍 ok", "s", "en")], "doc_id long, text string, source string, lang string")
     got = sorted((r["doc_id"], r["version"], r["n_tokens"]) for r in count_events(df, "insert").collect())
     assert got == [(1, "marks-2", 5), (1, "words-1", 3), (2, "marks-2", 0), (2, "marks-2", 0), (2, "words-1", 0), (2, "words-1", 0), (3, "marks-2", 0), (3, "words-1", 0), (4, "marks-2", 3), (4, "words-1", 3)]
+
+
+def test_tokenizer_files_and_odd_rows(spark):
+    pt = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    files = {"bpe-49k": pt.path("word_bpe_49k.json"), "bpe-50k": pt.path("byte_bpe_50k.json")}
+    rows = [(1, "One, two  three.\n", "s", "en"), (2, None, None, None), (None, "é 👍 ok", "s", "en"), (3, "word " * 30_000, "s", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").selectExpr("*", "1 AS version", "text AS by_pattern", "2 AS n_tokens")
+    got = {(r["doc_id"], r["version"]): r["n_tokens"] for r in count_events(df, "insert", tokenizers=files).collect()}
+    for v, p in files.items():
+        t = Tokenizer.from_file(p)
+        assert all(got[i, v] == len(t.encode(x or "", add_special_tokens=False).ids) for i, x, *_ in rows)
+    assert got[3, "words-1"] == 30_000 and len(got) == 16
+    assert count_events(df.limit(0), "insert", tokenizers=files).collect() == []
+
+
+def test_compaction(spark, tmp_path):
+    r = Rollup(spark, f"file://{tmp_path}/r")
+    batches = [[(k, "a", "s", "en", k, "insert", 0) for k in range(5)], [(1, "a", "t", "en", 7, "revise", 0), (2, "a", "s", "en", 0, "delete", 0)], [(1, "a", "t", "en", 0, "delete", 0), (9, "a", "s", "en", 4, "insert", 0)]]
+    for b, events in enumerate(batches):
+        assert r.commit(b, spark.createDataFrame(events, EVENTS))
+        r.compact()
+        assert not r.commit(b, spark.createDataFrame(events, EVENTS))
+        assert sorted(map(tuple, r.totals().collect()), key=str) == brute(batches[: b + 1])
+    assert r.committed() == [2]
