@@ -122,7 +122,8 @@ def disclosure(rows: DataFrame, based: DataFrame) -> DataFrame:
     one = near.groupBy("entity", "term", "h").agg(F.first("copies").alias("copies"), F.min("c").alias("c"))
     one = one.groupBy("entity", "term", "c").agg(F.sum("copies").alias("n"))
     both = one.groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("n").alias("n_both"))
-    pairs = materialize(both.where(F.col("contexts") >= MIN_CONTEXTS).join(entities, "entity"), "pairs")
+    entities = materialize(entities.where(F.col("n_entity") >= MIN_CONTEXTS), "entities")  # others have too few contexts
+    pairs = materialize(both.where(F.col("contexts") >= MIN_CONTEXTS).join(_small(entities), "entity"), "pairs")
     if pairs.isEmpty():
         return pairs.select("term", F.lit(0.0).alias("share"), F.lit(0.0).alias("coarse"))
     total = rows.count()
