@@ -85,7 +85,7 @@ def release() -> None:
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 50) -> DataFrame:
     """Connected components by alternating large-star and small-star rounds.
 
-    ``edges`` holds pairs of longs in any direction; null ends and self loops are ignored. Returns one row
+    ``edges`` holds pairs of longs or of strings in any direction; null ends and self loops are ignored. Returns one row
     ``(node, root)`` for each node of an edge that joins two different nodes; root is the smallest node reachable.
     Each round is a grouped minimum (combined before the shuffle) and a join, so a hub of any size is
     never gathered in one place. Rounds grow with the logarithm of the longest path.
@@ -114,5 +114,5 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
 
 
 def _fingerprint(e: DataFrame) -> tuple:
-    row = e.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.sum(F.col("v") % 1000003).alias("s")).first()
+    row = e.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.sum(F.xxhash64("v") % 1000003).alias("s")).first()
     return tuple(row)

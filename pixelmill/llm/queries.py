@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,14 +86,37 @@ def op9_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
     from pixelmill.llm.line_dedup import remove_boilerplate
 
     found = remove_boilerplate(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars_left"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pixelmill.llm.whitening import whiten
+
+    return whiten(_table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+#: Verdict, host and path of the rules that ``op12_url_aliases`` applies.
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def op12_url_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pixelmill.llm.url_filter import filter_pages
+
+    rules = spark.createDataFrame(URL_RULES, "verdict string, host string, path string")
+    return filter_pages(_table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents, checked against documents of which those with an even crc32 of doc_id have lost their line feeds."""
+    from pixelmill.llm.merkle import leaves_of, manifest, verified
+
+    lost = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    return verified(manifest(leaves_of(_table(spark, sf_dir, "documents"), {"text": lost})))
+
+
 QUERIES = {
     "op1_warc_archives": op1_warc_archives,
     "op2_embedding_forest": op2_embedding_forest,
@@ -104,6 +128,9 @@ QUERIES = {
     "op8_quality_resampling": op8_quality_resampling,
     "op9_token_rollups": op9_token_rollups,
     "op10_line_spread": op10_line_spread,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_url_aliases": op12_url_aliases,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLE: dict[str, str] = {
@@ -153,4 +180,46 @@ a AS (SELECT r, count(*) AS n, count(b.key) AS gone, coalesce(string_agg(line, c
   FROM k LEFT JOIN b ON k.key = b.key GROUP BY r)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_lines, coalesce(gone, 0)::BIGINT AS n_removed, length(t)::BIGINT AS n_chars_left, sha256(t) AS text_sha256
 FROM d LEFT JOIN a ON d.r = a.r""",
+    "op12_url_aliases": r"""
+WITH RECURSIVE rules(rv, rh, rp) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+l AS (SELECT url AS src, unnest(regexp_extract_all(html, '(?is)<link\b[^>]*>')) AS tag FROM pages WHERE url IS NOT NULL),
+m AS (SELECT url AS src, unnest(regexp_extract_all(html, '(?is)<meta\b[^>]*>')) AS tag FROM pages WHERE url IS NOT NULL),
+links AS (SELECT src, regexp_extract(tag, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS dst FROM l WHERE regexp_matches(tag, '(?i)\brel\s*=\s*["'']?canonical\b')
+  UNION ALL SELECT src, regexp_extract(tag, '(?i)\burl\s*=\s*([^"''\s>]+)', 1) FROM m WHERE regexp_matches(tag, '(?i)http-equiv\s*=\s*["'']?refresh\b')),
+u AS (SELECT DISTINCT url FROM (SELECT url FROM pages UNION ALL SELECT src FROM links UNION ALL SELECT dst FROM links) WHERE contains(url, '://')),
+h AS (SELECT url, translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '^[^?#]*\?([^#]*)', 1) AS query FROM u),
+k AS (SELECT *, regexp_replace(host, '\.?(:80|:443)?$', '') || CASE WHEN path = '' THEN '/' ELSE path END || '?'
+    || ltrim(regexp_replace(query, '(^|&)(utm_[a-z]+|gclid|fbclid|msclkid)=[^&]*', '', 'g'), '&') AS key FROM h),
+j AS (SELECT url, arg_max(rh || rp, length(rh) + length(rp)) AS rule, arg_max(rv, length(rh) + length(rp)) AS verdict
+  FROM h JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY url),
+e AS (SELECT a.key AS s, b.key AS t FROM links JOIN k a ON a.url = src JOIN k b ON b.url = dst UNION SELECT b.key, a.key FROM links JOIN k a ON a.url = src JOIN k b ON b.url = dst),
+hit(key) AS (SELECT DISTINCT key FROM k JOIN j USING (url) WHERE verdict = 'block' UNION SELECT t FROM hit JOIN e ON s = hit.key)
+SELECT page_id, coalesce(k.host, '') AS host, coalesce(k.path, '') AS path, j.rule, coalesce(j.verdict, CASE WHEN hit.key IS NULL THEN 'allow' ELSE 'block' END) AS verdict
+FROM pages LEFT JOIN k ON k.url = pages.url LEFT JOIN j ON j.url = pages.url LEFT JOIN hit ON hit.key = k.key""",
+    "op13_merkle_manifest": r"""
+WITH RECURSIVE b AS (SELECT row_number() OVER () AS r, doc_id, coalesce('=' || source, '-') AS tree, text,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+    || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+    xor(4294967295, list_reduce(list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT),
+      lambda c, x: list_reduce(range(8), lambda y, z: xor(y >> 1, CASE WHEN y & 1 = 1 THEN 3988292384 ELSE 0 END), xor(c, x)), 4294967295::BIGINT)) AS crc
+  FROM documents),
+c AS (SELECT *, CASE WHEN crc % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS lost FROM b),
+d AS (SELECT r, doc_id, tree, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(lost) || ':' || lost, '-')) AS claimed FROM c),
+n AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, claimed, r) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n FROM d),
+t AS (SELECT tree, 0 AS lvl, idx, n, leaf AS h FROM n
+  UNION ALL SELECT tree, lvl + 1, idx // 3, any_value(n + 2) // 3, sha256(string_agg(h, '' ORDER BY idx)) FROM t WHERE n > 1 GROUP BY tree, lvl, idx // 3),
+s AS (SELECT tree, h AS subroot, row_number() OVER (ORDER BY tree) - 1 AS idx, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (SELECT 0 AS lvl, idx, n, subroot AS h FROM s
+  UNION ALL SELECT lvl + 1, idx // 3, any_value(n + 2) // 3, sha256(string_agg(h, '' ORDER BY idx)) FROM u WHERE n > 1 GROUP BY lvl, idx // 3),
+f AS (SELECT r, tree, 0 AS lvl, idx, n, claimed AS h, '' AS proof FROM n
+  UNION ALL SELECT f.r, f.tree, f.lvl + 1, f.idx // 3, (f.n + 2) // 3, sha256(string_agg(CASE WHEN t.idx = f.idx THEN f.h ELSE t.h END, '' ORDER BY t.idx)),
+    f.proof || coalesce(string_agg(t.h, '' ORDER BY t.idx) FILTER (WHERE t.idx <> f.idx), '')
+  FROM f JOIN t ON t.tree = f.tree AND t.lvl = f.lvl AND t.idx // 3 = f.idx // 3 WHERE f.n > 1 GROUP BY f.r, f.tree, f.lvl, f.idx, f.n, f.proof),
+g AS (SELECT r, 0 AS lvl, s.idx, s.n, f.h, f.proof FROM f JOIN s ON s.tree = f.tree WHERE f.n = 1
+  UNION ALL SELECT g.r, g.lvl + 1, g.idx // 3, (g.n + 2) // 3, sha256(string_agg(CASE WHEN u.idx = g.idx THEN g.h ELSE u.h END, '' ORDER BY u.idx)),
+    g.proof || coalesce(string_agg(u.h, '' ORDER BY u.idx) FILTER (WHERE u.idx <> g.idx), '')
+  FROM g JOIN u ON u.lvl = g.lvl AND u.idx // 3 = g.idx // 3 WHERE g.n > 1 GROUP BY g.r, g.lvl, g.idx, g.n, g.proof)
+SELECT n.doc_id, n.leaf, s.subroot, u.h AS root, sha256(g.proof) AS proof_sha256, g.h AS folded_root, g.h = u.h AS verified
+FROM n JOIN s ON s.tree = n.tree JOIN u ON u.n = 1 JOIN g ON g.r = n.r AND g.n = 1""",
 }
