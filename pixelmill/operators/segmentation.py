@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelmill.operators import features, filters, graph, ml
+from pixelmill.operators import features, filters, graph, maxflow, ml, watershed
 from pixelmill.session import checkpoint_folder
 
 KEY = ["img"]
@@ -63,7 +66,7 @@ def segment_classes(px: DataFrame, segment: str, channels: list[str], classes: i
     else:
         centres = features.centroids(px, segment, axes)
         edges = graph.edge_weights(graph.adjacency(px, segment, axes), kind, made, centres, segment, axes=axes).checkpoint()
-        labels = graph.regularise(unary, edges, graph.pairwise_matrix(classes, regularisation), segment)
+        labels = maxflow.graph_cut(unary, edges, graph.pairwise_matrix(classes, regularisation), segment)
     return labels.join(made.select(*KEY, segment, "proba"), [*KEY, segment])
 
 
@@ -76,6 +79,46 @@ def grow_regions(unary: DataFrame, edges: DataFrame, seeds: DataFrame, matrix: l
     return graph.grown(unary, edges, seeds, matrix, segment)
 
 
+def object_pixels(px: DataFrame, segm: str, centres: DataFrame, foreground: tuple[float, ...] = (0.1, 0.9), regularisation: float = 1.0, seed: int = 0, shape: float = 0.0, radius: tuple[float, float] = (50.0, 10.0), tile: int = 256) -> DataFrame:
+    """Objects around centres (img, idx, y, x) by a graph cut over pixels: (img, y, x, object), 0 the background, else a centre's place by idx from 1.
+
+    ``foreground[c]`` is the chance that a pixel of class c in ``segm`` is part of an object. ``shape`` weighs a prior of size: the chance that a normal length of mean and
+    deviation ``radius`` exceeds the distance to the centre. Pixels of ``segm`` above 0 within ``seed`` of a centre (with 0 the centre's own) cost nothing there. Touching pixels
+    of different objects cost ``regularisation``; without it each pixel takes its cheapest, the smallest of equals. Images of more than ``maxflow.BLOCK_NODES`` pixels are cut in tiles.
+    """
+    if min(foreground) >= 1:
+        raise ValueError("no chance may be 1 for all classes")
+    checkpoint_folder(px.sparkSession)
+    top = px.agg(F.max(segm)).first()[0]
+    if top is not None and top >= len(foreground):
+        raise ValueError("a class of the segmentation has no chance of its own")
+    kinds = dict(px.dtypes)
+    order = Window.partitionBy(*KEY).orderBy("idx")
+    rounded = centres.select(*KEY, F.bround("y").cast("int").alias("_y"), F.bround("x").cast("int").alias("_x"), F.row_number().over(order).alias("cls"))
+    share = F.array(*map(F.lit, map(float, foreground)))[F.col(segm)]
+    base = px.select(*KEY, "y", "x", segm, (F.col("y").cast("long") * watershed.ROW + F.col("x")).alias("node"), share.alias("_p"))
+
+    @F.pandas_udf("double")
+    def beyond(d: pd.Series) -> pd.Series:
+        mean, std = radius
+        return d.map(lambda v: 0.5 * math.erfc((math.floor(v) - mean) / (std * math.sqrt(2))) + 1e-9)
+
+    d2 = (F.col("y") - F.col("_y")) * (F.col("y") - F.col("_y")) + (F.col("x") - F.col("_x")) * (F.col("x") - F.col("_x"))
+    near = base.join(rounded, KEY)
+    own = -F.log("_p") - (shape * F.log(beyond(F.sqrt(d2.cast("double")))) if shape else F.lit(0.0))
+    seeded = (d2 <= seed * seed) & (F.col(segm) > 0) if seed else d2 == 0
+    outside = base.select(*KEY, "node", F.lit(0).alias("cls"), (-(1 + shape) * F.log(1 - F.col("_p"))).alias("cost"))
+    unary = outside.unionByName(near.select(*KEY, "node", "cls", F.when(seeded, 0.0).otherwise(own).alias("cost")))
+    if regularisation > 0:
+        most = (rounded.agg(F.max("cls")).first()[0] or 0) + 1
+        edges = watershed.pixel_edges(px.withColumn("_one", F.lit(1)), "_one").select(*KEY, F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(1.0).alias("w"))
+        block = F.expr(f"node div {watershed.ROW} div {tile} * {watershed.ROW} + node % {watershed.ROW} div {tile}")
+        found = maxflow.graph_cut(unary.withColumn("_block", block), edges, graph.pairwise_matrix(most, regularisation), "node", block="_block")
+    else:
+        found = graph.best_labels(unary, [*KEY, "node"])
+    return found.select(*KEY, F.expr(f"node div {watershed.ROW}").cast(kinds["y"]).alias("y"), F.expr(f"node % {watershed.ROW}").cast(kinds["x"]).alias("x"), F.col("label").cast("int").alias("object"))
+
+
 def filter_response(px: DataFrame, channel: str, kernel: list[tuple[int, int, float]], name: str = "response") -> DataFrame:
     """Adds the response of a filter, given as (dy, dx, weight), with the image mirrored at its border."""
     return filters.convolve(px, channel, {name: kernel})

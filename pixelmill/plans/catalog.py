@@ -24,7 +24,7 @@ def query(sql: str | None = None, *views: str):
     def put(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLE[f.__name__] = (f"WITH {'RECURSIVE ' if any('USING KEY' in v for v in views) else ''}{', '.join(views)} " if views else "") + sql
+            ORACLE[f.__name__] = (f"WITH {'RECURSIVE ' if any('UNION' in v for v in views) else ''}{', '.join(views)} " if views else "") + sql
         return f
 
     return put
