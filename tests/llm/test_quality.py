@@ -44,7 +44,7 @@ def test_odd_rows(spark):
     d = spark.createDataFrame(docs, DOCS)
     labels = [(4, 1, 0), (4, 1, 0), (5, 1, None), (6, 0, 0), (None, 1, 0), (7, None, None), (8, 1, 1)]
     got = select_documents(d, spark.createDataFrame(labels, LABELS)).collect()
-    assert len(got) == len(docs) and all(math.isfinite(r["log_weight"]) for r in got) and len({r["gumbel_key"] for r in got if r["doc_id"] == 4}) == 1
+    assert len(got) == len(docs) and all(math.isfinite(r["gumbel_key"]) for r in got) and len({r["gumbel_key"] for r in got if r["doc_id"] == 4}) == 1
     assert all(r["kept"] for r in select_documents(d, spark.createDataFrame([], LABELS)).collect())
     assert select_documents(spark.createDataFrame([], DOCS), spark.createDataFrame(labels, LABELS)).collect() == []
 
@@ -78,9 +78,9 @@ def test_weights_and_samples_like_brute_force(spark):
 
     rng = random.Random(21)
     docs = [(k, clean(rng) if rng.random() < 0.7 else junk(rng)) for k in range(120)]
-    labels = [(k, 1, 0) for k in range(40)]
+    labels = [(k, int(t == t.lower()), 0) for k, t in docs[:40]]
     out = select_documents(spark.createDataFrame(docs, DOCS).repartition(3), spark.createDataFrame(labels, LABELS)).collect()
-    order = [r[0] for r in spark.sql("SELECT id FROM range(40) ORDER BY xxhash64(id), id").collect()]
+    order = [r[0] for r in spark.sql("SELECT id FROM range(40) ORDER BY xxhash64(id), id").collect() if labels[r[0]][1]]
     fit, cache = set(order[::2]), q.Tokens()
     grams = {k: q.features(cache, re.findall(rb"[A-Za-z0-9\x80-\xff]+|[^A-Za-z0-9\x80-\xff\s]+", t.encode())).tolist() for k, t in docs}
     raw, target = Counter(g for v in grams.values() for g in v), Counter(g for k in fit for g in grams[k])
@@ -91,14 +91,83 @@ def test_weights_and_samples_like_brute_force(spark):
         s = g >= q.BUCKETS
         return math.log((target[g] + 0.5) / total[s, "target"] / ((raw[g] + 0.5) / total[s, "raw"]))
 
+    def slow_fit(x, good):
+        """Slope and intercept by ever smaller steps that lower the loss."""
+        mean = sum(x) / len(x)
+        std = math.sqrt(sum((v - mean) ** 2 for v in x) / len(x))
+
+        def loss(a, b):
+            t = [a * (v - mean) / std + b for v in x]
+            return sum(max(u, 0) + math.log1p(math.exp(-abs(u))) - (u if g else 0) for u, g in zip(t, good)) + q.RIDGE / 2 * (a * a + b * b)
+
+        a = b = 0.0
+        step = 4.0
+        while step > 1e-7:
+            best = min(((loss(a + i * step, b + j * step), a + i * step, b + j * step) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+            if best[0] < loss(a, b) - 1e-15:
+                a, b = best[1:]
+            else:
+                step /= 2
+        return a / std, b - a * mean / std
+
+    marks = {k: q_ for k, q_, _ in labels if k not in fit}
+    graded = [(r["ratio"], marks[r["doc_id"]] == 1) for r in out if r["doc_id"] in marks]
+    slope, shift = slow_fit([x for x, _ in graded], [g for _, g in graded])
     for r in out:
         want = sum(map(ratio, grams[r["doc_id"]])) / (len(grams[r["doc_id"]]) + q.PRIOR)
-        assert r["ratio"] == pytest.approx(want, abs=1e-9) and r["log_weight"] == pytest.approx(want * q.SPAN, abs=1e-8)
-    kept = [r for r in out if r["kept"]]
-    best = sorted(kept, key=lambda r: -r["gumbel_key"])[: math.ceil(q.SHARE * len(kept))]
-    assert {r["doc_id"] for r in out if r["sampled"]} == {r["doc_id"] for r in best}
-    plain = sorted(kept, key=lambda r: -r["log_weight"])[: len(best)]
-    assert {r["doc_id"] for r in plain} != {r["doc_id"] for r in best}  # the noise decides
+        p = 1 / (1 + math.exp(-(slope * want + shift)))
+        assert r["ratio"] == pytest.approx(want, abs=1e-9) and r["p_target"] == pytest.approx(p, rel=1e-2, abs=1e-9) and r["log_weight"] == pytest.approx(q.SHARPNESS * math.log(max(r["p_target"], 1e-300)), rel=1e-6, abs=1e-6)
+    size = sum(r["p_target"] >= 0.5 for r in out)
+    best = sorted(out, key=lambda r: -r["gumbel_key"])[:size]
+    assert 0 < size < len(out) and {r["doc_id"] for r in out if r["kept"]} == {r["doc_id"] for r in best}
+    w = [math.exp(r["log_weight"]) for r in out]
+    assert q.effective_size(spark.createDataFrame(out)) == pytest.approx(sum(w) ** 2 / sum(x * x for x in w))
+
+
+def test_the_weights_decide_on_given_documents(spark):
+    """On the test tables: bad and toxic documents are far rarer in the sample than before, clean ones stay, and where few are wanted, noise decides among equals."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rows = {r["doc_id"]: r for r in select_documents(docs, labels).collect()}
+    marks = {r["doc_id"]: (r["quality"], r["toxic"]) for r in labels.collect()}
+    share = {m: [rows[k]["kept"] for k, v in marks.items() if v == m] for m in set(marks.values())}
+    mean = {m: sum(v) / len(v) for m, v in share.items()}
+    assert mean[1, 0] > 0.98 and mean[0, 0] < 0.03 and mean[0, 1] < 0.03 and mean[1, 1] < 0.1
+    # a sample of half as many: inclusion as the weights predict, for bins of weight, and neither the top by weight nor uniform
+    size = len(rows) // 2
+    few = {r["doc_id"]: r for r in select_documents(docs, labels, size=size, sharpness=0.25).collect()}
+    candidates = [r for r in few.values() if r["toxicity"] <= max(x["toxicity"] for x in few.values() if x["kept"])]
+    w = [math.exp(r["log_weight"]) for r in candidates]
+    low, high = 0.0, 1e6
+    for _ in range(200):  # sum of 1 - exp(-w t) = size
+        t = (low + high) / 2
+        low, high = (t, high) if sum(1 - math.exp(-x * t) for x in w) < size else (low, t)
+    order = sorted(zip(w, (r["kept"] for r in candidates)))
+    for k in range(5):
+        part = order[k * len(order) // 5 : (k + 1) * len(order) // 5]
+        assert abs(sum(x for _, x in part) - sum(1 - math.exp(-x * t) for x, _ in part)) < 4 * math.sqrt(len(part)) / 2
+    top = set(sorted((r["doc_id"] for r in candidates), key=lambda k: -few[k]["log_weight"])[:size])
+    assert 0.4 * size < len(top & {k for k, r in few.items() if r["kept"]}) < 0.9 * size
+
+
+def test_logistic():
+    from pixelmill.llm.quality import logistic
+
+    a, b = logistic([0.0, 1.0, 2.0, 3.0], [False, False, True, True])
+    assert a > 0 and abs(a * 1.5 + b) < 1e-6
+    assert logistic([1.0, 2.0], [True, True]) == (0.0, math.inf)
+    assert logistic([2.0, 1.0, 3.0], [True, False, False]) [0] >= 0 and logistic([1.0, 2.0], [True, False])[0] == 0
+    far = logistic([0.0, 1e-9, 5.0, 1e6], [False, False, True, True])
+    assert all(map(math.isfinite, far))
+
+
+def test_labels_as_text(spark):
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(k, clean(rng) if k % 4 else junk(rng)) for k in range(200)], DOCS)
+    labels = spark.createDataFrame([(k, int(k % 4 > 0), 0) for k in range(100)], LABELS)
+    text = labels.selectExpr("doc_id", "cast(quality AS string) AS quality", "'none' AS toxic")
+    key = lambda rows: sorted((r["doc_id"], r["kept"]) for r in rows.collect())
+    assert key(select_documents(docs, text)) == key(select_documents(docs, labels))
 
 
 def test_inclusion_follows_the_weights(spark):
