@@ -2,13 +2,13 @@
 
 Words lose outer punctuation and case; numbers, units after numbers and names (capitalised words inside a sentence)
 become typed placeholders. Windows of ``width`` words of the template, and of the plain words, are hashed and joined with
-those of the benchmark. Template matches count only where the slots are consistent: over a run of matching windows, each value of
-the item stands for one value of the document and the other way round, so a question asked again with other
-numbers or names is caught, and a chance likeness of form isn't.
+those of the benchmark. Template matches count only where the slots are consistent: over the matching windows at one offset, or over a stretch of them
+without a gap that is half of the item or more, each value of the item stands for one value of the document (two of the item may stand for the same), so a question asked again with other
+numbers or names is caught, and a chance likeness of form isn't; nor does one chance window elsewhere hide a true stretch.
 
 A third, merged form takes capitalised words that begin a sentence for names, too, and runs of names, and a number with its unit, for one
-slot each; its places and offsets are its own. In templates at least ``MIN_PLAIN`` words of a window (half of a shorter one) are plain. An item with
-fewer than ``width`` words in a form has one window there, the whole of it; with fewer than ``SHORTEST`` it tells nothing and matches nothing.
+slot each; its places and offsets are its own. In templates at least ``MIN_PLAIN`` words of a window are plain. An item with
+fewer than ``width`` words in a form has one window there, the whole of it; with fewer than ``SHORTEST`` it is matched by documents that consist of its words.
 In languages that write nouns with capitals, nouns are names, too, so that fewer windows have enough plain words.
 """
 
@@ -22,7 +22,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelmill.llm.common import lean, materialize, text_batches
@@ -42,7 +42,7 @@ _NUMBER = re.compile(r"[-+$€£]?\d[\d.,:/]*(?:%|st|nd|rd|th)?")
 _JOINED = re.compile(r"([-+$€£]?\d[\d.,:/]*)([^\W\d_]+|%)")
 PLAIN, NUMBER, UNIT, NAME, EMPTY, ENDS = 0, 1, 2, 3, 4, 8
 #: Forms of windows.
-WORDS, TYPED, MERGED = 0, 1, 2
+WORDS, TYPED, MERGED, WHOLE = 0, 1, 2, 3
 #: Words whose hash stands for a placeholder; the low four bits of a hash hold the kind.
 _SLOT = {k: np.uint64(xxhash.xxh3_64_intdigest(f"<{k}>") & ~15) for k in (NUMBER, UNIT, NAME)}
 
@@ -155,12 +155,24 @@ def _candidates(form: int, v: np.ndarray, shape: np.ndarray, kind: np.ndarray, d
     if form != WORDS:
         sums = np.cumsum(np.r_[0, kind != PLAIN])
         slots = sums[at + width] - sums[at]
-        at = at[(slots >= (form == TYPED)) & (width - slots >= min(MIN_PLAIN, -(-width // 2)))]
+        at = at[(slots >= (form == TYPED)) & (width - slots >= MIN_PLAIN)]
     begin = np.searchsorted(doc, doc[at])
     for d, p, x, k in zip(doc[at].tolist(), (at - begin).tolist(), h[at].view(np.int64).tolist(), at.tolist(), strict=True):
         yield d, p, x, form, v[k : k + width][kind[k : k + width] != PLAIN].view(np.int64).tolist() if form != WORDS else []
 
 
+def _short(v: np.ndarray, doc: np.ndarray, wanted: Wanted | None) -> Iterator[tuple]:
+    """(number of the text, 0, hash, form, no values) of the texts of fewer than ``SHORTEST`` words, as a whole; of those ``wanted`` only, if given."""
+    begin = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.empty(0, np.int64)
+    size = np.diff(np.r_[begin, len(doc)])
+    for n in range(1, SHORTEST):
+        at = begin[size == n]
+        if len(at):
+            h = windows(v, n)[at]
+            keep = np.arange(len(at)) if wanted is None else wanted.among(h)
+            yield from ((d, 0, x, WHOLE, []) for d, x in zip(doc[at[keep]].tolist(), h[keep].view(np.int64).tolist(), strict=True))
+
+
 def _of_items(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canon = Canon()
@@ -169,6 +181,8 @@ def _of_items(width: int):
             for i, text in zip(batch.column("item_id").to_pylist(), batch.column("text"), strict=True):
                 for form, v, *rest in _forms(canon, [text.as_py() or b""]):
                     w = min(width, len(v))
+                    if form == WORDS:
+                        out += [(i, *row[1:], 0) for row in _short(v, rest[-1], None)]
                     if w >= SHORTEST:
                         out += [(i, *row[1:], w) for row in _candidates(form, v, *rest, w, None)]
                 if len(out) > 100_000:
@@ -196,6 +210,8 @@ def _of_documents(widths: list[int], wanted):
                     b += 1
                 out: list[tuple] = []
                 for form in _forms(canon, part):
+                    if form[0] == WORDS:
+                        out += [(ids[a + d], *row) for d, *row in _short(form[1], form[-1], known)]
                     for w in widths:
                         for d, *row in _candidates(*form, w, known):
                             out.append((ids[a + d], *row))
@@ -218,8 +234,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> D
     """Rows (doc_id, item_id, item_windows, n_plain, n_template) for each document that holds enough of an item.
 
     Enough is ``MIN_RUN`` windows, or ``MIN_SHARE`` of the item's where these are fewer, matched as plain words anywhere, or as a
-    template with consistent slots at one offset. Reads ``docs(doc_id, text)`` and ``benchmark(item_id, text)`` only. Null texts, and items
-    of fewer than ``SHORTEST`` words, match nothing; nor do rows without id. Repeated rows count as one. Empty tables give an empty
+    template with consistent slots at one offset. Reads ``docs(doc_id, text)`` and ``benchmark(item_id, text)`` only. An item of fewer than ``SHORTEST``
+    words is held by documents of the same words and no others. Texts without words match nothing; nor do rows without id. Repeated rows count as one. Empty tables give an empty
     result.
     """
     spark = docs.sparkSession
@@ -234,20 +250,32 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> D
         if hashes.count() <= MAX_BROADCAST:
             share = spark.sparkContext.broadcast(hashes.toArrow().column("hash").to_numpy().view(np.uint64))
             wanted = lambda: Wanted(share.value)
-        widths = sorted(r["width"] for r in items.select("width").distinct().collect())
+        widths = sorted(r["width"] for r in items.where("width > 0").select("width").distinct().collect())
         hits = materialize(rows.mapInArrow(lean(_of_documents(widths, wanted)), f"doc_id {shape}"), "hits")
     pairs = hits.join(items, ["hash", "form"]).select("doc_id", "item_id", "item_place", "form", (F.col("form") == MERGED).alias("merged"), (F.col("place") - F.col("item_place")).alias("offset"), F.arrays_zip("vals", "item_vals").alias("z"))
-    # an item has few windows, so a group's sets are small; copies of a passage within a document have offsets of their own
-    runs = pairs.groupBy("doc_id", "item_id", "merged", "offset").agg(
-        F.collect_set(F.when(F.col("form") == WORDS, F.col("item_place"))).alias("plain"),
+    # an item has few windows, so a group is small; copies of a passage within a document have offsets of their own
+    at = ["doc_id", "item_id", "merged", "offset"]
+    order = Window.partitionBy(*at).orderBy("item_place")
+    gap = F.col("item_place") - F.coalesce(F.lag("item_place").over(order), F.col("item_place")) > 1
+    pairs = pairs.withColumn("gap", gap.cast("int")).withColumn("stretch", F.sum("gap").over(order.rangeBetween(Window.unboundedPreceding, 0)))
+    stretches = pairs.groupBy(*at, "stretch").agg(
+        F.collect_set(F.when(F.col("form").isin(WORDS, WHOLE), F.col("item_place"))).alias("plain"),
         F.size(F.collect_set("item_place")).alias("both"),
         F.array_distinct(F.flatten(F.collect_set("z"))).alias("z"))
-    consistent = (F.size(F.array_distinct("z.vals")) == F.size("z")) & (F.size(F.array_distinct("z.item_vals")) == F.size("z"))
+    one_value = lambda z: F.size(F.array_distinct(F.transform(z, lambda x: x["item_vals"]))) == F.size(z)
+    runs = stretches.groupBy(*at).agg(
+        F.flatten(F.collect_list("plain")).alias("plain"), F.sum("both").alias("all"), F.array_distinct(F.flatten(F.collect_list("z"))).alias("z"),
+        F.max(F.when(one_value(F.col("z")), F.col("both"))).alias("longest"))
+    of_all = F.when(one_value(F.col("z")), F.col("all"))
+    most = lambda m, c: F.coalesce(F.max(F.when(F.col("merged") == m, c)), F.lit(0)).cast("long")
     found = runs.groupBy("doc_id", "item_id").agg(
         F.size(F.array_distinct(F.flatten(F.collect_set("plain")))).cast("long").alias("n_plain"),
-        *(F.coalesce(F.max(F.when(consistent & (F.col("merged") == m), F.col("both"))), F.lit(0)).cast("long").alias(n) for n, m in (("n_typed", False), ("n_merged", True))))
+        most(False, of_all).alias("n_typed"), most(True, of_all).alias("n_merged"), most(False, F.col("longest")).alias("typed_run"), most(True, F.col("longest")).alias("merged_run"))
     places = lambda m: (F.max(F.when((F.col("form") == MERGED) == m, F.col("item_place"))) + 1).cast("long")
     total = items.groupBy("item_id").agg(places(False).alias("item_windows"), places(True).alias("merged_windows"))
     need = lambda n: F.least(F.lit(MIN_RUN), F.ceil(F.col(n) * MIN_SHARE))
-    enough = (F.greatest("n_plain", "n_typed") >= need("item_windows")) | ((F.col("n_merged") > 0) & (F.col("n_merged") >= need("merged_windows")))
-    return found.join(total, "item_id").where(enough).select("doc_id", "item_id", "item_windows", "n_plain", F.greatest("n_typed", "n_merged").alias("n_template"))
+    # a stretch on its own has to be the larger part of the item
+    part = lambda n: F.greatest(need(n), F.ceil(F.col(n) * MIN_SHARE))
+    enough = (F.greatest("n_plain", "n_typed") >= need("item_windows")) | (F.col("typed_run") >= part("item_windows"))
+    enough = enough | ((F.col("n_merged") > 0) & (F.col("n_merged") >= need("merged_windows"))) | ((F.col("merged_run") > 0) & (F.col("merged_run") >= part("merged_windows")))
+    return found.join(total, "item_id").where(enough).select("doc_id", "item_id", "item_windows", "n_plain", F.greatest("n_typed", "n_merged", "typed_run", "merged_run").alias("n_template"))

@@ -75,11 +75,21 @@ def test_names_that_begin_sentences_and_longer_values(spark):
 
 def test_short_items(spark):
     docs = [(1, "Then she asked: what is 31 times 8? Nobody knew."), (2, "What is 31 times as hard"), (3, "what is this times that"), (4, "is 12 times")]
-    assert found(spark, docs, [(10, "What is 12 times 7?"), (11, "is 12 times")]) == [(1, 10)]
+    items = [(10, "What is 12 times 7?"), (11, "is 12 times"), (12, "Capital of France?"), (13, "Why"), (14, "How many days has March this year?")]
+    docs += [(5, "capital of France"), (6, "The capital of France"), (7, "why?"), (8, "Why not"), (9, "x What is 12 times 7"), (10, "So how many days has June this year? Who knows")]
+    assert found(spark, docs, items) == [(4, 11), (5, 12), (7, 13), (9, 10), (10, 14)]
+
+
+def test_equal_values_and_chance_windows(spark):
+    """Values that happen to be equal fit; a window of the same form at the same offset elsewhere doesn't hide a true stretch."""
+    equal = ITEM.replace("Maria", "Lena").replace("Jonas", "Lena").replace("9", "12").replace("11", "12").replace("120", "12")
+    item = "one two Maria four five six seven eight nine ten " + ITEM
+    chance = "one two Vera four five six seven eight 9 ten " + ITEM.replace("Maria", "Lena")
+    assert found(spark, [(1, equal), (2, "z z " + chance)], [(10, ITEM), (11, item)]) == [(1, 10), (1, 11), (2, 10), (2, 11)]
 
 
 def test_templates_like_brute_force(spark):
-    """Questions of a template with one-word values: a document holds one if its words are the question's, but for values that stand for others one to one."""
+    """Questions of a template with one-word values: a document holds one if its words are the question's, but for values of which one stands for each of the question's."""
     rng = random.Random(11)
     names, numbers = ["Anna", "Bert", "Carl", "Dora", "Emil", "Fred"], ["3", "45", "1,200", "7.5", "99", "18"]
     words = [f"w{k}" for k in range(60)]
@@ -99,15 +109,29 @@ def test_templates_like_brute_force(spark):
         items.append((i, question(form, first)))
         for _ in range(8):
             new = values(*(rng.choice(names) for _ in "ab"), *(rng.choice(numbers) for _ in "cd"))
-            docs.append((len(docs), "x y z " + question(form, new) + " z y x"))
+            made = [new.get(w, w) for w in form]
+            if rng.random() < 0.5:  # the last occurrence of a value has another one
+                at = max(k for k, w in enumerate(form) if w in ("<a>", "<c>"))
+                made[at] = rng.choice(names if form[at] == "<a>" else numbers)
+            docs.append((len(docs), "x y z " + " ".join(made) + " z y x"))
             # plain windows suffice as well; templates need at least one slot, at least four plain words and as many windows
-            u, w = items[-1][1].split(), question(form, new).split()
+            u, w = items[-1][1].split(), made
             plain = sum(u[k : k + 8] == w[k : k + 8] for k in range(17))
             slots = [sum(x[0] == "<" for x in form[k : k + 8]) for k in range(17)]
             fits = [k for k in range(17) if u[k : k + 8] == w[k : k + 8] or 0 < slots[k] <= 4]
-            shown = {x for k in fits for x in form[k : k + 8] if x in first and slots[k] <= 4}
-            one_to_one = len({new[x] for x in shown}) == len(shown)
-            if plain >= 6 or one_to_one and len(fits) >= 6:
+            stretches = [[fits[0]]] if fits else []
+            for k in fits[1:]:
+                if k == stretches[-1][-1] + 1:
+                    stretches[-1].append(k)
+                else:
+                    stretches.append([k])
+
+            def fit(places):
+                """Whether each value of the question stands for one of the document over the windows with slots at ``places``."""
+                pairs = {(u[j], w[j]) for k in places if 0 < slots[k] <= 4 for j in range(k, k + 8) if form[j] in first}
+                return len({a for a, _ in pairs}) == len(pairs)
+
+            if plain >= 6 or fit(fits) and len(fits) >= 6 or any(fit(f) and len(f) >= 9 for f in stretches):
                 want.append((docs[-1][0], i))
     got = found(spark, docs, items)
     assert got == sorted(want) and 20 < len(want) < len(docs)
