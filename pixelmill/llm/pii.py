@@ -1,18 +1,23 @@
 """Personal data: spans by pattern, and terms that give protected entities away. DataFrame and SQL functions only.
 
 Base spans are e-mail and IP addresses, card and phone numbers; secrets (long hexadecimal runs, and what is assigned to a token, key or password)
-are added to them. What is protected are entities of three levels: each value found, its class (an address's domain, the first half of
-an IP address, the first digits of a number) and its kind. The context of an entity is ``REACH`` code points on either side.
+are added to them. What is protected are entities of two levels: each value found, and its class (an address's domain, the first half of
+an IP address, the first digits of a number). The context of an entity is ``REACH`` code points on either side; its terms are the words there that
+are neither part of a base span of the text nor key words of the patterns.
 
 The corpus tells how strongly a term of the context reveals an entity. With document frequencies over the whole corpus, its share is the
 pointwise mutual information of term and entity divided by the entity's own information, after ``SMOOTH`` texts that hold the term alone
-are added: near 1 where the term occurs with the entity only. Terms seen in ``MIN_CONTEXTS`` different contexts of an entity are flagged where the share
-reaches ``GENERALISE``, wherever they occur. Those that reach ``REMOVE`` are removed; others are generalised to the class of terms with
+are added: near 1 where the term occurs with the entity only. A term is flagged, wherever it occurs, where the share reaches ``GENERALISE`` and the evidence
+is beyond chance: the different contexts that hold both are more than texts with the term would meet the entity by themselves. The bound of that chance, -k log2(k / (e n q)) bits for k
+contexts, n different texts with the term and an entity in a share q of all different texts, has to be ``SURE`` bits below one in as many as there are pairs. Few contexts so suffice for a
+rare entity in a large corpus, and copies of one text are no evidence. Terms whose share reaches ``REMOVE`` are removed; others are generalised to the class of terms with
 the same first ``STEM`` letters if this class reveals less than ``GENERALISE``, and removed if it doesn't.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +25,9 @@ from pixelmill.llm.common import materialize
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret", "term")
-REACH, MIN_CONTEXTS, SMOOTH, GENERALISE, REMOVE, STEM = 80, 3, 0.5, 0.7, 0.9, 3
+REACH, SMOOTH, SURE, GENERALISE, REMOVE, STEM = 80, 0.5, 10, 0.7, 0.9, 3
+#: Words that the patterns demand before a secret.
+KEYS = ("token", "secret", "key", "password", "passwd")
 #: Small tables of terms or documents are broadcast up to so many terms or ids, else joined by shuffle, with salt for texts that occur often.
 MAX_BROADCAST, SALT = 500_000, 16
 TERM = r"\p{L}{4,}"
@@ -81,10 +88,10 @@ def base_spans(text: Column) -> Column:
 
 
 def _entities(b: Column) -> Column:
-    """The entities that a span stands for: its value, its class and its kind."""
+    """The entities that a span stands for: its value and its class."""
     kind, digits = F.element_at(F.array(*map(F.lit, KINDS)), b["k"] + 1), _digits(b["v"])
     of_class = F.when(b["k"] == 0, F.substring_index(F.lower(b["v"]), "@", -1)).when(b["k"] == 1, F.substring_index(b["v"], ".", 2)).when(b["k"] == 4, None).otherwise(F.substring(digits, 1, 4))
-    return F.array_compact(F.array(F.concat_ws("=", kind, F.lower(b["v"])), F.concat_ws("~", kind, of_class), kind))
+    return F.array_compact(F.array(F.concat_ws("=", kind, F.lower(b["v"])), F.when(of_class.isNotNull(), F.concat_ws("~", kind, of_class))))
 
 
 def _named(spans: Column) -> Column:
@@ -111,22 +118,28 @@ def disclosure(rows: DataFrame, based: DataFrame) -> DataFrame:
     held = based.where(F.size("base") > 0)
     copies = materialize(held.groupBy("h").agg(F.count("*").alias("copies"), F.first("base").alias("base")), "copies")
     entity = F.explode(F.array_distinct(F.flatten(F.transform("base", _entities)))).alias("entity")
-    entities = copies.select("copies", entity).groupBy("entity").agg(F.sum("copies").alias("n_entity"))
+    entities = copies.select("copies", entity).groupBy("entity").agg(F.sum("copies").alias("n_entity"), F.count("*").alias("d_entity"))
     texts = rows.join(_small(copies.select("h", "copies")), "h").dropDuplicates(["h"])
-    around = texts.select("h", "copies", "text", F.explode(base_spans(F.col("text"))).alias("b"))
-    left = F.substring("text", F.greatest(F.col("b.s") - REACH, F.lit(0)).cast("int") + 1, F.least(F.col("b.s"), F.lit(REACH)).cast("int"))
-    context = F.concat_ws(" ", left, F.substring("text", F.col("b.e").cast("int") + 1, F.lit(REACH)))
-    near = around.select("h", "copies", F.xxhash64(context).alias("c"), F.explode(_entities(F.col("b"))).alias("entity"), _terms(context).alias("terms"))
-    near = near.select("h", "copies", "c", "entity", F.explode("terms").alias("term"))
+    found = texts.withColumn("base", base_spans(F.col("text")))
+    # letters of other values of the text aren't words of a context
+    own = _terms(F.concat_ws(" ", F.transform("base", lambda x: x["v"]), F.array(*map(F.lit, KEYS))))
+    def around(b: Column) -> Column:
+        left = F.substring("text", F.greatest(b["s"] - REACH, F.lit(0)).cast("int") + 1, F.least(b["s"], F.lit(REACH)).cast("int"))
+        return F.struct(F.concat_ws(" ", left, F.substring("text", b["e"].cast("int") + 1, F.lit(REACH))).alias("context"), _entities(b).alias("entities"))
+
+    # contexts are cut out before rows are made of them, so that a text isn't repeated for each of its values
+    contexts = found.select("h", "copies", own.alias("own"), F.transform("base", around).alias("around")).select("h", "copies", "own", F.explode("around").alias("a"))
+    near = contexts.select("h", "copies", F.xxhash64("a.context").alias("c"), "a.entities", F.array_except(_terms(F.col("a.context")), F.col("own")).alias("terms"))
+    near = near.select("h", "copies", "c", F.explode("entities").alias("entity"), "terms").select("h", "copies", "c", "entity", F.explode("terms").alias("term"))
     # sums are made before any join by entity, and contexts are told apart by aggregation, so a frequent entity is no group of its own
     one = near.groupBy("entity", "term", "h").agg(F.first("copies").alias("copies"), F.min("c").alias("c"))
     one = one.groupBy("entity", "term", "c").agg(F.sum("copies").alias("n"))
     both = one.groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("n").alias("n_both"))
-    entities = materialize(entities.where(F.col("n_entity") >= MIN_CONTEXTS), "entities")  # others have too few contexts
-    pairs = materialize(both.where(F.col("contexts") >= MIN_CONTEXTS).join(_small(entities), "entity"), "pairs")
+    entities = materialize(entities.where(F.col("n_entity") > 1), "entities")  # one context is no evidence
+    pairs = materialize(both.where(F.col("contexts") > 1).join(_small(entities), "entity"), "pairs")
     if pairs.isEmpty():
         return pairs.select("term", F.lit(0.0).alias("share"), F.lit(0.0).alias("coarse"))
-    total = rows.count()
+    total, different = rows.count(), based.select("h").distinct().count()
     frequency = rows.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     # terms of the contexts, and those whose class has one of them
     stem = F.substring("term", 1, STEM)
@@ -140,17 +153,22 @@ def disclosure(rows: DataFrame, based: DataFrame) -> DataFrame:
     of_class = pairs.groupBy("entity", "n_entity", stem.alias("stem")).agg(F.sum("n_both").alias("class_both"))
     of_class = of_class.join(frequency.groupBy("stem").agg(F.sum("n_term").alias("class_term")), "stem").select("entity", "stem", share("class_both", "class_term").alias("coarse"))
     shares = pairs.join(frequency, "term").withColumn("share", share("n_both", "n_term")).where(F.col("share") >= GENERALISE)
+    # of the terms that are left, the different texts that hold them
+    shares = materialize(shares, "shares")
+    spread = rows.select("h", F.explode(_terms(F.col("text"))).alias("term")).join(_small(shares.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count_distinct("h").alias("d_term"))
+    bits = F.col("contexts") * F.log2(F.col("contexts") * different / (math.e * F.col("d_term") * F.col("d_entity")))
+    shares = shares.join(spread, "term").where(bits >= SURE + math.log2(pairs.count()))
     return shares.join(of_class, ["entity", "stem"]).groupBy("term").agg(F.max("share").alias("share"), F.max("coarse").alias("coarse"))
 
 
 def find_spans(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, h, base, terms) for ``docs(doc_id, text)``: arrays of spans (s, k, e, v), places in code points, ends exclusive.
+    """Rows (doc_id, h, digest, base, terms) for ``docs(doc_id, text)``: arrays of spans (s, k, e, v), places in code points, ends exclusive.
 
-    ``base`` holds secrets, too. h is the hash of the text, null counting as empty; the value of a term's span is "generalise" or "remove". Repeated
+    ``base`` holds secrets, too; terms lie outside of them. h is the hash of the text, null counting as empty, digest its SHA-256; the value of a term's span is "generalise" or "remove". Repeated
     rows come back repeated, a null doc_id is an id like any, other columns are not read, an empty table gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    based = materialize(rows.select("doc_id", "h", base_spans(F.col("text")).alias("base")), "base")
+    based = materialize(rows.select("doc_id", "h", F.sha2(F.col("text").cast("binary"), 256).alias("digest"), base_spans(F.col("text")).alias("base")), "base")
     terms = materialize(disclosure(rows, based), "terms")
     none = F.array().cast(SPAN)
     if terms.isEmpty():
@@ -168,15 +186,24 @@ def find_spans(docs: DataFrame) -> DataFrame:
     else:  # a text may occur very often
         salted = spans.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
         joined = based.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int")).join(salted, ["h", "salt"], "left")
-    return joined.select("doc_id", "h", "base", F.coalesce("terms", none).alias("terms"))
+    apart = F.filter("terms", lambda t: ~F.exists("base", lambda x: (x["s"] < t["e"]) & (t["s"] < x["e"])))
+    return joined.select("doc_id", "h", "digest", "base", F.coalesce(apart, none).alias("terms"))
 
 
 def span_digests(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_secret, n_term, n_spans) by ``find_spans``.
+    """Rows (doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_secret, n_term, n_spans, clean_sha256) by ``find_spans``.
 
-    base_sha256 is of the four base kinds; ``spans`` has all.
+    base_sha256 is of the four base kinds; ``spans`` has all; clean_sha256 is of the text that ``sanitise`` leaves.
     """
-    found = find_spans(docs)
+    found = materialize(find_spans(docs), "spans")
+    marked = found.where((F.size("base") > 0) | (F.size("terms") > 0)).dropDuplicates(["h"]).select("h", F.sort_array(F.concat("base", "terms")).alias("spans"))
+    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("whole")).withColumn("h", F.xxhash64("whole")).join(_small(marked, F.size("spans") + 2), "h").dropDuplicates(["h"])
+    cleaned = materialize(texts.select("h", F.sha2(_cleaned(F.col("whole")).cast("binary"), 256).alias("clean")), "cleaned")
+    if cleaned.count() <= MAX_BROADCAST:
+        found = found.join(F.broadcast(cleaned), "h", "left")
+    else:  # a text may occur very often
+        salted = cleaned.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        found = found.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int")).join(salted, ["h", "salt"], "left")
 
     def count(k: int) -> Column:
         return F.size(F.filter("base", lambda x: x["k"] == k)).cast("long").alias(f"n_{KINDS[k]}")
@@ -185,19 +212,12 @@ def span_digests(docs: DataFrame) -> DataFrame:
     n_spans = (F.size("base") + F.size("terms")).cast("long").alias("n_spans")
     return found.select(
         "doc_id", *[count(k) for k in range(4)], F.sha2(_named(base), 256).alias("base_sha256"), _named(F.sort_array(F.concat("base", "terms"))).alias("spans"),
-        count(4), F.size("terms").cast("long").alias("n_term"), n_spans)
-
+        count(4), F.size("terms").cast("long").alias("n_term"), n_spans, F.coalesce("clean", "digest").alias("clean_sha256"))
 
-def sanitise(docs: DataFrame) -> DataFrame:
-    """``docs`` with the same columns, its text without personal data: base spans and secrets become ``<KIND>``; terms go, or become their first letters and ``*``.
 
-    Overlapping spans are covered from the first start to the last end, under the first one's name. Columns of any name are kept; a
-    null text without spans stays null.
-    """
-    found = find_spans(docs).where((F.size("base") > 0) | (F.size("terms") > 0)).dropDuplicates(["h"])
-    found = found.select("h", F.sort_array(F.concat("base", "terms")).alias("spans"))
-    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("whole")).withColumn("h", F.xxhash64("whole"))
-    text, term = F.col("whole"), len(KINDS) - 1
+def _cleaned(text: Column) -> Column:
+    """The text with its ``spans`` replaced."""
+    term = len(KINDS) - 1
     kinds = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
 
     def step(acc: Column, x: Column) -> Column:
@@ -210,6 +230,17 @@ def sanitise(docs: DataFrame) -> DataFrame:
     def last(acc: Column) -> Column:
         return F.concat(acc["out"], F.substring(text, acc["at"].cast("int") + 1, F.length(text)))
 
-    clean = F.aggregate("spans", F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), step, last)
+    return F.aggregate("spans", F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), step, last)
+
+
+def sanitise(docs: DataFrame) -> DataFrame:
+    """``docs`` with the same columns, its text without personal data: base spans and secrets become ``<KIND>``; terms go, or become their first letters and ``*``.
+
+    Overlapping spans are covered from the first start to the last end, under the first one's name. Columns of any name are kept; a
+    null text without spans stays null.
+    """
+    found = find_spans(docs).where((F.size("base") > 0) | (F.size("terms") > 0)).dropDuplicates(["h"])
+    found = found.select("h", F.sort_array(F.concat("base", "terms")).alias("spans"))
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("whole")).withColumn("h", F.xxhash64("whole"))
     joined = rows.join(_small(found, F.size("spans") + 2), "h", "left")
-    return joined.select(*[F.when(F.col("spans").isNull(), F.col(f"row.`{c}`")).otherwise(clean).alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    return joined.select(*[F.when(F.col("spans").isNull(), F.col(f"row.`{c}`")).otherwise(_cleaned(F.col("whole"))).alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -54,6 +54,35 @@ def test_revealing_terms(spark):
     assert clean[3] == "account of  at <EMAIL> number 3 and common words" and clean[501] == rows[-1][1] and len(clean) == len(rows)
 
 
+def test_planted_names_among_given_documents(spark):
+    """Names that only occur with one person's address are found in a copy of the test table, wherever they occur; words of the text around aren't, nor are key words of patterns."""
+    rng = random.Random(2)
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    words = sorted({w for _, t in docs[:300] if t for w in t.split() if len(w) > 3 and w.isalpha()})
+    names = {"Quintavalle": "m.q@corp7.example.com", "Ostrogradsky": "+1 (212) 555-0199", "Wolverhampstead": "44.12.13.14"}
+    planted, told = [], {}
+    for name, value in names.items():
+        for k in range(9):
+            t = " ".join(rng.choices(words, k=40))
+            text = f"{t} {name} {' '.join(rng.choices(words, k=3))} {value}, {' '.join(rng.choices(words, k=30))}" if k < 8 else f"{t} {name} {t}"
+            told[10**6 + len(planted)] = (name, text)
+            planted.append((10**6 + len(planted), text))
+    copies = [(2 * 10**6 + k, planted[0][1]) for k in range(40)]
+    found = {r["doc_id"]: r for r in span_digests(spark.createDataFrame(docs + planted + copies, "doc_id long, text string")).collect()}
+    for i, (name, text) in told.items():
+        at = text.index(name)
+        assert f"term:{at}:{at + len(name)}" in found[i]["spans"].split(",") and found[i]["n_term"] <= 2
+    terms = {(i, s) for i, r in found.items() for s in r["spans"].split(",") if s.startswith("term")}
+    assert len({i for i, _ in terms if i < 10**6}) <= 2
+
+
+def test_clean_digest(spark):
+    rows = [(k, f"account of Zanzibella at zz@mail.com number {k} and common words") for k in range(9)] + [(100 + k, f"common words and account number {k}") for k in range(300)] + [(900, None), (901, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r["doc_id"]: hashlib.sha256((r["text"] or "").encode()).hexdigest() for r in sanitise(df).collect()}
+    assert {r["doc_id"]: r["clean_sha256"] for r in span_digests(df).collect()} == clean
+
+
 def test_empty(spark):
     assert run(spark, []) == []
 
@@ -87,29 +116,38 @@ def test_disclosure_like_brute_force(spark):
         texts.append(" ".join(words))
     texts += texts[:30]  # copies
     term = re.compile(r"[^\W\d_]{4,}")
-    near, contexts, n_entity, n_term = Counter(), {}, Counter(), Counter()
+    near, contexts, n_entity, n_term, d_entity, d_term, seen = Counter(), {}, Counter(), Counter(), Counter(), Counter(), set()
+    keys = {"token", "secret", "password", "passwd"}
     for t in texts:
+        own = keys | {x.lower() for m in re.finditer("|".join([EMAIL, IP, PHONE]), t, re.ASCII) for x in term.findall(m[0])}
         n_term.update({x.lower() for x in term.findall(t)})
         pairs, ents = set(), set()
         for m in re.finditer("|".join([EMAIL, IP, PHONE]), t, re.ASCII):
             v, k = m[0].lower(), "email" if "@" in m[0] else "ip" if m[0][0] != "+" else "phone"
             of = v.split("@")[-1] if k == "email" else ".".join(v.split(".")[:2]) if k == "ip" else re.sub(r"\D", "", v)[:4]
             around = t[max(0, m.start() - 80) : m.start()] + " " + t[m.end() : m.end() + 80]
-            for e in (f"{k}={v}", f"{k}~{of}", k):
+            for e in (f"{k}={v}", f"{k}~{of}"):
                 ents.add(e)
-                for x in {x.lower() for x in term.findall(around)}:
+                for x in {x.lower() for x in term.findall(around)} - own:
                     pairs.add((e, x))
                     contexts.setdefault((e, x), {}).setdefault(t, set()).add(around)
         near.update(pairs)
         n_entity.update(ents)
-    many = {p for p in near if len({min(c) for c in contexts[p].values()}) >= 3}
+        if t not in seen:
+            d_entity.update(ents)
+            d_term.update({x.lower() for x in term.findall(t)})
+        seen.add(t)
+    k_of = {p: len({min(c) for c in contexts[p].values()}) for p in near}
+    many = {p for p in near if k_of[p] > 1 and n_entity[p[0]] > 1}
     share = {(e, x): 1 + math.log2(near[e, x] / (n_term[x] + 0.5)) / -math.log2(n_entity[e] / len(texts)) for e, x in many}
-    flagged = {x for (e, x), s in share.items() if s >= pii.GENERALISE}
+    bits = {(e, x): k_of[e, x] * math.log2(k_of[e, x] * len(seen) / (math.e * d_term[x] * d_entity[e])) for e, x in many}
+    sure = {p for p in many if share[p] >= pii.GENERALISE and bits[p] >= pii.SURE + math.log2(len(many))}
+    flagged = {x for _, x in sure}
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("h", F.xxhash64("text")).repartition(3)
     got = {r["term"]: r for r in pii.disclosure(rows, rows.select("doc_id", "h", pii.base_spans(F.col("text")).alias("base"))).collect()}
     assert set(got) == flagged and set(told.values()) <= flagged
     for x, r in got.items():
-        mine = [e for e, y in many if y == x and share[e, y] >= pii.GENERALISE]
+        mine = [e for e, y in sure if y == x]
         assert abs(r["share"] - max(share[e, x] for e in mine)) < 1e-9
         coarse = []
         for e in mine:
