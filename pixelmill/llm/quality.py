@@ -43,73 +43,70 @@ _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 class Tokens(dict):
-    """Token to a hash whose low three bits are its shape: lower, title, upper, digits, mark."""
+    """Token to its place in arrays: a hash whose low three bits are its shape (lower, title, upper, digits, mark), a hash that doesn't depend on case, and
+    one of its first ``STEM`` letters, 0 for tokens that aren't longer by two."""
 
     LIMIT = 100_000
 
-    def __missing__(self, token: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        t = token.decode("utf-8", "replace")
-        shape = 3 if t.isdigit() else 4 if not t[0].isalnum() else 2 if len(t) > 1 and t.isupper() else 1 if t[0].isupper() else 0
-        self[token] = h = (xxhash.xxh3_64_intdigest(token) & ~7) | shape
-        return h
-
+    def __init__(self) -> None:
+        super().__init__()
+        self.plain, self.folded, self.stem = (np.zeros(1024, np.uint64) for _ in range(3))
 
-class Folded(Tokens):
-    """Token to a hash that doesn't depend on case."""
-
-    def __missing__(self, token: bytes) -> int:
+    def places(self, tokens: list[bytes]) -> np.ndarray:
         if len(self) >= self.LIMIT:
             self.clear()
-        self[token] = h = xxhash.xxh3_64_intdigest(token.decode("utf-8", "replace").lower())
-        return h
-
-
-class Stems(Tokens):
-    """Token to a hash of its first ``STEM`` letters, whatever their case; 0 for tokens that aren't longer by two."""
+        return np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
 
     def __missing__(self, token: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        t = token.decode("utf-8", "replace").lower()
-        self[token] = h = xxhash.xxh3_64_intdigest(t[:STEM] + "*") if len(t) >= STEM + 2 else 0
-        return h
+        self[token] = k = len(self)
+        if k == len(self.plain):
+            self.plain, self.folded, self.stem = (np.concatenate([x, np.zeros(k, np.uint64)]) for x in (self.plain, self.folded, self.stem))
+        t = token.decode("utf-8", "replace")
+        low = t.lower()
+        shape = 3 if t.isdigit() else 4 if not t[0].isalnum() else 2 if len(t) > 1 and t.isupper() else 1 if t[0].isupper() else 0
+        self.plain[k] = (xxhash.xxh3_64_intdigest(token) & ~7) | shape
+        self.folded[k] = xxhash.xxh3_64_intdigest(low)
+        self.stem[k] = xxhash.xxh3_64_intdigest(low[:STEM] + "*") if len(low) >= STEM + 2 else 0
+        return k
 
 
-def phrases(cache: Folded, stems: Stems, tokens: list[bytes]) -> np.ndarray:
+def phrases(cache: Tokens, places: np.ndarray) -> np.ndarray:
     """Hashes of tokens, pairs of them and their stems, whatever their case."""
-    h = np.fromiter(map(cache.__getitem__, tokens), np.uint64, len(tokens))
-    begin = np.fromiter(map(stems.__getitem__, tokens), np.uint64, len(tokens))
+    h, begin = cache.folded[places], cache.stem[places]
     return np.concatenate([mix(h), mix(h[1:] * _A + h[:-1] * _B), begin[begin != 0]])
 
 
-def _among(known: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Places in ``known`` (sorted) of the different values of ``h`` that are there."""
-    if not len(known):
+def _among(known: np.ndarray, low: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Places in ``known`` (sorted) of the different values of ``h`` that are there; ``low`` marks the low 16 bits of known ones."""
+    h = h[low[(h & np.uint64(0xFFFF)).astype(np.int64)]]
+    if not len(known) or not len(h):
         return np.empty(0, np.int64)
     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
     return np.unique(at[known[at] == h])
 
 
-def features(cache: Tokens, tokens: list[bytes]) -> np.ndarray:
+def _low(known: np.ndarray) -> np.ndarray:
+    low = np.zeros(1 << 16, bool)
+    low[(known & np.uint64(0xFFFF)).astype(np.int64)] = True
+    return low
+
+
+def features(cache: Tokens, places: np.ndarray) -> np.ndarray:
     """Bucket numbers of a text's n-grams: hashed ones below ``BUCKETS``, shapes from there on."""
-    n = len(tokens)
-    if not n:
+    if not len(places):
         return np.empty(0, np.int64)
-    h = np.fromiter(map(cache.__getitem__, tokens), np.uint64, n)
+    h = cache.plain[places]
     again = np.r_[False, h[1:] == h[:-1]]
     shape = (h & np.uint64(7)).astype(np.int64) + 8 * again
-    one, two = mix(h), mix(h[1:] * _A + h[:-1] * _B)
     three = shape[2:] + 16 * shape[1:-1] + 256 * shape[:-2]
-    return np.concatenate([(np.concatenate([one, two]) % np.uint64(BUCKETS)).astype(np.int64), BUCKETS + three])
+    return np.concatenate([(np.concatenate([mix(h), mix(h[1:] * _A + h[:-1] * _B)]) & np.uint64(BUCKETS - 1)).astype(np.int64), BUCKETS + three])
 
 
 def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cache, stems = Folded(), Stems()
+    cache = Tokens()
     for batch in batches:
         for text in batch.column("text"):
-            yield pa.record_batch([pa.array(np.unique(phrases(cache, stems, _TOKEN.findall(text.as_py() or b""))).view(np.int64))], names=["phrase"])
+            yield pa.record_batch([pa.array(np.unique(phrases(cache, cache.places(_TOKEN.findall(text.as_py() or b"")))).view(np.int64))], names=["phrase"])
 
 
 def _count(share):
@@ -117,18 +114,18 @@ def _count(share):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         good, toxic, suspects = share.value
-        cache, folded, stems = Tokens(), Folded(), Stems()
+        cache, low = Tokens(), _low(suspects)
         raw, target = np.zeros(BUCKETS + SHAPES + len(suspects), np.int64), np.zeros(BUCKETS + SHAPES + len(suspects), np.int64)
         size = BUCKETS + SHAPES
         for batch in batches:
             rows, fit = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                tokens = _TOKEN.findall(text.as_py() or b"")
-                rows.append(features(cache, tokens))
+                places = cache.places(_TOKEN.findall(text.as_py() or b""))
+                rows.append(features(cache, places))
                 if i in good:
                     fit.append(rows[-1])
                 if i in toxic:
-                    at = size + _among(suspects, phrases(folded, stems, tokens))
+                    at = size + _among(suspects, low, phrases(cache, places))
                     (target if toxic[i] else raw)[at] += 1
             raw[:size] += np.bincount(np.concatenate(rows), minlength=size)
             target[:size] += np.bincount(np.concatenate(fit), minlength=size)
@@ -141,15 +138,15 @@ def _count(share):
 def _score(share):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratio, known, weight = share.value
-        cache, folded, stems = Tokens(), Folded(), Stems()
+        cache, low = Tokens(), _low(known)
         for batch in batches:
             n, w, t = [], [], []
             for text in batch.column("text"):
-                tokens = _TOKEN.findall(text.as_py() or b"")
-                f = features(cache, tokens)
+                places = cache.places(_TOKEN.findall(text.as_py() or b""))
+                f = features(cache, places)
                 n.append(len(f))
                 w.append(float(ratio[f].sum()) / (len(f) + PRIOR))
-                t.append(float(np.sort(weight[_among(known, phrases(folded, stems, tokens))])[-TOP:].sum()) if len(known) else 0.0)
+                t.append(float(np.sort(weight[_among(known, low, phrases(cache, places))])[-TOP:].sum()) if len(known) else 0.0)
             yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(w, pa.float64()), pa.array(t, pa.float64())], names=["doc_id", "n_grams", "ratio", "toxicity"])
 
     return run

@@ -82,7 +82,7 @@ def test_weights_and_samples_like_brute_force(spark):
     out = select_documents(spark.createDataFrame(docs, DOCS).repartition(3), spark.createDataFrame(labels, LABELS)).collect()
     order = [r[0] for r in spark.sql("SELECT id FROM range(40) ORDER BY xxhash64(id), id").collect() if labels[r[0]][1]]
     fit, cache = set(order[::2]), q.Tokens()
-    grams = {k: q.features(cache, re.findall(rb"[A-Za-z0-9\x80-\xff]+|[^A-Za-z0-9\x80-\xff\s]+", t.encode())).tolist() for k, t in docs}
+    grams = {k: q.features(cache, cache.places(re.findall(rb"[A-Za-z0-9\x80-\xff]+|[^A-Za-z0-9\x80-\xff\s]+", t.encode()))).tolist() for k, t in docs}
     raw, target = Counter(g for v in grams.values() for g in v), Counter(g for k in fit for g in grams[k])
     part = {False: range(q.BUCKETS), True: range(q.BUCKETS, q.BUCKETS + q.SHAPES)}
     total = {(s, n): sum(c[b] + 0.5 for b in part[s]) for s in part for n, c in (("raw", raw), ("target", target))}
