@@ -56,8 +56,14 @@ def in_boxes(px: DataFrame, ellipses: DataFrame) -> DataFrame:
     """Pixels or points (img, y, x, ...) joined with the ellipses (img, e, cy, cx, a, b, theta) they lie in; both meet by cells of bounding boxes."""
     cell = 16
     r = F.greatest("a", "b")
-    boxes = ellipses.withColumn("_cy", F.explode(F.sequence(F.floor((F.col("cy") - r) / cell), F.floor((F.col("cy") + r) / cell)))).withColumn("_cx", F.explode(F.sequence(F.floor((F.col("cx") - r) / cell), F.floor((F.col("cx") + r) / cell))))
     p = px.withColumns({"_cy": F.floor(F.col("y") / cell), "_cx": F.floor(F.col("x") / cell)})
+    # an ellipse may be far larger than its image; cells without pixels are left out
+    ends = p.groupBy(*KEY).agg(*[g(c).alias(f"{n}{c}") for c in ("_cy", "_cx") for n, g in (("_lo", F.min), ("_hi", F.max))])
+    boxes = ellipses.join(ends, KEY)
+    for c, at in (("_cy", "cy"), ("_cx", "cx")):
+        first, last = F.greatest(F.floor((F.col(at) - r) / cell), F.col(f"_lo{c}")), F.least(F.floor((F.col(at) + r) / cell), F.col(f"_hi{c}"))
+        boxes = boxes.withColumn(c, F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<long>"))))
+    boxes = boxes.select(*ellipses.columns, "_cy", "_cx")
     return p.join(boxes, [*KEY, "_cy", "_cx"]).where(in_ellipse(*[F.col(c) for c in ("y", "x", "cy", "cx", "a", "b", "theta")])).drop("_cy", "_cx")
 
 
@@ -101,21 +107,27 @@ def ellipse_from_points(pts: DataFrame, keys: list[str]) -> DataFrame:
         import pandas as pd
 
         for f in frames:
-            out = []
-            for r in f.to_dict("records"):
-                fit = [None] * 5
-                try:
-                    k = np.linalg.solve([[r[f"m{i}{j}"] for j in range(5)] for i in range(5)], [r[f"r{i}"] for i in range(5)])
-                    q, lin = np.array([[k[0], k[1] / 2], [k[1] / 2, k[2]]]), k[3:]
-                    c = np.linalg.solve(-2 * q, lin)
-                    w, v = np.linalg.eigh(q / (1 + c @ q @ c))
-                    if (w > 0).all() and r["_n"] >= 5:
-                        half = 1 / np.sqrt(w)
-                        fit = [c[1] * r["_s"] + r["_my"], c[0] * r["_s"] + r["_mx"], half[0] * r["_s"], half[1] * r["_s"], float(np.arctan2(v[1, 0], v[0, 0]))]
-                except np.linalg.LinAlgError:
-                    pass
-                out.append([*(r[k] for k in keys), *fit])
-            yield pd.DataFrame(out, columns=[*keys, "cy", "cx", "a", "b", "theta"])
+            m = f[[f"m{i}{j}" for i in range(5) for j in range(5)]].to_numpy(float).reshape(-1, 5, 5)
+            r = f[[f"r{i}" for i in range(5)]].to_numpy(float)
+            fit = np.full((len(f), 5), np.nan)
+            with np.errstate(all="ignore"):
+                ok = np.flatnonzero((f["_n"].to_numpy() >= 5) & np.isfinite(m).all(axis=(1, 2)) & (np.linalg.det(np.nan_to_num(m)) != 0))
+                k = np.linalg.solve(m[ok], r[ok][:, :, None])[:, :, 0]
+                q = np.stack([k[:, 0], k[:, 1] / 2, k[:, 1] / 2, k[:, 2]], axis=1).reshape(-1, 2, 2)
+                sound = np.isfinite(q).all(axis=(1, 2)) & (np.linalg.det(np.nan_to_num(q)) != 0)
+                ok, k, q = ok[sound], k[sound], q[sound]
+                c = np.linalg.solve(-2 * q, k[:, 3:, None])[:, :, 0]
+                scaled = q / (1 + np.einsum("ni,nij,nj->n", c, q, c))[:, None, None]
+                sound = np.isfinite(scaled).all(axis=(1, 2))
+                ok, c, scaled = ok[sound], c[sound], scaled[sound]
+                w, v = np.linalg.eigh(scaled)
+                sound = (w > 0).all(axis=1)
+                ok, c, w, v = ok[sound], c[sound], w[sound], v[sound]
+                my, mx, s = (f[x].to_numpy(float)[ok] for x in ("_my", "_mx", "_s"))
+                half = 1 / np.sqrt(w)
+                fit[ok] = np.column_stack([c[:, 1] * s + my, c[:, 0] * s + mx, half[:, 0] * s, half[:, 1] * s, np.arctan2(v[:, 1, 0], v[:, 0, 0])])
+            values = pd.DataFrame(fit, columns=["cy", "cx", "a", "b", "theta"], index=f.index).astype(object)
+            yield pd.concat([f[keys], values.where(values.notna(), None)], axis=1)
 
     return eq.mapInPandas(solve, schema)
 

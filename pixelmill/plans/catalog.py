@@ -376,22 +376,25 @@ def band_join(spark, sf):
     return spatial.slice_groups(rasters.slices(spark, sf), [2, 3, 4])
 
 
-_CEN = "cen AS (SELECT 0 AS img, CAST(a.range * 5 + b.range AS INT) AS c, CAST(a.range * 20 + 7 AS INT) AS cy, CAST(b.range * 20 + 11 AS INT) AS cx FROM range(5) a, range(5) b)"
+_CEN = """cen AS (SELECT img, CAST(y // 20 * 5 + x // 20 AS INT) AS c, y AS cy, x AS cx FROM
+  (SELECT *, row_number() OVER (PARTITION BY img, y // 20, x // 20 ORDER BY c1 DESC, y, x) AS k FROM r) WHERE k = 1)"""
 
 
-def _centres(spark):
-    n = spark.range(25).select(F.lit(0).alias("img"), F.col("id").cast("int").alias("c"))
-    return n.select("img", "c", (F.floor(F.col("c") / 5) * 20 + 7).cast("int").alias("cy"), (F.col("c") % 5 * 20 + 11).alias("cx"))
+def _centres(spark, sf):
+    """The brightest pixel of each of 25 fields of an image."""
+    field = (F.floor(F.col("y") / 20) * 5 + F.floor(F.col("x") / 20)).cast("int").alias("c")
+    best = _px(spark, sf).groupBy("img", field).agg(F.max_by(F.struct("y", "x"), F.struct("c1", -F.col("y"), -F.col("x"))).alias("p"))
+    return best.select("img", "c", F.col("p.y").alias("cy"), F.col("p.x").alias("cx"))
 
 
-@query("SELECT img, idx, y, x, c, sqrt(CAST(d2 AS DOUBLE)) AS distance FROM (SELECT p.img, idx, y, x, c, (y - cy) * (y - cy) + (x - cx) * (x - cx) AS d2, row_number() OVER (PARTITION BY idx ORDER BY (y - cy) * (y - cy) + (x - cx) * (x - cx), c) AS k FROM pts p JOIN cen USING (img)) WHERE k = 1", P, _CEN)
+@query("SELECT img, idx, y, x, c, sqrt(CAST(d2 AS DOUBLE)) AS distance FROM (SELECT p.img, idx, y, x, c, (y - cy) * (y - cy) + (x - cx) * (x - cx) AS d2, row_number() OVER (PARTITION BY idx ORDER BY (y - cy) * (y - cy) + (x - cx) * (x - cx), c) AS k FROM pts p JOIN cen USING (img)) WHERE k = 1", P, R, _CEN)
 def nearest_center(spark, sf):
-    return spatial.nearest(rasters.points(spark, sf), _centres(spark))
+    return spatial.nearest(rasters.points(spark, sf), _centres(spark, sf))
 
 
-@query("SELECT img, idx, CAST(min((y - cy) * (y - cy) + (x - cx) * (x - cx)) <= 36 AS INT) AS label FROM pts JOIN cen USING (img) GROUP BY img, idx", P, _CEN)
+@query("SELECT img, idx, CAST(min((y - cy) * (y - cy) + (x - cx) * (x - cx)) <= 36 AS INT) AS label FROM pts JOIN cen USING (img) GROUP BY img, idx", P, R, _CEN)
 def label_points(spark, sf):
-    return spatial.label_points(spatial.nearest(rasters.points(spark, sf), _centres(spark)), 6).select("img", "idx", "label")
+    return spatial.label_points(spatial.nearest(rasters.points(spark, sf), _centres(spark, sf)), 6).select("img", "idx", "label")
 
 
 _DISK = "q AS (SELECT p.img, p.idx, r.annot, (r.y - p.y) * (r.y - p.y) + (r.x - p.x) * (r.x - p.x) AS d2 FROM pts p JOIN r ON p.img = r.img AND r.y BETWEEN p.y - 4 AND p.y + 4 AND r.x BETWEEN p.x - 4 AND p.x + 4)"
@@ -440,17 +443,20 @@ def otsu(spark, sf):
     return ml.otsu(_px(spark, sf), ["img"], "c1")
 
 
-_ELL = "el AS (SELECT 0 AS img, CAST(e.range AS INT) AS e, 20.0 + 15 * e.range AS cy, 25.0 + 12 * e.range AS cx, 12.0 + e.range AS a, 6.0 AS b, 0.5 * e.range AS theta FROM range(5) e)"
+_ELL = """el AS (SELECT img, CAST(y // 20 AS INT) AS e, CAST(sum(y) AS DOUBLE) / count(*) AS cy, CAST(sum(x) AS DOUBLE) / count(*) AS cx,
+  CAST(8 + count(*) % 9 AS DOUBLE) AS a, CAST(6 AS DOUBLE) AS b, CAST(y // 20 AS DOUBLE) / 2 AS theta FROM r WHERE c1 > 200 GROUP BY img, y // 20)"""
 
 
-def _ellipses(spark):
-    e = F.col("id").cast("double")
-    return spark.range(5).select(F.lit(0).alias("img"), F.col("id").cast("int").alias("e"), (20 + 15 * e).alias("cy"), (25 + 12 * e).alias("cx"), (12 + e).alias("a"), F.lit(6.0).alias("b"), (0.5 * e).alias("theta"))
+def _ellipses(spark, sf):
+    """Ellipses around the centre of the bright pixels of each fifth of an image, longer or shorter by their number."""
+    n = F.count("*")
+    bright = _px(spark, sf).where("c1 > 200").groupBy("img", F.floor(F.col("y") / 20).cast("int").alias("e")).agg((F.sum("y") / n).alias("cy"), (F.sum("x") / n).alias("cx"), (8.0 + n % 9).alias("a"))
+    return bright.select("img", "e", "cy", "cx", "a", F.lit(6.0).alias("b"), (F.col("e") / 2).alias("theta"))
 
 
 @query("SELECT img, e, annot, shared, shared / least(es, os) AS ratio FROM (SELECT img, e, annot, count(*) AS shared FROM dr WHERE annot > 0 GROUP BY ALL) JOIN (SELECT img, e, count(*) AS es FROM dr GROUP BY ALL) USING (img, e) JOIN (SELECT img, annot, count(*) AS os FROM r GROUP BY ALL) USING (img, annot)", R, _ELL, "dr AS (SELECT img, y, x, annot, e FROM r JOIN el USING (img) WHERE pow(((x - cx) * cos(theta) + (y - cy) * sin(theta)) / a, 2) + pow(((y - cy) * cos(theta) - (x - cx) * sin(theta)) / b, 2) <= 1)")
 def ellipse_overlap(spark, sf):
-    return spatial.ellipse_overlap(_px(spark, sf), _ellipses(spark), "annot")
+    return spatial.ellipse_overlap(_px(spark, sf), _ellipses(spark, sf), "annot")
 
 
 _CELL = "((({a}) % 36 * 7 + least({d}, 19) * 3) % 11) / 10.0"
@@ -546,7 +552,7 @@ def texture_lm(spark, sf):
 
 @query()
 def slic(spark, sf):
-    return segmentation.superpixels(_px(spark, sf), CHANNELS, 10, 40.0, rounds=3).select("img", "y", "x", "sp")
+    return segmentation.superpixels(_px(spark, sf), CHANNELS, 10, 40.0).select("img", "y", "x", "sp")
 
 
 @query()
@@ -566,7 +572,7 @@ def region_grow(spark, sf):
 @query(
     """SELECT img, lab AS cluster, count(*) AS n, sum(y) / count(*) AS y, sum(x) / count(*) AS x FROM (SELECT u.*, label AS lab FROM u JOIN lab USING (idx)) GROUP BY img, lab""", P,
     "u AS (SELECT img, min(idx) AS idx, y, x FROM pts GROUP BY img, y, x)",
-    "e AS (SELECT a.idx AS s, b.idx AS t FROM u a JOIN u b ON b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 AND (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x) <= 2 AND a.idx <> b.idx)",
+    "e AS (SELECT a.idx AS s, b.idx AS t FROM u a JOIN u b ON a.img = b.img AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 AND (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x) <= 2 AND a.idx <> b.idx)",
     """lab(idx, label) USING KEY (idx) AS (SELECT idx, idx AS label FROM u
       UNION SELECT e.t, min(n.label) FROM lab n JOIN e ON e.s = n.idx JOIN recurring.lab r ON r.idx = e.t WHERE n.label < r.label GROUP BY e.t)""")
 def center_clusters(spark, sf):
@@ -577,6 +583,6 @@ def center_clusters(spark, sf):
 
 @query()
 def ellipse_fit(spark, sf):
-    drawn = spatial.draw_ellipses(_px(spark, sf), _ellipses(spark))
+    drawn = spatial.draw_ellipses(_px(spark, sf), _ellipses(spark, sf))
     edge = labels.contour(_px(spark, sf).join(drawn.where("e < 2"), ["img", "y", "x"], "left").fillna(-1, ["e"]), "e", 1).where("contour = 1")
     return spatial.ellipse_from_points(edge.select("img", "e", F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x")), ["img", "e"])

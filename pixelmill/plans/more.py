@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import math
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pixelmill.functions import color
 from pixelmill.operators import boundary, datasets, features, filters, graph, labels, metrics, ml, pixelwise, segmentation, spatial
-from pixelmill.plans.catalog import CHANNELS, _ellipses, _px, query
-from pixelmill.session import scratch
+from pixelmill.plans.catalog import _ELL, CHANNELS, _ellipses, _px, query
+from pixelmill.session import checkpoint_folder, scratch
 from pixelmill.sources import files, rasters
 from pixelmill.sources.rasters import P, R, S, V
 
-_ELL = "el AS (SELECT 0 AS img, CAST(e.range AS INT) AS e, 20.0 + 15 * e.range AS cy, 25.0 + 12 * e.range AS cx, 12.0 + e.range AS a, 6.0 AS b, 0.5 * e.range AS theta FROM range(5) e)"
 _IN = "pow(((x - cx) * cos(theta) + (y - cy) * sin(theta)) / a, 2) + pow(((y - cy) * cos(theta) - (x - cx) * sin(theta)) / b, 2) <= 1"
 
 
@@ -47,19 +47,24 @@ def background_swap(spark, sf):
     return labels.background_on_border(_px(spark, sf), "annot", 0, 2).select("img", "y", "x", "annot")
 
 
-@query("SELECT CAST(f.range AS INT) AS fold, list_transform(range(f.range * 7, f.range * 7 + 7), lambda k: CAST(k % 40 AS BIGINT)) AS held FROM range(6) f")
+@query(
+    "SELECT CAST(f.range AS INT) AS fold, count(*) AS n, CAST(sum(vec_id) AS BIGINT) AS ids FROM (SELECT ceil(count(DISTINCT label) / 3)::BIGINT AS folds, count(DISTINCT label) AS n FROM embeddings) t, range(64) f, range(3) k JOIN l ON l.place = (f.range * 3 + k.range) % t.n WHERE f.range < t.folds GROUP BY f.range",
+    "l AS (SELECT vec_id, dense_rank() OVER (ORDER BY label) - 1 AS place FROM embeddings WHERE label IS NOT NULL)")
 def fold_table(spark, sf):
-    """Samples that each fold holds out; the last, short one begins again."""
-    return spark.createDataFrame([(k, held) for k, held in enumerate(datasets.fold_table(40, 7))], "fold int, held array<long>")
+    """Vectors of the three labels that each fold holds out; the last, short one begins again."""
+    f = rasters.features(spark, sf).where("label IS NOT NULL")
+    names = sorted(r[0] for r in f.select("label").distinct().collect())  # labels are classes
+    held = [(fold, names[k]) for fold, places in enumerate(datasets.fold_table(len(names), 3)) for k in places]
+    return f.join(spark.createDataFrame(held, "fold int, label int"), "label").groupBy("fold").agg(F.count("*").alias("n"), F.sum("vec_id").alias("ids"))
 
 
 @query(
     "SELECT img, e, round(coalesce(sum(w * CASE annot WHEN 0 THEN -ln(0.2) + ln(0.8) WHEN 1 THEN -ln(0.9) + ln(0.1) ELSE -ln(0.6) + ln(0.4) END) FILTER (" + _IN + "), 0), 6) AS crit FROM s JOIN el USING (img) GROUP BY img, e", R, _ELL,
-    "s AS (SELECT img, lb, avg(y) AS y, avg(x) AS x, CAST(median(annot) AS INT) AS annot, count(*) AS w FROM r GROUP BY img, lb)")
+    "s AS (SELECT img, lb, avg(y) AS y, avg(x) AS x, CAST(floor(median(annot)) AS INT) AS annot, count(*) AS w FROM r GROUP BY img, lb)")
 def ellipse_criterion(spark, sf):
     """How well ellipses part superpixels by the chances of their labels."""
     s = _px(spark, sf).groupBy("img", F.col("lb").alias("idx")).agg(F.avg("y").alias("y"), F.avg("x").alias("x"), F.median("annot").cast("int").alias("label"), F.count("*").alias("weight"))
-    return spatial.criterion(s, _ellipses(spark), (0.2, 0.9, 0.6)).withColumn("crit", F.round("crit", 6))
+    return spatial.criterion(s, _ellipses(spark, sf), (0.2, 0.9, 0.6)).withColumn("crit", F.round("crit", 6))
 
 
 @query("SELECT vec_id, CAST(generate_subscripts(s, 1) - 1 AS INT) AS k, unnest(s) AS v FROM (SELECT vec_id, list_concat(e[p:], e[1:p - 1]) AS s FROM (SELECT *, list_position(e, list_max(e)) AS p FROM (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS e FROM embeddings)))")
@@ -252,7 +257,7 @@ def reconstructed_rays(spark, sf):
     R, _ELL, "dr AS (SELECT r.img, r.y, r.x, r.annot, e FROM r JOIN el USING (img) WHERE " + _IN + ")")
 def best_overlap(spark, sf):
     """The ellipse that overlaps each class most."""
-    return boundary.best_overlap(_ellipses(spark), _px(spark, sf), "annot").withColumn("jaccard", F.round("jaccard", 9))
+    return boundary.best_overlap(_ellipses(spark, sf), _px(spark, sf), "annot").withColumn("jaccard", F.round("jaccard", 9))
 
 
 _SP = """m AS (SELECT img, lb, annot FROM (SELECT img, lb, annot, row_number() OVER (PARTITION BY img, lb ORDER BY count(*) DESC, annot) AS k FROM r GROUP BY img, lb, annot) WHERE k = 1),
@@ -303,9 +308,11 @@ def split_bands(spark, sf):
     return files.split_bands(rasters.volume(spark, sf)).select("img", "band", "z", "y", "x", "c1")
 
 
-@query("SELECT CAST(z.range AS INT) AS z, CAST(y.range AS INT) AS y, CAST(x.range AS INT) AS x, CAST(x.range * 4 // 30 + z.range * 4 AS INT) AS label FROM range(3) z, range(20) y, range(30) x")
+@query("SELECT img, CAST(x * 7 // 100 + z * 7 AS INT) AS label, CAST(sum(c1) AS BIGINT) AS c1 FROM vol GROUP BY ALL", V)
 def stripes(spark, sf):
-    return files.stripes(spark, 20, 30, 4, 3).drop("img")
+    """Brightness of volumes in stripes."""
+    marks = files.stripes(spark, 100, 100, 7, 4).drop("img")
+    return rasters.volume(spark, sf).join(marks, ["z", "y", "x"]).groupBy("img", "label").agg(F.sum("c1").alias("c1"))
 
 
 @query("SELECT CAST(idx AS INT) AS idx, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM pts", P)
@@ -325,9 +332,9 @@ def shuffled_places(spark, sf):
 
 @query()
 def balance_clusters(spark, sf):
-    """Of each label the rows nearest to as many cluster centres as the rarest label has rows, ten at most."""
+    """Of each label the rows nearest to as many cluster centres as the rarest label has rows."""
     f = rasters.features(spark, sf)
-    return datasets.balance_by_kmeans(f, "label", "vec_id", n=10).select("label", "vec_id")
+    return datasets.balance_by_kmeans(f, "label", "vec_id").select("label", "vec_id")
 
 
 @query()
@@ -343,12 +350,23 @@ def thin_points(spark, sf):
 
 
 def _objects(spark, sf):
-    """Ellipses on each image, as labels 1 to 3, of which the last lies alone."""
-    px = _px(spark, sf).select("img", "y", "x")
-    t = 0.4
-    ell = px.select("img").distinct().withColumn("e", F.explode(F.sequence(F.lit(1), F.lit(3)))).select(
-        "img", "e", F.lit(50.0).alias("cy"), (18.0 + 32 * (F.col("e") - 1)).alias("cx"), (20.0 + F.col("img") % 3).alias("a"), F.lit(9.0).alias("b"), F.lit(t + math.pi / 2).alias("theta"))
-    return px.join(spatial.draw_ellipses(px, ell), ["img", "y", "x"], "left").select("img", "y", "x", F.coalesce("e", F.lit(0)).alias("annot"))
+    """The three largest regions of each image whose surroundings are bright, as labels 1 to 3."""
+    px = _px(spark, sf).select("img", "y", "x", "c1")
+    box = [(dy, dx, 1 / 121) for dy in range(-5, 6) for dx in range(-5, 6)]
+    smooth = segmentation.filter_response(px, "c1", box, "s")
+    t = smooth.groupBy("img").agg((F.avg("s") + F.stddev_pop("s") / 2).alias("t"))
+    found = pixelwise.regions(smooth.join(t, "img").withColumn("m", (F.col("s") > F.col("t")).cast("int")), "m").select("img", "y", "x", "c1", "region")
+    order = Window.partitionBy("img").orderBy(F.desc("n"), "region")
+    sized = found.where("region IS NOT NULL").groupBy("img", "region").agg(F.count("*").alias("n")).withColumn("annot", F.row_number().over(order)).where("annot <= 3")
+    checkpoint_folder(spark)
+    return found.join(sized.select("img", "region", "annot"), ["img", "region"], "left").select("img", "y", "x", "c1", F.coalesce("annot", F.lit(0)).alias("annot")).checkpoint()
+
+
+def _middles(px):
+    """The pixels of objects that are nearest to their centroids."""
+    mean = px.where("annot > 0").groupBy("img", "annot").agg(F.avg("y").alias("my"), F.avg("x").alias("mx"))
+    d = (F.col("y") - F.col("my")) * (F.col("y") - F.col("my")) + (F.col("x") - F.col("mx")) * (F.col("x") - F.col("mx"))
+    return px.join(mean, ["img", "annot"]).groupBy("img", "annot").agg(F.min_by(F.struct("y", "x"), F.struct(d, "y", "x")).alias("p")).select("img", "annot", "p.y", "p.x")
 
 
 @query()
@@ -363,24 +381,23 @@ def straightened_objects(spark, sf):
 
 
 def _one(spark, sf):
-    """An object of label 1 a picture, with holes and dots around it, its superpixels and centre."""
-    px = _objects(spark, sf).withColumn("annot", (F.col("annot") == 2).cast("int"))
-    return px.withColumn("annot", F.when((F.col("y") * 7 + F.col("x") * 3) % 101 == 0, 1 - F.col("annot")).otherwise(F.col("annot")))
+    """The largest object of an image as label 1, with holes and dots where brightness says so; and its centre."""
+    px = _objects(spark, sf).withColumn("annot", (F.col("annot") == 1).cast("int"))
+    centre = _middles(px).select("img", F.lit(0).alias("idx"), "y", "x")
+    return px.withColumn("annot", F.when(F.col("c1") % 101 == 0, 1 - F.col("annot")).otherwise(F.col("annot"))).drop("c1"), centre
 
 
 @query()
 def boundary_points(spark, sf):
-    px = _one(spark, sf)
-    centre = px.select("img").distinct().select("img", F.lit(0).alias("idx"), F.lit(50).alias("y"), F.lit(50).alias("x"))
+    px, centre = _one(spark, sf)
     return boundary.boundary_points(px, "annot", centre, "mean", 2, 3.0, 2, 2, 10)
 
 
 @query()
 def ransac_ellipse(spark, sf):
     """Ellipses of one object an image by random samples of its boundary."""
-    px = _one(spark, sf)
-    centre = px.select("img").distinct().select("img", F.lit(0).alias("idx"), F.lit(50).alias("y"), F.lit(50).alias("x"))
-    pts = boundary.boundary_points(px, "annot", centre, "dist", 2, 3.0, 2, 2, 10)
+    px, centre = _one(spark, sf)
+    pts = boundary.boundary_points(px, "annot", centre, "dist", 2, 3.0, 2, 2, 10).checkpoint()
     cell = (F.floor(F.col("y") / 4) * 25 + F.floor(F.col("x") / 4)).cast("int")
     sp = px.groupBy("img", cell.alias("idx")).agg(F.avg("y").alias("y"), F.avg("x").alias("x"), F.mode("annot").alias("label"), F.count("*").alias("weight"))
     return boundary.ransac_ellipses(pts, sp, (0.1, 0.9), 0.5, 2.0, 20)
@@ -394,7 +411,7 @@ def shape_growing(spark, sf):
     share = px.groupBy("img", "lb").agg(F.avg((F.col("annot") > 0).cast("double")).alias("p"))
     cls = F.explode(F.array(*[F.struct(F.lit(k).alias("cls"), (1 - F.col("p") if k == 0 else F.col("p")).alias("q")) for k in range(4)])).alias("c")
     unary = share.select("img", "lb", cls).select("img", "lb", "c.cls", graph.unary_cost(F.col("c.q")).alias("cost"))
-    seeds = px.select("img").distinct().withColumn("label", F.explode(F.sequence(F.lit(1), F.lit(3)))).select("img", (200 + F.floor((18 + 32 * (F.col("label") - 1)) / 5)).cast("int").alias("lb"), "label")
+    seeds = _middles(px).select("img", (F.floor(F.col("y") / 5) * 20 + F.floor(F.col("x") / 5)).cast("int").alias("lb"), F.col("annot").alias("label")).groupBy("img", "lb").agg(F.min("label").alias("label"))
     edges = graph.adjacency(px, "lb").withColumn("w", F.lit(1.0))
     return boundary.grow_shapes(px, unary, edges, seeds, graph.pairwise_matrix(4, 0.5), table, 36, 40, "lb", 0.3)
 

@@ -67,13 +67,13 @@ vol AS (
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points on image 0: (img, idx, y, x), one an event, folded onto the raster."""
+    """Points on images: (img, idx, y, x), one an event, 10,000 of them folded onto each raster."""
     e = table(spark, sf_dir, "events")
-    return e.select(F.lit(0).alias("img"), F.col("event_id").cast("long").alias("idx"), (F.col("event_id") * 37 % SIDE).cast("int").alias("y"), (F.col("user_id") * 61 % SIDE).cast("int").alias("x"))
+    return e.select(F.floor(F.col("event_id") / 10000).cast("int").alias("img"), F.col("event_id").cast("long").alias("idx"), (F.col("event_id") * 37 % SIDE).cast("int").alias("y"), (F.col("user_id") * 61 % SIDE).cast("int").alias("x"))
 
 
 P = """pts AS (
-  SELECT 0 AS img, CAST(event_id AS BIGINT) AS idx, CAST(event_id * 37 % 100 AS INT) AS y, CAST(user_id * 61 % 100 AS INT) AS x
+  SELECT CAST(event_id // 10000 AS INT) AS img, CAST(event_id AS BIGINT) AS idx, CAST(event_id * 37 % 100 AS INT) AS y, CAST(user_id * 61 % 100 AS INT) AS x
   FROM events)"""
 
 
