@@ -9,6 +9,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -226,3 +227,28 @@ def merge_probabilities(proba: DataFrame, table: dict[int, list[int]]) -> DataFr
     keys = [c for c in proba.columns if c not in ("cls", "p")]
     each = proba.withColumn("_m", F.explode(F.filter(pairs, lambda m: m["old"] == F.col("cls"))))
     return each.groupBy(*keys, F.col("_m.new").alias("cls")).agg(F.sum("p").alias("p"))
+
+
+def merge_masks(masks: DataFrame, overlap: float = 0.7) -> DataFrame:
+    """Masks (img, idx, y, x), a row a pixel, drawn over one another by idx: (img, y, x, label).
+
+    A mask whose intersection with what is visible of one drawn before is more than ``overlap`` of their union is left out; labels count those drawn, from 1. Pixels
+    under the same masks are counted together first, and only these counts, as many as there are ways masks overlap, are gone through one mask after the other.
+    """
+    under = masks.where("idx is not null").groupBy(*KEY, "y", "x").agg(F.sort_array(F.collect_set(F.col("idx").cast("long"))).alias("on"))
+    ways = under.groupBy(*KEY, "on").agg(F.count("*").alias("n"))
+
+    def draw(rows: pd.DataFrame) -> pd.DataFrame:
+        on, n = [set(r) for r in rows["on"]], rows["n"].to_numpy()
+        top = np.zeros(len(n), np.int64)  # label that is visible
+        drawn: dict[int, int] = {}
+        for idx in sorted(set().union(*on)):
+            here = np.array([idx in r for r in on])
+            seen, both = np.bincount(top, n, len(drawn) + 1)[1:], np.bincount(top[here], n[here], len(drawn) + 1)[1:]
+            if not (both > overlap * (seen + n[here].sum() - both)).any():
+                drawn[idx] = len(drawn) + 1
+                top[here] = drawn[idx]
+        return pd.DataFrame({"img": rows["img"].iloc[0], "idx": list(drawn), "label": list(drawn.values())})
+
+    labels = ways.groupBy(*KEY).applyInPandas(draw, f"img {dict(masks.dtypes)['img']}, idx long, label int")
+    return under.select(*KEY, "y", "x", F.explode("on").alias("idx")).join(labels, [*KEY, "idx"]).groupBy(*KEY, "y", "x").agg(F.max("label").alias("label"))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pixelmill.operators import graph, maxflow, segmentation, watershed
-from pixelmill.plans.catalog import _px, query
+from pixelmill.operators import bayes, features, graph, labels, maxflow, neighbours, segmentation, watershed
+from pixelmill.plans.catalog import CHANNELS, _px, query
+from pixelmill.sources import rasters
 from pixelmill.sources.rasters import R
 
 #: Costs of superpixels to be dark (0) or bright (1), and of borders where the classes on both sides agree; all whole numbers.
@@ -84,3 +85,43 @@ def object_watershed(spark, sf):
     """Bright regions parted among centres by the watershed of their depth."""
     px, centres = _bright(spark, sf)
     return watershed.object_watershed(px, "m", centres)
+
+
+@query("""SELECT id, label AS prediction, votes FROM (SELECT id, b.label, count(*) AS votes, row_number() OVER (PARTITION BY id ORDER BY count(*) DESC, b.label) AS p FROM
+  (SELECT a.vec_id AS id, b.label, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.v, b.v), b.vec_id) AS k FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE b.label IS NOT NULL) b
+  WHERE k <= 5 GROUP BY id, b.label) WHERE p = 1""", "v AS (SELECT vec_id, label, list_transform(embedding, lambda c: CAST(c AS DOUBLE)) AS v FROM embeddings)")
+def nearest_labels(spark, sf):
+    """The label of most of the five nearest other vectors."""
+    f = rasters.features(spark, sf).withColumnRenamed("vec_id", "id")
+    return neighbours.classify(f, f, 5, among=True)
+
+
+@query(
+    "SELECT img, y, x, CAST(max(label) AS INT) AS label FROM m JOIN (SELECT img, unnest(drawn) AS idx, generate_subscripts(drawn, 1) AS label FROM st WHERE step = 24) USING (img, idx) GROUP BY img, y, x", R,
+    "q AS (SELECT img, CAST(y // 20 * 5 + x // 20 AS INT) AS f, y, x FROM r WHERE c1 > 150)",
+    "box AS (SELECT img, f, min(y) AS y0, max(y) AS y1, min(x) - 4 AS x0, max(x) - f % 3 * 4 AS x1 FROM q GROUP BY img, f)",
+    "m AS (SELECT box.img, f AS idx, y, x FROM box JOIN r ON r.img = box.img AND y BETWEEN y0 AND y1 AND x BETWEEN x0 AND x1)",
+    "w AS (SELECT img, g, count(*) AS n FROM (SELECT img, y, x, list_sort(list(idx)) AS g FROM m GROUP BY ALL) GROUP BY img, g)",
+    "size AS (SELECT img, idx, count(*) AS n FROM m GROUP BY img, idx)",
+    # field after field: the fields drawn so far, and of each way masks overlap the last of them
+    """st(img, step, drawn) AS (SELECT DISTINCT img, -1, []::INT[] FROM m UNION ALL
+      SELECT s.img, s.step + 1, CASE WHEN any_value(z.n) IS NULL OR coalesce(bool_or(t.both > 0.25 * (t.seen + z.n - t.both)), FALSE) THEN any_value(s.drawn) ELSE list_append(any_value(s.drawn), CAST(s.step + 1 AS INT)) END
+      FROM st s LEFT JOIN size z ON z.img = s.img AND z.idx = s.step + 1
+      LEFT JOIN (SELECT a.img, a.step, list_max(list_filter(w.g, lambda i: list_contains(a.drawn, i))) AS top, sum(w.n) AS seen, coalesce(sum(w.n) FILTER (list_contains(w.g, a.step + 1)), 0) AS both
+        FROM st a JOIN w ON w.img = a.img GROUP BY ALL) t ON t.img = s.img AND t.step = s.step AND t.top IS NOT NULL
+      WHERE s.step < 24 GROUP BY s.img, s.step)""")
+def merged_masks(spark, sf):
+    """Boxes around the bright pixels of 25 fields, each a little into its neighbours, drawn over one another unless a quarter is shared."""
+    px = _px(spark, sf)
+    field = (F.floor(F.col("y") / 20) * 5 + F.floor(F.col("x") / 20)).cast("int")
+    box = px.where("c1 > 150").groupBy("img", field.alias("idx")).agg(F.min("y").alias("y0"), F.max("y").alias("y1"), (F.min("x") - 4).alias("x0"), F.max("x").alias("x1"))
+    box = box.withColumn("x1", F.col("x1") - F.col("idx") % 3 * 4).withColumn("y", F.explode(F.sequence("y0", "y1"))).where("x0 <= x1").withColumn("x", F.explode(F.sequence("x0", "x1")))
+    return labels.merge_masks(box.where("x BETWEEN 0 AND 99").select("img", "idx", "y", "x"), 0.25)
+
+
+@query()
+def bayesian_classes(spark, sf):
+    """Classes of superpixels by a mixture that chooses their number, eight at most."""
+    stats = features.segment_statistics(_px(spark, sf), "lb", CHANNELS, ("mean", "std"))
+    rows = stats.select("img", "lb", F.array(*[F.col(c).cast("double") for c in stats.columns if c not in ("img", "lb")]).alias("features"))
+    return bayes.probabilities(bayes.fit(rows, 8), rows).select("img", "lb", "prediction", "proba")
