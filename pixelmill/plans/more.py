@@ -337,7 +337,11 @@ def balance_clusters(spark, sf):
     return datasets.balance_by_kmeans(f, "label", "vec_id").select("label", "vec_id")
 
 
-@query()
+@query(
+    "SELECT r.img, r.y, r.x, CASE WHEN c1 <= 60 AND reach.img IS NOT NULL THEN 0 ELSE 1 END AS m FROM r LEFT JOIN reach USING (img, y, x)", R,
+    "z AS (SELECT img, y, x FROM r WHERE c1 <= 60)",
+    """reach(img, y, x) AS (SELECT img, y, x FROM z WHERE y IN (0, 99) OR x IN (0, 99)
+      UNION SELECT z.img, z.y, z.x FROM reach a JOIN (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) d(dy, dx) ON TRUE JOIN z ON z.img = a.img AND z.y = a.y + dy AND z.x = a.x + dx)""")
 def fill_holes(spark, sf):
     px = _px(spark, sf).select("img", "y", "x", (F.col("c1") > 60).cast("int").alias("m"))
     return pixelwise.fill_holes(px, "m")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pixelmill.operators import bayes, features, graph, labels, maxflow, neighbours, segmentation, watershed
+from pixelmill.operators import bayes, ensembles, features, graph, labels, maxflow, neighbours, segmentation, watershed
 from pixelmill.plans.catalog import CHANNELS, _px, query
 from pixelmill.sources import rasters
 from pixelmill.sources.rasters import R
@@ -125,3 +125,17 @@ def bayesian_classes(spark, sf):
     stats = features.segment_statistics(_px(spark, sf), "lb", CHANNELS, ("mean", "std"))
     rows = stats.select("img", "lb", F.array(*[F.col(c).cast("double") for c in stats.columns if c not in ("img", "lb")]).alias("features"))
     return bayes.probabilities(bayes.fit(rows, 8), rows).select("img", "lb", "prediction", "proba")
+
+
+@query()
+def boosted_labels(spark, sf):
+    """The labels of vectors by boosted trees."""
+    f = rasters.features(spark, sf)
+    return ensembles.boosted_predictions(ensembles.boost(f), f).select("vec_id", "label", "prediction", "margin")
+
+
+@query()
+def kernel_labels(spark, sf):
+    """The labels of vectors by a support vector machine with a Gaussian kernel."""
+    f = rasters.features(spark, sf).where("label IS NOT NULL")
+    return ensembles.kernel_predictions(ensembles.kernel_machine(f), f).select("vec_id", "label", "prediction")

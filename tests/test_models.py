@@ -84,3 +84,46 @@ def test_merged_masks(spark):
         else:
             want[m] = want.max() + 1
     assert skipped and (drawn(*many, overlap=0.3) == want).all()
+
+
+def rings(spark, n, seed):
+    rng = np.random.default_rng(seed)
+    of, angle = np.arange(n) % 2, rng.uniform(0, 2 * np.pi, n)
+    r = np.where(of, 3.0, 1.0) + rng.normal(size=n) * 0.2
+    return spark.createDataFrame([(k, [float(a * np.cos(t)), float(a * np.sin(t))], int(c)) for k, (a, t, c) in enumerate(zip(r, angle, of))], "id int, features array<double>, label int")
+
+
+def accuracy(made):
+    from pyspark.sql import functions as F
+
+    return made.agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
+
+
+def test_boosting(spark):
+    """The training error is within the bound that the trees' errors give, and held-out rings are told apart by boxes."""
+    from pixelmill.operators import ensembles
+
+    train, held = rings(spark, 300, 1), rings(spark, 200, 2)
+    model = ensembles.boost(train, 12, 2)
+    bound = np.prod([2 * np.sqrt(e * (1 - e)) for e in model.errors])
+    assert 1 - accuracy(ensembles.boosted_predictions(model, train)) <= bound + 1e-9 and len(model.trees) > 3
+    assert accuracy(ensembles.boosted_predictions(model, held)) > 0.95
+    three = spark.createDataFrame([(k, [float(k % 30 // 10), 0.0], k % 30 // 10) for k in range(90)], "id int, features array<double>, label int")
+    assert accuracy(ensembles.boosted_predictions(ensembles.boost(three, 10, 1), three)) == 1.0
+    same = train.selectExpr("id", "features", "0 AS label")
+    assert accuracy(ensembles.boosted_predictions(ensembles.boost(same, 3), same)) == 1.0
+
+
+def test_kernel_machine(spark):
+    """Held-out rings, which no line parts, and the random features' products against the kernel."""
+    from pixelmill.operators import ensembles
+
+    train, held = rings(spark, 300, 1), rings(spark, 200, 2)
+    model = ensembles.kernel_machine(train, 1.0)
+    assert accuracy(ensembles.kernel_predictions(model, held)) > 0.97
+    by = model[0]
+    x = np.array([r["features"] for r in held.limit(60).collect()])
+    z = (x - by.mean) / by.std
+    exact = np.exp(-((z[:, None] - z[None]) ** 2).sum(axis=2))
+    off = np.abs(by.of(x) @ by.of(x).T - exact)
+    assert off.mean() < 0.08 and off.max() < 0.35
