@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pixelmill.functions import color
 from pixelmill.operators import features, filters, graph, maxflow, ml, watershed
 from pixelmill.session import checkpoint_folder
 
 KEY = ["img"]
+#: Texture banks by name: scales, orientations, reach.
+BANKS = {"tLM": ((2**0.5, 2.0, 2 * 2**0.5, 4.0), 8, 8), "tLM_short": ((2**0.5, 2.0), 4, 6)}
 
 
 def superpixels(px: DataFrame, channels: list[str], size: int = 10, compactness: float = 10.0, rounds: int = 5, axes: tuple[str, ...] = ("y", "x"), spacing: dict[str, float] | None = None) -> DataFrame:
@@ -54,10 +58,14 @@ def segment_classes(px: DataFrame, segment: str, channels: list[str], classes: i
     """Class maps: (img, segment, label, proba). Colour statistics of segments, a class model of all images (or a given one),
     edge weights of ``kind``, and labels of low unary and pairwise cost; without regularisation the most probable class. With axes z, y, x for volumes.
     """
+    return classified(px, segment, features.segment_statistics(px, segment, channels, ("mean", "std")), classes, regularisation, kind, model, axes)
+
+
+def classified(px: DataFrame, segment: str, stats: DataFrame, classes: int, regularisation: float = 1.0, kind: str = "model", model: PipelineModel | None = None, axes: tuple[str, ...] = ("y", "x")) -> DataFrame:
+    """As ``segment_classes``, from any features ``stats(img, segment, ...)``: all its other columns."""
     checkpoint_folder(px.sparkSession)
-    stats = features.segment_statistics(px, segment, channels, ("mean", "std"))
     names = [c for c in stats.columns if c not in (*KEY, segment)]
-    rows = stats.select(*KEY, segment, F.array(*names).alias("features")).checkpoint()
+    rows = stats.select(*KEY, segment, F.array(*[F.col(c).cast("double") for c in names]).alias("features")).checkpoint()
     model = model or ml.class_model(rows, classes)
     made = ml.probabilities(model, rows).select(*KEY, segment, "features", "proba").checkpoint()
     unary = made.select(*KEY, segment, F.posexplode("proba").alias("cls", "p")).select(*KEY, segment, "cls", graph.unary_cost(F.col("p")).alias("cost")).checkpoint()
@@ -70,6 +78,44 @@ def segment_classes(px: DataFrame, segment: str, channels: list[str], classes: i
     return labels.join(made.select(*KEY, segment, "proba"), [*KEY, segment])
 
 
+def selected_features(px: DataFrame, segment: str, channels: list[str], wanted: dict[str, tuple[str, ...]], depth: tuple[str, ...] = ()) -> DataFrame:
+    """Features of segments by kind and statistic: (img, segment, <kind>_<channel>_...), for grey and colour images and (with ``depth``) volumes.
+
+    Kinds: ``color``, statistics of the channels; ``color_hsv`` and other spaces of ``color.convert``, of the channels in that space (three channels from 0 to 1); the banks of
+    ``BANKS``, statistics of the responses of each channel.
+    """
+    parts = []
+    for kind, statistics in wanted.items():
+        if kind in BANKS:
+            for channel in channels:
+                part = texture(px, channel, segment, *BANKS[kind], statistics, depth)
+                parts.append(part.select(*KEY, segment, *[F.col(c).alias(f"{kind}_{channel}_{c}") for c in part.columns if c not in (*KEY, segment)]))
+        elif kind.partition("_")[0] == "color":
+            space = kind.partition("_")[2]
+            part = features.segment_statistics(color.convert(px, channels, space) if space else px, segment, channels, statistics)
+            parts.append(part.select(*KEY, segment, *[F.col(c).alias(f"{kind}_{c}") for c in part.columns if c not in (*KEY, segment)]))
+        else:
+            raise ValueError(f"unknown kind of features {kind}")
+    return reduce(lambda a, b: a.join(b, [*KEY, segment]), parts)
+
+
+def segment_images(px: DataFrame, channels: list[str], classes: int, size: int = 10, compactness: float = 10.0, wanted: dict[str, tuple[str, ...]] | None = None, regularisation: float = 1.0, kind: str = "model", model: PipelineModel | None = None, axes: tuple[str, ...] = ("y", "x"), each: bool = False) -> DataFrame:
+    """``px`` with ``sp`` and ``label``: superpixels, their features, classes and a graph cut, in one call, for images or (axes z, y, x) volumes.
+
+    ``wanted`` as for ``selected_features``, else mean and deviation of the channels. One model is fitted to the superpixels of all images, or ``model`` is used;
+    with ``each`` every image is scaled to its own mean and deviation before, so that images of other light have classes of their own.
+    """
+    checkpoint_folder(px.sparkSession)
+    sp = superpixels(px, channels, size, compactness, axes=axes).checkpoint()
+    stats = selected_features(sp, "sp", channels, wanted or {"color": ("mean", "std")}, tuple(a for a in axes if a not in ("y", "x")))
+    if each:
+        w = Window.partitionBy(*KEY)
+        names = [c for c in stats.columns if c not in (*KEY, "sp")]
+        stats = stats.select(*KEY, "sp", *[(F.when(F.stddev_pop(c).over(w) > 0, (F.col(c) - F.avg(c).over(w)) / F.stddev_pop(c).over(w)).otherwise(0.0)).alias(c) for c in names])
+    found = classified(sp, "sp", stats, classes, regularisation, kind, model, axes)
+    return sp.join(found.select(*KEY, "sp", "label"), [*KEY, "sp"])
+
+
 def grow_regions(unary: DataFrame, edges: DataFrame, seeds: DataFrame, matrix: list[list[float]], segment: str) -> DataFrame:
     """Grow objects from seed segments (img, segment, label): (img, segment, label), 0 where none came.
 

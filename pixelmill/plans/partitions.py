@@ -139,3 +139,9 @@ def kernel_labels(spark, sf):
     """The labels of vectors by a support vector machine with a Gaussian kernel."""
     f = rasters.features(spark, sf).where("label IS NOT NULL")
     return ensembles.kernel_predictions(ensembles.kernel_machine(f), f).select("vec_id", "label", "prediction")
+
+
+@query()
+def segmented_images(spark, sf):
+    """Superpixels, colour and texture features, classes and graph cut of all images in one call."""
+    return segmentation.segment_images(_px(spark, sf), CHANNELS, 3, 10, 40.0, {"color": ("mean", "std"), "tLM_short": ("mean", "energy")}, 0.5).select("img", "y", "x", "sp", "label")

@@ -112,3 +112,21 @@ def test_pixels_in_tiles(spark, monkeypatch):
 @pytest.mark.parametrize("name", ["cut_energy", "watershed_basins"])
 def test_queries_at_larger_scale(spark, name):
     assert same(QUERIES[name](spark, "/root/testdata/sf0.1"), ORACLE[name], "/root/testdata/sf0.1")
+
+
+def test_images_in_one_call(spark):
+    """A dark and a bright half, in a colour image of each light; each pixel's class follows its half."""
+    rng = np.random.default_rng(6)
+    images = []
+    for light in (1.0, 1.0):
+        img = rng.normal(0.3, 0.03, (30, 40)) * light
+        img[:, 20:] += 0.4 * light
+        images.append(img)
+    px = raster(spark, images, "c1").selectExpr("*", "c1 * 0.5 AS c2", "1 - c1 AS c3")
+    found = segmentation.segment_images(px, ["c1", "c2", "c3"], 2, 8, 0.5, {"color": ("mean", "std"), "color_hsv": ("mean",)}, 0.5)
+    for f in array(found, images, "label"):
+        assert (f[:, :18] == f[0, 0]).all() and (f[:, 22:] == f[0, 39]).all() and f[0, 0] != f[0, 39]
+    names = segmentation.selected_features(found, "sp", ["c1"], {"color": ("mean",), "tLM_short": ("mean",)}).columns
+    assert "color_c1_mean" in names and any(n.startswith("tLM_short_c1_") for n in names)
+    with pytest.raises(ValueError):
+        segmentation.selected_features(found, "sp", ["c1"], {"sound": ("mean",)})
