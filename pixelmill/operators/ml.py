@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import math
+import random
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, RandomForestClassifier
 from pyspark.ml.clustering import GaussianMixture, KMeans
@@ -74,6 +78,56 @@ def search(rows: DataFrame, name: str, grid: dict[str, list], fold: str | None =
     return (cv.setFoldCol(fold) if fold else cv).fit(vectors(rows))
 
 
+def draw_params(space: dict[str, list | tuple], draws: int, seed: int = 0) -> list[dict]:
+    """Different random draws from ``space``: a list is drawn from alike; (low, high) evenly, in whole numbers (both included) if both ends are; (low, high, "log") evenly in logarithm.
+
+    A rerun draws the same. A space of few values may have fewer draws than asked for.
+    """
+    rng, out = random.Random(seed), {}
+    for _ in range(20 * draws):
+        one = {}
+        for key, values in sorted(space.items()):
+            if isinstance(values, list):
+                one[key] = rng.choice(values)
+            elif len(values) == 3:
+                one[key] = math.exp(rng.uniform(math.log(values[0]), math.log(values[1])))
+            elif all(isinstance(v, int) for v in values):
+                one[key] = rng.randint(*values)
+            else:
+                one[key] = rng.uniform(*values)
+        out.setdefault(repr(one), one)
+        if len(out) == draws:
+            break
+    return list(out.values())
+
+
+def random_search(rows: DataFrame, name: str, space: dict[str, list | tuple], draws: int = 16, fold: str | None = None, folds: int = 3, metric: str = "f1", keep: int = 4, seed: int = 0) -> DataFrame:
+    """Random draws of a classifier's parameters by successive halving: (draw, round, share, params, score), best of the last round first.
+
+    In each round draws are cross-validated, all folds and draws in one search; a ``keep``-th of them, rounded up, goes on with ``keep`` times as many rows, until all rows are used by
+    at most ``keep`` draws. Rows of a smaller round are those with the smallest hashes of their features, so that a rerun uses the same. ``params`` is JSON.
+    """
+    spark = rows.sparkSession
+    cells = 1 << 20
+    rows = rows.withColumn("_cell", F.pmod(F.xxhash64("features", "label", F.lit(seed)), F.lit(cells)))
+    left, out = dict(enumerate(draw_params(space, draws, seed))), []
+    rounds = 0
+    while keep**rounds < len(left):
+        rounds += 1
+    for k in range(max(1, rounds)):
+        share = float(keep) ** (k + 1 - max(1, rounds))
+        part = rows.where(F.col("_cell") < math.ceil(share * cells)).drop("_cell")
+        pipe = classifier(name)
+        last = pipe.getStages()[-1]
+        maps = [{last.getParam(p): v for p, v in one.items()} for one in left.values()]
+        cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=MulticlassClassificationEvaluator(metricName=metric), numFolds=folds, seed=1, parallelism=4)
+        scores = (cv.setFoldCol(fold) if fold else cv).fit(vectors(part)).avgMetrics
+        order = sorted(zip(left, scores), key=lambda x: (-x[1], x[0]))
+        out += [(d, k, share, json.dumps(left[d], sort_keys=True), float(x)) for d, x in order]
+        left = {d: left[d] for d, _ in order[: -(-len(order) // keep)]}
+    return spark.createDataFrame(out, "draw int, round int, share double, params string, score double").orderBy(F.desc("round"), F.desc("score"), "draw")
+
+
 def cross_scores(rows: DataFrame, name: str, fold: str, metrics: tuple[str, ...] = ("accuracy", "f1", "weightedPrecision", "weightedRecall")) -> DataFrame:
     """Rows (fold, metric, score): each fold is predicted by a model of the others."""
     spark, out = rows.sparkSession, []

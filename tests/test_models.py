@@ -127,3 +127,18 @@ def test_kernel_machine(spark):
     exact = np.exp(-((z[:, None] - z[None]) ** 2).sum(axis=2))
     off = np.abs(by.of(x) @ by.of(x).T - exact)
     assert off.mean() < 0.08 and off.max() < 0.35
+
+
+def test_random_search(spark):
+    """Draws repeat, lie in the space and get fewer from round to round; depth tells, so a deep tree wins."""
+    import json
+
+    from pixelmill.operators import ml
+
+    space = {"maxDepth": (1, 6), "impurity": ["gini", "entropy"], "minInfoGain": (1e-6, 1e-2, "log")}
+    drawn = ml.draw_params(space, 20, 3)
+    assert drawn == ml.draw_params(space, 20, 3) != ml.draw_params(space, 20, 4) and len({repr(d) for d in drawn}) == 20
+    assert all(1 <= d["maxDepth"] <= 6 and 1e-6 <= d["minInfoGain"] <= 1e-2 for d in drawn) and len(ml.draw_params({"maxDepth": [2, 3]}, 5)) == 2
+    got = ml.random_search(rings(spark, 240, 4), "decision tree", space, 6, folds=2, keep=3).collect()
+    assert [sum(r["round"] == k for r in got) for k in (0, 1)] == [6, 2] and {r["share"] for r in got if r["round"] == 1} == {1.0}
+    assert got[0]["round"] == 1 and got[0]["score"] == max(r["score"] for r in got if r["round"] == 1) and json.loads(got[0]["params"])["maxDepth"] > 1
