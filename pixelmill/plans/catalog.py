@@ -444,13 +444,14 @@ def otsu(spark, sf):
 
 
 _ELL = """el AS (SELECT img, CAST(y // 20 AS INT) AS e, CAST(sum(y) AS DOUBLE) / count(*) AS cy, CAST(sum(x) AS DOUBLE) / count(*) AS cx,
-  CAST(8 + count(*) % 9 AS DOUBLE) AS a, CAST(6 AS DOUBLE) AS b, CAST(y // 20 AS DOUBLE) / 2 AS theta FROM r WHERE c1 > 200 GROUP BY img, y // 20)"""
+  CAST(8 + count(*) % 9 AS DOUBLE) AS a, CAST(6 AS DOUBLE) AS b, CAST(y // 20 AS DOUBLE) / 2 AS theta FROM r JOIN (SELECT img, sum(c1) // count(*) AS t FROM r GROUP BY img) USING (img) WHERE c1 > t GROUP BY img, y // 20)"""
 
 
 def _ellipses(spark, sf):
     """Ellipses around the centre of the bright pixels of each fifth of an image, longer or shorter by their number."""
-    n = F.count("*")
-    bright = _px(spark, sf).where("c1 > 200").groupBy("img", F.floor(F.col("y") / 20).cast("int").alias("e")).agg((F.sum("y") / n).alias("cy"), (F.sum("x") / n).alias("cx"), (8.0 + n % 9).alias("a"))
+    n, px = F.count("*"), _px(spark, sf)
+    mean = px.groupBy("img").agg(F.expr("sum(c1) div count(*)").alias("t"))
+    bright = px.join(mean, "img").where("c1 > t").groupBy("img", F.floor(F.col("y") / 20).cast("int").alias("e")).agg((F.sum("y") / n).alias("cy"), (F.sum("x") / n).alias("cx"), (8.0 + n % 9).alias("a"))
     return bright.select("img", "e", "cy", "cx", "a", F.lit(6.0).alias("b"), (F.col("e") / 2).alias("theta"))
 
 

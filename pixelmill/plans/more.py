@@ -388,7 +388,7 @@ def _one(spark, sf):
     """The largest object of an image as label 1, with holes and dots where brightness says so; and its centre."""
     px = _objects(spark, sf).withColumn("annot", (F.col("annot") == 1).cast("int"))
     centre = _middles(px).select("img", F.lit(0).alias("idx"), "y", "x")
-    return px.withColumn("annot", F.when(F.col("c1") % 101 == 0, 1 - F.col("annot")).otherwise(F.col("annot"))).drop("c1"), centre
+    return px.withColumn("annot", F.when(F.col("c1") % 101 == 17, 1 - F.col("annot")).otherwise(F.col("annot"))).drop("c1"), centre
 
 
 @query()
