@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelmill.operators import ml, pixelwise, segmentation, spatial
+from pixelmill.operators import ml, pixelwise, segmentation, spatial, spectral
 from pixelmill.session import checkpoint_folder
 
 KEY = ["img"]
@@ -212,7 +212,7 @@ def _beyond(d: np.ndarray, mean: np.ndarray, std: np.ndarray) -> np.ndarray:
 def shape_models(shapes: DataFrame, kind: str = "mixture", classes: int = 3, reach: int | None = None, seed: int = 1) -> DataFrame:
     """Tables (model, weight, a, d, p): the chance p that a shape reaches beyond distance d at its angle number a.
 
-    ``mixture``: classes of ray vectors (img, object, distances) by a Gaussian mixture; ``kmeans``: by k-means, with each class's deviations;
+    ``mixture``: classes of ray vectors (img, object, distances) by a Gaussian mixture; ``kmeans``: by k-means, with each class's deviations; ``spectral``: the same by spectral clustering;
     ``hist``: shares of the shapes themselves, one model. Of models a row each, and of tables angles times reach, are held by the driver.
     """
     spark = shapes.sparkSession
@@ -227,14 +227,17 @@ def shape_models(shapes: DataFrame, kind: str = "mixture", classes: int = 3, rea
         up = F.sum(F.coalesce("_c", F.lit(0))).over(Window.partitionBy("a").orderBy("d"))
         return grid.join(at, ["a", "d"], "left").select(F.lit(0).alias("model"), F.lit(1.0).alias("weight"), "a", "d", ((F.col("_t") - up) / F.col("_t")).alias("p"))
     features = rows.select(F.col("distances").alias("features"))
-    model = ml.class_model(features, classes, scale=False, kind=kind, seed=seed) if classes > 1 else None
+    model = ml.class_model(features, classes, scale=False, kind=kind, seed=seed) if classes > 1 and kind != "spectral" else None
     if kind == "mixture" and model:
         last = model.stages[-1]
         means = np.array([g.mean.toArray() for g in last.gaussians])
         stds = np.array([np.sqrt(np.maximum(np.diag(g.cov.toArray()), 1e-6)) for g in last.gaussians])
         weights = np.array(last.weights)
     else:
-        made = ml.probabilities(model, features) if model else features.withColumn("prediction", F.lit(0))
+        if kind == "spectral" and classes > 1:
+            made = spectral.cluster(features, classes, seed=seed).withColumnRenamed("cluster", "prediction").where("prediction is not null")
+        else:
+            made = ml.probabilities(model, features) if model else features.withColumn("prediction", F.lit(0))
         made = made.select("prediction", F.posexplode("features").alias("a", "v"))
         stats = made.groupBy("prediction", "a").agg(F.avg("v"), F.stddev_pop("v"), F.count("*")).orderBy("prediction", "a").collect()
         names = sorted({r[0] for r in stats})

@@ -6,7 +6,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 from oracle import same
 
-from pixelmill.plans import more, partitions  # noqa: F401  add to the catalog
+from pixelmill.plans import more, objects, partitions  # noqa: F401  add to the catalog
 from pixelmill.plans.catalog import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
