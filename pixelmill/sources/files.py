@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pixelmill.sources import paged
+
 INFO = "id int, est_id string, gene_id string, fbgn string, cgname string, stage int, image_id int, image_path string, ant_x int, ant_y int, post_x int, post_y int, lat_x int, lat_y int, slice_index int, stack_path string"
 
 
@@ -124,55 +126,22 @@ def random_image(spark: SparkSession, height: int, width: int, labels: int, seed
     return px.select(F.lit(0).alias("img"), F.floor(i / width).cast("int").alias("y"), (i % width).cast("int").alias("x"), "label", *[((F.col("label") + u(k)) / labels).alias(f"c{k}") for k in (1, 2, 3)])
 
 
-def _tiff_pages(data: bytes):
-    """(page, array of height x width x channels) of a TIFF file: strips, not compressed or by deflate, 8 or 16 bits a sample."""
-    import struct
-    import zlib
-
-    import numpy as np
-
-    order = {b"II": "<", b"MM": ">"}[bytes(data[:2])]
-    at, page = struct.unpack_from(order + "I", data, 4)[0], 0
-    size = {1: "B", 3: "H", 4: "I"}
-    while at:
-        (n,) = struct.unpack_from(order + "H", data, at)
-        tags = {}
-        for k in range(n):
-            tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * k)
-            if kind in size:
-                form = f"{order}{count}{size[kind]}"
-                place = at + 10 + 12 * k if struct.calcsize(form) <= 4 else struct.unpack_from(order + "I", data, at + 10 + 12 * k)[0]
-                tags[tag] = struct.unpack_from(form, data, place)
-        bits, packing, channels = tags.get(258, (1,))[0], tags.get(259, (1,))[0], tags.get(277, (1,))[0]
-        if bits not in (8, 16) or packing not in (1, 8, 32946) or 273 not in tags or tags.get(284, (1,))[0] != 1:
-            raise ValueError(f"a TIFF page with {bits} bits and packing {packing} in tiles or planes can't be read")
-        strips = [data[a : a + b] for a, b in zip(tags[273], tags[279], strict=True)]
-        raw = b"".join(s if packing == 1 else zlib.decompress(s) for s in strips)
-        v = np.frombuffer(raw, f"{order}u{bits // 8}").reshape(tags[257][0], tags[256][0], channels)
-        if packing != 1 and tags.get(317, (1,))[0] == 2:
-            v = np.cumsum(v, axis=1, dtype=v.dtype)
-        yield page, v
-        (at,) = struct.unpack_from(order + "I", data, at + 2 + 12 * n)
-        page += 1
-
-
 def tiff(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Pixels (img, z, y, x, c1, c2, c3) of TIFF files, a page a slice z; grey pages repeat one channel, further channels are left out.
 
-    A file is decoded by one task, page by page. Pages with tiles, LZW or other bit depths are an error.
+    Files may lie in any store that Spark reads; each is decoded whole by one task, strip by strip. ``paged.tiff`` reads large files by range. Pages that it can't read are an error here, too.
     """
     schema = "img string, z int, y int, x int, c1 int, c2 int, c3 int"
 
     def run(frames):
-        import numpy as np
         import pandas as pd
 
         for f in frames:
             for name, data in zip(f["stem"], f["content"], strict=True):
-                for page, v in _tiff_pages(data):
-                    y, x = (a.ravel() for a in np.indices(v.shape[:2]))
-                    c = v.reshape(len(y), -1)
-                    yield pd.DataFrame({"img": name, "z": page, "y": y, "x": x, **{f"c{k + 1}": c[:, min(k, c.shape[1] - 1) if c.shape[1] > 2 else 0] for k in range(3)}})
+                for z, page in enumerate(paged.tiff_pages(lambda at, size: data[at : at + size])):  # noqa: B023
+                    for chunk in page["chunks"]:
+                        y, x, v = paged.chunk_pixels(page, chunk, data[chunk[0] : chunk[0] + chunk[1]])
+                        yield pd.DataFrame({"img": name, "z": z, "y": y, "x": x} | {f"c{k + 1}": c for k, c in enumerate(paged.three_channels(v))})
 
     found = spark.read.format("binaryFile").load(paths).select(stem(F.col("path")).alias("stem"), "content")
     return found.mapInPandas(run, schema)
