@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pixelmill.operators import boundary, candidates, contours, features, ml, spectral
+from pixelmill.operators import boundary, candidates, contours, features, ml, review, spectral
 from pixelmill.plans.catalog import _px, query
 from pixelmill.session import checkpoint_folder
 from pixelmill.sources import rasters
-from pixelmill.sources.rasters import R
+from pixelmill.sources.rasters import P, R
 
 
 @query()
@@ -81,3 +82,48 @@ def candidate_centers(spark, sf):
     found, centres = candidates.detect(ml.train(rows, "random forest"), rows.drop("label"), 5.0)
     truth = px.where("ob > 0").groupBy("img", F.col("ob").alias("idx")).agg(F.avg("y").alias("y"), F.avg("x").alias("x"))
     return candidates.evaluate(centres, truth, 10.0)
+
+
+@query(
+    """SELECT p.img, idx, CAST(p.y AS DOUBLE) AS y, CAST(p.x AS DOUBLE) AS x, CAST(coalesce(v, 0) > 0 AS INT) AS label, CAST(coalesce(v, 0) <= 0 AS INT) AS change FROM pts p LEFT JOIN t ON p.img = t.img AND p.y = t.y AND p.x = t.x
+    UNION ALL SELECT m.img, coalesce(n.last, 0) + row_number() OVER (PARTITION BY m.img ORDER BY v), m.y, m.x, 1, 1
+    FROM (SELECT img, v, sum(y) / count(*) AS y, sum(x) / count(*) AS x FROM t WHERE v > 0 AND (img, v) NOT IN (SELECT (t.img, v) FROM pts JOIN t USING (img, y, x)) GROUP BY img, v) m LEFT JOIN (SELECT img, max(idx) AS last FROM pts GROUP BY img) n USING (img)""",
+    R, P, "t AS (SELECT img, y, x, CASE WHEN annot = 1 THEN y * 2 + x // 50 + 1 ELSE 0 END AS v FROM r)")
+def reviewed_points(spark, sf):
+    """Points off the objects (halves of rows of one class) set to 0, and a point added for each object that has none."""
+    px = _px(spark, sf).select("img", "y", "x", F.when(F.col("annot") == 1, F.col("y") * 2 + F.floor(F.col("x") / 50) + 1).otherwise(0).cast("int").alias("v"))
+    return review.add_missed_objects(review.clear_false_positives(rasters.points(spark, sf).withColumn("label", F.lit(1)), px, "v"), px, "v")
+
+
+_SCORED = """sg AS (SELECT img, 'bright' AS method, annot AS t, CASE WHEN c1 > 60 THEN 2 WHEN c1 > 0 THEN 1 ELSE 0 END AS p FROM r
+  UNION ALL SELECT img, 'left', annot, coalesce(lag(annot) OVER (PARTITION BY img, y ORDER BY x), 0) FROM r),
+cf AS (SELECT img, method, t, p, count(*) AS n FROM sg GROUP BY ALL),
+ft AS (SELECT img, method, t, sum(n) AS n, coalesce(sum(n) FILTER (t = p), 0) AS i FROM cf GROUP BY img, method, t),
+fp AS (SELECT img, method, p, sum(n) AS n FROM cf GROUP BY img, method, p),
+jc AS (SELECT ft.img, ft.method, t, ft.n AS support, i, i / (ft.n + coalesce(fp.n, 0) - i) AS j, min(t) OVER (PARTITION BY ft.img, ft.method) AS least FROM ft LEFT JOIN fp ON ft.img = fp.img AND ft.method = fp.method AND t = p),
+rd AS (SELECT img, method, sum(n * (n - 1) / 2) AS s, sum(n) AS m FROM cf GROUP BY img, method),
+ra AS (SELECT img, method, sum(n * (n - 1) / 2) AS a FROM ft GROUP BY img, method),
+rb AS (SELECT img, method, sum(n * (n - 1) / 2) AS b FROM fp GROUP BY img, method)"""
+
+
+@query(
+    """SELECT img, method, CASE WHEN (a + b) / 2 = a * b / (m * (m - 1) / 2) THEN 1 ELSE (s - a * b / (m * (m - 1) / 2)) / ((a + b) / 2 - a * b / (m * (m - 1) / 2)) END AS ars, jaccard, accuracy
+    FROM rd JOIN ra USING (img, method) JOIN rb USING (img, method) JOIN (SELECT img, method, coalesce(avg(j) FILTER (t <> least), 0) AS jaccard, sum(i) / sum(support) AS accuracy FROM jc GROUP BY img, method) USING (img, method)""",
+    R, _SCORED)
+def method_scores(spark, sf):
+    """Two ways to guess the classes, by brightness and from the pixel on the left, scored an image."""
+    px = _px(spark, sf)
+    bright = px.select("img", F.lit("bright").alias("method"), "y", "x", "annot", F.when(F.col("c1") > 60, 2).when(F.col("c1") > 0, 1).otherwise(0).alias("found"))
+    left = px.select("img", F.lit("left").alias("method"), "y", "x", "annot", F.coalesce(F.lag("annot").over(Window.partitionBy("img", "y").orderBy("x")), F.lit(0)).alias("found"))
+    return review.method_scores(bright.union(left), "annot", "found", relabel=False)
+
+
+@query(
+    "SELECT img, lb, cls, round(-ln(CASE WHEN cls = 0 THEN 1 - p ELSE p END + 1e-9), 9) AS cost FROM s, range(4) c(cls)", R,
+    "s AS (SELECT img, lb, sum(CAST(annot > 0 AS INT)) / count(*) AS p FROM r GROUP BY img, lb)")
+def centre_costs(spark, sf):
+    """Costs of superpixels to belong to one of three objects, or none, by their share of foreground."""
+    px = _px(spark, sf)
+    segments = px.groupBy("img", "lb").agg((F.sum((F.col("annot") > 0).cast("int")) / F.count("*")).alias("proba")).withColumn("label", F.lit(0))
+    centres = px.groupBy("img", (F.col("annot") + 1).cast("long").alias("label")).agg(F.avg("y").alias("y"), F.avg("x").alias("x"))
+    return review.centre_costs(segments, px, centres)[0].withColumn("cost", F.round("cost", 9))
