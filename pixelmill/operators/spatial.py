@@ -196,7 +196,8 @@ def rays(seg: DataFrame, mask: str, points: DataFrame, step: int = 10, edge: str
     most = F.least(room(F.col("_y"), F.col("_gy"), F.col("_ey")), room(F.col("_x"), F.col("_gx"), F.col("_ex")), F.greatest("_ey", "_ex").cast("double"))
     march = march.withColumn("_k", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(most).cast("int"), F.lit(0)) + 1)))
     march = march.withColumns({"y": F.bround(F.col("_y") + F.col("_k") * F.col("_gy")).cast("int"), "x": F.bround(F.col("_x") + F.col("_k") * F.col("_gx")).cast("int")})
-    on = march.join(seg.select(*KEY, "y", "x", F.col(mask).alias("_v")), [*KEY, "y", "x"])
+    # Spark's estimate leaves out what explode adds, and would broadcast the steps of all rays
+    on = march.hint("merge").join(seg.select(*KEY, "y", "x", F.col(mask).alias("_v")), [*KEY, "y", "x"])
     on = on.withColumn("_on", F.col("_v") == F.col("idx") if own else F.col("_v") != 0)
     inside = F.max(F.when(F.col("_k") == 0, F.col("_on")))
     if edge == "up":

@@ -212,3 +212,37 @@ def test_dumps_and_triplets(spark, tmp_path):
     assert files.load_dump(spark, f"file://{tmp_path}/d").collect() == df.collect()
     (tmp_path / "list.csv").write_text(",path_image,path_segm,path_centers\n0,/a/x.png,/b/x.png,/c/x.csv\n")
     assert tuple(files.csv_triplets(spark, f"file://{tmp_path}/list.csv").first()) == ("/a/x.png", "/b/x.png", "/c/x.csv", "x")
+
+
+def broadcast_rows(spark, df) -> int:
+    """Rows of the largest broadcast of a query that has run."""
+    plan = df._jdf.queryExecution()
+    plan.toRdd().count()
+    most, left = 0, [plan.executedPlan()]
+    while left:
+        p = left.pop()
+        name = p.getClass().getSimpleName()
+        if name == "BroadcastExchangeExec":
+            most = max(most, p.metrics().apply("numOutputRows").value())
+        inner = p.executedPlan() if name == "AdaptiveSparkPlanExec" else p.plan() if name.endswith("QueryStageExec") else None
+        if inner is not None:
+            left.append(inner)
+        children = p.children()
+        left += [children.apply(k) for k in range(children.size())]
+    return most
+
+
+def flat(spark, images: int, side: int):
+    """Images of few bytes as Spark estimates them: a row an image, exploded into pixels."""
+    at = F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
+    px = spark.range(images).select(F.col("id").cast("int").alias("img")).withColumn("y", at).withColumn("x", at)
+    return px.withColumn("m", (F.col("x") > side // 2).cast("int"))
+
+
+def test_rays_are_not_broadcast(spark):
+    """Steps of rays are many more than Spark estimates; what is broadcast has to stay as small as the images are few."""
+    px = flat(spark, 6, 40).repartition("img").cache()
+    pts = px.select("img").distinct().withColumn("idx", F.explode(F.sequence(F.lit(0), F.lit(9)))).withColumns({"y": F.col("idx") * 3, "x": F.lit(2)})
+    out = spatial.rays(px, "m", pts, 30)
+    assert broadcast_rows(spark, out) <= 60
+    assert {r["distance"] for r in out.where("angle = 0").collect()} == {19.0}
