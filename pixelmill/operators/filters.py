@@ -69,7 +69,8 @@ def convolve(px: DataFrame, channel: str, kernels: dict[str, Kernel], axes: tupl
     schema = ", ".join([*[f"{k} {kinds[k]}" for k in plane], "_y int, _x int", *[f"`{n}` double" for n in names]])
     made = base.groupBy(*plane, "_ty", "_tx").applyInArrow(run, schema)
     made = made.withColumns({ay: F.col("_y").cast(kinds[ay]), ax: F.col("_x").cast(kinds[ax])}).drop(*{"_y", "_x"})
-    return px.join(made, [*plane, ay, ax])
+    # px may be a grid that explode made, of which Spark's estimate knows nothing; no raster is broadcast
+    return px.join(made.hint("merge"), [*plane, ay, ax])
 
 
 def gaussian_1d(sigma: float, order: int = 0, mean: float = 0.0, reach: int | None = None) -> list[float]:

@@ -246,3 +246,11 @@ def test_rays_are_not_broadcast(spark):
     out = spatial.rays(px, "m", pts, 30)
     assert broadcast_rows(spark, out) <= 60
     assert {r["distance"] for r in out.where("angle = 0").collect()} == {19.0}
+
+
+def test_filters_do_not_broadcast_grids(spark):
+    px = flat(spark, 6, 40).repartition("img").withColumn("c", F.lit(1.0))
+    grid = px.select("img").distinct().withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(39)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(39)))).withColumn("c", F.lit(1.0))
+    out = filters.convolve(grid, "c", {"s": [(0, 0, 1.0), (0, 1, 1.0)]}).select("img", "y", "x", "s")
+    assert broadcast_rows(spark, out) <= 6
+    assert [tuple(r) for r in out.groupBy("s").count().collect()] == [(2.0, 6 * 1600)]
