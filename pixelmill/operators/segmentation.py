@@ -43,15 +43,16 @@ def superpixels(px: DataFrame, channels: list[str], size: int = 10, compactness:
     at = [f"_c_{a}" for a in axes]
     base = cells.select(*KEY, *axes, *channels, *at)
     for _ in range(rounds):
+        # merge joins, as Spark's estimate leaves out what explode adds: neither spread centres nor a grid of pixels are broadcast
         spread = centres
         for a in axes:
             spread = spread.withColumn("_d", F.explode(around)).withColumn(f"_c_{a}", F.col(f"_h_{a}") + F.col("_d")).drop("_d", f"_h_{a}")
         sq = lambda c, k=1.0: (F.col(c) - F.col(f"_m_{c}")) * (F.col(c) - F.col(f"_m_{c}")) * (k * k)
         d = sum(sq(c) for c in channels) + sum(sq(a, scale[a]) for a in axes) * (compactness**2 / size**2)
-        near = base.join(spread, [*KEY, *at]).groupBy(*KEY, *axes).agg(F.min(F.struct(d.alias("d"), "sp"))["sp"].alias("sp"))
-        named = base.drop(*at).join(near, [*KEY, *axes])
+        near = base.join(spread.hint("merge"), [*KEY, *at]).groupBy(*KEY, *axes).agg(F.min(F.struct(d.alias("d"), "sp"))["sp"].alias("sp"))
+        named = base.drop(*at).join(near.hint("merge"), [*KEY, *axes])
         centres = named.groupBy(*KEY, "sp").agg(*mean).join(home, [*KEY, "sp"]).checkpoint()
-    return px.join(near, [*KEY, *axes])
+    return px.join(near.hint("merge"), [*KEY, *axes])
 
 
 def segment_classes(px: DataFrame, segment: str, channels: list[str], classes: int, regularisation: float = 1.0, kind: str = "model", model: PipelineModel | None = None, axes: tuple[str, ...] = ("y", "x")) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pixelmill.operators import boundary, datasets, filters, graph, labels, ml, pixelwise, ranks, spatial
+from pixelmill.operators import boundary, datasets, filters, graph, labels, ml, pixelwise, ranks, segmentation, spatial
 from pixelmill.sources import files
 
 
@@ -254,3 +254,12 @@ def test_filters_do_not_broadcast_grids(spark):
     out = filters.convolve(grid, "c", {"s": [(0, 0, 1.0), (0, 1, 1.0)]}).select("img", "y", "x", "s")
     assert broadcast_rows(spark, out) <= 6
     assert [tuple(r) for r in out.groupBy("s").count().collect()] == [(2.0, 6 * 1600)]
+
+
+def test_superpixels_and_scaled_images_are_not_broadcast(spark):
+    px = flat(spark, 6, 40).repartition("img").withColumn("c", F.lit(1.0)).cache()
+    grid = px.select("img").distinct().withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(39)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(39)))).withColumn("c", F.lit(1.0))
+    assert broadcast_rows(spark, segmentation.superpixels(grid, ["c"], 10, 10.0, rounds=1).select("img", "y", "x", "sp")) <= 6
+    out = pixelwise.resized(px, ["c"], 20, 30)
+    assert broadcast_rows(spark, out) <= 6
+    assert out.where("abs(c - 1) < 1e-9").count() == 6 * 600
