@@ -28,14 +28,18 @@ def center_levels(px: DataFrame, label: str, levels: tuple[float, ...] = LEVELS)
     cut = pixelwise.crop(px.select(*KEY, "y", "x", F.col(label).alias("_l")), boxes, label)
     cut = cut.select(F.struct("img", F.col("object")).alias("img"), "y", "x", (F.col("_l") == F.col("object")).alias("own"))
     deep = labels.distance_to(cut.withColumn("_out", F.when(F.coalesce("own", F.lit(False)), 0).otherwise(1)), "_out").where("own").select(*KEY, "y", "x", F.col("d2").cast("double").alias("d2"))
-    of = deep.groupBy(*KEY).agg(F.max("d2").alias("_top"), (F.sum("y") / F.count("*")).alias("_cy"), (F.sum("x") / F.count("*")).alias("_cx"))
-    deep = deep.join(of, KEY).withColumn("depth", F.sqrt("d2") / F.sqrt("_top")).select(*KEY, "y", "x", "depth", "_cy", "_cx").checkpoint()
+    # centroids in places of the image, counted from a pixel before the object, so that equal distances to the circle are rounded alike whatever the box
+    corner = boxes.select(F.struct("img", F.col(label).alias("object")).alias("img"), "y0", "x0")
+    deep = deep.join(corner, KEY).withColumns({"_ay": F.col("y") + F.col("y0"), "_ax": F.col("x") + F.col("x0")}).drop("y0", "x0")
+    mean = lambda c: (F.sum(c) - F.count("*") * (F.min(c) - 1)) / F.count("*") + (F.min(c) - 1)
+    of = deep.groupBy(*KEY).agg(F.max("d2").alias("_top"), mean("_ay").alias("_cy"), mean("_ax").alias("_cx"))
+    deep = deep.join(of, KEY).withColumn("depth", F.sqrt("d2") / F.sqrt("_top")).select(*KEY, "y", "x", "depth", "_ay", "_ax", "_cy", "_cx").checkpoint()
     frame = cut.select(*KEY, "y", "x").checkpoint()
     found = [deep.where(F.col("depth") > levels[0]).select(*KEY, "y", "x", F.lit(1).alias("level"))]
     for k, least in enumerate(levels[1:], 2):
         mask = deep.where(F.col("depth") > least)
         radius = mask.groupBy(*KEY).agg(F.floor(F.sqrt(F.count("*") / math.pi)).alias("_r"))
-        dy, dx = F.col("y") - F.col("_cy"), F.col("x") - F.col("_cx")
+        dy, dx = F.col("_ay") - F.col("_cy"), F.col("_ax") - F.col("_cx")
         mask = mask.join(radius, KEY).where(dy * dy + dx * dx < F.col("_r") * F.col("_r")).select(*KEY, "y", "x", F.lit(1).alias("_m"))
         reach = radius.select(*KEY, F.floor(F.col("_r") * 0.15).alias("_s"))
         shrunk = _within(frame.join(mask, [*KEY, "y", "x"], "left").withColumn("_mark", F.when(F.col("_m") == 1, 0).otherwise(1)), reach, False)

@@ -84,3 +84,9 @@ def test_labels_of_points_and_evaluation(spark):
 def test_centres_are_found(spark):
     r = QUERIES["candidate_centers"](spark, SF).agg(F.sum("centres"), F.sum("tp"), F.sum("fp")).first()
     assert r[0] > 0 and r[1] > 0
+
+
+def test_levels_round_circles_as_places_of_the_image(spark):
+    """A pixel on the circle to the last digit; places counted from the box gave it another level than the SQL twin."""
+    px = objects._objects(spark, "/root/testdata/sf0.1").where("img = 0")
+    assert candidates.center_levels(px, "ob").where("y = 16 and x = 37").first()["level"] == 1
