@@ -273,3 +273,18 @@ def test_rectangles_of_no_width_go_as_far_as_the_image(spark):
     along = (y - 42) * 21 + (x - 53) * 12
     got = {(r["y"], r["x"]) for r in pixelwise.draw_rectangles(px, a).collect()}
     assert got == set(zip(*map(np.ndarray.tolist, np.nonzero((along >= 0) & (along <= 585)))))
+
+
+def test_balance_by_cells_of_near_rows(spark, monkeypatch):
+    """With more clusters than a cell has rows: as many rows of each label as asked for, near to all rows."""
+    monkeypatch.setattr(datasets, "CELL", 32, raising=False)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(700, 3)) + (np.arange(700) % 5)[:, None] * 9
+    rows = spark.createDataFrame([(k, int(k >= 300), v.tolist()) for k, v in enumerate(x)] + [(1000 + k, 1, [1.0, 2.0, 3.0]) for k in range(200)], "key long, label int, features array<double>")
+    got = datasets.balance_by_kmeans(rows, "label", "key")
+    made = {r["label"]: r["keys"] for r in got.groupBy("label").agg(F.collect_set("key").alias("keys")).collect()}
+    assert len(made[0]) == 300 and 200 <= len(made[1]) <= 300
+    near = np.array([k for k in made[1] if k < 1000])
+    off = np.sqrt(((x[300:, None] - x[near][None]) ** 2).sum(axis=2)).min(axis=1)
+    assert off.mean() < 0.6 and sum(k >= 1000 for k in made[1]) >= 1
+    assert sorted(made[1]) == sorted(r["key"] for r in datasets.balance_by_kmeans(rows.repartition(3), "label", "key").where("label = 1").collect())
