@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pixelmill.session import checkpoint_folder
 
 #: Vectors and queries of a group, and queries that are compared at once.
-BLOCK, AT_ONCE = 4096, 64
+BLOCK, AT_ONCE = 16384, 64
 #: Balls that end a hair's breadth beyond the bound are visited, too, so that rounding loses none.
 SLACK = 1e-9
 
@@ -46,16 +46,24 @@ def _nearest(k: int, among: bool):
         q, ids, out = left.column("q").to_numpy(), right.column("r").to_numpy(), ([], [], [])
         if len(q) and len(ids):
             a, b = _matrix(left.column("v")), _matrix(right.column("w"))
-            for at in range(0, len(q), AT_ONCE):
-                d = _distances(a[at : at + AT_ONCE], b)
-                if among:
-                    d[q[at : at + AT_ONCE, None] == ids[None]] = np.inf
-                for row, one in zip(d, q[at : at + AT_ONCE]):
-                    near = np.flatnonzero(row <= np.partition(row, min(k, len(row)) - 1)[min(k, len(row)) - 1])
-                    near = near[np.lexsort((ids[near], row[near]))][:k]
-                    near = near[np.isfinite(row[near])]
-                    for c, x in zip(out, (np.full(len(near), one), ids[near], row[near])):
-                        c.append(x)
+            # squares by a product choose whom to measure by differences: rounding is far below the margin, so no neighbour is left out
+            middle = b.mean(axis=0)
+            a_, b_ = a - middle, b - middle
+            a2, b2 = (a_ * a_).sum(axis=1), (b_ * b_).sum(axis=1)
+            margin, last = 1e-12 * (a.shape[1] + 8), min(k + among, len(ids)) - 1
+            with np.errstate(all="ignore"):
+                for at in range(0, len(q), AT_ONCE):
+                    d = a2[at : at + AT_ONCE, None] + b2 - 2 * a_[at : at + AT_ONCE] @ b_.T
+                    most = np.partition(d, last, axis=1)[:, last] + 2 * margin * (a2[at : at + AT_ONCE] + b2.max())
+                    for row, limit, v, one in zip(d, most, a[at : at + AT_ONCE], q[at : at + AT_ONCE]):
+                        near = np.flatnonzero(~(row > limit))
+                        if among:
+                            near = near[ids[near] != one]
+                        own = ((b[near] - v) ** 2).sum(axis=1)
+                        first = np.lexsort((ids[near], own))[:k]
+                        first = first[np.isfinite(own[first])]
+                        for c, x in zip(out, (np.full(len(first), one), ids[near[first]], own[first])):
+                            c.append(x)
         cat = lambda x, t: pa.array(np.concatenate(x) if x else [], t)
         return pa.table({"q": cat(out[0], pa.int64()), "r": cat(out[1], pa.int64()), "d2": cat(out[2], pa.float64())})
 

@@ -142,3 +142,23 @@ def test_random_search(spark):
     got = ml.random_search(rings(spark, 240, 4), "decision tree", space, 6, folds=2, keep=3).collect()
     assert [sum(r["round"] == k for r in got) for k in (0, 1)] == [6, 2] and {r["share"] for r in got if r["round"] == 1} == {1.0}
     assert got[0]["round"] == 1 and got[0]["score"] == max(r["score"] for r in got if r["round"] == 1) and json.loads(got[0]["params"])["maxDepth"] > 1
+
+
+def test_blocks_of_neighbours_are_measured_by_products(monkeypatch):
+    """The same neighbours as by all differences, with ties, copies and vectors far from 0; only a few are measured by differences."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    b = np.vstack([rng.normal(size=(400, 8)), np.repeat(rng.normal(size=(4, 8)), 20, axis=0)]) + 1e5
+    ids = rng.permutation(len(b)).astype(np.int64)
+    lists = lambda x: pa.array(list(x), pa.list_(pa.float64()))
+    whole, measured = neighbours._distances, []
+    monkeypatch.setattr(neighbours, "_distances", lambda x, y: measured.append(1) or whole(x, y))
+    got = neighbours._nearest(5, True)(pa.table({"q": ids, "v": lists(b)}), pa.table({"r": ids, "w": lists(b)}))
+    assert not measured
+    found = {}
+    for q, r, d in zip(*(got.column(c).to_pylist() for c in ("q", "r", "d2"))):
+        found.setdefault(q, []).append((d, r))
+    d = ((b[:, None] - b[None]) ** 2).sum(axis=2)
+    for k, one in enumerate(ids):
+        assert found[one] == sorted((x, i) for x, i in zip(d[k], ids) if i != one)[:5]
