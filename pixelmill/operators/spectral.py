@@ -12,8 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelmill.operators import ml
+from pixelmill.session import checkpoint_folder
 
 LANDMARKS = 500
+#: Rows whose affinities with all landmarks a worker holds at once.
+SLICE = 1024
 SMALL = 1e-10
 
 
@@ -37,8 +40,8 @@ def _added(rows: DataFrame, size: int, width: int, part) -> np.ndarray:
     def run(batches):
         total = np.zeros((size, width))
         for b in batches:
-            if b.num_rows:
-                total += part(_matrix(b.column("features")))
+            for k in range(0, b.num_rows, SLICE):
+                total += part(_matrix(b.slice(k, SLICE).column("features")))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array(list(total), pa.list_(pa.float64()))], ["at", "v"])
 
     def plus(key: tuple, table: pa.Table) -> pa.Table:
@@ -91,9 +94,10 @@ def coordinates(rows: DataFrame, classes: int, gamma: float | None = None, landm
     @F.pandas_udf("array<double>")
     def place(series):
         out, keep = [None] * len(series), [k for k, f in enumerate(series) if f is not None]
-        if keep:
-            c, d = scaled(np.stack([np.asarray(series.iloc[k], float) for k in keep]))
-            for k, p in zip(keep, c @ project / d[:, None], strict=True):
+        for at in range(0, len(keep), SLICE):
+            some = keep[at : at + SLICE]
+            c, d = scaled(np.stack([np.asarray(series.iloc[k], float) for k in some]))
+            for k, p in zip(some, c @ project / d[:, None], strict=True):
                 out[k] = p
         return type(series)(out)
 
@@ -105,7 +109,8 @@ def cluster(rows: DataFrame, classes: int, gamma: float | None = None, landmarks
     placed, values = coordinates(rows, classes, gamma, landmarks)
     if not len(values):
         return placed.withColumn("cluster", F.lit(None).cast("int")).drop("coordinates")
-    spread = placed.withColumnsRenamed({"features": "_own", "coordinates": "features"})
+    checkpoint_folder(rows.sparkSession)
+    spread = placed.withColumnsRenamed({"features": "_own", "coordinates": "features"}).checkpoint()  # several steps read it, one meets the landmarks
     known = spread.where("features is not null")
     named = ml.probabilities(ml.class_model(known.select("features"), classes, scale=False, kind="kmeans", seed=seed), known)
     least = named.groupBy("prediction").agg(F.min("_own").alias("m")).orderBy("m").collect()  # a row a cluster

@@ -90,3 +90,9 @@ def test_levels_round_circles_as_places_of_the_image(spark):
     """A pixel on the circle to the last digit; places counted from the box gave it another level than the SQL twin."""
     px = objects._objects(spark, "/root/testdata/sf0.1").where("img = 0")
     assert candidates.center_levels(px, "ob").where("y = 16 and x = 37").first()["level"] == 1
+
+
+def test_affinities_are_added_in_slices(spark):
+    rows = spark.range(2500).repartition(1).select(F.array(F.col("id").cast("double")).alias("features"))
+    # a part adds its rows' number squared, which is far larger where all rows come at once
+    assert 2500 <= spectral._added(rows, 1, 1, lambda x: np.array([[len(x) ** 2.0]]))[0, 0] <= 2500 * 1024
