@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from pixelmill.operators.ml import vectors
 from pixelmill.session import checkpoint_folder
 
+#: Machines that are fitted at a time.
+PARALLEL = 5
+
 
 @dataclass
 class Boosted:
@@ -109,10 +112,13 @@ def mapped(rows: DataFrame, by: Features) -> DataFrame:
 
 
 def kernel_machine(rows: DataFrame, gamma: float | None = None, size: int = 256, penalty: float = 1e-3, seed: int = 1) -> tuple[Features, OneVsRestModel]:
-    """A support vector machine with a Gaussian kernel for ``rows(features, label)``: linear machines over random features, one a class against the rest."""
+    """A support vector machine with a Gaussian kernel for ``rows(features, label)``: linear machines over random features, one a class against the rest.
+
+    Machines don't depend on each other, and ``PARALLEL`` of them are fitted at a time, each on its own blocks of the rows: a step of one is a short job, most of whose time is waiting.
+    """
     by = random_features(rows, gamma, size, seed)
     data = mapped(rows.select("features", F.col("label").cast("double").alias("label")).where("label is not null and features is not null"), by)
-    return by, OneVsRest(classifier=LinearSVC(featuresCol="raw", regParam=penalty, maxIter=50), featuresCol="raw").fit(data)
+    return by, OneVsRest(classifier=LinearSVC(featuresCol="raw", regParam=penalty, maxIter=50), featuresCol="raw", parallelism=PARALLEL).fit(data)
 
 
 def kernel_predictions(model: tuple[Features, OneVsRestModel], rows: DataFrame) -> DataFrame:

@@ -162,3 +162,26 @@ def test_blocks_of_neighbours_are_measured_by_products(monkeypatch):
     d = ((b[:, None] - b[None]) ** 2).sum(axis=2)
     for k, one in enumerate(ids):
         assert found[one] == sorted((x, i) for x, i in zip(d[k], ids) if i != one)[:5]
+
+
+def test_kernel_machines_are_fitted_together(spark, monkeypatch):
+    from pixelmill.operators import ensembles
+
+    seen, real = [], ensembles.OneVsRest
+    monkeypatch.setattr(ensembles, "OneVsRest", lambda **given: seen.append(given.get("parallelism", 1)) or real(**given))
+    rows = spark.createDataFrame([([float(k % 3), float(k % 3 * 2)], k % 3) for k in range(30)], "features array<double>, label int")
+    got = ensembles.kernel_predictions(ensembles.kernel_machine(rows), rows).select("label", "prediction").collect()
+    assert seen[0] > 1 and all(r["label"] == r["prediction"] for r in got)
+
+
+def test_mixture_rounds_have_partitions_for_their_rows(spark, monkeypatch):
+    from pixelmill.operators import bayes
+
+    parts, real = [], bayes._sums
+    monkeypatch.setattr(bayes, "_sums", lambda rows, *rest: parts.append(rows.rdd.getNumPartitions()) or real(rows, *rest))
+    rows = spark.createDataFrame([([(k % 2) * 9.0 + k % 7 * 0.1],) for k in range(200)], "features array<double>").repartition(8)
+    whole = bayes.fit(rows, 3)
+    monkeypatch.setattr(bayes, "SUMS", 0)  # grouped sums
+    grouped = bayes.fit(rows, 3)
+    assert set(parts) == {1} and len(whole.mean) == len(grouped.mean) == 2
+    assert whole.bounds == pytest.approx(grouped.bounds)
