@@ -1,7 +1,7 @@
 """Gaussian mixtures by variational Bayes: the number of live components follows from the data.
 
 Weights have a Dirichlet prior, means and precisions a normal-Wishart prior around the data's mean and covariance. A round is one pass over the rows, in which
-each partition adds up its rows' shares in the components, and a grouped sum; what reaches the driver has the size of the model. The lower bound
+each partition, of about ``ROWS`` rows, adds up its rows' shares in the components; the driver adds these sums, or gets them added by a grouped sum where they are many. The lower bound
 of the evidence, which no round lowers, says when to end.
 """
 
@@ -21,6 +21,9 @@ from pixelmill.session import checkpoint_folder
 
 #: A component with less than this many rows in expectation is pruned at the end.
 LEAST_ROWS = 0.5
+#: Rows of a partition, as a round is short, and sums that the driver takes without grouping.
+ROWS = 20_000
+SUMS = 100_000
 _lgamma = np.vectorize(math.lgamma, otypes=[float])
 
 
@@ -87,9 +90,11 @@ def _sums(rows: DataFrame, shares, centre: np.ndarray, classes: int) -> tuple[np
             total[-1] += norm.sum()
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array(total)], ["at", "v"])
 
-    found = np.zeros(size)
-    for row in rows.mapInArrow(partial, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect():
-        found[row["at"]] = row["v"]
+    found, parts = np.zeros(size), rows.mapInArrow(partial, "at int, v double")
+    if size * rows.rdd.getNumPartitions() > SUMS:
+        parts = parts.groupBy("at").agg(F.sum("v").alias("v"))
+    for row in parts.collect():
+        found[row["at"]] += row["v"]
     n, s, p = np.split(found[:-1], [classes, classes * (1 + d)])
     return n, s.reshape(classes, d), p.reshape(classes, d, d), float(found[-1])
 
@@ -111,6 +116,8 @@ def fit(rows: DataFrame, classes: int, rounds: int = 200, tolerance: float = 1e-
     n = rows.count()
     if n < 2:
         raise ValueError("a mixture needs two rows at least")
+    if rows.rdd.getNumPartitions() > -(-n // ROWS):
+        rows = rows.coalesce(-(-n // ROWS)).checkpoint()
     d = len(rows.first()["features"])
     start = KMeans(featuresCol="raw", predictionCol="of", k=min(classes, n), seed=seed).fit(vectors(rows)).transform(vectors(rows)).select("features", "of").checkpoint()
     k = min(classes, n)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pixelmill.operators import bayes, ensembles, features, graph, labels, maxflow, neighbours, segmentation, watershed
 from pixelmill.plans.catalog import CHANNELS, _px, query
+from pixelmill.session import checkpoint_folder
 from pixelmill.sources import rasters
 from pixelmill.sources.rasters import R
 
@@ -124,6 +125,8 @@ def bayesian_classes(spark, sf):
     """Classes of superpixels by a mixture that chooses their number, eight at most."""
     stats = features.segment_statistics(_px(spark, sf), "lb", CHANNELS, ("mean", "std"))
     rows = stats.select("img", "lb", F.array(*[F.col(c).cast("double") for c in stats.columns if c not in ("img", "lb")]).alias("features"))
+    checkpoint_folder(spark)
+    rows = rows.checkpoint()
     return bayes.probabilities(bayes.fit(rows, 8), rows).select("img", "lb", "prediction", "proba")
 
 
