@@ -9,9 +9,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from pixelmill.session import checkpoint_folder
 
 KEY = ["img"]
 TILE = 64
+#: Tiles of a partition.
+TILES = 50
 Kernel = list[tuple[int, int, float]]
 
 
@@ -39,38 +44,42 @@ def convolve(px: DataFrame, channel: str, kernels: dict[str, Kernel], axes: tupl
             weights[(dy + reach) * side + dx + reach, j] += w
     plane = [*KEY, *depth]
     ay, ax = axes
-    base = px.select(*plane, F.col(ay).cast("int").alias("_y"), F.col(ax).cast("int").alias("_x"), F.col(channel).cast("double").alias("_v"))
+    # a pixel's row goes with it to the tile that it belongs to, so filtered values need no join with the raster
+    base = px.dropna(subset=plane).select(*plane, F.col(ay).cast("int").alias("_y"), F.col(ax).cast("int").alias("_x"), F.col(channel).cast("double").alias("_v"), F.struct(*[F.col(f"`{c}`") for c in px.columns]).alias("_row"))
+    checkpoint_folder(px.sparkSession)
+    ends = px.groupBy(*plane).agg((F.max(F.col(ay).cast("int")) + 1).alias("_h"), (F.max(F.col(ax).cast("int")) + 1).alias("_w")).checkpoint()
     if mirror:
-        ends = base.groupBy(*KEY).agg((F.max("_y") + 1).alias("_h"), (F.max("_x") + 1).alias("_w"))
-        base = base.join(ends, KEY).withColumn("_y", F.explode(_reflected("_y", "_h", reach))).withColumn("_x", F.explode(_reflected("_x", "_w", reach)))
+        base = base.join(ends.groupBy(*KEY).agg(F.max("_h").alias("_h"), F.max("_w").alias("_w")), KEY).withColumn("_y", F.explode(_reflected("_y", "_h", reach))).withColumn("_x", F.explode(_reflected("_x", "_w", reach)))
         base = base.withColumn("_in", (F.col("_y") >= 0) & (F.col("_y") < F.col("_h")) & (F.col("_x") >= 0) & (F.col("_x") < F.col("_w")))
     else:
         base = base.withColumn("_in", F.lit(True))
     tiles = lambda c: F.explode(F.sequence(F.floor((F.col(c) - reach) / TILE).cast("int"), F.floor((F.col(c) + reach) / TILE).cast("int")))
-    base = base.withColumn("_ty", tiles("_y")).withColumn("_tx", tiles("_x")).select(*plane, "_ty", "_tx", "_y", "_x", "_v", "_in")
+    base = base.withColumn("_ty", tiles("_y")).withColumn("_tx", tiles("_x"))
+    own_tile = F.col("_in") & (F.floor(F.col("_y") / TILE) == F.col("_ty")) & (F.floor(F.col("_x") / TILE) == F.col("_tx"))
+    base = base.select(*plane, "_ty", "_tx", "_y", "_x", "_v", own_tile.alias("_in"), F.when(own_tile, F.col("_row")).alias("_row"))
+    # dealt by the number of tiles, as small partitions that Spark puts together grow with the input
+    tiled = ends.agg(F.sum(F.ceil(F.col("_h") / TILE) * F.ceil(F.col("_w") / TILE))).first()[0] or 0
+    base = base.repartition(max(px.sparkSession.sparkContext.defaultParallelism, -(-int(tiled) // TILES)), *plane, "_ty", "_tx")
     names = list(kernels)
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         y0, x0 = (k.as_py() * TILE for k in key[-2:])
-        y, x, v, inside = (table.column(c).to_numpy() for c in ("_y", "_x", "_v", "_in"))
+        y, x, v, own = (table.column(c).to_numpy() for c in ("_y", "_x", "_v", "_in"))
         grid = np.zeros((wide, wide))
         grid[y - y0 + reach, x - x0 + reach] = np.nan_to_num(v)
-        own = inside & (y >= y0) & (y < y0 + TILE) & (x >= x0) & (x < x0 + TILE)
         y, x = y[own], x[own]
         windows = np.lib.stride_tricks.sliding_window_view(grid, (side, side))
         out = np.empty((len(y), len(names)))
         for a in range(0, len(y), 4096):
             s = slice(a, a + 4096)
             out[s] = windows[y[s] - y0, x[s] - x0].reshape(-1, side * side) @ weights
-        cols = {k: pa.array([key[i].as_py()] * len(y), table.schema.field(k).type) for i, k in enumerate(plane)}
-        return pa.table(cols | {"_y": pa.array(y), "_x": pa.array(x)} | {n: pa.array(out[:, j]) for j, n in enumerate(names)})
-
-    kinds = dict(px.dtypes)
-    schema = ", ".join([*[f"{k} {kinds[k]}" for k in plane], "_y int, _x int", *[f"`{n}` double" for n in names]])
-    made = base.groupBy(*plane, "_ty", "_tx").applyInArrow(run, schema)
-    made = made.withColumns({ay: F.col("_y").cast(kinds[ay]), ax: F.col("_x").cast(kinds[ax])}).drop(*{"_y", "_x"})
-    # px may be a grid that explode made, of which Spark's estimate knows nothing; no raster is broadcast
-    return px.join(made.hint("merge"), [*plane, ay, ax])
+        rows = table.column("_row").filter(pa.array(own)).combine_chunks()
+        rows = rows.combine_chunks() if isinstance(rows, pa.ChunkedArray) else rows
+        made = [*rows.flatten(), *[pa.array(out[:, j]) for j in range(len(names))]]
+        return pa.table(made, [*[f.name for f in rows.type], *names])
+
+    schema = StructType([*px.schema.fields, *[StructField(n, DoubleType()) for n in names]])
+    return base.groupBy(*plane, "_ty", "_tx").applyInArrow(run, schema)
 
 
 def gaussian_1d(sigma: float, order: int = 0, mean: float = 0.0, reach: int | None = None) -> list[float]:

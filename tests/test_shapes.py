@@ -288,3 +288,32 @@ def test_balance_by_cells_of_near_rows(spark, monkeypatch):
     off = np.sqrt(((x[300:, None] - x[near][None]) ** 2).sum(axis=2)).min(axis=1)
     assert off.mean() < 0.6 and sum(k >= 1000 for k in made[1]) >= 1
     assert sorted(made[1]) == sorted(r["key"] for r in datasets.balance_by_kmeans(rows.repartition(3), "label", "key").where("label = 1").collect())
+
+
+def test_filters_and_rasters_deal_rows_by_their_number(spark, monkeypatch, tmp_path):
+    from pixelmill.operators import filters
+    from pixelmill.sources import rasters
+
+    px = spark.range(64 * 64).select(F.lit(0).alias("img"), (F.col("id") % 64).cast("int").alias("y"), F.floor(F.col("id") / 64).cast("int").alias("x"), (F.col("id") % 7).alias("c"), F.array("id").alias("more"))
+    monkeypatch.setattr(filters, "TILE", 4)
+    monkeypatch.setattr(filters, "TILES", 1)
+    out = filters.convolve(px, "c", {"same": [(0, 0, 1.0)]})
+    assert out.rdd.getNumPartitions() == 256 and "Join" not in out._jdf.queryExecution().executedPlan().toString().split("ArrowEvalPython")[0].split("FlatMapGroupsInArrow")[0]
+    assert out.columns == [*px.columns, "same"] and out.where("same = c and more[0] % 7 = c").count() == 64 * 64
+    spark.range(100).selectExpr("id as l_orderkey", "id as l_partkey", "id as l_suppkey", "1 as l_linenumber", "1 as l_quantity", "0.1 as l_discount", "0.1 as l_tax").write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(rasters, "ROWS", 1)
+    assert "hashpartitioning(img" in (plan := rasters.pixels(spark, str(tmp_path))._jdf.queryExecution().toString()) and ", 100), REPARTITION_BY_NUM" in plan
+
+
+def test_rays_of_an_object_end_beside_it(spark):
+    """An object of few pixels in a wide image, with a gap: steps beyond the pixels next to its box are not made."""
+    from pixelmill.operators import spatial
+
+    px = spark.range(200 * 200).select(F.lit(0).alias("img"), (F.col("id") % 200).cast("int").alias("y"), F.floor(F.col("id") / 200).cast("int").alias("x"))
+    at = (F.col("y").between(50, 56) & F.col("x").between(100, 106) & ~((F.col("x") == 104) & (F.col("y") == 53))).cast("int")
+    px = px.withColumn("m", F.when((F.col("x") >= 198) & (F.col("y") == 53), 2).otherwise(at))
+    pts = spark.createDataFrame([(0, 1, 53, 103), (0, 2, 53, 103), (0, 9, 53, 103)], "img int, idx int, y int, x int")
+    found = spatial.rays(px, "m", pts, 90, "down", own=True)
+    got = {(r["idx"], r["angle"]): r["distance"] for r in found.collect()}
+    assert [got[1, a] for a in (0, 90, 180, 270)] == [1.0, 4.0, 4.0, 4.0]
+    assert got[2, 0] == -1.0 and got[2, 90] == -1.0 and got[9, 0] == -1.0 and len(got) == 12
