@@ -197,6 +197,8 @@ def object_shapes(px: DataFrame, label: str, step: int = 10) -> DataFrame:
 
     ``angle`` is where the longest ray pointed.
     """
+    checkpoint_folder(px.sparkSession)
+    px = px.select(*KEY, "y", "x", label).checkpoint()
     centre = px.where(F.col(label) > 0).groupBy(*KEY, F.col(label).alias("idx")).agg(F.avg("y").alias("y"), F.avg("x").alias("x"))
     out = ray_arrays(spatial.rays(px, label, centre, step, "down", own=True))
     j = centre.join(out, [*KEY, "idx"])
@@ -216,7 +218,8 @@ def shape_models(shapes: DataFrame, kind: str = "mixture", classes: int = 3, rea
     ``hist``: shares of the shapes themselves, one model. Of models a row each, and of tables angles times reach, are held by the driver.
     """
     spark = shapes.sparkSession
-    rows = shapes.select("distances").withColumn("distances", F.transform("distances", lambda v: v.cast("double")))
+    checkpoint_folder(spark)
+    rows = shapes.select("distances").withColumn("distances", F.transform("distances", lambda v: v.cast("double"))).checkpoint()  # each fit reads them again and again
     top = int(rows.agg(F.max(F.array_max("distances"))).first()[0]) + 1
     reach = reach or max(2, int(1.5 * top))
     if kind == "hist":

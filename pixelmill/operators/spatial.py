@@ -192,8 +192,13 @@ def rays(seg: DataFrame, mask: str, points: DataFrame, step: int = 10, edge: str
     march = p.select("*", angle).withColumns({"_gy": F.sin(rad) / longest, "_gx": F.cos(rad) / longest})
     ends = seg.groupBy(*KEY).agg(F.max("y").alias("_ey"), F.max("x").alias("_ex"))
     march = march.join(ends, KEY)
-    room = lambda at, step, end: F.when(step > 1e-9, (end - at) / step).when(step < -1e-9, -at / step).otherwise(float("inf"))
-    most = F.least(room(F.col("_y"), F.col("_gy"), F.col("_ey")), room(F.col("_x"), F.col("_gx"), F.col("_ex")), F.greatest("_ey", "_ex").cast("double"))
+    first, last = {"y": F.lit(0), "x": F.lit(0)}, {"y": F.col("_ey"), "x": F.col("_ex")}
+    if own:  # a ray that has left its object's box meets the object no more
+        box = seg.groupBy(*KEY, F.col(mask).alias("idx")).agg(*[(g(c) + k).alias(f"_{n}{c}") for c in ("y", "x") for n, g, k in (("f", F.min, -1), ("l", F.max, 1))])
+        march = march.join(box, [*KEY, "idx"], "left")
+        first, last = ({c: F.coalesce(f"_{n}{c}", end[c]) for c in ("y", "x")} for n, end in (("f", first), ("l", last)))
+    room = lambda c: F.when(F.col(f"_g{c}") > 1e-9, (last[c] - F.col(f"_{c}")) / F.col(f"_g{c}")).when(F.col(f"_g{c}") < -1e-9, (first[c] - F.col(f"_{c}")) / F.col(f"_g{c}")).otherwise(float("inf"))
+    most = F.least(room("y"), room("x"), *([] if own else [F.greatest("_ey", "_ex").cast("double")]))
     march = march.withColumn("_k", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(most).cast("int"), F.lit(0)) + 1)))
     march = march.withColumns({"y": F.bround(F.col("_y") + F.col("_k") * F.col("_gy")).cast("int"), "x": F.bround(F.col("_x") + F.col("_k") * F.col("_gx")).cast("int")})
     # Spark's estimate leaves out what explode adds, and would broadcast the steps of all rays
