@@ -12,6 +12,8 @@ from pixelmill.operators.graph import components
 from pixelmill.session import checkpoint_folder
 
 KEY = ["img"]
+#: Points of a partition whose pairs are compared.
+POINTS = 50_000
 #: Slices that still belong to an object, by its stage (fixed values of the data format).
 SLICE_TOLERANCE = {1: 1, 2: 2, 3: 2, 4: 3, 5: 3, 6: 0}
 
@@ -132,10 +134,11 @@ def ellipse_from_points(pts: DataFrame, keys: list[str]) -> DataFrame:
     return eq.mapInPandas(solve, schema)
 
 
-def pairs_within(points: DataFrame, limit: float) -> DataFrame:
-    """Pairs of points (img, src, dst, _d) with src < dst that lie in neighbouring cells as wide as ``limit``, and their squared distance."""
+def pairs_within(points: DataFrame, limit: float, parts: int | None = None) -> DataFrame:
+    """Pairs of points (img, src, dst, _d) with src < dst that lie in neighbouring cells as wide as ``limit``, and their squared distance; cells in ``parts`` partitions if given."""
     cell = lambda c: F.floor(F.col(c) / limit)
     a = points.select(*KEY, F.col("idx").alias("src"), "y", "x", cell("y").alias("_cy"), cell("x").alias("_cx"))
+    a = a.repartition(parts, *KEY, "_cy", "_cx") if parts else a
     around = F.array(F.lit(-1), F.lit(0), F.lit(1))
     b = points.select(*KEY, F.col("idx").alias("dst"), F.col("y").alias("_y"), F.col("x").alias("_x")).withColumn("_dy", F.explode(around)).withColumn("_dx", F.explode(around))
     b = b.withColumns({"_cy": F.floor(F.col("_y") / limit) + F.col("_dy"), "_cx": F.floor(F.col("_x") / limit) + F.col("_dx")})
@@ -158,13 +161,15 @@ def thin_points(points: DataFrame, limit: float, rounds: int | None = None) -> D
     """
     checkpoint_folder(points.sparkSession)
     left = points.checkpoint()
+    # a point has many pairs, so that partitions of a usual size would take much memory
+    parts = max(points.sparkSession.sparkContext.defaultParallelism, -(-left.count() // POINTS))
     for _ in itertools.count() if rounds is None else range(rounds):
-        pairs = pairs_within(left, limit).where(F.col("_d") < limit * limit).select(*KEY, F.col("src").alias("idx"), F.col("dst").alias("_i"), "_d")
+        pairs = pairs_within(left, limit, parts).where(F.col("_d") < limit * limit).select(*KEY, F.col("src").alias("idx"), F.col("dst").alias("_i"), "_d")
         rank = F.struct("_d", "idx", "_i")
-        ends = pairs.select(*KEY, "idx", "_i", rank.alias("_r"), F.explode(F.array("idx", "_i")).alias("_p"))
-        best = ends.withColumn("_m", F.min("_r").over(Window.partitionBy(*KEY, "_p")))
+        # the closest pair of each point, which tasks find among theirs before anything is shuffled
+        best = pairs.select(*KEY, rank.alias("_r"), F.explode(F.array("idx", "_i")).alias("_p")).groupBy(*KEY, "_p").agg(F.min("_r").alias("_r"))
         # a pair that is the closest of both its ends is taken by the one-by-one choice, too
-        gone = best.where("_r = _m").groupBy(*KEY, "idx", "_i").count().where("count = 2").select(*KEY, F.col("_i").alias("idx")).distinct().checkpoint()
+        gone = best.groupBy(*KEY, "_r").count().where("count = 2").select(*KEY, F.col("_r._i").alias("idx")).distinct().checkpoint()
         if gone.isEmpty():
             break
         left = left.join(gone, [*KEY, "idx"], "left_anti").checkpoint()

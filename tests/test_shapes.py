@@ -317,3 +317,19 @@ def test_rays_of_an_object_end_beside_it(spark):
     got = {(r["idx"], r["angle"]): r["distance"] for r in found.collect()}
     assert [got[1, a] for a in (0, 90, 180, 270)] == [1.0, 4.0, 4.0, 4.0]
     assert got[2, 0] == -1.0 and got[2, 90] == -1.0 and got[9, 0] == -1.0 and len(got) == 12
+
+
+def test_thinning_shuffles_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "Window", None)  # a window would shuffle each pair for both its ends
+    monkeypatch.setattr(spatial, "POINTS", 20)
+    rng = np.random.default_rng(3)
+    p = [(k, int(y), int(x)) for k, (y, x) in enumerate(rng.integers(0, 30, (120, 2)))]
+    got = {r["idx"] for r in spatial.thin_points(spark.createDataFrame([(0, *r) for r in p], "img int, idx long, y int, x int"), 4.0).collect()}
+    left = dict((k, (y, x)) for k, y, x in p)
+    while True:
+        near = [((left[a][0] - left[b][0]) ** 2 + (left[a][1] - left[b][1]) ** 2, a, b) for a in left for b in left if a < b]
+        d, _, b = min(near)
+        if d >= 16:
+            break
+        del left[b]
+    assert got == set(left)
