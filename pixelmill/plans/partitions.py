@@ -69,7 +69,8 @@ def _bright(spark, sf):
     px = _px(spark, sf)
     t = px.groupBy("img").agg(F.avg("c1").alias("t"))
     box = [(dy, dx, 1 / 49) for dy in range(-3, 4) for dx in range(-3, 4)]
-    smooth = segmentation.filter_response(px, "c1", box, "s").join(t, "img").withColumn("m", (F.col("s") > F.col("t")).cast("int"))
+    checkpoint_folder(spark)
+    smooth = segmentation.filter_response(px, "c1", box, "s").checkpoint().join(t, "img").withColumn("m", (F.col("s") > F.col("t")).cast("int"))
     best = smooth.where("m = 1").groupBy("img", F.floor(F.col("y") / 25).alias("fy"), F.floor(F.col("x") / 25).alias("fx")).agg(F.max_by(F.struct("y", "x"), F.struct("s", -F.col("y"), -F.col("x"))).alias("p"))
     return smooth, best.select("img", (F.col("fy") * 4 + F.col("fx")).alias("idx"), "p.y", "p.x")
 

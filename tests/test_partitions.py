@@ -130,3 +130,11 @@ def test_images_in_one_call(spark):
     assert "color_c1_mean" in names and any(n.startswith("tLM_short_c1_") for n in names)
     with pytest.raises(ValueError):
         segmentation.selected_features(found, "sp", ["c1"], {"sound": ("mean",)})
+
+
+def test_bright_regions_are_filtered_once(spark):
+    from pixelmill.plans import partitions
+
+    smooth, centres = partitions._bright(spark, "/root/testdata/sf0.001")
+    assert all("FlatMapGroupsInArrow" not in d._jdf.queryExecution().optimizedPlan().toString() for d in (smooth, centres))
+    assert smooth.where("m = 1").count() > 0 < centres.count()
