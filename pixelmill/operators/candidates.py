@@ -5,8 +5,10 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelmill.operators import boundary, features, labels, ml, pixelwise, spatial
@@ -14,6 +16,13 @@ from pixelmill.session import checkpoint_folder
 
 KEY = ["img"]
 LEVELS = (0.0, 0.4, 0.8)
+#: Pixels of a box whose levels are found in memory, and of the boxes of an image that are dealt together.
+MOST = 65_536
+#: Pixels of boxes in a partition.
+PIXELS = 250_000
+#: Side of the cells by which boxes and pixels meet.
+CELL = 16
+FAR = 1 << 20
 
 
 def center_levels(px: DataFrame, label: str, levels: tuple[float, ...] = LEVELS) -> DataFrame:
@@ -21,10 +30,90 @@ def center_levels(px: DataFrame, label: str, levels: tuple[float, ...] = LEVELS)
 
     A pixel's depth is its distance to the nearest pixel that isn't of its object, over the largest of the object; region k holds what is deeper than ``levels[k]``. From the second on it is cut by the circle
     around the object's centroid that has the region's area, and opened by a disk of 0.15 of that circle's radius. Objects are boxes of their own with a margin of one pixel, which holds
-    every pixel next to them, so objects in one image, however many, are separate groups. An object that fills its image has no depth, and level 0.
+    every pixel next to them, so objects in one image, however many, are separate. An object that fills its image has no depth, and level 0.
     """
     checkpoint_folder(px.sparkSession)
-    boxes = pixelwise.bounding_boxes(px, label, 1)
+    boxes = pixelwise.bounding_boxes(px, label, 1).checkpoint()
+    area = (F.col("y1") - F.col("y0")).cast("long") * (F.col("x1") - F.col("x0"))
+    top = _levels_in_memory(px, boxes.where(area <= MOST).withColumn("_bin", F.floor(F.sum(area).over(Window.partitionBy(*KEY).orderBy(label)) / MOST)), label, levels)
+    if (boxes.agg(F.max(area)).first()[0] or 0) > MOST:
+        top = top.union(_levels_of_large(px, boxes.where(area > MOST), label, levels))
+    return px.join(top, [*KEY, "y", "x"], "left").fillna(0, ["level"])
+
+
+def _levels_in_memory(px: DataFrame, boxes: DataFrame, label: str, levels: tuple[float, ...]) -> DataFrame:
+    """Pixels (img, y, x, level) of a level above 0 of objects of up to ``MOST`` pixels; those of a ``_bin`` of their image are one group."""
+    size = boxes.agg(F.sum((F.col("y1") - F.col("y0")).cast("long") * (F.col("x1") - F.col("x0")))).first()[0] or 0
+    named = boxes.select(*KEY, F.struct("_bin", F.col(label).alias("_o"), F.col("y0").alias("_y0"), F.col("x0").alias("_x0")).alias("_box"), "y0", "x0", "y1", "x1")
+    cut = pixelwise.crop(px.select(*KEY, "y", "x", F.col(label).alias("_l")), named, "_box", CELL)
+    cut = cut.select(*KEY, "object.*", "y", "x", F.coalesce(F.col("_l") == F.col("object._o"), F.lit(False)).alias("own"))
+    cut = cut.repartition(max(px.sparkSession.sparkContext.defaultParallelism, -(-size // PIXELS)), *KEY, "_bin")
+
+    def run(table: pa.Table) -> pa.Table:
+        o, y0, x0, y, x, own = (table.column(c).to_numpy() for c in ("_o", "_y0", "_x0", "y", "x", "own"))
+        order = np.argsort(o, kind="stable")
+        cuts = np.flatnonzero(np.diff(o[order])) + 1
+        level = np.zeros(len(o), np.int32)
+        for at in np.split(order, cuts):
+            level[at] = _levels(y[at].astype(np.int64), x[at].astype(np.int64), own[at], int(y0[at[0]]), int(x0[at[0]]), levels)
+        hit = level > 0
+        place = [pa.array((c[hit] + c0[hit]).astype(np.int64)).cast(table.schema.field(n).type) for n, c, c0 in (("y", y, y0), ("x", x, x0))]
+        return pa.table([table.column("img").filter(pa.array(hit)), *place, pa.array(level[hit])], ["img", "y", "x", "level"])
+
+    kinds = dict(px.dtypes)
+    return cut.groupBy(*KEY, "_bin").applyInArrow(run, f"img {kinds['img']}, y {kinds['y']}, x {kinds['x']}, level int")
+
+
+def _levels(y: np.ndarray, x: np.ndarray, own: np.ndarray, y0: int, x0: int, levels: tuple[float, ...]) -> np.ndarray:
+    """Levels of the pixels of one box, whose corner is (y0, x0); ``own`` are the object's."""
+    out = np.zeros(len(y), np.int32)
+    there = np.zeros((y.max() + 1, x.max() + 1), bool)
+    mask = there.copy()
+    there[y, x], mask[y, x] = True, own
+    d2 = _squared_distances(there & ~mask)[y, x]
+    if not own.any() or own.all():
+        return out
+    depth = np.where(own, np.sqrt(d2.astype(float)) / np.sqrt(float(d2[own].max())), -1.0)
+    out[depth > levels[0]] = 1
+    cy, cx = (_mean(c[own] + c0) for c, c0 in ((y, y0), (x, x0)))
+    dy, dx = y + y0 - cy, x + x0 - cx
+    for k, least in enumerate(levels[1:], 2):
+        deep = depth > least
+        r = math.floor(math.sqrt(deep.sum() / math.pi))
+        deep &= dy * dy + dx * dx < r * r
+        s = math.floor(r * 0.15)
+        if s:  # a disk of one pixel opens nothing
+            for grow in (False, True):
+                mark = np.zeros_like(there)
+                mark[y, x] = deep if grow else ~deep
+                d2 = _squared_distances(mark)[y, x]
+                deep = d2 <= s * s if grow else d2 > s * s
+        out[deep] = k
+    return out
+
+
+def _mean(c: np.ndarray) -> float:
+    low, n = int(c.min()) - 1, len(c)
+    return (int(c.sum()) - n * low) / n + low
+
+
+def _squared_distances(mark: np.ndarray) -> np.ndarray:
+    """Squared distance of each place to the nearest mark, at least ``FAR`` squared without one: along the longer axis, then among the places of the shorter one."""
+    if mark.shape[1] > mark.shape[0]:
+        return _squared_distances(mark.T).T
+    n, w = mark.shape
+    y = np.arange(n)[:, None]
+    before, after = np.maximum.accumulate(np.where(mark, y, -FAR)), np.minimum.accumulate(np.where(mark, y, n + FAR)[::-1])[::-1]
+    near = np.minimum(y - before, after - y) ** 2
+    apart = (np.arange(w)[:, None] - np.arange(w)) ** 2
+    out, step = np.empty((n, w), np.int64), max(1, MOST // (w * w))
+    for a in range(0, n, step):
+        out[a : a + step] = (near[a : a + step, None] + apart).min(axis=2)
+    return out
+
+
+def _levels_of_large(px: DataFrame, boxes: DataFrame, label: str, levels: tuple[float, ...]) -> DataFrame:
+    """As ``_levels_in_memory`` for objects of any size: a pixel is one row throughout."""
     cut = pixelwise.crop(px.select(*KEY, "y", "x", F.col(label).alias("_l")), boxes, label)
     cut = cut.select(F.struct("img", F.col("object")).alias("img"), "y", "x", (F.col("_l") == F.col("object")).alias("own"))
     deep = labels.distance_to(cut.withColumn("_out", F.when(F.coalesce("own", F.lit(False)), 0).otherwise(1)), "_out").where("own").select(*KEY, "y", "x", F.col("d2").cast("double").alias("d2"))
@@ -50,7 +139,7 @@ def center_levels(px: DataFrame, label: str, levels: tuple[float, ...] = LEVELS)
     top = top.join(boxes.select(*KEY, F.col(label).alias("_o"), "y0", "x0"), [*KEY, "_o"])
     kinds = dict(px.dtypes)
     place = [(F.col(f"_{c}") + F.col(f"{c}0")).cast(kinds[c]).alias(c) for c in ("y", "x")]
-    return px.join(top.select(*KEY, *place, "level"), [*KEY, "y", "x"], "left").fillna(0, ["level"])
+    return top.select(*KEY, *place, "level")
 
 
 def _within(marked: DataFrame, reach: DataFrame, near: bool) -> DataFrame:

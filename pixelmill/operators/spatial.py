@@ -14,6 +14,8 @@ from pixelmill.session import checkpoint_folder
 KEY = ["img"]
 #: Points of a partition whose pairs are compared.
 POINTS = 50_000
+#: Rays of a partition whose steps meet pixels.
+RAYS = 5_000
 #: Slices that still belong to an object, by its stage (fixed values of the data format).
 SLICE_TOLERANCE = {1: 1, 2: 2, 3: 2, 4: 3, 5: 3, 6: 0}
 
@@ -190,7 +192,8 @@ def rays(seg: DataFrame, mask: str, points: DataFrame, step: int = 10, edge: str
     ``up`` is the first pixel in the mask (0 for a point that is in it), ``down`` the first one out of it. A ray advances by one pixel along its longer side, as far as the image goes. With ``own``, the mask of a point are the pixels
     whose value is the point's idx.
     """
-    p = points.select(*KEY, "idx", F.col("y").alias("_y"), F.col("x").alias("_x"))
+    checkpoint_folder(seg.sparkSession)
+    p = points.select(*KEY, "idx", F.col("y").alias("_y"), F.col("x").alias("_x")).checkpoint()
     angle = F.explode(F.sequence(F.lit(0), F.lit(359), F.lit(step))).alias("angle")
     rad = F.radians(F.col("angle").cast("double"))
     longest = F.greatest(F.abs(F.sin(rad)), F.abs(F.cos(rad)))
@@ -204,6 +207,8 @@ def rays(seg: DataFrame, mask: str, points: DataFrame, step: int = 10, edge: str
         first, last = ({c: F.coalesce(f"_{n}{c}", end[c]) for c in ("y", "x")} for n, end in (("f", first), ("l", last)))
     room = lambda c: F.when(F.col(f"_g{c}") > 1e-9, (last[c] - F.col(f"_{c}")) / F.col(f"_g{c}")).when(F.col(f"_g{c}") < -1e-9, (first[c] - F.col(f"_{c}")) / F.col(f"_g{c}")).otherwise(float("inf"))
     most = F.least(room("y"), room("x"), *([] if own else [F.greatest("_ey", "_ex").cast("double")]))
+    # rays are few bytes, which Spark would put together in one partition, whose task makes the steps of all
+    march = march.repartition(max(seg.sparkSession.sparkContext.defaultParallelism, -(-p.count() * len(range(0, 360, step)) // RAYS)), *KEY, "idx", "angle")
     march = march.withColumn("_k", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(most).cast("int"), F.lit(0)) + 1)))
     march = march.withColumns({"y": F.bround(F.col("_y") + F.col("_k") * F.col("_gy")).cast("int"), "x": F.bround(F.col("_x") + F.col("_k") * F.col("_gx")).cast("int")})
     # Spark's estimate leaves out what explode adds, and would broadcast the steps of all rays

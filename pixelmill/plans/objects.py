@@ -46,8 +46,8 @@ g{k} AS (SELECT DISTINCT f.img, f.y, f.x, {k} AS level FROM fr f JOIN e{k} e ON
   WHERE (f.y - e.y) * (f.y - e.y) + (f.x - e.x) * (f.x - e.x) <= floor(r * 0.15) * floor(r * 0.15))"""
 
 
-def _objects(spark, sf):
-    return _px(spark, sf).select("img", "y", "x", F.when(F.col("annot") > 0, F.col("lb") + 1).otherwise(0).alias("ob"), "annot")
+def _objects(spark, sf, *more):
+    return _px(spark, sf).select("img", "y", "x", F.when(F.col("annot") > 0, F.col("lb") + 1).otherwise(0).alias("ob"), "annot", *more)
 
 
 @query(
@@ -61,9 +61,10 @@ def center_levels(spark, sf):
 def _candidates(spark, sf):
     """Superpixel centres with their features, and whether they lie in the inner regions of the objects."""
     checkpoint_folder(spark)
-    px = _objects(spark, sf).checkpoint()
-    sp = features.centroids(_px(spark, sf).select("img", "y", "x", "lb"), "lb")
-    points = sp.select("img", F.col("lb").alias("idx"), *[F.floor(f"c_{c}").cast("int").alias(c) for c in ("y", "x")])
+    px = _objects(spark, sf, "lb").checkpoint()
+    sp = features.centroids(px, "lb")
+    px = px.drop("lb")
+    points = sp.select("img", F.col("lb").alias("idx"), *[F.floor(f"c_{c}").cast("int").alias(c) for c in ("y", "x")]).checkpoint()
     made = candidates.point_features(px, "annot", points, [0, 1, 2], (3, 6, 12), 30, (("up", (0,)),))
     return px, candidates.label_close_points(made, regions=candidates.center_levels(px, "ob"))
 

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pixelmill.operators import boundary, candidates, spectral
+from pixelmill.operators import boundary, candidates, spatial, spectral
 from pixelmill.plans import objects  # noqa: F401  adds to the catalog
 from pixelmill.plans.catalog import QUERIES
 
@@ -92,6 +92,38 @@ def test_levels_round_circles_as_places_of_the_image(spark):
     assert candidates.center_levels(px, "ob").where("y = 16 and x = 37").first()["level"] == 1
 
 
+def test_levels_in_memory_as_by_rows(spark, monkeypatch):
+    """Objects of all sizes, some touching, with holes, or as large as their image; boxes are one group an image, without passes of their own for each level."""
+    rng = np.random.default_rng(5)
+    y, x = np.mgrid[:60, :70]
+    one = np.where((y - 25) ** 2 + (x - 30) ** 2 < 500, 1, 0) + np.where((y > 50) & (x > 5), 2, 0)
+    one[rng.random(one.shape) < 0.02] = 3
+    two = np.full((6, 40), 4)
+    three = np.where(np.mgrid[:5, :90][1] > 3, 7, 0)
+    rows = [(i, a, b, int(v)) for i, img in enumerate((one, two, three)) for (a, b), v in np.ndenumerate(img)]
+    px = spark.createDataFrame(rows, "img int, y int, x int, o int")
+    made = candidates.center_levels(px, "o")
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsInArrow") == 1
+    got = sorted(map(tuple, made.collect()))
+    monkeypatch.setattr(candidates, "MOST", 900)
+    mixed = sorted(map(tuple, candidates.center_levels(px, "o").collect()))
+    monkeypatch.setattr(candidates, "MOST", -1)
+    assert got == mixed == sorted(map(tuple, candidates.center_levels(px, "o").collect()))
+    assert {r[-1] for r in got} == {0, 1, 2, 3} and len(got) == len(rows)
+    assert candidates.center_levels(px.limit(0), "o").count() == 0
+
+
+def test_rays_are_dealt_before_their_steps(spark, monkeypatch):
+    """Points of one partition; Spark would make the steps of all rays in its task."""
+    px = spark.createDataFrame([(0, y, x, int(y == 9)) for y in range(10) for x in range(10)], "img int, y int, x int, m int")
+    points = spark.createDataFrame([(0, k, k, 5) for k in range(10)], "img int, idx int, y int, x int").coalesce(1)
+    monkeypatch.setattr(spatial, "RAYS", 10)
+    made = spatial.rays(px, "m", points, 90)
+    assert "RepartitionByExpression [img" in made._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r["idx"], r["angle"]): r["distance"] for r in made.collect()}
+    assert len(got) == 40 and got[(2, 90)] == 7.0 and got[(2, 270)] == -1.0 and got[(9, 0)] == 0.0
+
+
 def test_affinities_are_added_in_slices(spark):
     rows = spark.range(2500).repartition(1).select(F.array(F.col("id").cast("double")).alias("features"))
     # a part adds its rows' number squared, which is far larger where all rows come at once
