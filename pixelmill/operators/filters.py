@@ -36,6 +36,11 @@ def convolve(px: DataFrame, channel: str, kernels: dict[str, Kernel], axes: tupl
     The image goes on mirrored beyond its border, or as zeros. Rasters are cut into tiles of ``TILE`` x ``TILE`` pixels with a margin of
     the kernels' reach, so an image of any size is many tasks; ``depth`` names axes whose planes are filtered each by itself.
     """
+    return convolve_all(px, {channel: {n: n for n in kernels}}, kernels, axes, depth, mirror)
+
+
+def convolve_all(px: DataFrame, channels: dict[str, dict[str, str]], kernels: dict[str, Kernel], axes: tuple[str, str] = ("y", "x"), depth: tuple[str, ...] = (), mirror: bool = True) -> DataFrame:
+    """As ``convolve`` for several channels, whose tiles are cut once; ``channels`` has, of each, the name of its column for every kernel."""
     reach = max(max(abs(dy), abs(dx)) for k in kernels.values() for dy, dx, _ in k)
     side, wide = 2 * reach + 1, TILE + 2 * reach
     weights = np.zeros((side * side, len(kernels)))
@@ -45,7 +50,7 @@ def convolve(px: DataFrame, channel: str, kernels: dict[str, Kernel], axes: tupl
     plane = [*KEY, *depth]
     ay, ax = axes
     # a pixel's row goes with it to the tile that it belongs to, so filtered values need no join with the raster
-    base = px.dropna(subset=plane).select(*plane, F.col(ay).cast("int").alias("_y"), F.col(ax).cast("int").alias("_x"), F.col(channel).cast("double").alias("_v"), F.struct(*[F.col(f"`{c}`") for c in px.columns]).alias("_row"))
+    base = px.dropna(subset=plane).select(*plane, F.col(ay).cast("int").alias("_y"), F.col(ax).cast("int").alias("_x"), *[F.col(c).cast("double").alias(f"_v{k}") for k, c in enumerate(channels)], F.struct(*[F.col(f"`{c}`") for c in px.columns]).alias("_row"))
     checkpoint_folder(px.sparkSession)
     ends = px.groupBy(*plane).agg((F.max(F.col(ay).cast("int")) + 1).alias("_h"), (F.max(F.col(ax).cast("int")) + 1).alias("_w")).checkpoint()
     if mirror:
@@ -56,23 +61,25 @@ def convolve(px: DataFrame, channel: str, kernels: dict[str, Kernel], axes: tupl
     tiles = lambda c: F.explode(F.sequence(F.floor((F.col(c) - reach) / TILE).cast("int"), F.floor((F.col(c) + reach) / TILE).cast("int")))
     base = base.withColumn("_ty", tiles("_y")).withColumn("_tx", tiles("_x"))
     own_tile = F.col("_in") & (F.floor(F.col("_y") / TILE) == F.col("_ty")) & (F.floor(F.col("_x") / TILE) == F.col("_tx"))
-    base = base.select(*plane, "_ty", "_tx", "_y", "_x", "_v", own_tile.alias("_in"), F.when(own_tile, F.col("_row")).alias("_row"))
+    values = [f"_v{k}" for k in range(len(channels))]
+    base = base.select(*plane, "_ty", "_tx", "_y", "_x", *values, own_tile.alias("_in"), F.when(own_tile, F.col("_row")).alias("_row"))
     # dealt by the number of tiles, as small partitions that Spark puts together grow with the input
     tiled = ends.agg(F.sum(F.ceil(F.col("_h") / TILE) * F.ceil(F.col("_w") / TILE))).first()[0] or 0
     base = base.repartition(max(px.sparkSession.sparkContext.defaultParallelism, -(-int(tiled) // TILES)), *plane, "_ty", "_tx")
-    names = list(kernels)
+    names = [of[n] for of in channels.values() for n in kernels]
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         y0, x0 = (k.as_py() * TILE for k in key[-2:])
-        y, x, v, own = (table.column(c).to_numpy() for c in ("_y", "_x", "_v", "_in"))
-        grid = np.zeros((wide, wide))
-        grid[y - y0 + reach, x - x0 + reach] = np.nan_to_num(v)
-        y, x = y[own], x[own]
-        windows = np.lib.stride_tricks.sliding_window_view(grid, (side, side))
-        out = np.empty((len(y), len(names)))
-        for a in range(0, len(y), 4096):
-            s = slice(a, a + 4096)
-            out[s] = windows[y[s] - y0, x[s] - x0].reshape(-1, side * side) @ weights
+        y, x, own = (table.column(c).to_numpy() for c in ("_y", "_x", "_in"))
+        oy, ox = y[own], x[own]
+        out = np.empty((len(oy), len(names)))
+        for k, c in enumerate(values):
+            grid = np.zeros((wide, wide))
+            grid[y - y0 + reach, x - x0 + reach] = np.nan_to_num(table.column(c).to_numpy())
+            windows = np.lib.stride_tricks.sliding_window_view(grid, (side, side))
+            for a in range(0, len(oy), 4096):
+                s = slice(a, a + 4096)
+                out[s, k * len(kernels) : (k + 1) * len(kernels)] = windows[oy[s] - y0, ox[s] - x0].reshape(-1, side * side) @ weights
         rows = table.column("_row").filter(pa.array(own)).combine_chunks()
         rows = rows.combine_chunks() if isinstance(rows, pa.ChunkedArray) else rows
         made = [*rows.flatten(), *[pa.array(out[:, j]) for j in range(len(names))]]
@@ -146,9 +153,20 @@ def filter_bank(sigmas: tuple[float, ...] = (math.sqrt(2), 2.0, 2 * math.sqrt(2)
 
 def bank_response(px: DataFrame, channel: str, bank: dict[str, dict[str, Kernel]], depth: tuple[str, ...] = ()) -> DataFrame:
     """Adds a column a family: the largest response of its kernels. One pass over the tiles serves all kernels; planes of a volume are filtered one by one."""
+    return _largest(px, {channel: {f: f for f in bank}}, bank, depth)
+
+
+def bank_responses(px: DataFrame, channels: list[str], bank: dict[str, dict[str, Kernel]], depth: tuple[str, ...] = ()) -> DataFrame:
+    """As ``bank_response`` for several channels in one pass, with a column <channel>_<family> for each."""
+    return _largest(px, {c: {f: f"{c}_{f}" for f in bank} for c in channels}, bank, depth)
+
+
+def _largest(px: DataFrame, channels: dict[str, dict[str, str]], bank: dict[str, dict[str, Kernel]], depth: tuple[str, ...]) -> DataFrame:
     every = reduce(lambda a, b: a | b, bank.values(), {})
-    out = convolve(px, channel, every, depth=depth)
-    best = {f: F.greatest(*[F.col(n) for n in of]) if len(of) > 1 else F.col(next(iter(of))) for f, of in bank.items()}
+    one = len(channels) == 1
+    made = {c: {n: n if one else f"_{c}_{n}" for n in every} for c in channels}
+    out = convolve_all(px, made, every, depth=depth)
+    best = {of[f]: F.greatest(*[F.col(made[c][n]) for n in taps]) if len(taps) > 1 else F.col(made[c][next(iter(taps))]) for c, of in channels.items() for f, taps in bank.items()}
     return out.select(*px.columns, *[c.alias(f) for f, c in best.items()])
 
 

@@ -15,6 +15,10 @@ from pixelmill.operators import features, filters, graph, maxflow, ml, watershed
 from pixelmill.session import checkpoint_folder
 
 KEY = ["img"]
+#: Pixels of a partition that meets centres.
+PIXELS = 250_000
+#: Segments of a partition that a class model is fitted to.
+ROWS = 20_000
 #: Texture banks by name: scales, orientations, reach.
 BANKS = {"tLM": ((2**0.5, 2.0, 2 * 2**0.5, 4.0), 8, 8), "tLM_short": ((2**0.5, 2.0), 4, 6)}
 
@@ -29,19 +33,21 @@ def superpixels(px: DataFrame, channels: list[str], size: int = 10, compactness:
     checkpoint_folder(px.sparkSession)
     scale = {a: (spacing or {}).get(a, 1.0) for a in axes}
     place = {a: F.floor(F.col(a) * scale[a] / size) for a in axes}
+    px = px.checkpoint()
     ends = px.groupBy(*KEY).agg(*[(F.floor(F.max(a) * scale[a] / size) + 1).alias(f"_n_{a}") for a in axes])
     cells = px.join(ends, KEY).withColumns({f"_c_{a}": c for a, c in place.items()})
     own = F.lit(0)
     for a in axes:
         own = own * F.col(f"_n_{a}") + F.col(f"_c_{a}")
-    cells = cells.withColumn("_own", own.cast("int")).checkpoint()
+    at = [f"_c_{a}" for a in axes]
+    cells = cells.withColumn("_own", own.cast("int")).select(*KEY, *at, "_own", *axes, *channels).checkpoint()
     mean = [F.avg(c).alias(f"_m_{c}") for c in (*channels, *axes)]
     around = F.array(F.lit(-1), F.lit(0), F.lit(1))
     homes = [F.col(f"_c_{a}").alias(f"_h_{a}") for a in axes]
     centres = cells.groupBy(*KEY, F.col("_own").alias("sp"), *homes).agg(*mean).checkpoint()
     home = centres.select(*KEY, "sp", *[f"_h_{a}" for a in axes])
-    at = [f"_c_{a}" for a in axes]
-    base = cells.select(*KEY, *axes, *channels, *at)
+    # dealt by the number of pixels, so that a task's memory doesn't grow with the input
+    base = cells.drop("_own").repartition(max(px.sparkSession.sparkContext.defaultParallelism, -(-cells.count() // PIXELS)), *KEY, *at)
     for _ in range(rounds):
         # merge joins, as Spark's estimate leaves out what explode adds: neither spread centres nor a grid of pixels are broadcast
         spread = centres
@@ -49,10 +55,10 @@ def superpixels(px: DataFrame, channels: list[str], size: int = 10, compactness:
             spread = spread.withColumn("_d", F.explode(around)).withColumn(f"_c_{a}", F.col(f"_h_{a}") + F.col("_d")).drop("_d", f"_h_{a}")
         sq = lambda c, k=1.0: (F.col(c) - F.col(f"_m_{c}")) * (F.col(c) - F.col(f"_m_{c}")) * (k * k)
         d = sum(sq(c) for c in channels) + sum(sq(a, scale[a]) for a in axes) * (compactness**2 / size**2)
-        near = base.join(spread.hint("merge"), [*KEY, *at]).groupBy(*KEY, *axes).agg(F.min(F.struct(d.alias("d"), "sp"))["sp"].alias("sp"))
-        named = base.drop(*at).join(near.hint("merge"), [*KEY, *axes])
-        centres = named.groupBy(*KEY, "sp").agg(*mean).join(home, [*KEY, "sp"]).checkpoint()
-    return px.join(near.hint("merge"), [*KEY, *axes])
+        # a pixel is grouped by its cell and channels, too: it stays where it met the centres, and has what their means need
+        near = base.join(spread.hint("merge"), [*KEY, *at]).groupBy(*KEY, *at, *axes, *channels).agg(F.min(F.struct(d.alias("d"), "sp"))["sp"].alias("sp"))
+        centres = near.groupBy(*KEY, "sp").agg(*mean).join(home, [*KEY, "sp"]).checkpoint()
+    return px.join(near.select(*KEY, *axes, "sp").hint("merge"), [*KEY, *axes])
 
 
 def segment_classes(px: DataFrame, segment: str, channels: list[str], classes: int, regularisation: float = 1.0, kind: str = "model", model: PipelineModel | None = None, axes: tuple[str, ...] = ("y", "x")) -> DataFrame:
@@ -67,6 +73,8 @@ def classified(px: DataFrame, segment: str, stats: DataFrame, classes: int, regu
     checkpoint_folder(px.sparkSession)
     names = [c for c in stats.columns if c not in (*KEY, segment)]
     rows = stats.select(*KEY, segment, F.array(*[F.col(c).cast("double") for c in names]).alias("features")).checkpoint()
+    # dealt by their number and in order, as the start values of a model are a sample of partitions; last digits of features still follow the order of sums
+    rows = rows.repartition(max(1, -(-rows.count() // ROWS)), *KEY, segment).sortWithinPartitions(*KEY, segment).checkpoint()
     model = model or ml.class_model(rows, classes)
     made = ml.probabilities(model, rows).select(*KEY, segment, "features", "proba").checkpoint()
     unary = made.select(*KEY, segment, F.posexplode("proba").alias("cls", "p")).select(*KEY, segment, "cls", graph.unary_cost(F.col("p")).alias("cost")).checkpoint()
@@ -88,9 +96,9 @@ def selected_features(px: DataFrame, segment: str, channels: list[str], wanted:
     parts = []
     for kind, statistics in wanted.items():
         if kind in BANKS:
-            for channel in channels:
-                part = texture(px, channel, segment, *BANKS[kind], statistics, depth)
-                parts.append(part.select(*KEY, segment, *[F.col(c).alias(f"{kind}_{channel}_{c}") for c in part.columns if c not in (*KEY, segment)]))
+            bank = filters.filter_bank(*BANKS[kind])
+            part = features.segment_statistics(filters.bank_responses(px, channels, bank, depth), segment, [f"{c}_{f}" for c in channels for f in bank], statistics)
+            parts.append(part.select(*KEY, segment, *[F.col(f"{c}_{f}_{s}").alias(f"{kind}_{c}_{f}_{s}") for c in channels for s in statistics for f in bank]))
         elif kind.partition("_")[0] == "color":
             space = kind.partition("_")[2]
             part = features.segment_statistics(color.convert(px, channels, space) if space else px, segment, channels, statistics)

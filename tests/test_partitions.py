@@ -132,6 +132,20 @@ def test_images_in_one_call(spark):
         segmentation.selected_features(found, "sp", ["c1"], {"sound": ("mean",)})
 
 
+def test_channels_are_filtered_in_one_pass(spark):
+    rng = np.random.default_rng(3)
+    px = raster(spark, [rng.random((20, 70))], "c1").selectExpr("*", "c1 * c1 AS c2", "int(x div 10) AS sp")
+    both = segmentation.selected_features(px, "sp", ["c1", "c2"], {"tLM_short": ("mean", "energy")})
+    assert both._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsInArrow") == 1
+    found = {r["sp"]: r for r in both.collect()}
+    for c in ("c1", "c2"):
+        part = segmentation.texture(px, c, "sp", *segmentation.BANKS["tLM_short"])
+        names = [n for n in part.columns if n not in ("img", "sp")]
+        assert [n for n in both.columns if n.startswith(f"tLM_short_{c}_")] == [f"tLM_short_{c}_{n}" for n in names]
+        for r in part.collect():
+            assert np.allclose([found[r["sp"]][f"tLM_short_{c}_{n}"] for n in names], [r[n] for n in names], rtol=1e-12)
+
+
 def test_bright_regions_are_filtered_once(spark):
     from pixelmill.plans import partitions
 
