@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -271,26 +273,40 @@ def shape_costs(segments: DataFrame, objects: DataFrame, table: DataFrame, angle
     return ml.shape_prior(p, table, angles, reach).select(*KEY, "segment", "cls", (-F.log(F.greatest("prior", F.lit(least)))).alias("shape_cost"))
 
 
-def grow_shapes(px: DataFrame, unary: DataFrame, edges: DataFrame, seeds: DataFrame, matrix: list[list[float]], table: DataFrame, angles: int, reach: int, segment: str = "lb", strength: float = 1.0, most: int = 10) -> DataFrame:
+def grow_shapes(px: DataFrame, unary: DataFrame, edges: DataFrame, seeds: DataFrame, matrix: list[list[float]], table: DataFrame, angles: int, reach: int, segment: str = "lb", strength: float = 1.0, most: int | None = None) -> DataFrame:
     """Region growing with a shape prior: (img, segment, label).
 
     Objects grow from ``seeds`` (img, segment, label) by ``segmentation.grow_regions``, where an object's cost of a segment has the shape's cost added, seen
-    from its present centre and direction. Then centres and directions are taken anew from the regions, and they grow again, until labels stay; it is an
-    error if they don't within ``most`` turns.
+    from its present centre and direction. Then centres and directions are taken anew from the regions, and they grow again, until an image's labels are
+    ones that it had before: these stand, and the image leaves the turns, so that none waits for others. With ``most`` given, it is an error if some
+    image isn't done within so many turns.
     """
     checkpoint_folder(px.sparkSession)
-    of_segment = px.groupBy(*KEY, F.col(segment).alias("segment")).agg(F.avg("y").alias("c_y"), F.avg("x").alias("c_x"))
-    labels = seeds.select(*KEY, segment, "label")
-    seen: set[int] = set()
-    for _ in range(most):
-        grown = px.join(labels.where("label > 0"), [*KEY, segment])
-        m = grown.groupBy(*KEY, F.col("label").alias("cls")).agg(F.avg("y").alias("y"), F.avg("x").alias("x"), F.var_pop("y").alias("_a"), F.var_pop("x").alias("_b"), F.covar_pop("y", "x").alias("_c"))
-        objects = m.select(*KEY, "cls", "y", "x", F.bround(F.degrees(0.5 * F.atan2(2 * F.col("_c"), F.col("_b") - F.col("_a")))).cast("int").alias("angle"))
-        cost = shape_costs(of_segment, objects, table, angles, reach).withColumnRenamed("segment", segment)
-        both = unary.join(cost, [*KEY, segment, "cls"], "left").select(*KEY, segment, "cls", (F.col("cost") + strength * F.coalesce("shape_cost", F.lit(0.0))).alias("cost"))
-        labels = segmentation.grow_regions(both, edges, seeds, matrix, segment).checkpoint()
-        mark = labels.agg(F.bit_xor(F.xxhash64(*KEY, segment, "label"))).first()[0]
-        if mark in seen:  # the same labels as before; should they come in turns, the last ones stand
-            return labels
-        seen.add(mark)
+    y, x = (F.col(c).cast("long") for c in ("y", "x"))
+    sums = {"_n": F.lit(1), "_y": y, "_x": x, "_yy": y * y, "_xx": x * x, "_yx": y * x}
+    # each turn reads all of these, pixels only as the whole-number sums of their segments
+    of_segment = px.groupBy(*KEY, segment).agg(F.avg("y").alias("c_y"), F.avg("x").alias("c_x"), *[F.sum(v).alias(k) for k, v in sums.items()]).checkpoint()
+    unary, edges, table, labels = (d.checkpoint() for d in (unary, edges, table, seeds.select(*KEY, segment, "label")))
+    seeds = labels
+    places = of_segment.select(*KEY, F.col(segment).alias("segment"), "c_y", "c_x")
+    whole = lambda c: F.col(c).cast("decimal(19,0)")
+    spread = lambda a, b, ab: (whole("_n") * whole(ab) - whole(a) * whole(b)).cast("double")  # noqa: E731  n^2 times the covariance
+    left = unary.select(*KEY).distinct().withColumn("_seen", F.array().cast("array<long>")).checkpoint()
+    done: list[DataFrame] = []
+    for _ in itertools.count() if most is None else range(most):
+        m = of_segment.join(labels.where("label > 0"), [*KEY, segment]).groupBy(*KEY, F.col("label").alias("cls")).agg(*[F.sum(k).alias(k) for k in sums])
+        across = spread("_x", "_x", "_xx") - spread("_y", "_y", "_yy")
+        objects = m.select(*KEY, "cls", (F.col("_y") / F.col("_n")).alias("y"), (F.col("_x") / F.col("_n")).alias("x"), F.bround(F.degrees(0.5 * F.atan2(2 * spread("_y", "_x", "_yx"), across))).cast("int").alias("angle"))
+        objects, costs, near = (d.join(left.select(*KEY), KEY, "left_semi") for d in (objects, unary, edges))
+        cost = shape_costs(places, objects, table, angles, reach).withColumnRenamed("segment", segment)
+        both = costs.join(cost, [*KEY, segment, "cls"], "left").select(*KEY, segment, "cls", (F.col("cost") + strength * F.coalesce("shape_cost", F.lit(0.0))).alias("cost"))
+        labels = segmentation.grow_regions(both, near, seeds, matrix, segment).checkpoint()
+        marks = labels.groupBy(*KEY).agg(F.bit_xor(F.xxhash64(segment, "label")).alias("_m"))
+        state = marks.join(left, KEY).select(*KEY, F.array_contains("_seen", F.col("_m")).alias("_done"), F.array_append("_seen", F.col("_m")).alias("_seen")).checkpoint()
+        gone, all_ = state.agg(F.count_if("_done"), F.count("*")).first()
+        if gone:
+            done.append(labels.join(state.where("_done").select(*KEY), KEY, "left_semi"))
+        if gone == all_:
+            return reduce(DataFrame.union, done) if done else labels
+        left = state.where("not _done")
     raise RuntimeError(f"shapes did not settle in {most} turns")

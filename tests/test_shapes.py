@@ -333,3 +333,42 @@ def test_thinning_shuffles_no_pairs(spark, monkeypatch):
             break
         del left[b]
     assert got == set(left)
+
+
+def test_images_of_grown_shapes_do_not_wait_for_each_other(spark, monkeypatch):
+    """Labels that come in turns of 1 to 5 are all the same as before only after 60 turns."""
+    turns = []
+
+    def grown(unary, edges, seeds, matrix, segment):
+        turns.append({r[0] for r in unary.select("img").distinct().collect()})
+        return unary.select("img", "lb").distinct().withColumn("label", ((len(turns) - 1) % (F.col("img") + 1) + 1).cast("int"))
+
+    monkeypatch.setattr(segmentation, "grow_regions", grown)
+    cells = [(i, s) for i in range(5) for s in range(4)]
+    px = spark.createDataFrame([(i, 0, s, s) for i, s in cells], "img int, y int, x int, lb int")
+    unary = spark.createDataFrame([(i, s, k, 0.0) for i, s in cells for k in range(6)], "img int, lb int, cls int, cost double")
+    seeds = spark.createDataFrame([(i, 0, 1) for i in range(5)], "img int, lb int, label int")
+    edges = graph.adjacency(px, "lb").withColumn("w", F.lit(1.0))
+    table = spark.createDataFrame([(a, d, 0.5) for a in range(4) for d in range(4)], "a int, d int, p double")
+    given = (px, unary, edges, seeds, graph.pairwise_matrix(6, 0.5), table, 4, 4)
+    got = {(r["img"], r["lb"]): r["label"] for r in boundary.grow_shapes(*given).collect()}
+    assert got == dict.fromkeys(cells, 1)
+    assert turns == [set(range(5)), set(range(5)), {1, 2, 3, 4}, {2, 3, 4}, {3, 4}, {4}]
+    turns.clear()
+    with pytest.raises(RuntimeError, match="did not settle in 5 turns"):
+        boundary.grow_shapes(*given, most=5)
+
+
+def test_round_regions_have_no_direction(spark, monkeypatch):
+    """Seeds of 5 x 5 pixels have equal deviations and no covariance; the last digits of their sums don't turn them."""
+    angles = []
+    real = boundary.shape_costs
+    monkeypatch.setattr(boundary, "shape_costs", lambda segments, objects, *a: (angles.append({r["angle"] for r in objects.collect()}), real(segments, objects, *a))[1])
+    px = spark.range(3 * 100 * 100).repartition(7).select((F.col("id") % 3).cast("int").alias("img"), F.floor(F.col("id") / 3 % 100).cast("int").alias("y"), F.floor(F.col("id") / 300).cast("int").alias("x"))
+    px = px.withColumn("lb", (F.floor(F.col("y") / 5) * 20 + F.floor(F.col("x") / 5)).cast("int"))
+    unary = px.select("img", "lb").distinct().crossJoin(spark.createDataFrame([(k, 1.0 - (k == 0)) for k in range(4)], "cls int, cost double"))
+    seeds = spark.createDataFrame([(i, s + i, k + 1) for i in range(3) for k, s in enumerate((143, 211, 376))], "img int, lb int, label int")
+    table = spark.createDataFrame([(a, d, 0.5) for a in range(4) for d in range(4)], "a int, d int, p double")
+    edges = graph.adjacency(px, "lb").withColumn("w", F.lit(1.0))
+    boundary.grow_shapes(px, unary, edges, seeds, graph.pairwise_matrix(4, 0.5), table, 4, 4)
+    assert angles[0] == {0}
