@@ -264,7 +264,7 @@ def mean_table(models: DataFrame) -> DataFrame:
 
 
 def shape_costs(segments: DataFrame, objects: DataFrame, table: DataFrame, angles: int, reach: int, least: float = 1e-3) -> DataFrame:
-    """Rows (img, segment, cls, shape_cost): -log of the chance that object cls (img, cls, y, x, angle) reaches to a segment (img, segment, c_y, c_x)."""
+    """Rows (img, segment, cls, shape_cost): -log of the chance that object cls (img, cls, y, x, angle) reaches to a segment (img, segment, c_y, c_x); table as for ``ml.shape_prior``."""
     j = segments.select(*KEY, "segment", "c_y", "c_x").join(objects, KEY)
     turn = F.radians(F.col("angle").cast("double"))
     dy, dx = F.col("c_y") - F.col("y"), F.col("c_x") - F.col("x")
@@ -286,8 +286,8 @@ def grow_shapes(px: DataFrame, unary: DataFrame, edges: DataFrame, seeds: DataFr
     sums = {"_n": F.lit(1), "_y": y, "_x": x, "_yy": y * y, "_xx": x * x, "_yx": y * x}
     # each turn reads all of these, pixels only as the whole-number sums of their segments
     of_segment = px.groupBy(*KEY, segment).agg(F.avg("y").alias("c_y"), F.avg("x").alias("c_x"), *[F.sum(v).alias(k) for k, v in sums.items()]).checkpoint()
-    unary, edges, table, labels = (d.checkpoint() for d in (unary, edges, table, seeds.select(*KEY, segment, "label")))
-    seeds = labels
+    unary, edges, cells, seeds = (d.checkpoint() for d in (unary, edges, ml.prior_cells(table, angles, reach), seeds.select(*KEY, segment, "label")))
+    labels = seeds
     places = of_segment.select(*KEY, F.col(segment).alias("segment"), "c_y", "c_x")
     whole = lambda c: F.col(c).cast("decimal(19,0)")
     spread = lambda a, b, ab: (whole("_n") * whole(ab) - whole(a) * whole(b)).cast("double")  # noqa: E731  n^2 times the covariance
@@ -297,8 +297,8 @@ def grow_shapes(px: DataFrame, unary: DataFrame, edges: DataFrame, seeds: DataFr
         m = of_segment.join(labels.where("label > 0"), [*KEY, segment]).groupBy(*KEY, F.col("label").alias("cls")).agg(*[F.sum(k).alias(k) for k in sums])
         across = spread("_x", "_x", "_xx") - spread("_y", "_y", "_yy")
         objects = m.select(*KEY, "cls", (F.col("_y") / F.col("_n")).alias("y"), (F.col("_x") / F.col("_n")).alias("x"), F.bround(F.degrees(0.5 * F.atan2(2 * spread("_y", "_x", "_yx"), across))).cast("int").alias("angle"))
-        objects, costs, near = (d.join(left.select(*KEY), KEY, "left_semi") for d in (objects, unary, edges))
-        cost = shape_costs(places, objects, table, angles, reach).withColumnRenamed("segment", segment)
+        costs, near = (d.join(left.select(*KEY), KEY, "left_semi") for d in (unary, edges))
+        cost = shape_costs(places, objects, cells, angles, reach).withColumnRenamed("segment", segment)
         both = costs.join(cost, [*KEY, segment, "cls"], "left").select(*KEY, segment, "cls", (F.col("cost") + strength * F.coalesce("shape_cost", F.lit(0.0))).alias("cost"))
         labels = segmentation.grow_regions(both, near, seeds, matrix, segment).checkpoint()
         marks = labels.groupBy(*KEY).agg(F.bit_xor(F.xxhash64(segment, "label")).alias("_m"))

@@ -212,15 +212,25 @@ def ray_histogram(rays: DataFrame, bins: int = 10) -> DataFrame:
     return full.select("angle", "bin", ((F.col("_t") - up) / F.col("_t")).alias("beyond"))
 
 
+def prior_cells(table: DataFrame, angles: int, reach: int) -> DataFrame:
+    """Cells (a, d, p0 to p3) of a table (a, d, p): each with the next ones by distance, by angle and by both, the last cell standing for those beyond."""
+    cells = table.select("a", "d", F.col("p").alias("p0"))
+    for k, (i, j) in enumerate(((0, 1), (1, 0), (1, 1)), 1):
+        cell = table.select(F.col("a").alias("_i"), F.col("d").alias("_j"), F.col("p").alias(f"p{k}"))
+        cells = cells.join(cell, (F.pmod(F.col("a") + i, F.lit(angles)) == F.col("_i")) & (F.least(F.col("d") + j, F.lit(reach - 1)) == F.col("_j"))).drop("_i", "_j")
+    return cells
+
+
 def shape_prior(points: DataFrame, table: DataFrame, angles: int, reach: int) -> DataFrame:
-    """Adds ``prior`` to points (…, dx, dy): the table (a, d, p) of ``angles`` x ``reach`` cells, looked up in polar form, bilinear within and the last cell beyond."""
+    """Adds ``prior`` to points (…, dx, dy): the table (a, d, p) of ``angles`` x ``reach`` cells, or its ``prior_cells``, looked up in polar form, bilinear within and the last cell beyond."""
     dist = F.sqrt((F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")).cast("double"))
     angle = F.pmod(F.lit(810.0) - F.degrees(F.atan2(F.col("dy").cast("double"), F.col("dx").cast("double"))), F.lit(360.0)) / (360.0 / angles)
     beyond = F.col("_dist") >= reach - 1
     p = points.withColumns({"_dist": dist, "_ang": angle}).withColumns({"_a": F.when(beyond, F.bround("_ang")).otherwise(F.floor("_ang")).cast("int"), "_d": F.when(beyond, reach - 1).otherwise(F.floor("_dist")).cast("int")})
-    for k, (i, j) in enumerate(((0, 0), (0, 1), (1, 0), (1, 1))):
-        cell = table.select(F.col("a").alias(f"_i{k}"), F.col("d").alias(f"_j{k}"), F.col("p").alias(f"_p{k}"))
-        p = p.join(cell, (F.pmod(F.col("_a") + i, F.lit(angles)) == F.col(f"_i{k}")) & (F.least(F.col("_d") + j, F.lit(reach - 1)) == F.col(f"_j{k}"))).drop(f"_i{k}", f"_j{k}")
+    cells = table if "p3" in table.columns else prior_cells(table, angles, reach)
+    cells = cells.select(F.col("a").alias("_i"), F.col("d").alias("_j"), *[F.col(f"p{k}").alias(f"_p{k}") for k in range(4)])
+    # of a table angles times reach cells, whatever the points' number
+    p = p.join(F.broadcast(cells), (F.pmod(F.col("_a"), F.lit(angles)) == F.col("_i")) & (F.col("_d") == F.col("_j"))).drop("_i", "_j")
     s, t = F.col("_ang") - F.col("_a"), F.col("_dist") - F.col("_d")
     inside = (1 - s) * ((1 - t) * F.col("_p0") + t * F.col("_p1")) + s * ((1 - t) * F.col("_p2") + t * F.col("_p3"))
     return p.withColumn("prior", F.when(beyond, F.col("_p0")).otherwise(inside)).drop("_dist", "_ang", "_a", "_d", "_p0", "_p1", "_p2", "_p3")
